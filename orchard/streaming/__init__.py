@@ -1,0 +1,8 @@
+"""Streaming.
+
+The library being re-built has no streaming operator (no stream source, no
+watermark, no stateful operator); every input is a finite table.  Nothing is
+built here on purpose.  A pool that grows over time is handled by re-running
+the batch operators on the current table, which ``plans.loop`` already does
+per round.
+"""
