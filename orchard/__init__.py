@@ -10,3 +10,13 @@ streaming  notes only: the reference has no streaming operator
 """
 
 __version__ = "0.1.0"
+
+# Functions handed to Spark (pandas UDFs, applyInPandas, mapInPandas) are
+# pickled by value, so Python workers need no installed copy of the package.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: ship the package with --py-files
+    pass

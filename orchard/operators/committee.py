@@ -30,7 +30,7 @@ FOREST_IMPURITY = "gini"
 FOREST_SUBSET = "auto"
 # Label metadata: two nominal classes, so a one-class labelled set still
 # trains a two-class forest.
-BINARY_LABEL_META = {"ml_attr": {"type": "nominal", "num_vals": 2, "vals": ["0", "1"],
+BINARY_LABEL_META = {"ml_attr": {"type": "nominal", "vals": ["0", "1"],
                                  "name": "label"}}
 
 

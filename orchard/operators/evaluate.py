@@ -52,7 +52,7 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
     per_score = pred.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)).alias("neg"))
-    cum = running_sums(per_score, ["s"], ["neg"])
+    cum = running_sums(per_score, ["s"], ["neg"], carry=["pos"])
     total = per_score.select(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     num = cum.select(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") * 0.5)).alias("u"))
     p_tot = total.select("P").scalar()

@@ -75,14 +75,15 @@ def scan_order_index(df: DataFrame, name: str = "row_index") -> DataFrame:
 
 
 def running_sums(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
-                 partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
+                 partitions: int | None = None, suffix: str = "_cum",
+                 carry: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums of numeric ``value_cols`` in ``order_cols`` order.
 
     Meant for narrow tables (a few numeric columns): the in-partition pass runs
     in ``mapInPandas`` over Arrow batches, then partition offsets are added.
     """
     n = _num_partitions(df, partitions)
-    narrow = df.select(*order_cols, *value_cols)
+    narrow = df.select(*order_cols, *carry, *value_cols)
     ordered = narrow.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     fields = list(narrow.schema.fields)
     out_schema = T.StructType(fields + [T.StructField(_PID, T.IntegerType())]
@@ -92,20 +93,20 @@ def running_sums(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[
         import pandas as pd
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        carry = {c: 0.0 for c in value_cols}
+        running = {c: 0.0 for c in value_cols}
         for pdf in batches:
             pdf = pdf.copy()
             pdf[_PID] = pid
             for c in value_cols:
-                cs = pdf[c].astype("float64").cumsum() + carry[c]
+                cs = pdf[c].astype("float64").cumsum() + running[c]
                 if len(cs):
-                    carry[c] = float(cs.iloc[-1])
+                    running[c] = float(cs.iloc[-1])
                 pdf[f"{c}_local"] = cs
             yield pd.DataFrame(pdf)
 
     tagged = cut_lineage(ordered.mapInPandas(local_cumsum, out_schema))
     offsets = _offsets(tagged, sum_cols=value_cols)
     out = tagged.join(F.broadcast(offsets), _PID)
-    return out.select(*order_cols, *value_cols,
+    return out.select(*order_cols, *carry, *value_cols,
                       *[(F.col(f"_off_{c}") + F.col(f"{c}_local")).alias(f"{c}{suffix}")
                         for c in value_cols])

@@ -52,10 +52,7 @@ def triples_to_rows(triples: DataFrame, width: int | None = None) -> DataFrame:
     whole table.  Width defaults to 1 + the largest j (a scalar subquery).
     """
     w = F.lit(width) if width is not None else triples.select(F.max("j") + 1).scalar()
-    grouped = triples.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), (w - 1).cast("bigint")),
-                        lambda p: F.coalesce(F.col("m")[p], F.lit(0.0)))
-    return grouped.select(F.col("i").alias("id"), dense.alias("features"))
+    return _dense_rows(triples, w)
 
 
 # ------------------------------------------------------ tile product ------
@@ -82,9 +79,9 @@ def _tile_dot(left, right):
     """(row ids, column ids, all products) of two dense tiles, row-major."""
     import numpy as np
     a_ids = left["id"].to_numpy(dtype="int64")
-    b_ids = right["id"].to_numpy(dtype="int64")
+    b_ids = right["rid"].to_numpy(dtype="int64")
     a = np.stack(left["v"].to_numpy()).astype("float64", copy=False)
-    b = np.stack(right["v"].to_numpy()).astype("float64", copy=False)
+    b = np.stack(right["rv"].to_numpy()).astype("float64", copy=False)
     prod = a @ b.T
     return np.repeat(a_ids, len(b_ids)), np.tile(b_ids, len(a_ids)), prod.ravel()
 
@@ -112,7 +109,10 @@ def self_product(rows: DataFrame, mode: str = "full", vec: str = "features",
     # left copy of tile t goes to (t, b) for b >= t; right copy to (a, t) for a <= t
     left = base.select("id", "v", F.col("t").alias("ta"),
                        F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))).alias("tb"))
-    right = base.select("id", "v", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("ta"),
+    # the right side gets its own column names: a cogroup of two projections
+    # of one table must not share attribute names, or pruning may drop them
+    right = base.select(F.col("id").alias("rid"), F.col("v").alias("rv"),
+                        F.explode(F.sequence(F.lit(0), F.col("t"))).alias("ta"),
                         F.col("t").alias("tb"))
     fn = _product_fn_sym(strict=(mode == "strict_upper"))
     return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")).applyInPandas(fn, TRIPLE_SCHEMA)
@@ -151,7 +151,7 @@ def product(left_rows: DataFrame, right_rows: DataFrame, vec: str = "features",
     tr = _tiles(right_rows.count(), tile_rows, par)
     left = left_rows.select("id", F.col(vec).alias("v"), _tile_id(tl).alias("ta"),
                            F.explode(F.sequence(F.lit(0), F.lit(tr - 1))).alias("tb"))
-    right = right_rows.select("id", F.col(vec).alias("v"),
+    right = right_rows.select(F.col("id").alias("rid"), F.col(vec).alias("rv"),
                               F.explode(F.sequence(F.lit(0), F.lit(tl - 1))).alias("ta"),
                               _tile_id(tr).alias("tb"))
     return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")) \
@@ -169,10 +169,14 @@ def multiply_triples(a: DataFrame, b: DataFrame, tile_rows: int = DEFAULT_TILE_R
 
 
 def _dense_rows(triples: DataFrame, width_col) -> DataFrame:
-    grouped = triples.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), (width_col - 1).cast("bigint")),
-                        lambda p: F.coalesce(F.col("m")[p], F.lit(0.0)))
-    return grouped.select(F.col("i").alias("id"), dense.alias("features"))
+    """Group entries by row (at most the width per group) into dense arrays."""
+    grouped = triples.groupBy("i").agg(
+        F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("m"))
+    # positions come from a plain column so the width may be a scalar subquery
+    with_pos = grouped.select("i", "m", F.sequence(F.lit(0).cast("bigint"),
+                                                   (width_col - 1).cast("bigint")).alias("pos"))
+    dense = F.transform("pos", lambda p: F.coalesce(F.col("m")[p], F.lit(0.0)))
+    return with_pos.select(F.col("i").alias("id"), dense.alias("features"))
 
 
 # ---------------------------------------------------------- cosine --------
@@ -238,7 +242,11 @@ def density_linear(points: DataFrame, reference: DataFrame | None = None,
     units = unit_rows(points)
     ref = units if reference is None else unit_rows(reference)
     total = sum_vector(ref).select("total").scalar()
-    dens = units.select("id", "features", F.coalesce(dot("features", total), F.lit(0.0)).alias("d"))
+    # the one-row total enters as a scalar subquery column; the per-row dot
+    # product then reads it like any other column (no join, no collect)
+    with_total = units.select("id", "features", total.alias("total"))
+    dens = with_total.select("id", "features",
+                             F.coalesce(dot("features", "total"), F.lit(0.0)).alias("d"))
     if not include_self:
         in_ref = ref.select("id", F.lit(True).alias("in_ref"))
         dens = dens.join(in_ref, "id", "left").select(
