@@ -140,7 +140,7 @@ def forest_votes_by_tree(model: RandomForestClassificationModel, points: DataFra
     for t, tree in enumerate(model.trees):
         out = f"_t{t}"
         tree.setFeaturesCol("fv").setPredictionCol(out)
-        tree.setRawPredictionCol(f"_raw{t}").setProbabilityCol(f"_prob{t}")
+        tree.setRawPredictionCol(f"_raw{t}").setProbabilityCol(f"_prob{t}").setLeafCol("")
         frame = tree.transform(frame).drop(f"_raw{t}", f"_prob{t}")
         cols.append(out)
     arr = F.array(*[F.col(c) for c in cols])

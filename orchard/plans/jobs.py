@@ -159,3 +159,18 @@ def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
                         max_rounds=rounds, fit_committee=True, num_trees=NUM_TREES, seed=SEED)
     return res.history.select("iteration", "n_labeled", "n_unlabeled",
                               F.round("accuracy", 6).alias("accuracy"))
+
+
+def lal_one_selection(spark: SparkSession, points: DataFrame, num_trees: int = 50) -> DataFrame:
+    """A single learned-gain selection: start with one labelled row per class,
+    fit a ``num_trees`` committee, build the state features of every
+    unlabelled row, predict their gain, pick the best.  Returns the pick."""
+    pool_points, _ = tables.train_test(points)
+    start = pool.start_one_per_class(pool_points, 2, SEED)
+    labeled = pool.fetch_labeled(pool_points, start, 2)
+    unlabeled = pool.fetch_unlabeled(pool_points, start, 2)
+    model = committee.fit_forest(labeled, num_trees, SEED)
+    standin = lal.gain_training_standin(committee.forest_votes(model, labeled, "lal-one-l"), labeled)
+    regressor = lal.fit_gain_regressor(standin, num_trees=NUM_TREES, seed=SEED)
+    state = lal.lal_state(committee.forest_votes(model, unlabeled, "lal-one-u"), labeled)
+    return lal.select_lal(state, regressor, 1)

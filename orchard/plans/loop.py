@@ -155,7 +155,8 @@ def static_sequence(scores: DataFrame, k: int, descending: bool = False) -> Data
     """
     from orchard.functions.columns import score_key
     from orchard.operators.ranking import index_rows
-    key = score_key("score")
+    numeric = dict(scores.dtypes)["score"] != "string"
+    key = score_key("score") if numeric else F.col("score")
     ranked = index_rows(scores.select("id", "score", key.alias("_key")),
                         [F.col("_key").desc() if descending else F.col("_key").asc(),
                          F.col("id").asc()], name="pos")

@@ -404,13 +404,20 @@ def q_loop_history_fixed_committee(spark, sf):
 
 
 def q_sequence_to_exhaustion(spark, sf):
-    pts = _points(spark, sf)
-    unl = _unlabeled(pts)
-    scores = unl.select("id", F.lit(None).cast("double").alias("score"),
-                        C.order_key("id", RANDOM_SEED).alias("key"))
-    ranked = ranking.index_rows(scores, [F.col("key"), F.col("id")], name="pos")
-    return ranked.select((F.floor(F.col("pos") / EXHAUST_K) + 1).cast("int").alias("iteration"),
-                         (F.col("pos") % EXHAUST_K + 1).cast("int").alias("rank"), "id")
+    """Random labelling of the whole pool, k at a time, down to a short last batch.
+
+    Random keys do not depend on the labelled set, so the loop collapses to
+    one distributed ranking (``loop.static_sequence``); the test suite checks
+    it against the round-by-round loop.
+    """
+    unl = _unlabeled(_points(spark, sf))
+    keys = unl.select("id", C.order_key("id", RANDOM_SEED).alias("score"))
+    return loop.static_sequence(keys, EXHAUST_K)
+
+
+def q_lal_one_selection(spark, sf):
+    """One LAL pick from a pool with two labelled rows (one per class)."""
+    return jobs.lal_one_selection(spark, _points(spark, sf))
 
 
 # ====================================================== forest (rows) ======
@@ -520,4 +527,5 @@ QUERIES: dict[str, Query] = {
     "loop_uncertain_forest": q_loop_uncertain_forest,
     "loop_density_forest": q_loop_density_forest,
     "loop_lal_forest": q_loop_lal_forest,
+    "lal_one_selection": q_lal_one_selection,
 }
