@@ -67,10 +67,14 @@ def l2_norm(arr) -> Column:
     return F.sqrt(sum_squares(arr))
 
 
-def unit_vector(arr) -> Column:
-    """x / ||x||; a zero vector stays a vector of zeros."""
-    norm = l2_norm(arr)
-    return F.transform(_col(arr), lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))
+def unit_vector(arr, norm=None) -> Column:
+    """x / ||x||; a zero vector stays a vector of zeros.
+
+    Pass ``norm`` as a column computed in an earlier projection: inside the
+    lambda an inline norm would be re-evaluated for every element (O(d^2)).
+    """
+    n = l2_norm(arr) if norm is None else _col(norm)
+    return F.transform(_col(arr), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n))
 
 
 def dot(a, b) -> Column:

@@ -1,13 +1,17 @@
 """Committee votes and per-row vote statistics.
 
-``votes(id, tree, vote)`` is the central intermediate table: one row per
-(unlabelled row, committee member), vote 0.0 or 1.0.  Members are either
-fixed stumps (SQL-expressible, used for oracle checks) or the trees of a
-Spark ML random forest.  Forest votes come from one ``transform`` pass: the
-forest's ``leafCol`` gives, per tree, the ordinal of the leaf a row falls in,
-and a join to the forest's leaf table turns ordinals into predictions.  The
-leaf table has at most ``numTrees * 2**maxDepth`` rows, a bound known before
-the job runs, so it is broadcast.
+Votes come in two layouts.  ``votes(id, tree, vote)`` is the long table, one
+row per (row, committee member), vote 0.0 or 1.0; its statistics need a
+group-by on id.  The per-row layout keeps the row and adds ``votes
+ARRAY<DOUBLE>``; its statistics are a projection, so scoring a pool needs no
+shuffle at all - the form the strategies use.
+
+Members are either fixed stumps (SQL-expressible, used for oracle checks) or
+the trees of a Spark ML random forest.  Forest votes come from one
+``transform`` pass: the forest's ``leafCol`` gives, per tree, the ordinal of
+the leaf a row falls in, and a lookup array built from the forest's leaf
+table turns ordinals into votes.  The leaf table has at most
+``numTrees * 2**maxDepth`` rows, a bound fixed by the forest parameters.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orchard.functions.columns import binary_sd, class0_share, half_entropy, margin
-from orchard.session import BROADCAST_ROW_LIMIT, scratch_path
+from orchard.session import scratch_path
 
 # Fixed values of the forest committee (old-API defaults made explicit).
 FOREST_MAX_DEPTH = 4
 FOREST_MAX_BINS = 32
 FOREST_IMPURITY = "gini"
 FOREST_SUBSET = "auto"
+# A labelled set up to this many rows is fitted from one ordered partition.
+SINGLE_PARTITION_FIT_ROWS = 100_000
 # Label metadata: two nominal classes, so a one-class labelled set still
 # trains a two-class forest.
 BINARY_LABEL_META = {"ml_attr": {"type": "nominal", "vals": ["0", "1"],
@@ -36,11 +42,22 @@ BINARY_LABEL_META = {"ml_attr": {"type": "nominal", "vals": ["0", "1"],
 
 # ----------------------------------------------------------- stumps -------
 
+def stump_vote_arrays(points: DataFrame, members: int = 10) -> DataFrame:
+    """All input columns plus ``votes``: member t (0-based) votes 1.0 when
+    feature t is > 0.  Narrow, no shuffle."""
+    votes = F.transform(F.slice("features", 1, members),
+                        lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return points.select("*", votes.alias("votes"))
+
+
+def explode_votes(arrays: DataFrame) -> DataFrame:
+    """The long ``votes(id, tree, vote)`` table from per-row vote arrays."""
+    ex = arrays.select("id", F.posexplode("votes").alias("tree", "vote"))
+    return ex.select("id", F.col("tree").cast("int").alias("tree"), "vote")
+
+
 def stump_votes(points: DataFrame, members: int = 10) -> DataFrame:
-    """Member t (0-based) votes 1.0 when feature t is > 0.  Narrow, no shuffle."""
-    exploded = points.select("id", F.posexplode(F.slice("features", 1, members)).alias("tree", "x"))
-    return exploded.select("id", F.col("tree").cast("int").alias("tree"),
-                           F.when(F.col("x") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("vote"))
+    return explode_votes(stump_vote_arrays(points.select("id", "features"), members))
 
 
 # ------------------------------------------------------- statistics -------
@@ -51,27 +68,40 @@ def vote_stats(votes: DataFrame) -> DataFrame:
     One hash aggregation keyed by id (partial + final), so no row's votes are
     ever collected into a list.
     """
-    agg = votes.groupBy("id").agg(F.count("vote").alias("n_votes"),
-                                  F.sum("vote").alias("sum_votes"))
-    return agg.select(
-        "id", "n_votes", "sum_votes",
-        (F.col("sum_votes") / F.col("n_votes")).alias("mean_vote"),
-        binary_sd("sum_votes", "n_votes").alias("sd_vote"),
-        class0_share("sum_votes", "n_votes").alias("p0"),
-    )
+    agg = votes.groupBy("id").agg(F.count("vote").alias("_n"), F.sum("vote").alias("_s"))
+    return agg.select("id", *_stat_cols(F.col("_n"), F.col("_s")))
+
+
+def _stat_cols(n, s):
+    return [n.alias("n_votes"), s.alias("sum_votes"), (s / n).alias("mean_vote"),
+            binary_sd(s, n).alias("sd_vote"), class0_share(s, n).alias("p0")]
+
+
+def row_vote_stats(arrays: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same statistics from per-row vote arrays: a projection, no shuffle."""
+    counted = arrays.select("id", *keep, F.size("votes").cast("bigint").alias("_n"),
+                            F.aggregate("votes", F.lit(0.0), lambda a, v: a + v).alias("_s"))
+    return counted.select("id", *keep, *_stat_cols(F.col("_n"), F.col("_s")))
+
+
+def stats_of(votes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Vote statistics of either vote layout (long table or per-row arrays)."""
+    if "votes" in votes.columns:
+        return row_vote_stats(votes, keep)
+    return vote_stats(votes)
 
 
 def margin_scores(votes: DataFrame) -> DataFrame:
-    return vote_stats(votes).select("id", margin("p0").alias("margin"))
+    return stats_of(votes).select("id", margin("p0").alias("margin"))
 
 
 def half_entropy_scores(votes: DataFrame) -> DataFrame:
-    return vote_stats(votes).select("id", half_entropy("p0").alias("half_entropy"))
+    return stats_of(votes).select("id", half_entropy("p0").alias("half_entropy"))
 
 
 def majority_vote(votes: DataFrame) -> DataFrame:
     """Hard majority of the committee; an exact tie goes to class 0."""
-    stats = vote_stats(votes)
+    stats = stats_of(votes)
     return stats.select("id", F.when(F.col("mean_vote") > 0.5, F.lit(1.0))
                         .otherwise(F.lit(0.0)).alias("prediction"))
 
@@ -85,13 +115,20 @@ def with_binary_label(points: DataFrame) -> DataFrame:
 
 
 def fit_forest(train: DataFrame, num_trees: int = 10, seed: int = 1,
-               max_depth: int = FOREST_MAX_DEPTH) -> RandomForestClassificationModel:
-    """Fit a forest classifier on a (small) labelled point table.
-
-    Rows are put in id order in one partition first: bootstrap samples depend
-    on row order, and the labelled set of an active-learning run is small.
+               max_depth: int = FOREST_MAX_DEPTH,
+               rows_bound: int | None = None) -> RandomForestClassificationModel:
+    """Fit a forest classifier on a labelled point table.
+
+    Bootstrap samples depend on row order, so rows are put in a fixed order
+    first: one id-sorted partition while the labelled set is known to be
+    small (``rows_bound``, the usual case in active learning), else a range
+    partitioning by id, which is just as repeatable and keeps training parallel.
     """
-    data = with_binary_label(train.orderBy("id").coalesce(1))
+    if rows_bound is not None and rows_bound <= SINGLE_PARTITION_FIT_ROWS:
+        ordered = train.orderBy("id").coalesce(1)
+    else:
+        ordered = train.repartitionByRange("id").sortWithinPartitions("id")
+    data = with_binary_label(ordered)
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=num_trees,
                                 maxDepth=max_depth, maxBins=FOREST_MAX_BINS,
                                 impurity=FOREST_IMPURITY, featureSubsetStrategy=FOREST_SUBSET,
@@ -120,17 +157,44 @@ def leaf_table(model: RandomForestClassificationModel, name: str) -> DataFrame:
     return leaves.select("tree", (F.row_number().over(ordinal) - 1).alias("leaf"), "vote")
 
 
+def leaf_lookup(leaves: DataFrame):
+    """Scalar subquery: ``lookup[tree][leaf] = vote`` as ARRAY<ARRAY<DOUBLE>>.
+
+    One row built from the leaf table, whose size is bounded by the forest
+    parameters (trees x 2^depth), never by the data.
+    """
+    per_tree = leaves.groupBy("tree").agg(
+        F.array_sort(F.collect_list(F.struct("leaf", "vote"))).alias("lv"))
+    table = per_tree.select(F.transform(F.array_sort(F.collect_list(F.struct("tree", "lv"))),
+                                        lambda e: F.transform(e["lv"], lambda x: x["vote"]))
+                            .alias("lookup"))
+    return table.select("lookup").scalar()
+
+
+def forest_vote_arrays(model: RandomForestClassificationModel, points: DataFrame,
+                       name: str = "committee") -> DataFrame:
+    """All input columns plus ``votes``: every tree's vote, in one scan.
+
+    The forest only computes leaf ordinals (prediction, probability and raw
+    columns are switched off); leaf ordinals become votes through the lookup
+    array, inside the same projection - no join, no shuffle.
+    """
+    leaves = leaf_table(model, name)
+    m = model.copy()
+    m.setFeaturesCol("_fv").setLeafCol("_leaf").setPredictionCol("")
+    m.setRawPredictionCol("").setProbabilityCol("")
+    leafed = m.transform(points.select("*", array_to_vector("features").alias("_fv")))
+    with_lookup = leafed.select(*points.columns, vector_to_array("_leaf").alias("_leaf"),
+                                leaf_lookup(leaves).alias("_lookup"))
+    votes = F.transform("_leaf", lambda leaf, t: F.element_at(F.element_at("_lookup", t + 1),
+                                                               leaf.cast("int") + 1))
+    return with_lookup.select(*points.columns, votes.alias("votes"))
+
+
 def forest_votes(model: RandomForestClassificationModel, points: DataFrame,
                  name: str = "committee") -> DataFrame:
     """votes(id, tree, vote) of every tree for every row, in one scan."""
-    leaves = leaf_table(model, name)
-    bound = model.getNumTrees * (2 ** (model.getOrDefault("maxDepth")))
-    leafed = model.transform(points.select("id", array_to_vector("features").alias("fv")))
-    per_tree = leafed.select("id", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
-    per_tree = per_tree.select("id", F.col("tree").cast("int").alias("tree"),
-                               F.col("leaf").cast("int").alias("leaf"))
-    side = F.broadcast(leaves) if bound <= BROADCAST_ROW_LIMIT else leaves
-    return per_tree.join(side, ["tree", "leaf"]).select("id", "tree", "vote")
+    return explode_votes(forest_vote_arrays(model, points.select("id", "features"), name))
 
 
 def forest_votes_by_tree(model: RandomForestClassificationModel, points: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.operators.committee import vote_stats
+from orchard.operators.committee import stats_of
 from orchard.operators.select import select_by_prediction
 
 STATE_COLS = ("f1", "f2", "f3", "f6", "f8")
@@ -33,8 +33,8 @@ LINEAR_GAIN = {"f1": 0.5, "f2": 2.0, "f3": -0.25, "f6": 1.0, "f8": 0.001}
 
 
 def lal_state(votes: DataFrame, labeled_points: DataFrame) -> DataFrame:
-    stats = vote_stats(votes).select("id", F.col("mean_vote").alias("f1"),
-                                     F.coalesce(F.col("sd_vote"), F.lit(0.0)).alias("f2"))
+    stats = stats_of(votes).select("id", F.col("mean_vote").alias("f1"),
+                                   F.coalesce(F.col("sd_vote"), F.lit(0.0)).alias("f2"))
     f3 = labeled_points.select(F.avg(F.col("label").cast("double"))).scalar()
     f8 = labeled_points.select(F.count(F.lit(1))).scalar()
     f6 = stats.select(F.avg("f2")).scalar()
@@ -79,7 +79,7 @@ def fit_gain_regressor(train: DataFrame, num_trees: int = 100, seed: int = 1,
         except Exception:  # noqa: BLE001 - absent or unreadable: train anew
             pass
     data = _assembled_with_target(train)
-    rf =RandomForestRegressor(featuresCol="sv", labelCol="gain", numTrees=num_trees,
+    rf = RandomForestRegressor(featuresCol="sv", labelCol="gain", numTrees=num_trees,
                                maxDepth=max_depth, seed=seed)
     model = rf.fit(data)
     if model_path:

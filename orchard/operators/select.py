@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orchard.functions.columns import (half_entropy, margin, order_key, score_key)
-from orchard.operators.committee import vote_stats
+from orchard.operators.committee import stats_of
+from orchard.operators.similarity import density_from_total
 from orchard.session import BROADCAST_ROW_LIMIT
 
 
@@ -41,7 +42,7 @@ def select_random(unlabeled: DataFrame, k: int, seed: int) -> DataFrame:
 
 def uncertainty_scores(votes: DataFrame) -> DataFrame:
     """scores(id, score) with score = |0.5 - p0|; smaller is more uncertain."""
-    return vote_stats(votes).select("id", margin("p0").alias("score"))
+    return stats_of(votes).select("id", margin("p0").alias("score"))
 
 
 def select_uncertain(votes: DataFrame, k: int) -> DataFrame:
@@ -49,9 +50,20 @@ def select_uncertain(votes: DataFrame, k: int) -> DataFrame:
 
 
 def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0) -> DataFrame:
-    """score = half_entropy(p0) * density ** beta (missing density -> 0)."""
-    stats = vote_stats(votes).select("id", half_entropy("p0").alias("u"))
-    joined = stats.join(density.select("id", "density"), "id", "left")
+    """score = half_entropy(p0) * density ** beta (missing density -> 0).
+
+    ``density`` is either a table ``(id, density)`` (joined on id) or the
+    one-row reference sum vector ``(total)`` of ``similarity.reference_total``;
+    then ``votes`` must be per-row vote arrays that still carry ``features``,
+    and density is computed in the same projection as the votes: no join.
+    """
+    if "total" in density.columns:
+        framed = density_from_total(votes, density)
+        joined = stats_of(framed, keep=("density",)).select(
+            "id", half_entropy("p0").alias("u"), "density")
+    else:
+        stats = stats_of(votes).select("id", half_entropy("p0").alias("u"))
+        joined = stats.join(density.select("id", "density"), "id", "left")
     d = F.coalesce(F.col("density"), F.lit(0.0))
     weight = d if beta == 1.0 else F.pow(d, F.lit(float(beta)))
     return joined.select("id", (F.col("u") * weight).alias("score"))

@@ -182,7 +182,9 @@ def _dense_rows(triples: DataFrame, width_col) -> DataFrame:
 # ---------------------------------------------------------- cosine --------
 
 def unit_rows(points: DataFrame, vec: str = "features") -> DataFrame:
-    return points.select("id", unit_vector(vec).alias("features"))
+    """(id, features / ||features||): the norm is its own projection, O(d) per row."""
+    normed = points.select("id", F.col(vec).alias("_v"), l2_norm(vec).alias("_norm"))
+    return normed.select("id", unit_vector("_v", "_norm").alias("features"))
 
 
 def cosine_full(points: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
@@ -232,6 +234,37 @@ def sum_vector(points: DataFrame, vec: str = "features") -> DataFrame:
                                       lambda e: e["s"]).alias("total"))
 
 
+def reference_total(reference: DataFrame, vec: str = "features") -> DataFrame:
+    """One row ``(total, n_ref)``: sum of the unit vectors of the reference set."""
+    units = unit_rows(reference.select("id", F.col(vec).alias("features")))
+    tot = sum_vector(units)
+    n_ref = reference.select(F.count(F.lit(1))).scalar()
+    return tot.select("total", n_ref.alias("n_ref"))
+
+
+def density_from_total(frame: DataFrame, total: DataFrame, include_self: bool = True,
+                       reference: DataFrame | None = None, mean: bool = False,
+                       vec: str = "features") -> DataFrame:
+    """``frame`` plus ``density`` = u_i . total, one projection, O(d) per row.
+
+    The one-row total enters as a scalar subquery column (no join, no
+    collect).  ``include_self=False`` drops the 1.0 a row contributes to its
+    own density when it is in ``reference`` (that needs one join on id).
+    """
+    normed = frame.select("*", l2_norm(vec).alias("_norm"),
+                          total.select("total").scalar().alias("_total"))
+    units = unit_vector(vec, "_norm")
+    dens = normed.select("*", F.coalesce(dot(units, "_total"), F.lit(0.0)).alias("_d"))
+    if not include_self:
+        ref = (reference if reference is not None else frame).select(
+            "id", F.lit(True).alias("_in_ref"))
+        dens = dens.join(ref, "id", "left").withColumn(
+            "_d", F.col("_d") - F.when(F.col("_in_ref") & (F.col("_norm") > 0), 1.0).otherwise(0.0))
+    if mean:
+        dens = dens.withColumn("_d", F.col("_d") / total.select("n_ref").scalar())
+    return dens.select(*frame.columns, F.col("_d").alias("density"))
+
+
 def density_linear(points: DataFrame, reference: DataFrame | None = None,
                    include_self: bool = True, mean: bool = False) -> DataFrame:
     """density(i) = sum over j in reference of cos(i, j), in O(n * d).
@@ -239,21 +272,7 @@ def density_linear(points: DataFrame, reference: DataFrame | None = None,
     ``reference`` is a point table (default: all of ``points``).  With
     ``include_self=False`` a row that is in the reference drops its own 1.0.
     """
-    units = unit_rows(points)
-    ref = units if reference is None else unit_rows(reference)
-    total = sum_vector(ref).select("total").scalar()
-    # the one-row total enters as a scalar subquery column; the per-row dot
-    # product then reads it like any other column (no join, no collect)
-    with_total = units.select("id", "features", total.alias("total"))
-    dens = with_total.select("id", "features",
-                             F.coalesce(dot("features", "total"), F.lit(0.0)).alias("d"))
-    if not include_self:
-        in_ref = ref.select("id", F.lit(True).alias("in_ref"))
-        dens = dens.join(in_ref, "id", "left").select(
-            "id", "features",
-            (F.col("d") - F.when(F.col("in_ref") & (l2_norm("features") > 0), 1.0)
-             .otherwise(0.0)).alias("d"))
-    if mean:
-        n_ref = ref.select(F.count(F.lit(1))).scalar()
-        dens = dens.select("id", "features", (F.col("d") / n_ref).alias("d"))
-    return dens.select("id", F.col("d").alias("density"))
+    ref = points if reference is None else reference
+    total = reference_total(ref)
+    out = density_from_total(points.select("id", "features"), total, include_self, ref, mean)
+    return out.select("id", "density")

@@ -143,12 +143,12 @@ def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
         strat = loop.uncertainty_strategy()
     elif kind == "density":
         reference = pool.fetch_unlabeled(pool_points, start, LOOP_START)
-        dens = cut_lineage(similarity.density_linear(pool_points, reference=reference))
-        strat = loop.density_strategy(dens)
+        total = cut_lineage(similarity.reference_total(reference))
+        strat = loop.density_strategy(total)
     elif kind == "lal":
         labeled = pool.fetch_labeled(pool_points, start, LOOP_START)
         model = committee.fit_forest(labeled, NUM_TREES, SEED)
-        votes = committee.forest_votes(model, labeled, name="lal-standin")
+        votes = committee.forest_vote_arrays(model, labeled, name="lal-standin")
         standin = cut_lineage(lal.gain_training_standin(votes, labeled))
         regressor = lal.fit_gain_regressor(standin, num_trees=NUM_TREES, seed=SEED)
         strat = loop.lal_strategy(regressor)
@@ -170,7 +170,8 @@ def lal_one_selection(spark: SparkSession, points: DataFrame, num_trees: int = 5
     labeled = pool.fetch_labeled(pool_points, start, 2)
     unlabeled = pool.fetch_unlabeled(pool_points, start, 2)
     model = committee.fit_forest(labeled, num_trees, SEED)
-    standin = lal.gain_training_standin(committee.forest_votes(model, labeled, "lal-one-l"), labeled)
+    standin = lal.gain_training_standin(committee.forest_vote_arrays(model, labeled, "lal-one-l"),
+                                        labeled)
     regressor = lal.fit_gain_regressor(standin, num_trees=NUM_TREES, seed=SEED)
-    state = lal.lal_state(committee.forest_votes(model, unlabeled, "lal-one-u"), labeled)
+    state = lal.lal_state(committee.forest_vote_arrays(model, unlabeled, "lal-one-u"), labeled)
     return lal.select_lal(state, regressor, 1)

@@ -72,7 +72,7 @@ def random_strategy(seed: int) -> Strategy:
 def committee_votes(ctx: RoundContext, members: Callable[[DataFrame], DataFrame] | None):
     if members is not None:
         return members(ctx.unlabeled)
-    return committee.forest_votes(ctx.model, ctx.unlabeled, name=f"round{ctx.iteration}")
+    return committee.forest_vote_arrays(ctx.model, ctx.unlabeled, name=f"round{ctx.iteration}")
 
 
 def uncertainty_strategy(members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:
@@ -82,6 +82,9 @@ def uncertainty_strategy(members: Callable[[DataFrame], DataFrame] | None = None
 
 def density_strategy(density: DataFrame, beta: float = 1.0,
                      members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:
+    """``density``: the one-row reference total (computed once, density then
+    costs one dot product per row inside the scoring projection) or an
+    ``(id, density)`` table."""
     return lambda ctx: select_density(committee_votes(ctx, members), density, ctx.k, beta)
 
 
@@ -121,7 +124,8 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
         n_unlabeled = unlabeled.count()
         model, acc = None, None
         if fit_committee and n_labeled > 0:
-            model = committee.fit_forest(labeled_points, num_trees=num_trees, seed=seed)
+            model = committee.fit_forest(labeled_points, num_trees=num_trees, seed=seed,
+                                         rows_bound=bound)
             if test is not None:
                 acc = forest_accuracy(model, test, f"eval{iteration}")
         done = n_unlabeled == 0 or (max_rounds is not None and iteration > max_rounds)
@@ -141,8 +145,9 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
 
 def forest_accuracy(model, test: DataFrame, name: str) -> float:
     """Accuracy of the committee's hard majority vote on the test table."""
-    votes = committee.forest_votes(model, test, name=name)
-    pred = committee.majority_vote(votes).join(test.select("id", "label"), "id")
+    votes = committee.forest_vote_arrays(model, test.select("id", "features", "label"), name=name)
+    pred = committee.stats_of(votes, keep=("label",)).select(
+        "label", F.when(F.col("mean_vote") > 0.5, 1.0).otherwise(0.0).alias("prediction"))
     row = pred.select(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()
     return float(row[0]) if row[0] is not None else None
 

@@ -258,7 +258,8 @@ def _batch_out(b):
 
 def q_select_uncertain(spark, sf):
     pts = _points(spark, sf)
-    return _batch_out(select.select_uncertain(_stumps(_unlabeled(pts)), SELECT_K))
+    arrays = committee.stump_vote_arrays(_unlabeled(pts), STUMPS)
+    return _batch_out(select.select_uncertain(arrays, SELECT_K))
 
 
 # ======================================================== similarity ======
@@ -318,8 +319,9 @@ def q_density_row_sums(spark, sf):
 def q_select_density(spark, sf):
     pts = _points(spark, sf)
     unl = _unlabeled(pts)
-    dens = similarity.density_linear(pts, reference=unl)
-    return _batch_out(select.select_density(_stumps(unl), dens, SELECT_K, beta=1.0))
+    total = similarity.reference_total(unl)
+    arrays = committee.stump_vote_arrays(unl, STUMPS)
+    return _batch_out(select.select_density(arrays, total, SELECT_K, beta=1.0))
 
 
 def q_vector_sum(spark, sf):
@@ -331,7 +333,7 @@ def q_vector_sum(spark, sf):
 # =============================================================== LAL ======
 
 def _lal_state(pts):
-    return lal.lal_state(_stumps(_unlabeled(pts)), _labeled(pts))
+    return lal.lal_state(committee.stump_vote_arrays(_unlabeled(pts), STUMPS), _labeled(pts))
 
 
 def q_lal_state(spark, sf):
@@ -391,14 +393,14 @@ def q_loop_random(spark, sf):
 
 def q_loop_uncertain_fixed_committee(spark, sf):
     pts = _points(spark, sf)
-    strat = loop.uncertainty_strategy(members=lambda u: committee.stump_votes(u, STUMPS))
+    strat = loop.uncertainty_strategy(members=lambda u: committee.stump_vote_arrays(u, STUMPS))
     res = loop.run_loop(spark, pts, _start(pts), START_K, strat, BATCH_K, max_rounds=ROUNDS)
     return res.batches
 
 
 def q_loop_history_fixed_committee(spark, sf):
     pts = _points(spark, sf)
-    strat = loop.uncertainty_strategy(members=lambda u: committee.stump_votes(u, STUMPS))
+    strat = loop.uncertainty_strategy(members=lambda u: committee.stump_vote_arrays(u, STUMPS))
     res = loop.run_loop(spark, pts, _start(pts), START_K, strat, BATCH_K, max_rounds=ROUNDS)
     return res.history.select("iteration", "n_labeled", "n_unlabeled")
 
