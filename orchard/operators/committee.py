@@ -143,9 +143,11 @@ def leaf_table(model: RandomForestClassificationModel, name: str) -> DataFrame:
     Parquet with one row per node.  Leaf ordinals follow node ids, which are
     assigned in pre-order, the order ``leafCol`` numbers leaves in.
     """
-    spark = model.sparkSession if hasattr(model, "sparkSession") else None
+    cached = getattr(model, "_orchard_leaf_table", None)
+    if cached is not None:
+        return cached
     from pyspark.sql import SparkSession
-    spark = spark or SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     path = scratch_path(spark, f"forest-{name}-{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -154,7 +156,9 @@ def leaf_table(model: RandomForestClassificationModel, name: str) -> DataFrame:
         F.col("nodeData.id").alias("node"),
         F.col("nodeData.prediction").alias("vote"))
     ordinal = Window.partitionBy("tree").orderBy("node")
-    return leaves.select("tree", (F.row_number().over(ordinal) - 1).alias("leaf"), "vote")
+    table = leaves.select("tree", (F.row_number().over(ordinal) - 1).alias("leaf"), "vote")
+    model._orchard_leaf_table = table  # one save per fitted model
+    return table
 
 
 def leaf_lookup(leaves: DataFrame):

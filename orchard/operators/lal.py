@@ -32,13 +32,15 @@ TRAIN_FILE_COLUMNS = (0, 1, 2, 5, 7)
 LINEAR_GAIN = {"f1": 0.5, "f2": 2.0, "f3": -0.25, "f6": 1.0, "f8": 0.001}
 
 
-def lal_state(votes: DataFrame, labeled_points: DataFrame) -> DataFrame:
-    stats = stats_of(votes).select("id", F.col("mean_vote").alias("f1"),
-                                   F.coalesce(F.col("sd_vote"), F.lit(0.0)).alias("f2"))
+def lal_state(votes: DataFrame, labeled_points: DataFrame,
+              carry: tuple[str, ...] = ()) -> DataFrame:
+    stats = stats_of(votes, keep=carry).select(
+        "id", F.col("mean_vote").alias("f1"),
+        F.coalesce(F.col("sd_vote"), F.lit(0.0)).alias("f2"), *carry)
     f3 = labeled_points.select(F.avg(F.col("label").cast("double"))).scalar()
     f8 = labeled_points.select(F.count(F.lit(1))).scalar()
     f6 = stats.select(F.avg("f2")).scalar()
-    return stats.select("id", "f1", "f2", f3.alias("f3"), f6.alias("f6"), f8.alias("f8"))
+    return stats.select("id", "f1", "f2", f3.alias("f3"), f6.alias("f6"), f8.alias("f8"), *carry)
 
 
 def linear_gain(state: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -52,18 +54,20 @@ def select_lal_linear(state: DataFrame, k: int = 1,
     return select_by_prediction(linear_gain(state, weights), k)
 
 
-def _assembled(state: DataFrame) -> DataFrame:
-    cast = state.select("id", *[F.col(c).cast("double").alias(c) for c in STATE_COLS])
+def _assembled(state: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    cast = state.select("id", *[F.col(c).cast("double").alias(c) for c in STATE_COLS], *carry)
     return VectorAssembler(inputCols=list(STATE_COLS), outputCol="sv").transform(cast)
 
 
-def predict_gain(state: DataFrame, model: RandomForestRegressionModel) -> DataFrame:
+def predict_gain(state: DataFrame, model: RandomForestRegressionModel,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
     model = model.copy().setFeaturesCol("sv").setPredictionCol("prediction")
-    return model.transform(_assembled(state)).select("id", "prediction")
+    return model.transform(_assembled(state, carry)).select("id", "prediction", *carry)
 
 
-def select_lal(state: DataFrame, model: RandomForestRegressionModel, k: int = 1) -> DataFrame:
-    return select_by_prediction(predict_gain(state, model), k)
+def select_lal(state: DataFrame, model: RandomForestRegressionModel, k: int = 1,
+               carry: tuple[str, ...] = ()) -> DataFrame:
+    return select_by_prediction(predict_gain(state, model, carry), k, carry=carry)
 
 
 def fit_gain_regressor(train: DataFrame, num_trees: int = 100, seed: int = 1,

@@ -21,35 +21,42 @@ from orchard.session import BROADCAST_ROW_LIMIT
 
 
 def top_k(scores: DataFrame, k: int, descending: bool = False,
-          key_col: str = "score") -> DataFrame:
-    """Best k rows of ``scores(id, score)``; rank 1 is the best."""
+          key_col: str = "score", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Best k rows of ``scores(id, score, *carry)``; rank 1 is the best.
+
+    ``carry`` columns (e.g. features, label) ride along with the k winners,
+    so a caller needs no second pass over the pool to fetch them.
+    """
     key = score_key(key_col)
     order = [key.desc() if descending else key.asc(), F.col("id").asc()]
-    best = scores.select("id", F.col(key_col).alias("score")).orderBy(*order).limit(k)
+    best = scores.select("id", F.col(key_col).alias("score"), *carry).orderBy(*order).limit(k)
     # the window runs over at most k rows (after the limit)
     rank = F.row_number().over(Window.orderBy(*[
         (score_key("score").desc() if descending else score_key("score").asc()), F.col("id")]))
-    return best.select(rank.cast("int").alias("rank"), "id", "score")
+    return best.select(rank.cast("int").alias("rank"), "id", "score", *carry)
 
 
-def select_random(unlabeled: DataFrame, k: int, seed: int) -> DataFrame:
+def select_random(unlabeled: DataFrame, k: int, seed: int,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """Seeded random k: the k smallest md5(id:seed) keys."""
-    keyed = unlabeled.select("id", order_key("id", seed).alias("key"))
+    keyed = unlabeled.select("id", order_key("id", seed).alias("key"), *carry)
     best = keyed.orderBy("key", "id").limit(k)
     rank = F.row_number().over(Window.orderBy("key", "id"))
-    return best.select(rank.cast("int").alias("rank"), "id", F.lit(None).cast("double").alias("score"))
+    return best.select(rank.cast("int").alias("rank"), "id",
+                       F.lit(None).cast("double").alias("score"), *carry)
 
 
-def uncertainty_scores(votes: DataFrame) -> DataFrame:
+def uncertainty_scores(votes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """scores(id, score) with score = |0.5 - p0|; smaller is more uncertain."""
-    return stats_of(votes).select("id", margin("p0").alias("score"))
+    return stats_of(votes, keep=carry).select("id", margin("p0").alias("score"), *carry)
 
 
-def select_uncertain(votes: DataFrame, k: int) -> DataFrame:
-    return top_k(uncertainty_scores(votes), k, descending=False)
+def select_uncertain(votes: DataFrame, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    return top_k(uncertainty_scores(votes, carry), k, descending=False, carry=carry)
 
 
-def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0) -> DataFrame:
+def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """score = half_entropy(p0) * density ** beta (missing density -> 0).
 
     ``density`` is either a table ``(id, density)`` (joined on id) or the
@@ -59,24 +66,26 @@ def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0) -> D
     """
     if "total" in density.columns:
         framed = density_from_total(votes, density)
-        joined = stats_of(framed, keep=("density",)).select(
-            "id", half_entropy("p0").alias("u"), "density")
+        joined = stats_of(framed, keep=("density", *carry)).select(
+            "id", half_entropy("p0").alias("u"), "density", *carry)
     else:
-        stats = stats_of(votes).select("id", half_entropy("p0").alias("u"))
+        stats = stats_of(votes, keep=carry).select("id", half_entropy("p0").alias("u"), *carry)
         joined = stats.join(density.select("id", "density"), "id", "left")
     d = F.coalesce(F.col("density"), F.lit(0.0))
     weight = d if beta == 1.0 else F.pow(d, F.lit(float(beta)))
-    return joined.select("id", (F.col("u") * weight).alias("score"))
+    return joined.select("id", (F.col("u") * weight).alias("score"), *carry)
 
 
-def select_density(votes: DataFrame, density: DataFrame, k: int, beta: float = 1.0) -> DataFrame:
-    return top_k(density_scores(votes, density, beta), k, descending=True)
+def select_density(votes: DataFrame, density: DataFrame, k: int, beta: float = 1.0,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
+    return top_k(density_scores(votes, density, beta, carry), k, descending=True, carry=carry)
 
 
-def select_by_prediction(predicted: DataFrame, k: int = 1,
-                         prediction_col: str = "prediction") -> DataFrame:
+def select_by_prediction(predicted: DataFrame, k: int = 1, prediction_col: str = "prediction",
+                         carry: tuple[str, ...] = ()) -> DataFrame:
     """Largest predicted gain first (argmax for k = 1), ties by id."""
-    return top_k(predicted.select("id", F.col(prediction_col).alias("score")), k, descending=True)
+    scores = predicted.select("id", F.col(prediction_col).alias("score"), *carry)
+    return top_k(scores, k, descending=True, carry=carry)
 
 
 def bounded(df: DataFrame, bound: int) -> DataFrame:

@@ -3,14 +3,15 @@
 Each round, on the driver, is a handful of Spark jobs over DataFrames; only
 scalar metrics come back (counts, accuracy).  Per round:
 
-1. fetch the labelled / unlabelled rows (semi / anti join against the small
-   labelled table, broadcast while its known bound allows);
+1. take the unlabelled rows (anti join against the small labelled table,
+   broadcast while its known bound allows); the labelled rows, with their
+   features, are the labelled table itself;
 2. fit the committee on the labelled rows (if the strategy needs one) and
    score the test table;
 3. let the strategy pick a batch of k ids (top-k, never a full sort);
-4. append the batch to the labelled table and checkpoint it into the shared
-   checkpoint folder, so lineage stays one round long and the state survives
-   executor loss.
+4. append the batch (with its rank, features and labels) to the labelled
+   table and checkpoint that into the shared checkpoint folder, so lineage
+   stays one round long and the state survives executor loss.
 
 The loop ends when the pool is empty or after ``max_rounds`` rounds.
 """
@@ -37,7 +38,6 @@ HISTORY_SCHEMA = T.StructType([
     T.StructField("accuracy", T.DoubleType()),
     T.StructField("seconds", T.DoubleType()),
 ])
-BATCH_SCHEMA = "iteration INT, rank INT, id BIGINT"
 
 
 @dataclass
@@ -64,12 +64,20 @@ class LoopResult:
 
 
 # ---------------------------------------------------------- strategies ----
+# Columns of a chosen row that travel with it into the labelled table.
+CARRY = ("features", "label")
+
 
 def random_strategy(seed: int) -> Strategy:
-    return lambda ctx: select_random(ctx.unlabeled, ctx.k, seed)
+    return lambda ctx: select_random(ctx.unlabeled, ctx.k, seed, carry=CARRY)
 
 
 def committee_votes(ctx: RoundContext, members: Callable[[DataFrame], DataFrame] | None):
+    """Per-row vote arrays of the unlabelled rows (all their columns kept).
+
+    ``members`` gives a fixed committee (it must return per-row ``votes``
+    arrays and keep the input columns); otherwise the round's forest votes.
+    """
     if members is not None:
         return members(ctx.unlabeled)
     return committee.forest_vote_arrays(ctx.model, ctx.unlabeled, name=f"round{ctx.iteration}")
@@ -77,7 +85,7 @@ def committee_votes(ctx: RoundContext, members: Callable[[DataFrame], DataFrame]
 
 def uncertainty_strategy(members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:
     """Most uncertain first; ``members`` gives fixed committee votes, else the round's forest."""
-    return lambda ctx: select_uncertain(committee_votes(ctx, members), ctx.k)
+    return lambda ctx: select_uncertain(committee_votes(ctx, members), ctx.k, carry=CARRY)
 
 
 def density_strategy(density: DataFrame, beta: float = 1.0,
@@ -85,15 +93,16 @@ def density_strategy(density: DataFrame, beta: float = 1.0,
     """``density``: the one-row reference total (computed once, density then
     costs one dot product per row inside the scoring projection) or an
     ``(id, density)`` table."""
-    return lambda ctx: select_density(committee_votes(ctx, members), density, ctx.k, beta)
+    return lambda ctx: select_density(committee_votes(ctx, members), density, ctx.k, beta,
+                                      carry=CARRY)
 
 
 def lal_strategy(regressor, members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:
     from orchard.operators.lal import lal_state, predict_gain
 
     def pick(ctx: RoundContext) -> DataFrame:
-        state = lal_state(committee_votes(ctx, members), ctx.labeled_points)
-        return select_by_prediction(predict_gain(state, regressor), ctx.k)
+        state = lal_state(committee_votes(ctx, members), ctx.labeled_points, carry=CARRY)
+        return select_by_prediction(predict_gain(state, regressor, CARRY), ctx.k, carry=CARRY)
     return pick
 
 
@@ -105,23 +114,27 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
              num_trees: int = 10, seed: int = 1) -> LoopResult:
     """Run rounds until the pool is empty or ``max_rounds`` batches were taken.
 
-    ``start`` is a labelled table ``(id, labeled_at=0)`` with at most
-    ``start_bound`` rows.  History rows describe the state at the start of a
-    round (before its batch), as the accuracy is that of the model trained on
-    it.  Accuracy is NULL when no committee is fitted.
+    ``points`` is the pool ``(id, features, label)``; ``start`` a labelled
+    table ``(id, labeled_at=0)`` of at most ``start_bound`` rows, all in the
+    pool.  The labelled table keeps the features and labels of its rows (the
+    winners of each top-k bring them along), so a round reads the pool once,
+    to score it.  History rows describe the state at the start of a round
+    (before its batch); accuracy is NULL when no committee is fitted.
     """
-    labeled = cut_lineage(start.select("id", F.col("labeled_at").cast("int")))
     bound = start_bound
-    batches = spark.createDataFrame([], BATCH_SCHEMA)
+    n_pool = points.count()
+    start_rows = points.join(pool._side(start.select("id", "labeled_at"), bound), "id")
+    labeled = cut_lineage(start_rows.select("id", F.col("labeled_at").cast("int"),
+                                            F.lit(None).cast("int").alias("rank"), *CARRY))
     history = []
     iteration = 0
     while True:
         t0 = time.time()
         iteration += 1
-        labeled_points = pool.fetch_labeled(points, labeled, bound)
+        labeled_points = labeled.select("id", *CARRY)
         unlabeled = pool.fetch_unlabeled(points, labeled, bound)
         n_labeled = labeled.count()
-        n_unlabeled = unlabeled.count()
+        n_unlabeled = n_pool - n_labeled
         model, acc = None, None
         if fit_committee and n_labeled > 0:
             model = committee.fit_forest(labeled_points, num_trees=num_trees, seed=seed,
@@ -133,14 +146,16 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
             history.append((iteration, n_labeled, n_unlabeled, acc, time.time() - t0))
             break
         ctx = RoundContext(iteration, k, points, labeled, bound, unlabeled, labeled_points, model)
-        batch = strategy(ctx).select(F.lit(iteration).alias("iteration"), "rank", "id")
-        batch = cut_lineage(batch)
-        labeled = cut_lineage(pool.apply_batch(labeled, batch, iteration))
-        batches = cut_lineage(batches.unionByName(batch))
+        batch = strategy(ctx).select("id", F.lit(iteration).alias("labeled_at"), "rank", *CARRY)
+        # one checkpoint per round: the grown labelled table (the batch is
+        # computed once, while it is written)
+        labeled = cut_lineage(labeled.unionByName(batch))
         bound += k
         history.append((iteration, n_labeled, n_unlabeled, acc, time.time() - t0))
     hist = spark.createDataFrame(history, HISTORY_SCHEMA)
-    return LoopResult(hist, batches, labeled)
+    batches = labeled.where(F.col("labeled_at") > 0).select(
+        F.col("labeled_at").alias("iteration"), "rank", "id")
+    return LoopResult(hist, batches, labeled.select("id", "labeled_at"))
 
 
 def forest_accuracy(model, test: DataFrame, name: str) -> float:
