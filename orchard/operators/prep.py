@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orchard.functions.columns import (WHITESPACE, hash_bucket, order_key, split_fixed,
                                        strip_quotes, to_double_array, tokens)
 from orchard.operators.ranking import index_rows
+from orchard.session import BROADCAST_ROW_LIMIT
 
 # Fixed values of the hash split: buckets per unit of weight.
 SPLIT_BUCKETS = 10000
@@ -95,8 +96,8 @@ def standard_scale(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
 def shared_label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
     """One dictionary over all ``cols``: codes 0.. ordered by (first column a
     value occurs in, value).  The dictionary is built by a distributed ranking
-    and joined back; its size is the number of distinct values, so the join
-    strategy is left to the planner (AQE broadcasts it when it is small)."""
+    and joined back; its size is the number of distinct values, so it is
+    broadcast only after its row count was checked, else shuffle-joined."""
     stacked = None
     for i, c in enumerate(cols):
         part = df.select(F.lit(i).alias("c"), F.col(c).cast("string").alias("value")) \
@@ -104,6 +105,10 @@ def shared_label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code
         stacked = part if stacked is None else stacked.unionByName(part)
     firsts = stacked.groupBy("value").agg(F.min("c").alias("c"))
     dictionary = index_rows(firsts, [F.col("c"), F.col("value")], name="code")
+    # the dictionary is checkpointed by index_rows, so counting it is cheap;
+    # broadcast it only when that count is under the limit
+    if dictionary.count() <= BROADCAST_ROW_LIMIT:
+        dictionary = F.broadcast(dictionary)
     out = df
     for c in cols:
         d = dictionary.select(F.col("value").alias(f"_{c}_v"), F.col("code").alias(f"{c}{suffix}"))

@@ -235,9 +235,17 @@ def sum_vector(points: DataFrame, vec: str = "features") -> DataFrame:
 
 
 def reference_total(reference: DataFrame, vec: str = "features") -> DataFrame:
-    """One row ``(total, n_ref)``: sum of the unit vectors of the reference set."""
-    units = unit_rows(reference.select("id", F.col(vec).alias("features")))
-    tot = sum_vector(units)
+    """One row ``(total, n_ref)``: sum of the unit vectors of the reference set.
+
+    Entries are exploded raw and divided by the row's norm afterwards, so
+    the unit vector is never materialised as an array.
+    """
+    normed = reference.select(F.col(vec).alias("_v"), l2_norm(vec).alias("_norm"))
+    entries = normed.select(F.posexplode("_v").alias("dim", "x"), "_norm")
+    unit = F.when(F.col("_norm") == 0, F.lit(0.0)).otherwise(F.col("x") / F.col("_norm"))
+    per_dim = entries.groupBy("dim").agg(F.sum(unit).alias("s"))
+    tot = per_dim.select(F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))),
+                                     lambda e: e["s"]).alias("total"))
     n_ref = reference.select(F.count(F.lit(1))).scalar()
     return tot.select("total", n_ref.alias("n_ref"))
 

@@ -81,3 +81,16 @@ def test_history_sink_and_model_load_or_train(spark, tmp_path):
     m1 = lal.fit_gain_regressor(train, num_trees=3, seed=1, model_path=path)
     m2 = models.load_or_train(path, RandomForestRegressionModel.load, lambda: pytest.fail("retrained"))
     assert m1.getNumTrees == m2.getNumTrees == 3
+
+
+def test_scan_order_ids_are_consecutive_across_partitions(spark, tmp_path):
+    p = tmp_path / "many.txt"
+    p.write_text("".join(f"{i} {i % 2}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        pts = text.read_labeled_text(spark, str(p), sep=" ")
+        rows = pts.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.id for r in rows) == list(range(5000))
+    assert all(r.features == [float(r.id)] for r in rows)
