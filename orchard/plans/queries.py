@@ -9,6 +9,7 @@ tests check their invariants instead.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from orchard.functions import columns as C
 from orchard.operators import committee, evaluate, lal, pool, prep, ranking, select, similarity
 from orchard.plans import jobs, loop
-from orchard.sources import tables
+from orchard.session import scratch_path
+from orchard.sources import tables, text
 
 # Fixed parameters of the registered queries.
 START_K = 10           # size of the first-k start set
@@ -186,6 +188,81 @@ def q_sorted_ints(spark, sf):
     return ranked.select("position", "value")
 
 
+# ======================================================== file round trips =
+# Data derived from the driver tables is written to the shared scratch folder
+# with the sinks and read back with the sources, so the loaders run on whole
+# tables.
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def _feature_sum(col="features"):
+    return _r(F.aggregate(col, F.lit(0.0), lambda a, x: a + x))
+
+
+def q_text_file_round_trip(spark, sf):
+    path = _scratch(spark, "points-text")
+    text.write_points_text(_points(spark, sf), path, sep=" ")
+    back = text.read_labeled_text(spark, path)
+    return back.select(F.size("features").alias("n_features"), "label",
+                       _feature_sum().alias("feature_sum"))
+
+
+def q_csv_file_round_trip(spark, sf):
+    orders = tables.read_table(spark, sf, "orders")
+    prio = F.when(F.col("o_orderpriority").startswith("5"), F.lit("?")).otherwise(
+        F.substring("o_orderpriority", 1, 1))
+    rows = orders.select(F.col("o_totalprice").cast("string").alias("totalprice"),
+                         F.col("o_custkey").cast("string").alias("custkey"),
+                         prio.alias("priority"),
+                         F.when(F.col("o_orderstatus") == "F", "1").otherwise("0").alias("status"))
+    path = _scratch(spark, "orders-csv")
+    rows.write.option("header", True).option("quoteAll", True).csv(path)
+    back = text.read_csv_points(spark, path, header=True, missing="?")
+    return back.select(F.size("features").alias("n_features"), "label",
+                       _feature_sum().alias("feature_sum"))
+
+
+def q_triples_file(spark, sf):
+    tri = similarity.rows_to_triples(_points(spark, sf))
+    path = _scratch(spark, "triples-text")
+    tri.select(F.concat_ws(" ", "i", "j", F.col("value").cast("string"))).write.text(path)
+    return text.read_triples(spark, path)
+
+
+def q_ints_file(spark, sf):
+    orders = tables.read_table(spark, sf, "orders")
+    # orders of status P are followed by a blank line
+    line = F.when(F.col("o_orderstatus") == "P", F.concat(F.col("o_custkey").cast("string"), F.lit("\n"))) \
+        .otherwise(F.col("o_custkey").cast("string"))
+    path = _scratch(spark, "ints-text")
+    orders.select(line).write.text(path)
+    ints = text.read_ints(spark, path)
+    return ranking.index_rows(ints, [F.col("value")], name="position").select("position", "value")
+
+
+def _gain_file(spark, sf):
+    st = _lal_state(_points(spark, sf))
+    gain = F.abs(F.lit(0.5) - F.col("f1"))
+    cols = ["f1", "f2", "f3", F.lit("0"), F.lit("0"), "f6", F.lit("0"), "f8", gain]
+    line = F.concat_ws(" ", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    path = _scratch(spark, "gain-text")
+    st.select(line).write.text(path)
+    return path
+
+
+def q_gain_table_file(spark, sf):
+    g = text.read_gain_table(spark, _gain_file(spark, sf))
+    return g.select(*[_r(F.col(c)).alias(c) for c in ("f1", "f2", "f3", "f6", "f8", "gain")])
+
+
+def q_regression_table_file(spark, sf):
+    g = text.read_regression_table(spark, _gain_file(spark, sf))
+    return g.select(F.size("features").alias("n_features"), _feature_sum().alias("feature_sum"),
+                    _r(F.col("gain")).alias("gain"))
+
+
 # ======================================================== pool state ======
 
 def q_start_first_k(spark, sf):
@@ -484,6 +561,12 @@ QUERIES: dict[str, Query] = {
     "one_random_per_class": q_one_random_per_class,
     "xor_mixture": q_xor_mixture,
     "sorted_ints": q_sorted_ints,
+    "text_file_round_trip": q_text_file_round_trip,
+    "csv_file_round_trip": q_csv_file_round_trip,
+    "triples_file": q_triples_file,
+    "ints_file": q_ints_file,
+    "gain_table_file": q_gain_table_file,
+    "regression_table_file": q_regression_table_file,
     "start_first_k": q_start_first_k,
     "start_one_per_class": q_start_one_per_class,
     "fetch_labeled": q_fetch_labeled,
