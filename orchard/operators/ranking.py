@@ -62,12 +62,14 @@ def index_rows(df: DataFrame, order_cols: Sequence, name: str = "row_index",
 def scan_order_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Number rows in the order the scan yields them (``zipWithIndex``).
 
-    No sort: one pass counts rows per input partition, a second assigns
-    ``offset + position``.  For one text file this is line order.
+    No sort and no write: one pass counts rows per input partition, a second
+    assigns ``offset + position``.  For one text file this is line order.
+    ``df`` must be a file scan (plus filters / projections): its partitions
+    are file splits, so both passes - and any re-run of a lost task - see
+    the same rows in the same order.
     """
     tagged = df.select("*", F.spark_partition_id().alias(_PID),
                        F.monotonically_increasing_id().alias(_LOCAL))
-    tagged = cut_lineage(tagged)
     offsets = _offsets(tagged)
     local = F.col(_LOCAL) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
     out = tagged.join(F.broadcast(offsets), _PID)
