@@ -16,7 +16,6 @@ table turns ordinals into votes.  The leaf table has at most
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -214,7 +213,3 @@ def forest_votes_by_tree(model: RandomForestClassificationModel, points: DataFra
     arr = F.array(*[F.col(c) for c in cols])
     votes = frame.select("id", F.posexplode(arr).alias("tree", "vote"))
     return votes.select("id", F.col("tree").cast("int").alias("tree"), "vote")
-
-
-def depth_bound(num_trees: int, max_depth: int) -> int:
-    return num_trees * int(math.pow(2, max_depth))

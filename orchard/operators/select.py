@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from orchard.functions.columns import (half_entropy, margin, order_key, score_key)
 from orchard.operators.committee import stats_of
 from orchard.operators.similarity import density_from_total
-from orchard.session import BROADCAST_ROW_LIMIT
 
 
 def top_k(scores: DataFrame, k: int, descending: bool = False,
@@ -86,7 +85,3 @@ def select_by_prediction(predicted: DataFrame, k: int = 1, prediction_col: str =
     """Largest predicted gain first (argmax for k = 1), ties by id."""
     scores = predicted.select("id", F.col(prediction_col).alias("score"), *carry)
     return top_k(scores, k, descending=True, carry=carry)
-
-
-def bounded(df: DataFrame, bound: int) -> DataFrame:
-    return F.broadcast(df) if bound <= BROADCAST_ROW_LIMIT else df

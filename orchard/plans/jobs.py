@@ -13,7 +13,6 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orchard.functions.columns import tokens
 from orchard.operators import committee, evaluate, lal, pool, prep, similarity
 from orchard.plans import loop
 from orchard.session import cut_lineage
@@ -79,26 +78,10 @@ def regression_job(orders: DataFrame) -> DataFrame:
     return evaluate.mse(pred).select("mse", F.lit(REGRESSION_TREES).alias("num_trees"))
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """Whole-text numeric features of a document, all built-in expressions."""
-    toks = tokens("text")
-    n_tok = F.size(toks).cast("double")
-    return docs.select(
-        "doc_id",
-        F.log1p(F.col("n_chars").cast("double")).alias("log_chars"),
-        n_tok.alias("n_tokens"),
-        F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
-        (F.length(F.regexp_replace("text", "[^0-9]", "")) / F.greatest(F.length("text"), F.lit(1)))
-        .alias("digit_share"),
-        (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1)))
-        .alias("upper_share"),
-        (F.size(F.array_distinct(toks)) / F.greatest(n_tok, F.lit(1.0))).alias("distinct_share"))
-
-
 def quality_job(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """labels join documents: forest classifier of ``quality`` from text features."""
-    feats = document_features(documents).join(labels.select("doc_id", "quality"), "doc_id")
-    cols = ["log_chars", "n_tokens", "n_lines", "digit_share", "upper_share", "distinct_share"]
+    feats = prep.document_features(documents).join(labels.select("doc_id", "quality"), "doc_id")
+    cols = list(prep.DOCUMENT_FEATURES)
     data = prep.hash_split(feats, "doc_id", [0.8, 0.2], SEED)
     data = VectorAssembler(inputCols=cols, outputCol="fv").transform(data) \
         .withColumn("label", F.col("quality").cast("double"))

@@ -527,19 +527,19 @@ def q_label_encoded_forest(spark, sf):
 
 
 def q_loop_uncertain_forest(spark, sf):
-    return jobs.forest_loop(spark, _points(spark, sf), "uncertainty")
+    return jobs.forest_loop(spark, tables.document_points(spark, sf), "uncertainty")
 
 
 def q_loop_density_forest(spark, sf):
-    return jobs.forest_loop(spark, _points(spark, sf), "density")
+    return jobs.forest_loop(spark, tables.document_points(spark, sf), "density")
 
 
 def q_loop_random_forest(spark, sf):
-    return jobs.forest_loop(spark, _points(spark, sf), "random")
+    return jobs.forest_loop(spark, tables.document_points(spark, sf), "random")
 
 
 def q_loop_lal_forest(spark, sf):
-    return jobs.forest_loop(spark, _points(spark, sf), "lal")
+    return jobs.forest_loop(spark, tables.document_points(spark, sf), "lal")
 
 
 QUERIES: dict[str, Query] = {

@@ -42,6 +42,20 @@ def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` joined to ``documents``: whole-text features, label = quality.
+
+    An unbalanced, learnable binary task (most documents are of quality 1).
+    """
+    from orchard.operators.prep import DOCUMENT_FEATURES, document_features
+    docs = document_features(read_table(spark, sf_dir, "documents"))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    joined = docs.join(labels, "doc_id")
+    return joined.select(F.col("doc_id").alias("id"),
+                         F.array(*[F.col(c).cast("double") for c in DOCUMENT_FEATURES]).alias("features"),
+                         F.col("quality").cast("double").alias("label"))
+
+
 def is_test(id_col="id") -> "F.Column":
     return hash_bucket(id_col, SPLIT_SEED, TEST_BUCKETS) == 0
 
