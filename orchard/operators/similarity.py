@@ -250,6 +250,21 @@ def reference_total(reference: DataFrame, vec: str = "features") -> DataFrame:
     return tot.select("total", n_ref.alias("n_ref"))
 
 
+def shrink_total(total: DataFrame, removed: DataFrame, vec: str = "features") -> DataFrame:
+    """The reference total after ``removed`` rows left the reference set.
+
+    total(current) = total(initial) - sum of the removed rows' unit vectors;
+    ``removed`` is small (the rows labelled so far), so this costs a d-row
+    aggregate over it instead of a pass over the pool.
+    """
+    gone = reference_total(removed, vec)
+    both = total.select("total", "n_ref", gone.select("total").scalar().alias("_g"),
+                        gone.select("n_ref").scalar().alias("_gn"))
+    diff = F.zip_with("total", F.coalesce("_g", F.array().cast("array<double>")),
+                      lambda a, b: a - F.coalesce(b, F.lit(0.0)))
+    return both.select(diff.alias("total"), (F.col("n_ref") - F.col("_gn")).alias("n_ref"))
+
+
 def density_from_total(frame: DataFrame, total: DataFrame, include_self: bool = True,
                        reference: DataFrame | None = None, mean: bool = False,
                        vec: str = "features") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orchard.operators import committee, pool
+from orchard.operators import committee, pool, similarity
 from orchard.operators.select import (select_by_prediction, select_density, select_random,
                                       select_uncertain)
 from orchard.session import cut_lineage
@@ -89,12 +89,26 @@ def uncertainty_strategy(members: Callable[[DataFrame], DataFrame] | None = None
 
 
 def density_strategy(density: DataFrame, beta: float = 1.0,
-                     members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:
-    """``density``: the one-row reference total (computed once, density then
-    costs one dot product per row inside the scoring projection) or an
-    ``(id, density)`` table."""
-    return lambda ctx: select_density(committee_votes(ctx, members), density, ctx.k, beta,
-                                      carry=CARRY)
+                     members: Callable[[DataFrame], DataFrame] | None = None,
+                     reference_set: str = "initial_unlabeled") -> Strategy:
+    """``density``: the one-row reference total of the initially unlabelled
+    rows (computed once; density then costs one dot product per row inside
+    the scoring projection) or an ``(id, density)`` table.
+
+    ``reference_set='initial_unlabeled'`` keeps the reference fixed, as the
+    original loop does; ``'current_unlabeled'`` removes the rows labelled
+    since the start from the total each round (needs the one-row total).
+    """
+    if reference_set not in ("initial_unlabeled", "current_unlabeled"):
+        raise ValueError(f"unknown reference_set {reference_set!r}")
+
+    def pick(ctx: RoundContext) -> DataFrame:
+        dens = density
+        if reference_set == "current_unlabeled":
+            since_start = ctx.labeled.where(F.col("labeled_at") > 0).select("id", "features")
+            dens = similarity.shrink_total(density, since_start)
+        return select_density(committee_votes(ctx, members), dens, ctx.k, beta, carry=CARRY)
+    return pick
 
 
 def lal_strategy(regressor, members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:

@@ -198,3 +198,28 @@ def test_half_entropy_of_zero_is_zero(spark):
     got = [r.h for r in df.select(C.half_entropy("p").alias("h")).collect()]
     assert got == [0.0, 0.5, pytest.approx(0.0)]
     assert not any(math.isnan(v) for v in got)
+
+
+def test_shrunk_total_equals_total_of_the_rest(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5))
+    pts = points_from_rows(spark, [(0, list(r)) for r in x])
+    full = similarity.reference_total(pts)
+    shrunk = similarity.shrink_total(full, pts.where("id < 7")).collect()[0]
+    direct = similarity.reference_total(pts.where("id >= 7")).collect()[0]
+    assert shrunk.n_ref == direct.n_ref == 33
+    assert shrunk.total == pytest.approx(direct.total)
+    none_removed = similarity.shrink_total(full, pts.where("id < 0")).collect()[0]
+    assert none_removed.total == pytest.approx(full.collect()[0].total)
+
+
+def test_density_loop_with_current_reference(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 4))
+    pts = points_from_rows(spark, [(float(i % 2), list(r)) for i, r in enumerate(x)])
+    start = pool.start_first_k(pts, 4)
+    total = similarity.reference_total(pool.fetch_unlabeled(pts, start, 4))
+    members = lambda u: committee.stump_vote_arrays(u, 3)
+    strat = loop.density_strategy(total, members=members, reference_set="current_unlabeled")
+    res = loop.run_loop(spark, pts, start, 4, strat, 5, max_rounds=3)
+    assert res.batches.count() == 15
