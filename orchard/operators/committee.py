@@ -7,11 +7,12 @@ ARRAY<DOUBLE>``; its statistics are a projection, so scoring a pool needs no
 shuffle at all - the form the strategies use.
 
 Members are either fixed stumps (SQL-expressible, used for oracle checks) or
-the trees of a Spark ML random forest.  Forest votes come from one
-``transform`` pass: the forest's ``leafCol`` gives, per tree, the ordinal of
-the leaf a row falls in, and a lookup array built from the forest's leaf
-table turns ordinals into votes.  The leaf table has at most
-``numTrees * 2**maxDepth`` rows, a bound fixed by the forest parameters.
+the trees of a Spark ML random forest.  Forest votes come from one pass over
+the rows: small committees chain the public per-tree models, one prediction
+column each; large ones use the forest's ``leafCol`` (per tree, the ordinal of
+the leaf a row falls in) and a lookup array built from the saved leaf table,
+which has at most ``numTrees * 2**maxDepth`` rows, a bound fixed by the
+forest parameters.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ FOREST_MAX_DEPTH = 4
 FOREST_MAX_BINS = 32
 FOREST_IMPURITY = "gini"
 FOREST_SUBSET = "auto"
+# Forests up to this many trees vote through per-tree models, larger ones
+# through the leaf-ordinal lookup.
+PER_TREE_LIMIT = 64
 # A labelled set up to this many rows is fitted from one ordered partition.
 SINGLE_PARTITION_FIT_ROWS = 100_000
 # Label metadata: two nominal classes, so a one-class labelled set still
@@ -178,10 +182,35 @@ def forest_vote_arrays(model: RandomForestClassificationModel, points: DataFrame
                        name: str = "committee") -> DataFrame:
     """All input columns plus ``votes``: every tree's vote, in one scan.
 
-    The forest only computes leaf ordinals (prediction, probability and raw
-    columns are switched off); leaf ordinals become votes through the lookup
-    array, inside the same projection - no join, no shuffle.
+    Up to ``PER_TREE_LIMIT`` trees each tree model predicts into its own
+    column of one projection chain; larger forests use the leaf-ordinal
+    lookup, which keeps the plan one projection deep.  Either way: one pass,
+    no join, no shuffle.
     """
+    if model.getNumTrees <= PER_TREE_LIMIT:
+        return per_tree_vote_arrays(model, points)
+    return leaf_lookup_vote_arrays(model, points, name)
+
+
+def per_tree_vote_arrays(model: RandomForestClassificationModel, points: DataFrame) -> DataFrame:
+    """Each tree predicts in its own column (public per-tree models); then
+    the columns become the ``votes`` array."""
+    frame = points.select("*", array_to_vector("features").alias("_fv"))
+    cols = []
+    for t, tree in enumerate(model.trees):
+        m = tree.copy()
+        m.setFeaturesCol("_fv").setPredictionCol(f"_t{t}").setRawPredictionCol("")
+        m.setProbabilityCol("").setLeafCol("")
+        frame = m.transform(frame)
+        cols.append(f"_t{t}")
+    return frame.select(*points.columns, F.array(*[F.col(c) for c in cols]).alias("votes"))
+
+
+def leaf_lookup_vote_arrays(model: RandomForestClassificationModel, points: DataFrame,
+                            name: str = "committee") -> DataFrame:
+    """The forest only computes leaf ordinals (prediction, probability and raw
+    columns are switched off); leaf ordinals become votes through the lookup
+    array, inside the same projection."""
     leaves = leaf_table(model, name)
     m = model.copy()
     m.setFeaturesCol("_fv").setLeafCol("_leaf").setPredictionCol("")
@@ -201,15 +230,11 @@ def forest_votes(model: RandomForestClassificationModel, points: DataFrame,
 
 
 def forest_votes_by_tree(model: RandomForestClassificationModel, points: DataFrame) -> DataFrame:
-    """Fallback: each tree model predicts in its own column, one scan, no union."""
-    frame = points.select("id", array_to_vector("features").alias("fv"))
-    cols = []
-    for t, tree in enumerate(model.trees):
-        out = f"_t{t}"
-        tree.setFeaturesCol("fv").setPredictionCol(out)
-        tree.setRawPredictionCol(f"_raw{t}").setProbabilityCol(f"_prob{t}").setLeafCol("")
-        frame = tree.transform(frame).drop(f"_raw{t}", f"_prob{t}")
-        cols.append(out)
-    arr = F.array(*[F.col(c) for c in cols])
-    votes = frame.select("id", F.posexplode(arr).alias("tree", "vote"))
-    return votes.select("id", F.col("tree").cast("int").alias("tree"), "vote")
+    """The long vote table through the per-tree path, whatever the forest size."""
+    return explode_votes(per_tree_vote_arrays(model, points.select("id", "features")))
+
+
+def forest_votes_by_leaf(model: RandomForestClassificationModel, points: DataFrame,
+                         name: str = "committee") -> DataFrame:
+    """The long vote table through the leaf-lookup path, whatever the forest size."""
+    return explode_votes(leaf_lookup_vote_arrays(model, points.select("id", "features"), name))

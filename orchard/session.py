@@ -36,6 +36,8 @@ def build_session(master: str | None = None, app: str = "orchard",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
+        # checkpoints of earlier loop rounds are deleted once unreferenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update(extra or {})
     for key, value in conf.items():

@@ -112,7 +112,7 @@ def test_forest_votes_match_per_tree_transform(spark):
     y = (x[:, 0] + x[:, 1] > 0).astype(float)
     pts = points_from_rows(spark, list(zip(y, x.tolist())))
     model = committee.fit_forest(pts, num_trees=7, seed=2)
-    a = {(r.id, r.tree): r.vote for r in committee.forest_votes(model, pts, "t").collect()}
+    a = {(r.id, r.tree): r.vote for r in committee.forest_votes_by_leaf(model, pts, "t").collect()}
     b = {(r.id, r.tree): r.vote for r in committee.forest_votes_by_tree(model, pts).collect()}
     assert len(a) == 80 * 7
     assert a == b
