@@ -34,7 +34,7 @@ FOREST_IMPURITY = "gini"
 FOREST_SUBSET = "auto"
 # Forests up to this many trees vote through per-tree models, larger ones
 # through the leaf-ordinal lookup.
-PER_TREE_LIMIT = 64
+PER_TREE_LIMIT = 20
 # A labelled set up to this many rows is fitted from one ordered partition.
 SINGLE_PARTITION_FIT_ROWS = 100_000
 # Label metadata: two nominal classes, so a one-class labelled set still

@@ -117,7 +117,8 @@ def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
                 rounds: int = LOOP_ROUNDS) -> DataFrame:
     """A full active-learning run with a forest committee; history without timings."""
     pool_points, test = tables.train_test(points)
-    pool_points = cut_lineage(pool_points)
+    # both sides are read every round: materialise the derived points once
+    pool_points, test = cut_lineage(pool_points), cut_lineage(test)
     start = pool.start_one_per_class(pool_points, LOOP_START, SEED)
     k = LOOP_K
     if kind == "random":
