@@ -34,6 +34,7 @@ HEADLINE = [
     "loop_random",
     "forest_accuracy",
     "loop_uncertain_forest",
+    "loop_uncertain_orders_forest",
     "lal_one_selection",
 ]
 WARMUP_SF = "/root/testdata/sf0.001"

@@ -538,6 +538,11 @@ def q_loop_random_forest(spark, sf):
     return jobs.forest_loop(spark, tables.document_points(spark, sf), "random")
 
 
+def q_loop_uncertain_orders_forest(spark, sf):
+    """The uncertainty loop over the large ``orders`` pool."""
+    return jobs.forest_loop(spark, tables.order_points(spark, sf), "uncertainty")
+
+
 def q_loop_lal_forest(spark, sf):
     return jobs.forest_loop(spark, tables.document_points(spark, sf), "lal")
 
@@ -612,5 +617,6 @@ QUERIES: dict[str, Query] = {
     "loop_uncertain_forest": q_loop_uncertain_forest,
     "loop_density_forest": q_loop_density_forest,
     "loop_lal_forest": q_loop_lal_forest,
+    "loop_uncertain_orders_forest": q_loop_uncertain_orders_forest,
     "lal_one_selection": q_lal_one_selection,
 }

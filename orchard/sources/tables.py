@@ -56,6 +56,22 @@ def document_points(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("quality").cast("double").alias("label"))
 
 
+def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as a large pool: order attributes as features, label = status F.
+
+    Fixed values: prices in units of 100,000, years counted from 1992.
+    """
+    o = read_table(spark, sf_dir, "orders")
+    feats = F.array(
+        (F.col("o_totalprice") / 100000.0).cast("double"),
+        (F.year("o_orderdate") - 1992).cast("double"),
+        F.month("o_orderdate").cast("double"),
+        F.coalesce(F.substring("o_orderpriority", 1, 1).try_cast("double"), F.lit(0.0)),
+        (F.col("o_custkey") / 100000.0).cast("double"))
+    return o.select(F.col("o_orderkey").alias("id"), feats.alias("features"),
+                    F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"))
+
+
 def is_test(id_col="id") -> "F.Column":
     return hash_bucket(id_col, SPLIT_SEED, TEST_BUCKETS) == 0
 
