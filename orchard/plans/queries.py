@@ -94,9 +94,10 @@ def q_props_cast(spark, sf):
 
 def q_text_round_trip(spark, sf):
     pts = _points(spark, sf)
-    line = prep.render_labeled_line(pts, quote_label=True)
-    parsed = prep.parse_labeled_line(line, F.col("line"), sep=" ", unquote=True)
-    back = parsed.join(pts.select("id", F.col("features").alias("orig")), "id")
+    # render and parse in the same row: no join back to the source
+    lines = pts.select("id", F.col("features").alias("orig"),
+                       prep.labeled_line(quote_label=True).alias("line"))
+    back = prep.parse_labeled_line(lines, F.col("line"), sep=" ", unquote=True, keep=("id", "orig"))
     return back.select("id", F.size("tokens").alias("n_fields"), "label",
                        _r(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)).alias("feature_sum"),
                        (F.col("features") == F.col("orig")).alias("exact"))
