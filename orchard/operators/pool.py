@@ -18,7 +18,7 @@ from orchard.functions.columns import order_key
 from orchard.session import BROADCAST_ROW_LIMIT
 
 
-def _side(df: DataFrame, bound: int | None) -> DataFrame:
+def bounded_side(df: DataFrame, bound: int | None) -> DataFrame:
     """Broadcast a side only when its row count is bounded by a known limit."""
     if bound is not None and bound <= BROADCAST_ROW_LIMIT:
         return F.broadcast(df)
@@ -59,16 +59,16 @@ def reset_pool(labeled: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ fetch -------
 
 def fetch_labeled(points: DataFrame, labeled: DataFrame, bound: int | None = None) -> DataFrame:
-    return points.join(_side(labeled.select("id"), bound), "id", "left_semi")
+    return points.join(bounded_side(labeled.select("id"), bound), "id", "left_semi")
 
 
 def fetch_unlabeled(points: DataFrame, labeled: DataFrame, bound: int | None = None) -> DataFrame:
-    return points.join(_side(labeled.select("id"), bound), "id", "left_anti")
+    return points.join(bounded_side(labeled.select("id"), bound), "id", "left_anti")
 
 
 def pool_state(points: DataFrame, labeled: DataFrame, bound: int | None = None) -> DataFrame:
     """Full view: every id with its labelling round, NULL when unlabelled."""
-    return points.select("id").join(_side(labeled, bound), "id", "left")
+    return points.select("id").join(bounded_side(labeled, bound), "id", "left")
 
 
 # ------------------------------------------------------------ update ------

@@ -55,7 +55,7 @@ def select_uncertain(votes: DataFrame, k: int, carry: tuple[str, ...] = ()) -> D
 
 
 def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0,
-                   carry: tuple[str, ...] = ()) -> DataFrame:
+                   carry: tuple[str, ...] = (), mean: bool = False) -> DataFrame:
     """score = half_entropy(p0) * density ** beta (missing density -> 0).
 
     ``density`` is either a table ``(id, density)`` (joined on id) or the
@@ -64,7 +64,7 @@ def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0,
     and density is computed in the same projection as the votes: no join.
     """
     if "total" in density.columns:
-        framed = density_from_total(votes, density)
+        framed = density_from_total(votes, density, mean=mean)
         joined = stats_of(framed, keep=("density", *carry)).select(
             "id", half_entropy("p0").alias("u"), "density", *carry)
     else:
@@ -76,8 +76,11 @@ def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0,
 
 
 def select_density(votes: DataFrame, density: DataFrame, k: int, beta: float = 1.0,
-                   carry: tuple[str, ...] = ()) -> DataFrame:
-    return top_k(density_scores(votes, density, beta, carry), k, descending=True, carry=carry)
+                   carry: tuple[str, ...] = (), mean: bool = False) -> DataFrame:
+    """Densest-and-uncertain first; ``mean=True`` averages instead of summing
+    the similarities (only with the one-row total)."""
+    return top_k(density_scores(votes, density, beta, carry, mean), k, descending=True,
+                 carry=carry)
 
 
 def select_by_prediction(predicted: DataFrame, k: int = 1, prediction_col: str = "prediction",

@@ -137,7 +137,7 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
     """
     bound = start_bound
     n_pool = points.count()
-    start_rows = points.join(pool._side(start.select("id", "labeled_at"), bound), "id")
+    start_rows = points.join(pool.bounded_side(start.select("id", "labeled_at"), bound), "id")
     labeled = cut_lineage(start_rows.select("id", F.col("labeled_at").cast("int"),
                                             F.lit(None).cast("int").alias("rank"), *CARRY))
     history = []
