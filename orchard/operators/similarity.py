@@ -31,6 +31,9 @@ TRIPLE_SCHEMA = T.StructType([T.StructField("i", T.LongType()),
                               T.StructField("j", T.LongType()),
                               T.StructField("value", T.DoubleType())])
 DEFAULT_TILE_ROWS = 1024
+# Triples are turned into dense rows (one group per matrix row) only up to
+# this width; a row group then holds at most this many entries.
+MAX_DENSE_WIDTH = 100_000
 
 
 # ------------------------------------------------------ conversions -------
@@ -45,17 +48,47 @@ def transpose(triples: DataFrame) -> DataFrame:
     return triples.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
 
 
+def _checked_width(width) -> int:
+    width = int(width or 0)
+    if width > MAX_DENSE_WIDTH:
+        raise ValueError(f"matrix width {width} exceeds MAX_DENSE_WIDTH={MAX_DENSE_WIDTH}: "
+                         "rows of this matrix are too wide to densify")
+    return width
+
+
+def sparse_rows(triples: DataFrame) -> DataFrame:
+    """``(id, js, vals)``: the entries of each row i, sorted by j.
+
+    A group holds one matrix row, at most the matrix width (checked by the
+    callers that densify) - never a whole table.
+    """
+    grouped = triples.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("e"))
+    return grouped.select(F.col("i").alias("id"), F.transform("e", lambda x: x["j"]).alias("js"),
+                          F.transform("e", lambda x: x["value"]).alias("vals"))
+
+
 def triples_to_rows(triples: DataFrame, width: int | None = None) -> DataFrame:
     """Dense rows ``(id, features)``; missing entries are 0.
 
-    A row groups the entries of one i: at most the matrix width, never a
-    whole table.  Width defaults to 1 + the largest j (a scalar subquery).
+    The width (default 1 + the largest j, one scalar read back) is checked
+    against ``MAX_DENSE_WIDTH`` first.  A complete row is just its sorted
+    values; only rows with gaps are filled position by position.
     """
-    w = F.lit(width) if width is not None else triples.select(F.max("j") + 1).scalar()
-    return _dense_rows(triples, w)
+    if width is None:
+        width = triples.select(F.max("j") + 1).first()[0]
+    w = _checked_width(width)
+    rows = sparse_rows(triples)
+    complete = (F.size("js") == w) & (F.element_at("js", -1) == w - 1)
+    filled = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(w - 1).cast("bigint")),
+                         lambda p: F.coalesce(F.try_element_at(F.map_from_arrays("js", "vals"), p),
+                                              F.lit(0.0)))
+    return rows.select("id", F.when(complete, F.col("vals")).otherwise(filled).alias("features"))
 
 
 # ------------------------------------------------------ tile product ------
+# Cells (rows x width) of one dense tile: tiles of wide matrices get fewer rows.
+TILE_CELLS = 4_000_000
+
 
 def _tiles(n: int, tile_rows: int, parallelism: int) -> int:
     by_size = math.ceil(max(n, 1) / tile_rows)
@@ -64,6 +97,10 @@ def _tiles(n: int, tile_rows: int, parallelism: int) -> int:
     return max(1, min(max(by_size, by_cores), max(n, 1)))
 
 
+def _tile_rows(tile_rows: int, width: int | None) -> int:
+    return tile_rows if not width else max(1, min(tile_rows, TILE_CELLS // width))
+
+
 def _tile_id(tiles: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col("id")), F.lit(tiles)).cast("int")
 
@@ -75,50 +112,74 @@ def _empty_triples():
                          "value": np.array([], dtype="float64")})
 
 
-def _tile_dot(left, right):
-    """(row ids, column ids, all products) of two dense tiles, row-major."""
+def _tile_matrix(frame, js_col: str, v_col: str, width: int | None):
+    """Dense float64 tile: stacked arrays, or sparse rows scattered into zeros."""
+    import numpy as np
+    if width is None:
+        return np.stack(frame[v_col].to_numpy()).astype("float64", copy=False)
+    m = np.zeros((len(frame), width))
+    for r, (js, vs) in enumerate(zip(frame[js_col], frame[v_col])):
+        m[r, np.asarray(js, dtype="int64")] = vs
+    return m
+
+
+def _tile_dot(left, right, width: int | None = None):
+    """(row ids, column ids, all products) of two tiles, row-major."""
     import numpy as np
     a_ids = left["id"].to_numpy(dtype="int64")
     b_ids = right["rid"].to_numpy(dtype="int64")
-    a = np.stack(left["v"].to_numpy()).astype("float64", copy=False)
-    b = np.stack(right["rv"].to_numpy()).astype("float64", copy=False)
+    a = _tile_matrix(left, "js", "v", width)
+    b = _tile_matrix(right, "rjs", "rv", width)
     prod = a @ b.T
     return np.repeat(a_ids, len(b_ids)), np.tile(b_ids, len(a_ids)), prod.ravel()
 
 
-def _plain_product(left, right):
-    import pandas as pd
-    if len(left) == 0 or len(right) == 0:
-        return _empty_triples()
-    ii, jj, vv = _tile_dot(left, right)
-    return pd.DataFrame({"i": ii, "j": jj, "value": vv})
+def _plain_product_fn(width: int | None):
+    def fn(left, right):
+        import pandas as pd
+        if len(left) == 0 or len(right) == 0:
+            return _empty_triples()
+        ii, jj, vv = _tile_dot(left, right, width)
+        return pd.DataFrame({"i": ii, "j": jj, "value": vv})
+    return fn
+
+
+def _row_cols(rows: DataFrame, vec: str, width: int | None, prefix: str = ""):
+    """Columns a tile needs: id and values, plus positions for sparse rows."""
+    cols = [F.col("id").alias(f"{prefix}id"), F.col(vec if width is None else "vals").alias(f"{prefix}v")]
+    if width is not None:
+        cols.append(F.col("js").alias(f"{prefix}js"))
+    return cols
 
 
 def self_product(rows: DataFrame, mode: str = "full", vec: str = "features",
-                 tile_rows: int = DEFAULT_TILE_ROWS, n_rows: int | None = None) -> DataFrame:
+                 tile_rows: int = DEFAULT_TILE_ROWS, n_rows: int | None = None,
+                 width: int | None = None) -> DataFrame:
     """Entries of ``X . X^T`` for a row table X.
 
-    mode ``full``: all (i, j);  ``strict_upper``: only i < j.
-    Only tile pairs (a, b) with a <= b are multiplied; for ``full`` the
-    off-diagonal tiles are mirrored on output.
+    Rows are dense ``(id, vec)``, or sparse ``(id, js, vals)`` of a matrix of
+    ``width`` columns.  mode ``full``: all (i, j);  ``strict_upper``: only
+    i < j.  Only tile pairs (a, b) with a <= b are multiplied; for ``full``
+    the off-diagonal tiles are mirrored on output.
     """
     spark = rows.sparkSession
     n = n_rows if n_rows is not None else rows.count()
-    tiles = _tiles(n, tile_rows, spark.sparkContext.defaultParallelism)
-    base = rows.select("id", F.col(vec).alias("v"), _tile_id(tiles).alias("t"))
+    tiles = _tiles(n, _tile_rows(tile_rows, width), spark.sparkContext.defaultParallelism)
+    base = rows.select(*_row_cols(rows, vec, width), _tile_id(tiles).alias("t"))
+    payload = ["id", "v"] + (["js"] if width is not None else [])
     # left copy of tile t goes to (t, b) for b >= t; right copy to (a, t) for a <= t
-    left = base.select("id", "v", F.col("t").alias("ta"),
+    left = base.select(*payload, F.col("t").alias("ta"),
                        F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))).alias("tb"))
     # the right side gets its own column names: a cogroup of two projections
     # of one table must not share attribute names, or pruning may drop them
-    right = base.select(F.col("id").alias("rid"), F.col("v").alias("rv"),
+    right = base.select(*[F.col(c).alias(f"r{c}") for c in payload],
                         F.explode(F.sequence(F.lit(0), F.col("t"))).alias("ta"),
                         F.col("t").alias("tb"))
-    fn = _product_fn_sym(strict=(mode == "strict_upper"))
+    fn = _product_fn_sym(strict=(mode == "strict_upper"), width=width)
     return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")).applyInPandas(fn, TRIPLE_SCHEMA)
 
 
-def _product_fn_sym(strict: bool):
+def _product_fn_sym(strict: bool, width: int | None = None):
     """Tile function for a symmetric product computed on tiles a <= b."""
 
     def fn(left, right):
@@ -126,7 +187,7 @@ def _product_fn_sym(strict: bool):
         import pandas as pd
         if len(left) == 0 or len(right) == 0:
             return _empty_triples()
-        ii, jj, vv = _tile_dot(left, right)
+        ii, jj, vv = _tile_dot(left, right, width)
         diagonal = int(left["ta"].iloc[0]) == int(left["tb"].iloc[0])
         if strict:
             if diagonal:
@@ -143,40 +204,34 @@ def _product_fn_sym(strict: bool):
 
 
 def product(left_rows: DataFrame, right_rows: DataFrame, vec: str = "features",
-            tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
-    """Entries of ``L . R^T``: value(i, j) = dot(L row i, R row j)."""
+            tile_rows: int = DEFAULT_TILE_ROWS, width: int | None = None) -> DataFrame:
+    """Entries of ``L . R^T``: value(i, j) = dot(L row i, R row j).
+
+    Rows are dense ``(id, vec)`` or sparse ``(id, js, vals)`` with ``width``.
+    """
     spark = left_rows.sparkSession
     par = spark.sparkContext.defaultParallelism
-    tl = _tiles(left_rows.count(), tile_rows, par)
-    tr = _tiles(right_rows.count(), tile_rows, par)
-    left = left_rows.select("id", F.col(vec).alias("v"), _tile_id(tl).alias("ta"),
-                           F.explode(F.sequence(F.lit(0), F.lit(tr - 1))).alias("tb"))
-    right = right_rows.select(F.col("id").alias("rid"), F.col(vec).alias("rv"),
+    rows_per_tile = _tile_rows(tile_rows, width)
+    tl = _tiles(left_rows.count(), rows_per_tile, par)
+    tr = _tiles(right_rows.count(), rows_per_tile, par)
+    left = left_rows.select(*_row_cols(left_rows, vec, width), _tile_id(tl).alias("ta"),
+                            F.explode(F.sequence(F.lit(0), F.lit(tr - 1))).alias("tb"))
+    right = right_rows.select(*_row_cols(right_rows, vec, width, prefix="r"),
                               F.explode(F.sequence(F.lit(0), F.lit(tl - 1))).alias("ta"),
                               _tile_id(tr).alias("tb"))
     return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")) \
-        .applyInPandas(_plain_product, TRIPLE_SCHEMA)
+        .applyInPandas(_plain_product_fn(width), TRIPLE_SCHEMA)
 
 
 def multiply_triples(a: DataFrame, b: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
-    """C = A . B for matrices given as triples (A is n x m, B is m x p)."""
-    width = a.select(F.max("j")).scalar()
-    width2 = b.select(F.max("i")).scalar()
-    w = F.greatest(width, width2) + 1
-    a_rows = _dense_rows(a, w)
-    b_cols = _dense_rows(transpose(b), w)
-    return product(a_rows, b_cols, tile_rows=tile_rows)
-
-
-def _dense_rows(triples: DataFrame, width_col) -> DataFrame:
-    """Group entries by row (at most the width per group) into dense arrays."""
-    grouped = triples.groupBy("i").agg(
-        F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("m"))
-    # positions come from a plain column so the width may be a scalar subquery
-    with_pos = grouped.select("i", "m", F.sequence(F.lit(0).cast("bigint"),
-                                                   (width_col - 1).cast("bigint")).alias("pos"))
-    dense = F.transform("pos", lambda p: F.coalesce(F.col("m")[p], F.lit(0.0)))
-    return with_pos.select(F.col("i").alias("id"), dense.alias("features"))
+    """C = A . B for matrices given as triples (A is n x m, B is m x p).
+
+    Rows of A and columns of B go to the tiles as sparse rows and are
+    densified inside the tile (NumPy scatter), never as Spark arrays.
+    """
+    inner = max(a.select(F.max("j")).first()[0] or 0, b.select(F.max("i")).first()[0] or 0) + 1
+    w = _checked_width(inner)
+    return product(sparse_rows(a), sparse_rows(transpose(b)), tile_rows=tile_rows, width=w)
 
 
 # ---------------------------------------------------------- cosine --------
@@ -201,9 +256,14 @@ def column_similarities(triples: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS)
     """Cosine between the columns of the transpose of a triple matrix, i < j.
 
     Columns of the transpose are the rows of the matrix as loaded, so this is
-    the strict-upper cosine of those rows.
+    the strict-upper cosine of those rows, computed on sparse rows (norms
+    from the stored entries, densified only inside a tile).
     """
-    return cosine_upper(triples_to_rows(triples), tile_rows=tile_rows)
+    width = _checked_width(triples.select(F.max("j") + 1).first()[0])
+    rows = sparse_rows(triples)
+    normed = rows.select("id", "js", "vals", l2_norm("vals").alias("_norm"))
+    unit = normed.select("id", "js", unit_vector("vals", "_norm").alias("vals"))
+    return self_product(unit, "strict_upper", tile_rows=tile_rows, width=width)
 
 
 def drop_entries_of(triples: DataFrame, ids: DataFrame, bound: int | None = None) -> DataFrame:

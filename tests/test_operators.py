@@ -223,3 +223,31 @@ def test_density_loop_with_current_reference(spark):
     strat = loop.density_strategy(total, members=members, reference_set="current_unlabeled")
     res = loop.run_loop(spark, pts, start, 4, strat, 5, max_rounds=3)
     assert res.batches.count() == 15
+
+
+@pytest.mark.parametrize("tile_rows", [2, 1000])
+def test_sparse_triple_products_match_numpy(spark, tile_rows):
+    rng = np.random.default_rng(11)
+    a = np.where(rng.random((9, 6)) < 0.4, rng.normal(size=(9, 6)), 0.0)
+    b = np.where(rng.random((6, 4)) < 0.5, rng.normal(size=(6, 4)), 0.0)
+    a[:, 5] = 0.0
+    a[0, 5] = 1.5  # keep the full inner width
+    ta = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(9) for j in range(6) if a[i, j]],
+                               "i BIGINT, j BIGINT, value DOUBLE")
+    tb = spark.createDataFrame([(i, j, float(b[i, j])) for i in range(6) for j in range(4) if b[i, j]],
+                               "i BIGINT, j BIGINT, value DOUBLE")
+    got = {(r.i, r.j): r.value for r in similarity.multiply_triples(ta, tb, tile_rows=tile_rows).collect()}
+    want = a @ b
+    rows_a = {i for i in range(9) if a[i].any()}
+    cols_b = {j for j in range(4) if b[:, j].any()}
+    assert set(got) == {(i, j) for i in rows_a for j in cols_b}
+    for (i, j), v in got.items():
+        assert v == pytest.approx(want[i, j], abs=1e-12)
+    dense = {r.id: r.features for r in similarity.triples_to_rows(ta).collect()}
+    assert dense[0] == pytest.approx(list(a[0]))
+    sims = {(r.i, r.j): r.value for r in similarity.column_similarities(ta, tile_rows=tile_rows).collect()}
+    nz = sorted(rows_a)
+    u = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    assert set(sims) == {(i, j) for i in nz for j in nz if i < j}
+    for (i, j), v in sims.items():
+        assert v == pytest.approx(float(u[i] @ u[j]), abs=1e-12)
