@@ -114,11 +114,17 @@ def label_encoded_job(part: DataFrame) -> DataFrame:
 
 
 def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
-                rounds: int = LOOP_ROUNDS) -> DataFrame:
-    """A full active-learning run with a forest committee; history without timings."""
+                rounds: int = LOOP_ROUNDS, materialize: bool = False) -> DataFrame:
+    """A full active-learning run with a forest committee; history without timings.
+
+    ``materialize=True`` checkpoints the pool and test points once: worth it
+    when the features are expensive to derive (whole-text features), a waste
+    when they are a projection of Parquet columns, which a round re-reads
+    more cheaply than a written copy.
+    """
     pool_points, test = tables.train_test(points)
-    # both sides are read every round: materialise the derived points once
-    pool_points, test = cut_lineage(pool_points), cut_lineage(test)
+    if materialize:
+        pool_points, test = cut_lineage(pool_points), cut_lineage(test)
     start = pool.start_one_per_class(pool_points, LOOP_START, SEED)
     k = LOOP_K
     if kind == "random":

@@ -528,15 +528,15 @@ def q_label_encoded_forest(spark, sf):
 
 
 def q_loop_uncertain_forest(spark, sf):
-    return jobs.forest_loop(spark, tables.document_points(spark, sf), "uncertainty")
+    return jobs.forest_loop(spark, tables.document_points(spark, sf), "uncertainty", materialize=True)
 
 
 def q_loop_density_forest(spark, sf):
-    return jobs.forest_loop(spark, tables.document_points(spark, sf), "density")
+    return jobs.forest_loop(spark, tables.document_points(spark, sf), "density", materialize=True)
 
 
 def q_loop_random_forest(spark, sf):
-    return jobs.forest_loop(spark, tables.document_points(spark, sf), "random")
+    return jobs.forest_loop(spark, tables.document_points(spark, sf), "random", materialize=True)
 
 
 def q_loop_uncertain_orders_forest(spark, sf):
@@ -545,7 +545,7 @@ def q_loop_uncertain_orders_forest(spark, sf):
 
 
 def q_loop_lal_forest(spark, sf):
-    return jobs.forest_loop(spark, tables.document_points(spark, sf), "lal")
+    return jobs.forest_loop(spark, tables.document_points(spark, sf), "lal", materialize=True)
 
 
 QUERIES: dict[str, Query] = {

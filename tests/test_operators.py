@@ -251,3 +251,13 @@ def test_sparse_triple_products_match_numpy(spark, tile_rows):
     assert set(sims) == {(i, j) for i in nz for j in nz if i < j}
     for (i, j), v in sims.items():
         assert v == pytest.approx(float(u[i] @ u[j]), abs=1e-12)
+
+
+def test_random_order_does_not_depend_on_partitioning(spark):
+    ids = spark.range(300).select(F.col("id"))
+    picks = [[r.id for r in select.select_random(ids.repartition(p), 25, 7).collect()]
+             for p in (1, 5, 13)]
+    assert picks[0] == picks[1] == picks[2]
+    perms = [{r.id: r.position for r in prep.random_permutation(ids.repartition(p), 7).collect()}
+             for p in (1, 9)]
+    assert perms[0] == perms[1]
