@@ -8,11 +8,12 @@ the same split on every run and any partitioning.
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orchard.functions.columns import tokens
 from orchard.operators import committee, evaluate, lal, pool, prep, similarity
 from orchard.plans import loop
 from orchard.session import cut_lineage
@@ -94,6 +95,29 @@ def quality_job(documents: DataFrame, labels: DataFrame) -> DataFrame:
                    **{c: conf.select(c).scalar() for c in conf.columns})
 
 
+def multiclass_job(documents: DataFrame) -> DataFrame:
+    """A several-class forest job: the language of a document from its
+    whole-text features; accuracy and the most important feature."""
+    feats = prep.document_features(documents).join(
+        documents.select("doc_id", "lang", F.length("text").alias("_len"),
+                         F.size(tokens("text")).alias("_ntok")), "doc_id")
+    feats = feats.withColumn("avg_token_len", F.col("_len") / F.greatest(F.col("_ntok"), F.lit(1)))
+    cols = list(prep.DOCUMENT_FEATURES) + ["avg_token_len"]
+    indexer = StringIndexer(inputCol="lang", outputCol="label",
+                            stringOrderType="alphabetAsc")
+    data = VectorAssembler(inputCols=cols, outputCol="fv").transform(
+        prep.hash_split(feats.where(F.col("lang").isNotNull()), "doc_id", [0.8, 0.2], SEED))
+    data = indexer.fit(data).transform(data)
+    train, test = data.where("split = 0"), data.where("split = 1")
+    model = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=NUM_TREES,
+                                   maxDepth=committee.FOREST_MAX_DEPTH, seed=SEED).fit(train)
+    acc = evaluate.accuracy(model.transform(test)).scalar()
+    imp = evaluate.feature_importance(documents.sparkSession, model.featureImportances)
+    top = imp.orderBy(F.desc("importance"), "feature").limit(1).select("feature").scalar()
+    return one_row(documents.sparkSession, accuracy=acc, num_classes=F.lit(model.numClasses),
+                   top_feature=top)
+
+
 def label_encoded_job(part: DataFrame) -> DataFrame:
     """Text columns through one shared dictionary, then a forest classifier."""
     enc = prep.shared_label_encode(part, ["p_brand", "p_type"])

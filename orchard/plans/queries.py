@@ -523,6 +523,10 @@ def q_quality_forest(spark, sf):
                             tables.read_table(spark, sf, "labels"))
 
 
+def q_multiclass_forest(spark, sf):
+    return jobs.multiclass_job(tables.read_table(spark, sf, "documents"))
+
+
 def q_label_encoded_forest(spark, sf):
     return jobs.label_encoded_job(tables.read_table(spark, sf, "part"))
 
@@ -614,6 +618,7 @@ QUERIES: dict[str, Query] = {
     "forest_regression_mse": q_forest_regression_mse,
     "quality_forest": q_quality_forest,
     "label_encoded_forest": q_label_encoded_forest,
+    "multiclass_forest": q_multiclass_forest,
     "loop_random_forest": q_loop_random_forest,
     "loop_uncertain_forest": q_loop_uncertain_forest,
     "loop_density_forest": q_loop_density_forest,
