@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orchard.functions.columns import dot, l2_norm, unit_vector
-from orchard.session import BROADCAST_ROW_LIMIT
+from orchard.session import BROADCAST_ROW_LIMIT, parallelism
 
 TRIPLE_SCHEMA = T.StructType([T.StructField("i", T.LongType()),
                               T.StructField("j", T.LongType()),
@@ -164,7 +164,7 @@ def self_product(rows: DataFrame, mode: str = "full", vec: str = "features",
     """
     spark = rows.sparkSession
     n = n_rows if n_rows is not None else rows.count()
-    tiles = _tiles(n, _tile_rows(tile_rows, width), spark.sparkContext.defaultParallelism)
+    tiles = _tiles(n, _tile_rows(tile_rows, width), parallelism(spark))
     base = rows.select(*_row_cols(rows, vec, width), _tile_id(tiles).alias("t"))
     payload = ["id", "v"] + (["js"] if width is not None else [])
     # left copy of tile t goes to (t, b) for b >= t; right copy to (a, t) for a <= t
@@ -210,7 +210,7 @@ def product(left_rows: DataFrame, right_rows: DataFrame, vec: str = "features",
     Rows are dense ``(id, vec)`` or sparse ``(id, js, vals)`` with ``width``.
     """
     spark = left_rows.sparkSession
-    par = spark.sparkContext.defaultParallelism
+    par = parallelism(spark)
     rows_per_tile = _tile_rows(tile_rows, width)
     tl = _tiles(left_rows.count(), rows_per_tile, par)
     tr = _tiles(right_rows.count(), rows_per_tile, par)

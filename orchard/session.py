@@ -53,7 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Order: a folder already set on the context; else ``spark.checkpoint.dir``;
     else, for a local master only, a fresh temporary folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: checkpoint() reads the conf itself
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -69,6 +75,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "cluster (HDFS, object store) before running iterative operators")
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Task slots of the session (shuffle partitions where the context is hidden)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and return it."""
     ensure_checkpoint_dir(df.sparkSession)
