@@ -99,7 +99,7 @@ def hash_bucket(id_col, seed, buckets: int) -> Column:
 
 def class0_share(sum_votes, n_votes) -> Column:
     """p0 = 1 - (votes for class 1) / (committee size)."""
-    return F.lit(1.0) - _col(sum_votes).cast("double") / _col(n_votes).cast("double")
+    return F.lit(1.0) - F.try_divide(_col(sum_votes).cast("double"), _col(n_votes).cast("double"))
 
 
 def margin(p0) -> Column:

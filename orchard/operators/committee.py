@@ -76,7 +76,7 @@ def vote_stats(votes: DataFrame) -> DataFrame:
 
 
 def _stat_cols(n, s):
-    return [n.alias("n_votes"), s.alias("sum_votes"), (s / n).alias("mean_vote"),
+    return [n.alias("n_votes"), s.alias("sum_votes"), F.try_divide(s, n).alias("mean_vote"),
             binary_sd(s, n).alias("sd_vote"), class0_share(s, n).alias("p0")]
 
 

@@ -57,7 +57,8 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
     num = cum.select(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") * 0.5)).alias("u"))
     p_tot = total.select("P").scalar()
     n_tot = total.select("N").scalar()
-    return num.select((F.col("u") / (p_tot * n_tot)).alias("auc"))
+    # NULL (not an ANSI error) when one class is absent
+    return num.select(F.try_divide(F.col("u"), p_tot * n_tot).alias("auc"))
 
 
 def feature_importance(spark: SparkSession, importances) -> DataFrame:

@@ -344,7 +344,7 @@ def density_from_total(frame: DataFrame, total: DataFrame, include_self: bool =
         dens = dens.join(ref, "id", "left").withColumn(
             "_d", F.col("_d") - F.when(F.col("_in_ref") & (F.col("_norm") > 0), 1.0).otherwise(0.0))
     if mean:
-        dens = dens.withColumn("_d", F.col("_d") / total.select("n_ref").scalar())
+        dens = dens.withColumn("_d", F.try_divide(F.col("_d"), total.select("n_ref").scalar()))
     return dens.select(*frame.columns, F.col("_d").alias("density"))
 
 

@@ -261,3 +261,8 @@ def test_random_order_does_not_depend_on_partitioning(spark):
     perms = [{r.id: r.position for r in prep.random_permutation(ids.repartition(p), 7).collect()}
              for p in (1, 9)]
     assert perms[0] == perms[1]
+
+
+def test_auc_with_one_class_is_null_not_an_error(spark):
+    df = spark.createDataFrame([(1.0, 0.3), (1.0, 0.7)], "label DOUBLE, score DOUBLE")
+    assert evaluate.auc(df).collect()[0].auc is None
