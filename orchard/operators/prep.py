@@ -47,12 +47,13 @@ def parse_labeled_line(df: DataFrame, line, sep: str | None = None,
     """
     toks = tokens(line, WHITESPACE) if sep is None else split_fixed(line, sep)
     with_toks = df.select(*keep, toks.alias("tokens"))
-    last = F.element_at("tokens", -1)
+    last = F.try_element_at("tokens", F.lit(-1))  # NULL for a line without tokens
     if unquote:
         last = strip_quotes(last)
     return with_toks.select(
         *keep, "tokens",
-        to_double_array(F.slice("tokens", 1, F.size("tokens") - 1)).alias("features"),
+        to_double_array(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
+        .alias("features"),
         last.try_cast("double").alias("label"))
 
 

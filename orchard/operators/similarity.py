@@ -78,7 +78,7 @@ def triples_to_rows(triples: DataFrame, width: int | None = None) -> DataFrame:
         width = triples.select(F.max("j") + 1).first()[0]
     w = _checked_width(width)
     rows = sparse_rows(triples)
-    complete = (F.size("js") == w) & (F.element_at("js", -1) == w - 1)
+    complete = (F.size("js") == w) & (F.try_element_at("js", F.lit(-1)) == w - 1)
     filled = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(w - 1).cast("bigint")),
                          lambda p: F.coalesce(F.try_element_at(F.map_from_arrays("js", "vals"), p),
                                               F.lit(0.0)))

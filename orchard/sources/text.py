@@ -123,8 +123,9 @@ def read_gain_table(spark: SparkSession, path: str,
     the last column as ``gain``; single-space separated."""
     lines = spark.read.text(path).where(F.col("value") != "")
     toks = F.split(F.trim("value"), " ")
-    cols = [toks[p].try_cast("double").alias(n) for p, n in zip(feature_positions, names)]
-    return lines.select(*cols, F.element_at(toks, -1).try_cast("double").alias("gain"))
+    cols = [F.try_element_at(toks, F.lit(p + 1)).try_cast("double").alias(n)
+            for p, n in zip(feature_positions, names)]
+    return lines.select(*cols, F.try_element_at(toks, F.lit(-1)).try_cast("double").alias("gain"))
 
 
 def read_regression_table(spark: SparkSession, path: str) -> DataFrame:

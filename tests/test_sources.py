@@ -94,3 +94,16 @@ def test_scan_order_ids_are_consecutive_across_partitions(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(r.id for r in rows) == list(range(5000))
     assert all(r.features == [float(r.id)] for r in rows)
+
+
+def test_dirty_lines_do_not_fail_the_load(spark, tmp_path):
+    p = tmp_path / "dirty.txt"
+    p.write_text("1 2 1\n\t\n3 x 0\n")
+    rows = text.read_labeled_text(spark, str(p)).orderBy("id").collect()
+    assert rows[0].features == [1.0, 2.0] and rows[0].label == 1.0
+    assert rows[1].label is None
+    assert rows[2].features == [3.0, None]
+    g = tmp_path / "short.txt"
+    g.write_text("0.1 0.2\n")
+    short = text.read_gain_table(spark, str(g)).collect()[0]
+    assert short.f1 == 0.1 and short.f6 is None and short.gain == 0.2
