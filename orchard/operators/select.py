@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orchard.functions.columns import (half_entropy, margin, order_key, score_key)
+from orchard.functions.columns import binary_entropy, half_entropy, margin, order_key, score_key
 from orchard.operators.committee import stats_of
 from orchard.operators.similarity import density_from_total
 
@@ -55,20 +55,25 @@ def select_uncertain(votes: DataFrame, k: int, carry: tuple[str, ...] = ()) -> D
 
 
 def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0,
-                   carry: tuple[str, ...] = (), mean: bool = False) -> DataFrame:
-    """score = half_entropy(p0) * density ** beta (missing density -> 0).
+                   carry: tuple[str, ...] = (), mean: bool = False,
+                   entropy: str = "half") -> DataFrame:
+    """score = entropy(p0) * density ** beta (missing density -> 0).
+
+    ``entropy='half'`` is -p0*log2(p0), the original, asymmetric form;
+    ``'full'`` is the binary entropy of p0.
 
     ``density`` is either a table ``(id, density)`` (joined on id) or the
     one-row reference sum vector ``(total)`` of ``similarity.reference_total``;
     then ``votes`` must be per-row vote arrays that still carry ``features``,
     and density is computed in the same projection as the votes: no join.
     """
+    ent = {"half": half_entropy, "full": binary_entropy}[entropy]
     if "total" in density.columns:
         framed = density_from_total(votes, density, mean=mean)
         joined = stats_of(framed, keep=("density", *carry)).select(
-            "id", half_entropy("p0").alias("u"), "density", *carry)
+            "id", ent("p0").alias("u"), "density", *carry)
     else:
-        stats = stats_of(votes, keep=carry).select("id", half_entropy("p0").alias("u"), *carry)
+        stats = stats_of(votes, keep=carry).select("id", ent("p0").alias("u"), *carry)
         joined = stats.join(density.select("id", "density"), "id", "left")
     d = F.coalesce(F.col("density"), F.lit(0.0))
     weight = d if beta == 1.0 else F.pow(d, F.lit(float(beta)))
@@ -76,10 +81,11 @@ def density_scores(votes: DataFrame, density: DataFrame, beta: float = 1.0,
 
 
 def select_density(votes: DataFrame, density: DataFrame, k: int, beta: float = 1.0,
-                   carry: tuple[str, ...] = (), mean: bool = False) -> DataFrame:
+                   carry: tuple[str, ...] = (), mean: bool = False,
+                   entropy: str = "half") -> DataFrame:
     """Densest-and-uncertain first; ``mean=True`` averages instead of summing
     the similarities (only with the one-row total)."""
-    return top_k(density_scores(votes, density, beta, carry, mean), k, descending=True,
+    return top_k(density_scores(votes, density, beta, carry, mean, entropy), k, descending=True,
                  carry=carry)
 
 

@@ -266,3 +266,12 @@ def test_random_order_does_not_depend_on_partitioning(spark):
 def test_auc_with_one_class_is_null_not_an_error(spark):
     df = spark.createDataFrame([(1.0, 0.3), (1.0, 0.7)], "label DOUBLE, score DOUBLE")
     assert evaluate.auc(df).collect()[0].auc is None
+
+
+def test_full_entropy_option_is_symmetric(spark):
+    votes = _votes(spark, [(1, t, float(t < 1)) for t in range(4)] + [(2, t, float(t < 3)) for t in range(4)])
+    dens = spark.createDataFrame([(1, 1.0), (2, 1.0)], "id BIGINT, density DOUBLE")
+    full = {r.id: r.score for r in select.density_scores(votes, dens, entropy="full").collect()}
+    half = {r.id: r.score for r in select.density_scores(votes, dens).collect()}
+    assert full[1] == pytest.approx(full[2])
+    assert half[1] != pytest.approx(half[2])
