@@ -352,6 +352,16 @@ FROM r WHERE rn <= 50""",
                                             """r AS (SELECT id, row_number() OVER (ORDER BY round(abs(0.5 - p0), 9), id) AS rn
                                                      FROM st)""") + """
 SELECT CAST((rn - 1) // 10 + 1 AS INTEGER) AS iteration, CAST((rn - 1) % 10 + 1 AS INTEGER) AS rank, id
+FROM r WHERE rn <= 50""",
+
+    "loop_density_fixed_committee": _with(
+        PTS, LAB, UNL, _un("pts"), _votes("unl"), _stats(),
+        """dens AS (SELECT a.id, sum(list_dot_product(a.features, b.features)) AS density
+                    FROM un a, un b WHERE b.id NOT IN (SELECT id FROM lab) GROUP BY a.id)""",
+        f"""sc AS (SELECT st.id, ({HALF_ENTROPY}) * coalesce(dens.density, 0.0) AS score
+                   FROM st LEFT JOIN dens ON st.id = dens.id)""",
+        """r AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rn FROM sc)""") + """
+SELECT CAST((rn - 1) // 10 + 1 AS INTEGER) AS iteration, CAST((rn - 1) % 10 + 1 AS INTEGER) AS rank, id
 FROM r WHERE rn <= 50""",
 
     "loop_history_fixed_committee": """

@@ -483,6 +483,16 @@ def q_loop_history_fixed_committee(spark, sf):
     return res.history.select("iteration", "n_labeled", "n_unlabeled")
 
 
+def q_loop_density_fixed_committee(spark, sf):
+    """Density-weighted rounds: the reference total of the initially unlabelled
+    rows is computed once; each round scores the remaining pool in one pass."""
+    pts = _points(spark, sf)
+    total = similarity.reference_total(_unlabeled(pts))
+    strat = loop.density_strategy(total, members=lambda u: committee.stump_vote_arrays(u, STUMPS))
+    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, BATCH_K, max_rounds=ROUNDS)
+    return res.batches
+
+
 def q_sequence_to_exhaustion(spark, sf):
     """Random labelling of the whole pool, k at a time, down to a short last batch.
 
@@ -611,6 +621,7 @@ QUERIES: dict[str, Query] = {
     "loop_random": q_loop_random,
     "loop_uncertain_fixed_committee": q_loop_uncertain_fixed_committee,
     "loop_history_fixed_committee": q_loop_history_fixed_committee,
+    "loop_density_fixed_committee": q_loop_density_fixed_committee,
     "sequence_to_exhaustion": q_sequence_to_exhaustion,
     "forest_votes": q_forest_votes,
     "forest_accuracy": q_forest_accuracy,
