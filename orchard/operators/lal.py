@@ -43,10 +43,11 @@ def lal_state(votes: DataFrame, labeled_points: DataFrame,
     return stats.select("id", "f1", "f2", f3.alias("f3"), f6.alias("f6"), f8.alias("f8"), *carry)
 
 
-def linear_gain(state: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def linear_gain(state: DataFrame, weights: dict[str, float] | None = None,
+                carry: tuple[str, ...] = ()) -> DataFrame:
     w = weights or LINEAR_GAIN
     expr = sum((F.col(c).cast("double") * F.lit(float(w[c])) for c in STATE_COLS), F.lit(0.0))
-    return state.select("id", expr.alias("prediction"))
+    return state.select("id", expr.alias("prediction"), *carry)
 
 
 def select_lal_linear(state: DataFrame, k: int = 1,

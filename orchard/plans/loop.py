@@ -112,11 +112,15 @@ def density_strategy(density: DataFrame, beta: float = 1.0,
 
 
 def lal_strategy(regressor, members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:
-    from orchard.operators.lal import lal_state, predict_gain
+    """Largest gain predicted by a fitted regressor; ``regressor=None`` uses
+    the fixed linear stand-in gain (``lal.LINEAR_GAIN``)."""
+    from orchard.operators.lal import lal_state, linear_gain, predict_gain
 
     def pick(ctx: RoundContext) -> DataFrame:
         state = lal_state(committee_votes(ctx, members), ctx.labeled_points, carry=CARRY)
-        return select_by_prediction(predict_gain(state, regressor, CARRY), ctx.k, carry=CARRY)
+        gains = (linear_gain(state, carry=CARRY) if regressor is None
+                 else predict_gain(state, regressor, CARRY))
+        return select_by_prediction(gains, ctx.k, carry=CARRY)
     return pick
 
 

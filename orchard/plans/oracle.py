@@ -364,6 +364,15 @@ FROM r WHERE rn <= 50""",
 SELECT CAST((rn - 1) // 10 + 1 AS INTEGER) AS iteration, CAST((rn - 1) % 10 + 1 AS INTEGER) AS rank, id
 FROM r WHERE rn <= 50""",
 
+    # f3, f6 and f8 are the same for every row of a round, so the round order
+    # is that of 0.5 f1 + 2 f2 (distinct for distinct vote counts), ties by id
+    "loop_lal_linear_fixed_committee": _with(
+        PTS, LAB, UNL, _votes("unl"), _stats(),
+        """r AS (SELECT id, row_number() OVER (ORDER BY round(0.5 * mean_vote + 2.0 * coalesce(sd_vote, 0.0), 9) DESC,
+                                               id) AS rn FROM st)""") + """
+SELECT CAST((rn - 1) // 5 + 1 AS INTEGER) AS iteration, CAST((rn - 1) % 5 + 1 AS INTEGER) AS rank, id
+FROM r WHERE rn <= 25""",
+
     "loop_history_fixed_committee": """
 SELECT CAST(i AS INTEGER) AS iteration, CAST(10 + 10 * (i - 1) AS BIGINT) AS n_labeled,
        CAST((SELECT count(*) FROM embeddings) - 10 - 10 * (i - 1) AS BIGINT) AS n_unlabeled

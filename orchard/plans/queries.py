@@ -493,6 +493,14 @@ def q_loop_density_fixed_committee(spark, sf):
     return res.batches
 
 
+def q_loop_lal_linear_fixed_committee(spark, sf):
+    """LAL rounds with the linear stand-in gain, LAL_K picks per round."""
+    pts = _points(spark, sf)
+    strat = loop.lal_strategy(None, members=lambda u: committee.stump_vote_arrays(u, STUMPS))
+    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, LAL_K, max_rounds=ROUNDS)
+    return res.batches
+
+
 def q_sequence_to_exhaustion(spark, sf):
     """Random labelling of the whole pool, k at a time, down to a short last batch.
 
@@ -622,6 +630,7 @@ QUERIES: dict[str, Query] = {
     "loop_uncertain_fixed_committee": q_loop_uncertain_fixed_committee,
     "loop_history_fixed_committee": q_loop_history_fixed_committee,
     "loop_density_fixed_committee": q_loop_density_fixed_committee,
+    "loop_lal_linear_fixed_committee": q_loop_lal_linear_fixed_committee,
     "sequence_to_exhaustion": q_sequence_to_exhaustion,
     "forest_votes": q_forest_votes,
     "forest_accuracy": q_forest_accuracy,
