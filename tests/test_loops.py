@@ -81,3 +81,14 @@ def test_lal_loop_picks_one_per_round(spark, pts):
 def test_one_lal_selection(spark, pts):
     rows = jobs.lal_one_selection(spark, pts, num_trees=5).collect()
     assert len(rows) == 1 and rows[0]["rank"] == 1
+
+
+def test_point_views_have_the_point_schema(spark):
+    for view in (tables.embedding_points, tables.document_points, tables.order_points):
+        df = view(spark, SF_SMALL)
+        assert df.dtypes == [("id", "bigint"), ("features", "array<double>"), ("label", "double")]
+        row = df.first()
+        assert set(df.select("label").distinct().toPandas()["label"]) <= {0.0, 1.0}
+        assert len(row.features) > 0
+    assert tables.embedding_points(spark, SF_SMALL).select("id").distinct().count() == \
+        tables.embedding_points(spark, SF_SMALL).count()
