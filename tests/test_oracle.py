@@ -11,6 +11,10 @@ from __spark_entry__ import entry, oracle_sql, queries
 from orchard.sources.tables import TABLES
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)
@@ -36,6 +40,9 @@ def test_query_matches_oracle(spark, duck, name):
     got = _rows([tuple(r[c] for c in cols) for r in df.collect()])
     rel = duck.sql(oracle_sql()[name])
     assert sorted(rel.columns) == cols
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for col, spark_type in df.dtypes:
+        assert SPARK_TO_DUCK.get(spark_type) == duck_types[col], (col, spark_type, duck_types[col])
     idx = [rel.columns.index(c) for c in cols]
     want = _rows([tuple(r[i] for i in idx) for r in rel.fetchall()])
     assert got == want
