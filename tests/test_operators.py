@@ -275,3 +275,17 @@ def test_full_entropy_option_is_symmetric(spark):
     half = {r.id: r.score for r in select.density_scores(votes, dens).collect()}
     assert full[1] == pytest.approx(full[2])
     assert half[1] != pytest.approx(half[2])
+
+
+def test_hot_key_inputs(spark):
+    # one class / one value holds most rows: results stay exact, plans stay aggregates
+    rows = [(i, "hot" if i % 3 else f"v{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id BIGINT, c STRING")
+    picks = {r.c: r.id for r in prep.one_random_per_class(df, "id", "c", 5).collect()}
+    assert set(picks) == {r[1] for r in rows}
+    plan = prep.one_random_per_class(df, "id", "c", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    enc = prep.shared_label_encode(df, ["c"]).collect()
+    codes = {r.c: r.c_code for r in enc}
+    assert sorted(codes.values()) == list(range(len(codes)))
+    assert all(r.c_code == codes[r.c] for r in enc) and len(enc) == 3000
