@@ -60,7 +60,7 @@ Strategy = Callable[[RoundContext], DataFrame]
 class LoopResult:
     history: DataFrame
     batches: DataFrame
-    labeled: DataFrame
+    labeled: DataFrame  # (id, labeled_at, rank); pass it as ``start`` to resume
 
 
 # ---------------------------------------------------------- strategies ----
@@ -138,14 +138,20 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
     winners of each top-k bring them along), so a round reads the pool once,
     to score it.  History rows describe the state at the start of a round
     (before its batch); accuracy is NULL when no committee is fitted.
+
+    ``start`` may also be the ``labeled`` table of an earlier run (rounds
+    > 0 included): numbering then continues after its last round, so a run
+    whose driver died resumes from its last checkpointed labelled table.
     """
     bound = start_bound
     n_pool = points.count()
-    start_rows = points.join(pool.bounded_side(start.select("id", "labeled_at"), bound), "id")
-    labeled = cut_lineage(start_rows.select("id", F.col("labeled_at").cast("int"),
-                                            F.lit(None).cast("int").alias("rank"), *CARRY))
+    done_rounds = start.select(F.max("labeled_at")).first()[0] or 0
+    rank = F.col("rank") if "rank" in start.columns else F.lit(None)
+    start_ids = start.select("id", "labeled_at", rank.cast("int").alias("rank"))
+    start_rows = points.join(pool.bounded_side(start_ids, bound), "id")
+    labeled = cut_lineage(start_rows.select("id", F.col("labeled_at").cast("int"), "rank", *CARRY))
     history = []
-    iteration = 0
+    iteration = done_rounds
     while True:
         t0 = time.time()
         iteration += 1
@@ -159,7 +165,8 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
                                          rows_bound=bound)
             if test is not None:
                 acc = forest_accuracy(model, test, f"eval{iteration}")
-        done = n_unlabeled == 0 or (max_rounds is not None and iteration > max_rounds)
+        done = n_unlabeled == 0 or (max_rounds is not None
+                                    and iteration > done_rounds + max_rounds)
         if done:
             history.append((iteration, n_labeled, n_unlabeled, acc, time.time() - t0))
             break
@@ -173,7 +180,7 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
     hist = spark.createDataFrame(history, HISTORY_SCHEMA)
     batches = labeled.where(F.col("labeled_at") > 0).select(
         F.col("labeled_at").alias("iteration"), "rank", "id")
-    return LoopResult(hist, batches, labeled.select("id", "labeled_at"))
+    return LoopResult(hist, batches, labeled.select("id", "labeled_at", "rank"))
 
 
 def forest_accuracy(model, test: DataFrame, name: str) -> float:

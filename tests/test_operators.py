@@ -289,3 +289,16 @@ def test_hot_key_inputs(spark):
     codes = {r.c: r.c_code for r in enc}
     assert sorted(codes.values()) == list(range(len(codes)))
     assert all(r.c_code == codes[r.c] for r in enc) and len(enc) == 3000
+
+
+def test_loop_resumes_from_its_labelled_table(spark):
+    pts = points_from_rows(spark, [(float(i % 2), [float(i)]) for i in range(40)])
+    start = pool.start_first_k(pts, 4)
+    strat = loop.random_strategy(2)
+    whole = loop.run_loop(spark, pts, start, 4, strat, 3, max_rounds=5)
+    first = loop.run_loop(spark, pts, start, 4, strat, 3, max_rounds=2)
+    rest = loop.run_loop(spark, pts, first.labeled, 10, strat, 3, max_rounds=3)
+    got = sorted((r.iteration, r.rank, r.id) for r in rest.batches.collect())
+    want = sorted((r.iteration, r.rank, r.id) for r in whole.batches.collect())
+    assert got == want
+    assert [h.iteration for h in rest.history.orderBy("iteration").collect()] == [3, 4, 5, 6]
