@@ -3,28 +3,77 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and reread as the next
 stage's documents.  All but the last stage return the columns of documents.
+
+A stage keeps or drops whole rows: language ID drops documents without a
+language, near-dedup keeps the smallest id of each group, decontamination
+drops documents that hold a benchmark window, mixing drops by the calibrated
+probabilities.  The last stage writes the token files and returns their rows.
+Null ids and rows that repeat an id are kept or dropped by their own text,
+except in near-dedup, where rows of one id are one document.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orchard.llm import neardup
+from orchard.llm import decontaminate, language, mixing, neardup, tokens
 from orchard.llm.common import documents
+from orchard.llm.queries import END_ID, MIX_DIMS, MIX_POWERS, MIX_SWEEPS, PIECES, TOKENIZER
 from orchard.session import scratch_path
+from orchard.sources.tables import read_table
+
+#: Tokens that mixing asks for, as a share of the tokens it is given.
+BUDGET = 1.0
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a determined language."""
+    model = language.train(docs, public_tokenizers.path(PIECES))
+    return language.with_prediction(docs, model).where(
+        F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the smallest id, of each near-duplicate group."""
-    verdict = neardup.components_of(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
+    dropped = neardup.components_of(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    hits = decontaminate.hits_of(docs, read_table(spark, sf_dir, "benchmark"))
+    if hits is None:
+        return docs
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(hits["hit_id"]) & (keyed["_text_hash"] == hits["hit_hash"])
+    return keyed.join(hits, same, "left_anti").select(*docs.columns)
+
+
+def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents by probabilities raked to source, language and topic."""
+    weighed = docs.withColumns({"topic": mixing.topic_of(F.col("text")),
+                                "n_tokens": mixing.token_count(F.col("text"))})
+    return mixing.mix(weighed, MIX_DIMS, MIX_POWERS, BUDGET, sweeps=MIX_SWEEPS).where("sampled").select(
+        *docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token files; return their rows: doc_id, start, n_tokens, ids."""
+    path = scratch_path(spark, f"token-files-{uuid.uuid4().hex}")
+    tokens.write_token_files(docs, path, public_tokenizers.path(TOKENIZER), END_ID)
+    return tokens.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids")
 
 
 STAGES = [
+    ("language_id", language_id),
     ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("source_mixing", mixing_to_targets),
+    ("token_files", token_files),
 ]
 
 #: The language model's and the tokenizer's results have no SQL form.

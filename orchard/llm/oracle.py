@@ -4,9 +4,107 @@ from __future__ import annotations
 
 import string
 
+from orchard.llm.queries import MIX_BUDGET, MIX_DIMS, MIX_POWERS, MIX_SWEEPS, URL_RULES
+
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
+_WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+def _mixing_sql() -> str:
+    sweeps, step = [], 0
+    for _ in range(MIX_SWEEPS):
+        for d in MIX_DIMS:
+            step += 1
+            sweeps.append(f"w{step} AS (SELECT * REPLACE (w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w) "
+                          f"FROM w{step - 1})")
+    mass = ",\n".join(
+        f"m_{d} AS (SELECT {d}, pow(sum(n)::DOUBLE, {MIX_POWERS[d]}) AS m FROM cells GROUP BY {d}),\n"
+        f"t_{d} AS (SELECT {d}, m / sum(m) OVER () AS t_{d} FROM m_{d})" for d in MIX_DIMS)
+    keys = ", ".join(MIX_DIMS)
+    return f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
+    source AS source_out, lang AS lang_out,
+    CASE WHEN contains(coalesce(text, ''), 'icense') OR contains(coalesce(text, ''), 'opyright') THEN 'licence'
+         WHEN contains(coalesce(text, ''), '@') THEN 'contact'
+         WHEN regexp_matches(coalesce(text, ''), '[0-9]{{9}}') THEN 'records' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+  FROM documents),
+cells AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS n FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0),
+total AS (SELECT sum(n) AS total FROM cells),
+{mass},
+w0 AS (SELECT {keys}, n, n / total AS w, {", ".join(f"t_{d}" for d in MIX_DIMS)}
+       FROM cells CROSS JOIN total {" ".join(f"JOIN t_{d} USING ({d})" for d in MIX_DIMS)}),
+{", ".join(sweeps)},
+chance AS (SELECT {keys}, least(1.0, w * {MIX_BUDGET} * total / n) AS p FROM w{step}, total)
+SELECT doc_id, source_out AS source, lang_out AS lang, topic, n_tokens,
+  round(coalesce(p, 0.0), 6) AS probability,
+  ('0x' || substr(md5(doc_id || ':20'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < coalesce(p, 0.0) AS sampled
+FROM docs LEFT JOIN chance USING ({keys})
+"""
+
+
 ORACLE = {
+    "op4_benchmark_decontamination": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORDS}') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORDS}') AS ws FROM benchmark),
+bs AS (SELECT item_id, ws, least(len(ws), 10) AS l, unnest(generate_series(1, len(ws) - least(len(ws), 10) + 1)) AS s
+       FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, l, array_to_string(ws[s:s + l - 1], ' ') AS win FROM bs),
+lens AS (SELECT DISTINCT l FROM bw),
+ds AS (SELECT doc_id, ws, l, unnest(generate_series(1, len(ws) - l + 1)) AS s FROM w, lens WHERE len(ws) >= l),
+h AS (SELECT doc_id, s, l, item_id FROM (SELECT doc_id, l, s, array_to_string(ws[s:s + l - 1], ' ') AS win FROM ds)
+      JOIN bw USING (l, win)),
+n AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(s, s + l - 1)) FROM h)
+      GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha
+      FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
+    "op5_source_mixing": _mixing_sql(),
+    "op6_chat_rotation": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'unknown')) - 1 AS number
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (
+  SELECT conv_id, perspective, number, number // 32 AS chunk, speaker = perspective AS own,
+    '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker
+                           ELSE 'user name=' || speaker END || chr(10) AS head,
+    text || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN p USING (conv_id)),
+o AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (
+      PARTITION BY conv_id, perspective, chunk ORDER BY number
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM r),
+c AS (
+  SELECT conv_id, perspective, chunk, count(*) AS n_turns, string_agg(head || body, '' ORDER BY number) AS text,
+    coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body) - 1), ',' ORDER BY number)
+      FILTER (own), '') AS mask
+  FROM o GROUP BY ALL)
+SELECT conv_id, perspective, chunk, n_turns, coalesce(sum(length(text)) OVER (
+    PARTITION BY conv_id, perspective ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+    AS char_start, text, mask
+FROM c
+""",
+    "op7_url_filter": f"""
+WITH rules(verdict, rh, rp) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+u AS (
+  SELECT row_number() OVER () AS n, page_id,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LOWER}), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] END AS rest FROM pages)),
+f AS (
+  SELECT n, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY n ORDER BY length(rh || rp) DESC) AS k
+  FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM u LEFT JOIN f ON f.n = u.n AND k = 1
+""",
     "op10_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS ws
