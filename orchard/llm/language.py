@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orchard.llm.common import held_out, mix64
+from orchard.llm.common import held_out, mix64, text_slices
 from orchard.session import cut_lineage
 
 UNDETERMINED = "und"
@@ -41,9 +41,11 @@ START = "▁"           # word-start mark of the vocabulary
 MAX_RUN = 32               # letters scored at once
 MAX_PIECE = 12             # longest piece, in characters with the mark
 RARE = 1e-7                # probability of a letter outside the vocabulary
-CACHE_WORDS = 300_000      # words whose scores a task keeps
+CACHE_WORDS = 400_000      # words whose scores a task keeps
+TEXT_BYTES = 4 << 20       # text whose new words are scored together
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
+_PREFIX_BITS = 20
 
 
 def vocabulary(path: str) -> list[str]:
@@ -66,8 +68,11 @@ class PieceTable:
         for length in {len(p) for p in pieces}:
             at = [i for i, p in enumerate(pieces) if len(p) == length]
             keys[at] = self.keys(self.codes([pieces[i] for i in at], length), 0, length)
-        self.order = np.argsort(keys)
-        self.sorted = keys[self.order]
+        self.order = np.append(np.argsort(keys), self.size)
+        self.sorted = np.append(np.sort(keys), np.uint64(0))
+        prefix = self.sorted[:-1] >> np.uint64(64 - _PREFIX_BITS)
+        self.first = np.searchsorted(prefix, np.arange(1 << _PREFIX_BITS)).astype(np.int32)
+        self.longest = int(np.bincount(prefix.astype(np.int64), minlength=1).max()) if self.size else 1
 
     @staticmethod
     def codes(words: list[str], width: int) -> np.ndarray:
@@ -88,11 +93,14 @@ class PieceTable:
         return mix64(h + self.powers[length])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Piece number of each key, ``size`` where there is none."""
-        if not self.size:
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, keys), self.size - 1)
-        return np.where(self.sorted[at] == keys, self.order[at], self.size)
+        """Piece number of each key, ``size`` where there is none.  Pieces are
+        sorted by key; the upper bits of a key give the first candidate."""
+        at = self.first[keys >> np.uint64(64 - _PREFIX_BITS)]
+        out = np.where(self.sorted[at] == keys, self.order[at], self.size)
+        for step in range(1, self.longest):
+            at = np.minimum(at + 1, len(self.sorted) - 1)
+            out = np.where(self.sorted[at] == keys, self.order[at], out)
+        return out
 
 
 def runs(words) -> list[str]:
@@ -104,21 +112,31 @@ def runs(words) -> list[str]:
     return out
 
 
-def _by_length(words: list[str]):
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    for length in np.unique(lens):
-        yield int(length), np.flatnonzero(lens == length)
+#: Words are handled together up to these lengths, and this many at once.
+_LENGTHS, _TOGETHER = (6, 10, 16, MAX_RUN), 20_000
 
 
-def _lattice(table: PieceTable, codes: np.ndarray, length: int):
-    """{(start, length): piece number per word} of all substrings."""
-    edges = {}
-    for start in range(length):
-        h = None
-        for m in range(1, min(table.max_len, length - start) + 1):
-            h = codes[:, start] if m == 1 else h * table.powers[1] + codes[:, start + m - 1]
-            edges[start, m] = table.find(table.finish(h, m))
-    return edges
+def _groups(words: list[str]):
+    """(places of the words, their lengths, padded code points) of words of
+    similar length.  Padding is no letter, so no piece crosses a word's end."""
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    low = 0
+    for width in _LENGTHS:
+        at = np.flatnonzero((lens > low) & (lens <= width))
+        for some in np.array_split(at, -(-len(at) // _TOGETHER)) if len(at) else ():
+            yield some, lens[some], PieceTable.codes([words[i] for i in some], width)
+        low = width
+
+
+def _lattice(table: PieceTable, codes: np.ndarray):
+    """(start, length, piece number per word) of all substrings."""
+    width = codes.shape[1]
+    for start in range(width):
+        h = codes[:, start]
+        for m in range(1, min(table.max_len, width - start) + 1):
+            if m > 1:
+                h = h * table.powers[1] + codes[:, start + m - 1]
+            yield start, m, table.find(table.finish(h, m))
 
 
 def forward(table: PieceTable, probs: np.ndarray, words: list[str]) -> np.ndarray:
@@ -127,52 +145,46 @@ def forward(table: PieceTable, probs: np.ndarray, words: list[str]) -> np.ndarra
     ``probs``: pieces x languages, one more row for what is no piece.
     """
     out = np.zeros((len(words), probs.shape[1]))
-    for length, at in _by_length(words):
-        for some in np.array_split(at, -(-len(at) // 20_000)):
-            edges = _lattice(table, table.codes([words[i] for i in some], length), length)
-            alpha = _alpha(edges, probs, table, length, len(some))
-            out[some] = np.log(alpha[length])
-    return out
-
-
-def _alpha(edges, probs, table, length, n):
-    alpha = [np.ones((n, probs.shape[1]))] + [np.zeros((n, probs.shape[1])) for _ in range(length)]
-    for start in range(length):
-        for m in range(1, min(table.max_len, length - start) + 1):
-            p = edges[start, m]
-            step = probs[p]
+    for at, lens, codes in _groups(words):
+        alpha = np.zeros((codes.shape[1] + 1, len(at), probs.shape[1]))
+        alpha[0] = 1
+        for start, m, piece in _lattice(table, codes):
             if m == 1:
-                step = np.where((p == table.size)[:, None], RARE, step)
-            alpha[start + m] += alpha[start] * step
-    return alpha
+                alpha[start + 1] += alpha[start] * np.where((piece == table.size)[:, None], RARE, probs[piece])
+            else:
+                hit = np.flatnonzero(piece < table.size)
+                if len(hit):
+                    alpha[start + m, hit] += alpha[start, hit] * probs[piece[hit]]
+        out[at] = np.log(alpha[lens, np.arange(len(at))])
+    return out
 
 
 def expected_counts(table: PieceTable, probs: np.ndarray, words: list[str], language: np.ndarray,
                     counts: np.ndarray) -> np.ndarray:
     """Expected piece counts (pieces x languages) of words seen ``counts``
     times in the language of their row: forward and backward sums."""
-    total = np.zeros((table.size + 1, probs.shape[1]))
-    for length, at in _by_length(words):
-        for some in np.array_split(at, -(-len(at) // 20_000)):
-            edges = _lattice(table, table.codes([words[i] for i in some], length), length)
-            lang, n = language[some], len(some)
-            own = {}
-            for key, p in edges.items():
-                step = probs[p, lang]
-                own[key] = np.where(p == table.size, RARE, step) if key[1] == 1 else step
-            alpha = np.zeros((length + 1, n))
-            beta = np.zeros((length + 1, n))
-            alpha[0] = beta[length] = 1
-            for start in range(length):
-                for m in range(1, min(table.max_len, length - start) + 1):
-                    alpha[start + m] += alpha[start] * own[start, m]
-            for start in range(length - 1, -1, -1):
-                for m in range(1, min(table.max_len, length - start) + 1):
-                    beta[start] += own[start, m] * beta[start + m]
-            weight = counts[some] / alpha[length]
-            for (start, m), p in edges.items():
-                np.add.at(total, (p, lang), weight * alpha[start] * own[start, m] * beta[start + m])
-    return total
+    n_lang = probs.shape[1]
+    total = np.zeros((table.size + 1) * n_lang)
+    for at, lens, codes in _groups(words):
+        lang, width, every = language[at], codes.shape[1], np.arange(len(at))
+        edges = []
+        for start, m, piece in _lattice(table, codes):
+            hit = np.flatnonzero(piece < table.size) if m > 1 else every
+            if len(hit):
+                own = probs[piece[hit], lang[hit]]
+                own = np.where(piece[hit] == table.size, RARE, own) if m == 1 else own
+                edges.append((start, m, hit, piece[hit], own))
+        alpha, beta = np.zeros((width + 1, len(at))), np.zeros((width + 1, len(at)))
+        alpha[0] = beta[lens, every] = 1
+        for start, m, hit, _, own in edges:
+            alpha[start + m, hit] += alpha[start, hit] * own
+        for start, m, hit, _, own in reversed(edges):
+            beta[start, hit] += own * beta[start + m, hit]
+        weight = counts[at] / alpha[lens, every]
+        for start, m, hit, piece, own in edges:
+            total += np.bincount(piece * n_lang + lang[hit],
+                                 weight[hit] * alpha[start, hit] * own * beta[start + m, hit], len(total))
+    return total.reshape(-1, n_lang)
 
 
 class LanguageModel:
@@ -182,8 +194,8 @@ class LanguageModel:
         self.languages, self.pieces, self.probs = languages, pieces, probs
 
 
-def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 1500,
-          em_rounds: int = 2) -> LanguageModel:
+def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 500,
+          em_rounds: int = 1) -> LanguageModel:
     """A model of the languages in ``lang`` of the rows that are not held out."""
     spark = docs.sparkSession
     pieces = vocabulary(vocabulary_path)
@@ -213,7 +225,8 @@ def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 1500,
                     names=["language", "word", "n"])
 
     words = cut_lineage(sample.mapInArrow(count_words, "language int, word string, n long").groupBy(
-        "language", "word").agg(F.sum("n").alias("n")))
+        "language", "word").agg(F.sum("n").alias("n")).repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "word"))
     probs = np.full((len(pieces) + 1, len(languages)), 1 / max(1, len(pieces)))
     probs[-1] = 0
     for _ in range(em_rounds + 1):
@@ -230,14 +243,10 @@ def _re_estimate(words: DataFrame, pieces: list[str], probs: np.ndarray) -> np.n
         table = PieceTable(pieces)
         total = np.zeros((table.size + 1, n_lang))
         for batch in batches:
-            parts, lang, n = [], [], []
-            for i, w, c in zip(*[x.to_pylist() for x in batch.columns]):
-                for r in runs([w]):
-                    parts.append(r)
-                    lang.append(i)
-                    n.append(c)
+            parts = [(r, i, c) for i, w, c in zip(*[x.to_pylist() for x in batch.columns]) for r in runs([w])]
             if parts:
-                total += expected_counts(table, probs, parts, np.array(lang), np.array(n, float))
+                words, lang, n = zip(*parts)
+                total += expected_counts(table, probs, list(words), np.array(lang), np.array(n, float))
         piece, language = np.nonzero(total[:table.size])
         yield pa.RecordBatch.from_arrays(
             [pa.array(piece, pa.int32()), pa.array(language, pa.int32()), pa.array(total[piece, language])],
@@ -258,39 +267,51 @@ def _predictor(model: LanguageModel, text_column: int):
     def part(batches):
         table = PieceTable(pieces)
         known: dict[str, int] = {}
-        scores = np.zeros((1024, len(languages)))
-        for batch in batches:
-            names, best = [], []
-            for text in batch.column(text_column):
-                words = _LETTERS.findall((text.as_py() or "").lower())
-                if not words or not languages:
-                    names.append(UNDETERMINED)
-                    best.append(0.0)
+        scores = np.zeros((1 << 16, len(languages)))
+
+        def learn(new: list[str]) -> None:
+            nonlocal scores
+            split = [runs([w]) for w in new]
+            owner = np.repeat(np.arange(len(new)), [len(x) for x in split])
+            sums = np.zeros((len(new), len(languages)))
+            np.add.at(sums, owner, forward(table, probs, [r for x in split for r in x]))
+            first = len(known)
+            while len(scores) < first + len(new):
+                scores = np.concatenate([scores, np.zeros_like(scores)])
+            scores[first:first + len(new)] = sums
+            known.update(zip(new, range(first, first + len(new))))
+
+        def judge(texts: list[str]):
+            """(language, score) of some whole texts; their new words are
+            scored together."""
+            found = [_LETTERS.findall(t.lower()) for t in texts]
+            if not languages:
+                return [(UNDETERMINED, 0.0)] * len(texts)
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            new = {w for words in found for w in words if w not in known}
+            if new:
+                learn(sorted(new))
+            out = []
+            for words in found:
+                if not words:
+                    out.append((UNDETERMINED, 0.0))
                     continue
-                try:
-                    at = [known[w] for w in words]
-                except KeyError:
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
-                    new = sorted({w for w in words if w not in known})
-                    split = [runs([w]) for w in new]
-                    owner = np.repeat(np.arange(len(new)), [len(x) for x in split])
-                    sums = np.zeros((len(new), len(languages)))
-                    np.add.at(sums, owner, forward(table, probs, [r for x in split for r in x]))
-                    first = len(known)
-                    while len(scores) < first + len(new):
-                        scores = np.vstack([scores, np.zeros_like(scores)])
-                    scores[first:first + len(new)] = sums
-                    known.update(zip(new, range(first, first + len(new))))
-                    at = [known[w] for w in words]
-                total = scores[at].sum(0)
+                total = scores[[known[w] for w in words]].sum(0)
                 i = int(np.argmax(total))
                 # tempered: at most 20 words' worth of evidence
-                z = np.exp((total - total[i]) * min(1.0, 20 / len(at)))
-                names.append(languages[i])
-                best.append(float(1 / z.sum()))
+                z = np.exp((total - total[i]) * min(1.0, 20 / len(words)))
+                out.append((languages[i], float(1 / z.sum())))
+            return out
+
+        for batch in batches:
+            column = batch.column(text_column)
+            out = []
+            for first, end, _, _ in text_slices(column, TEXT_BYTES):
+                out += judge([t or "" for t in column.slice(first, end - first).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(best, pa.float64())],
+                [*batch.columns, pa.array([x for x, _ in out], pa.string()),
+                 pa.array([x for _, x in out], pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"])
 
     return part
