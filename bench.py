@@ -54,14 +54,14 @@ def lal_phases(spark, sf, num_trees=50):
     labeled = cut_lineage(pool.fetch_labeled(pool_points, start, 2))
     unlabeled = pool.fetch_unlabeled(pool_points, start, 2)
     t0 = time.time()
-    model = committee.fit_forest(labeled, num_trees, 1, rows_bound=2)
+    model = committee.fit_forest(labeled, num_trees, 1)
     t["lal_phase_fit_forest"] = time.time() - t0
     t0 = time.time()
-    standin = lal.gain_training_standin(committee.forest_vote_arrays(model, labeled, "b-l"), labeled)
+    standin = lal.gain_training_standin(committee.forest_vote_arrays(model, labeled), labeled)
     regressor = lal.fit_gain_regressor(standin, num_trees=10, seed=1)
     t["lal_phase_fit_regressor"] = time.time() - t0
     t0 = time.time()
-    state = cut_lineage(lal.lal_state(committee.forest_vote_arrays(model, unlabeled, "b-u"), labeled))
+    state = lal.lal_state(committee.forest_vote_arrays(model, unlabeled), labeled)
     t["lal_phase_votes_and_features"] = time.time() - t0
     t0 = time.time()
     lal.select_lal(state, regressor, 1).select(F.col("id")).collect()

@@ -6,7 +6,6 @@ sources    loaders and sinks (delimited text, CSV, the driver's Parquet tables,
 functions  column expressions (recodes, unit vectors, committee scores, random keys)
 operators  table operators (prep, pool state, committee votes, similarity, selection, evaluation)
 plans      composed jobs (active-learning round loop, supervised fit/evaluate jobs, registered queries)
-streaming  notes only: the reference has no streaming operator
 """
 
 __version__ = "0.1.0"

@@ -89,6 +89,12 @@ def order_key(id_col, seed) -> Column:
     return F.md5(F.concat_ws(":", _col(id_col).cast("string"), F.lit(str(seed))))
 
 
+def numeric_key(id_col, seed) -> Column:
+    """The first 60 bits of the md5 key as a BIGINT, in the same order; a
+    fixed-width key keeps minima in hash aggregates."""
+    return F.conv(F.substring(order_key(id_col, seed), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_bucket(id_col, seed, buckets: int) -> Column:
     """Integer bucket in [0, buckets) from the first 32 bits of the md5 key."""
     head = F.conv(F.substring(order_key(id_col, seed), 1, 8), 16, 10).cast("bigint")
@@ -119,12 +125,11 @@ def binary_entropy(p0) -> Column:
 
 
 def binary_sd(sum_votes, n_votes) -> Column:
-    """Sample SD (n-1) of n binary votes of which ``sum_votes`` are 1."""
-    s = _col(sum_votes).cast("double")
+    """Sample SD (n-1) of n binary votes of which ``sum_votes`` are 1:
+    ones times zeros over n (n - 1) is the variance of 0/1 values."""
+    ones = _col(sum_votes).cast("double")
     n = _col(n_votes).cast("double")
-    mean = s / n
-    var = (s * (1 - mean) * (1 - mean) + (n - s) * mean * mean) / (n - 1)
-    return F.when(n > 1, F.sqrt(var))
+    return F.when(n > 1, F.sqrt(ones * (n - ones) / (n * (n - 1))))
 
 
 def score_key(score) -> Column:

@@ -8,35 +8,26 @@ shuffle at all - the form the strategies use.
 
 Members are either fixed stumps (SQL-expressible, used for oracle checks) or
 the trees of a Spark ML random forest.  Forest votes come from one pass over
-the rows: small committees chain the public per-tree models, one prediction
-column each; large ones use the forest's ``leafCol`` (per tree, the ordinal of
-the leaf a row falls in) and a lookup array built from the saved leaf table,
-which has at most ``numTrees * 2**maxDepth`` rows, a bound fixed by the
-forest parameters.
+the rows through the public per-tree models, one prediction column each.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orchard.functions.columns import binary_sd, class0_share, half_entropy, margin
-from orchard.session import scratch_path
 
 # Fixed values of the forest committee (old-API defaults made explicit).
 FOREST_MAX_DEPTH = 4
 FOREST_MAX_BINS = 32
 FOREST_IMPURITY = "gini"
 FOREST_SUBSET = "auto"
-# Forests up to this many trees vote through per-tree models, larger ones
-# through the leaf-ordinal lookup.
-PER_TREE_LIMIT = 20
-# A labelled set up to this many rows is fitted from one ordered partition.
-SINGLE_PARTITION_FIT_ROWS = 100_000
+# Training rows are hashed into this many partitions, whatever the session's
+# settings: bootstrap samples depend on the partitions and their order.
+FIT_PARTITIONS = 16
 # Label metadata: two nominal classes, so a one-class labelled set still
 # trains a two-class forest.
 BINARY_LABEL_META = {"ml_attr": {"type": "nominal", "vals": ["0", "1"],
@@ -46,11 +37,17 @@ BINARY_LABEL_META = {"ml_attr": {"type": "nominal", "vals": ["0", "1"],
 # ----------------------------------------------------------- stumps -------
 
 def stump_vote_arrays(points: DataFrame, members: int = 10) -> DataFrame:
-    """All input columns plus ``votes``: member t (0-based) votes 1.0 when
-    feature t is > 0.  Narrow, no shuffle."""
-    votes = F.transform(F.slice("features", 1, members),
-                        lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return points.select("*", votes.alias("votes"))
+    """All input columns plus ``votes``: member t (0-based) votes 1.0 when the
+    sum of the features at positions t, t + members, t + 2 members ... is > 0,
+    so the whole vector is read.  Narrow, no shuffle."""
+    size = F.size("features")
+
+    def vote(t):
+        own = F.aggregate(F.sequence(t, F.greatest(size - 1, t), F.lit(members)), F.lit(0.0),
+                          lambda acc, i: acc + F.coalesce(F.get("features", i), F.lit(0.0)))
+        return F.when(own > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+
+    return points.select("*", F.array(*[vote(F.lit(t)) for t in range(members)]).alias("votes"))
 
 
 def explode_votes(arrays: DataFrame) -> DataFrame:
@@ -109,6 +106,14 @@ def majority_vote(votes: DataFrame) -> DataFrame:
                         .otherwise(F.lit(0.0)).alias("prediction"))
 
 
+def predictions(arrays: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept columns, majority vote and mean vote (``score``) of per-row
+    vote arrays: one projection."""
+    stats = row_vote_stats(arrays, keep)
+    return stats.select("id", *keep, F.when(F.col("mean_vote") > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+                        .alias("prediction"), F.col("mean_vote").alias("score"))
+
+
 # ----------------------------------------------------------- forest -------
 
 def with_binary_label(points: DataFrame) -> DataFrame:
@@ -119,82 +124,27 @@ def with_binary_label(points: DataFrame) -> DataFrame:
 
 def fit_forest(train: DataFrame, num_trees: int = 10, seed: int = 1,
                max_depth: int = FOREST_MAX_DEPTH,
-               rows_bound: int | None = None) -> RandomForestClassificationModel:
+               partitions: int = FIT_PARTITIONS) -> RandomForestClassificationModel:
     """Fit a forest classifier on a labelled point table.
 
-    Bootstrap samples depend on row order, so rows are put in a fixed order
-    first: one id-sorted partition while the labelled set is known to be
-    small (``rows_bound``, the usual case in active learning), else a range
-    partitioning by id, which is just as repeatable and keeps training parallel.
+    Bootstrap samples depend on the partitions and their order, so rows are
+    hashed by id into a fixed number of partitions and sorted inside them:
+    the same forest whatever the session's shuffle settings.
     """
-    if rows_bound is not None and rows_bound <= SINGLE_PARTITION_FIT_ROWS:
-        ordered = train.orderBy("id").coalesce(1)
-    else:
-        ordered = train.repartitionByRange("id").sortWithinPartitions("id")
-    data = with_binary_label(ordered)
+    data = with_binary_label(train.repartition(partitions, "id").sortWithinPartitions("id"))
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=num_trees,
                                 maxDepth=max_depth, maxBins=FOREST_MAX_BINS,
                                 impurity=FOREST_IMPURITY, featureSubsetStrategy=FOREST_SUBSET,
-                                seed=seed, leafCol="leaf")
+                                seed=seed)
     return rf.fit(data)
 
 
-def leaf_table(model: RandomForestClassificationModel, name: str) -> DataFrame:
-    """(tree, leaf, vote): prediction of every leaf, by leaf ordinal.
-
-    The model is saved under the shared checkpoint folder; its node table is
-    Parquet with one row per node.  Leaf ordinals follow node ids, which are
-    assigned in pre-order, the order ``leafCol`` numbers leaves in.
-    """
-    cached = getattr(model, "_orchard_leaf_table", None)
-    if cached is not None:
-        return cached
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, f"forest-{name}-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    leaves = nodes.where(F.col("nodeData.leftChild") < 0).select(
-        F.col("treeID").cast("int").alias("tree"),
-        F.col("nodeData.id").alias("node"),
-        F.col("nodeData.prediction").alias("vote"))
-    ordinal = Window.partitionBy("tree").orderBy("node")
-    table = leaves.select("tree", (F.row_number().over(ordinal) - 1).alias("leaf"), "vote")
-    model._orchard_leaf_table = table  # one save per fitted model
-    return table
-
-
-def leaf_lookup(leaves: DataFrame):
-    """Scalar subquery: ``lookup[tree][leaf] = vote`` as ARRAY<ARRAY<DOUBLE>>.
-
-    One row built from the leaf table, whose size is bounded by the forest
-    parameters (trees x 2^depth), never by the data.
-    """
-    per_tree = leaves.groupBy("tree").agg(
-        F.array_sort(F.collect_list(F.struct("leaf", "vote"))).alias("lv"))
-    table = per_tree.select(F.transform(F.array_sort(F.collect_list(F.struct("tree", "lv"))),
-                                        lambda e: F.transform(e["lv"], lambda x: x["vote"]))
-                            .alias("lookup"))
-    return table.select("lookup").scalar()
-
-
-def forest_vote_arrays(model: RandomForestClassificationModel, points: DataFrame,
-                       name: str = "committee") -> DataFrame:
+def forest_vote_arrays(model: RandomForestClassificationModel, points: DataFrame) -> DataFrame:
     """All input columns plus ``votes``: every tree's vote, in one scan.
 
-    Up to ``PER_TREE_LIMIT`` trees each tree model predicts into its own
-    column of one projection chain; larger forests use the leaf-ordinal
-    lookup, which keeps the plan one projection deep.  Either way: one pass,
-    no join, no shuffle.
+    Each tree predicts in its own column (public per-tree models); then the
+    columns become the ``votes`` array: one pass, no join, no shuffle.
     """
-    if model.getNumTrees <= PER_TREE_LIMIT:
-        return per_tree_vote_arrays(model, points)
-    return leaf_lookup_vote_arrays(model, points, name)
-
-
-def per_tree_vote_arrays(model: RandomForestClassificationModel, points: DataFrame) -> DataFrame:
-    """Each tree predicts in its own column (public per-tree models); then
-    the columns become the ``votes`` array."""
     frame = points.select("*", array_to_vector("features").alias("_fv"))
     cols = []
     for t, tree in enumerate(model.trees):
@@ -206,35 +156,6 @@ def per_tree_vote_arrays(model: RandomForestClassificationModel, points: DataFra
     return frame.select(*points.columns, F.array(*[F.col(c) for c in cols]).alias("votes"))
 
 
-def leaf_lookup_vote_arrays(model: RandomForestClassificationModel, points: DataFrame,
-                            name: str = "committee") -> DataFrame:
-    """The forest only computes leaf ordinals (prediction, probability and raw
-    columns are switched off); leaf ordinals become votes through the lookup
-    array, inside the same projection."""
-    leaves = leaf_table(model, name)
-    m = model.copy()
-    m.setFeaturesCol("_fv").setLeafCol("_leaf").setPredictionCol("")
-    m.setRawPredictionCol("").setProbabilityCol("")
-    leafed = m.transform(points.select("*", array_to_vector("features").alias("_fv")))
-    with_lookup = leafed.select(*points.columns, vector_to_array("_leaf").alias("_leaf"),
-                                leaf_lookup(leaves).alias("_lookup"))
-    votes = F.transform("_leaf", lambda leaf, t: F.element_at(F.element_at("_lookup", t + 1),
-                                                               leaf.cast("int") + 1))
-    return with_lookup.select(*points.columns, votes.alias("votes"))
-
-
-def forest_votes(model: RandomForestClassificationModel, points: DataFrame,
-                 name: str = "committee") -> DataFrame:
+def forest_votes(model: RandomForestClassificationModel, points: DataFrame) -> DataFrame:
     """votes(id, tree, vote) of every tree for every row, in one scan."""
-    return explode_votes(forest_vote_arrays(model, points.select("id", "features"), name))
-
-
-def forest_votes_by_tree(model: RandomForestClassificationModel, points: DataFrame) -> DataFrame:
-    """The long vote table through the per-tree path, whatever the forest size."""
-    return explode_votes(per_tree_vote_arrays(model, points.select("id", "features")))
-
-
-def forest_votes_by_leaf(model: RandomForestClassificationModel, points: DataFrame,
-                         name: str = "committee") -> DataFrame:
-    """The long vote table through the leaf-lookup path, whatever the forest size."""
-    return explode_votes(leaf_lookup_vote_arrays(model, points.select("id", "features"), name))
+    return explode_votes(forest_vote_arrays(model, points.select("id", "features")))

@@ -53,12 +53,10 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
         F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)).alias("neg"))
     cum = running_sums(per_score, ["s"], ["neg"], carry=["pos"])
-    total = per_score.select(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    num = cum.select(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") * 0.5)).alias("u"))
-    p_tot = total.select("P").scalar()
-    n_tot = total.select("N").scalar()
+    num = cum.select(F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") * 0.5)).alias("u"),
+                     F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     # NULL (not an ANSI error) when one class is absent
-    return num.select(F.try_divide(F.col("u"), p_tot * n_tot).alias("auc"))
+    return num.select(F.try_divide(F.col("u"), F.col("p") * F.col("n")).alias("auc"))
 
 
 def feature_importance(spark: SparkSession, importances) -> DataFrame:

@@ -8,10 +8,12 @@ State features per unlabelled row, from committee votes and the labelled set:
     f6  mean of f2 over the unlabelled rows        (scalar)
     f8  number of labelled rows                    (scalar)
 
-The three scalars are scalar subqueries: each is one small aggregate whose
-single value Spark substitutes into the per-row projection, so no row is
-cross-joined and nothing is collected.  A regressor predicts the gain of
-labelling each row; the largest predicted gain is chosen, ties by id.
+One pass over the pool writes the narrow table (id, f1, f2) to the checkpoint
+folder; f6 and the predictions come from it, so the committee votes once.  The
+three scalars are scalar subqueries: each is one small aggregate whose single
+value Spark substitutes into the per-row projection, so no row is cross-joined
+and nothing is collected.  A regressor predicts the gain of labelling each
+row; the largest predicted gain is chosen, ties by id.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.operators.committee import stats_of
+from orchard.operators.committee import FIT_PARTITIONS, stats_of
 from orchard.operators.select import select_by_prediction
+from orchard.session import cut_lineage
+from orchard.sources.models import load_or_train
 
 STATE_COLS = ("f1", "f2", "f3", "f6", "f8")
 # Column positions of the five state features in the
@@ -32,22 +36,20 @@ TRAIN_FILE_COLUMNS = (0, 1, 2, 5, 7)
 LINEAR_GAIN = {"f1": 0.5, "f2": 2.0, "f3": -0.25, "f6": 1.0, "f8": 0.001}
 
 
-def lal_state(votes: DataFrame, labeled_points: DataFrame,
-              carry: tuple[str, ...] = ()) -> DataFrame:
-    stats = stats_of(votes, keep=carry).select(
+def lal_state(votes: DataFrame, labeled_points: DataFrame) -> DataFrame:
+    stats = cut_lineage(stats_of(votes).select(
         "id", F.col("mean_vote").alias("f1"),
-        F.coalesce(F.col("sd_vote"), F.lit(0.0)).alias("f2"), *carry)
+        F.coalesce(F.col("sd_vote"), F.lit(0.0)).alias("f2")))
     f3 = labeled_points.select(F.avg(F.col("label").cast("double"))).scalar()
     f8 = labeled_points.select(F.count(F.lit(1))).scalar()
     f6 = stats.select(F.avg("f2")).scalar()
-    return stats.select("id", "f1", "f2", f3.alias("f3"), f6.alias("f6"), f8.alias("f8"), *carry)
+    return stats.select("id", "f1", "f2", f3.alias("f3"), f6.alias("f6"), f8.alias("f8"))
 
 
-def linear_gain(state: DataFrame, weights: dict[str, float] | None = None,
-                carry: tuple[str, ...] = ()) -> DataFrame:
+def linear_gain(state: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     w = weights or LINEAR_GAIN
     expr = sum((F.col(c).cast("double") * F.lit(float(w[c])) for c in STATE_COLS), F.lit(0.0))
-    return state.select("id", expr.alias("prediction"), *carry)
+    return state.select("id", expr.alias("prediction"))
 
 
 def select_lal_linear(state: DataFrame, k: int = 1,
@@ -55,41 +57,35 @@ def select_lal_linear(state: DataFrame, k: int = 1,
     return select_by_prediction(linear_gain(state, weights), k)
 
 
-def _assembled(state: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    cast = state.select("id", *[F.col(c).cast("double").alias(c) for c in STATE_COLS], *carry)
+def _assembled(state: DataFrame) -> DataFrame:
+    cast = state.select("id", *[F.col(c).cast("double").alias(c) for c in STATE_COLS])
     return VectorAssembler(inputCols=list(STATE_COLS), outputCol="sv").transform(cast)
 
 
-def predict_gain(state: DataFrame, model: RandomForestRegressionModel,
-                 carry: tuple[str, ...] = ()) -> DataFrame:
+def predict_gain(state: DataFrame, model: RandomForestRegressionModel) -> DataFrame:
     model = model.copy().setFeaturesCol("sv").setPredictionCol("prediction")
-    return model.transform(_assembled(state, carry)).select("id", "prediction", *carry)
+    return model.transform(_assembled(state)).select("id", "prediction")
 
 
-def select_lal(state: DataFrame, model: RandomForestRegressionModel, k: int = 1,
-               carry: tuple[str, ...] = ()) -> DataFrame:
-    return select_by_prediction(predict_gain(state, model, carry), k, carry=carry)
+def select_lal(state: DataFrame, model: RandomForestRegressionModel, k: int = 1) -> DataFrame:
+    return select_by_prediction(predict_gain(state, model), k)
 
 
 def fit_gain_regressor(train: DataFrame, num_trees: int = 100, seed: int = 1,
                        model_path: str | None = None,
                        max_depth: int = 5) -> RandomForestRegressionModel:
-    """Load the regressor from ``model_path`` if it is there, else fit and save it.
+    """Load the regressor from ``model_path`` if one is there, else fit (and save) it.
 
-    ``train`` has the five state columns and ``gain``.
+    ``train`` has the five state columns and ``gain``; rows are put in a fixed
+    order, as the bootstrap samples depend on it.
     """
-    if model_path:
-        try:
-            return RandomForestRegressionModel.load(model_path)
-        except Exception:  # noqa: BLE001 - absent or unreadable: train anew
-            pass
-    data = _assembled_with_target(train)
-    rf = RandomForestRegressor(featuresCol="sv", labelCol="gain", numTrees=num_trees,
-                               maxDepth=max_depth, seed=seed)
-    model = rf.fit(data)
-    if model_path:
-        model.write().overwrite().save(model_path)
-    return model
+    def fit() -> RandomForestRegressionModel:
+        data = _assembled_with_target(train).repartition(
+            FIT_PARTITIONS, *STATE_COLS, "gain").sortWithinPartitions(*STATE_COLS, "gain")
+        return RandomForestRegressor(featuresCol="sv", labelCol="gain", numTrees=num_trees,
+                                     maxDepth=max_depth, seed=seed).fit(data)
+
+    return load_or_train(model_path, RandomForestRegressionModel.load, fit) if model_path else fit()
 
 
 def _assembled_with_target(train: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 The state is kept as ``labeled(id, labeled_at)`` - the labelled rows only.
 An active-learning run labels few rows (labels cost human work), and the
 driver always knows an upper bound on how many: the start size plus the batch
-sizes handed out so far.  While that bound is under ``BROADCAST_ROW_LIMIT``
-the labelled table is broadcast into the semi/anti joins below, so the large
+sizes handed out so far.  While that bound times the row width is under
+``BROADCAST_BYTES`` the labelled table is broadcast into the semi/anti joins below, so the large
 point table is never shuffled for them; beyond it the planner (with AQE)
 picks a shuffled join.  ``pool_state`` renders the full (id, labeled_at) view.
 """
@@ -14,13 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.functions.columns import order_key
-from orchard.session import BROADCAST_ROW_LIMIT
+from orchard.functions.columns import numeric_key
+from orchard.session import BROADCAST_BYTES
 
+# Bytes of a row of ids and rounds (the sides joined here).
+STATE_ROW_BYTES = 32
 
-def bounded_side(df: DataFrame, bound: int | None) -> DataFrame:
-    """Broadcast a side only when its row count is bounded by a known limit."""
-    if bound is not None and bound <= BROADCAST_ROW_LIMIT:
+
+def bounded_side(df: DataFrame, bound: int | None, row_bytes: int = STATE_ROW_BYTES) -> DataFrame:
+    """Broadcast a side only when its rows, a bound known on the driver, times
+    their width stay under a byte limit; otherwise the planner chooses."""
+    if bound is not None and bound * row_bytes <= BROADCAST_BYTES:
         return F.broadcast(df)
     return df
 
@@ -36,17 +40,19 @@ def start_first_k(points: DataFrame, k: int) -> DataFrame:
 def start_one_per_class(points: DataFrame, n_start: int, seed: int) -> DataFrame:
     """One seeded-random row of each class, then random rows up to ``n_start``.
 
-    The per-class pick is ``min(struct(key, id))`` per label: a hash aggregate
-    with map-side combine, so a class holding most rows costs nothing extra.
+    The per-class pick is the id of the smallest numeric key of each label: a
+    hash aggregate with map-side combine, so a class holding most rows costs
+    nothing extra.  The fill comes from the 2 n_start smallest keys (a top-k):
+    at most n_start of them can be class picks, which drop out of the union of
+    the two small tables.
     """
-    keyed = points.select("id", "label", order_key("id", seed).alias("key"))
-    picks = keyed.groupBy("label").agg(F.min(F.struct("key", "id")).alias("m"))
-    per_class = picks.select(F.col("m.id").alias("id"), F.col("m.key").alias("key"))
-    rest = keyed.join(per_class.select("id"), "id", "left_anti")
-    extra = rest.orderBy("key", "id").limit(n_start).select("id", "key")
+    keyed = points.select("id", "label", numeric_key("id", seed).alias("key"))
+    per_class = keyed.groupBy("label").agg(F.min_by("id", "key").alias("id"), F.min("key").alias("key"))
+    extra = keyed.select("id", "key").orderBy("key", "id").limit(2 * n_start)
     # class picks first, then the random fill, cut at n_start in that order
     ranked = per_class.select("id", F.lit(0).alias("grp"), "key").unionByName(
-        extra.select("id", F.lit(1).alias("grp"), "key"))
+        extra.select("id", F.lit(1).alias("grp"), "key")).groupBy("id").agg(
+        F.min("grp").alias("grp"), F.min("key").alias("key"))
     top = ranked.orderBy("grp", "key", "id").limit(n_start)
     return top.select("id", F.lit(0).alias("labeled_at"))
 

@@ -9,16 +9,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.functions.columns import (WHITESPACE, hash_bucket, order_key, split_fixed,
-                                       strip_quotes, to_double_array, tokens)
+from orchard.functions.columns import (WHITESPACE, hash_bucket, numeric_key, order_key,
+                                       split_fixed, strip_quotes, to_double_array, tokens)
 from orchard.operators.ranking import index_rows
-from orchard.session import BROADCAST_ROW_LIMIT
 
 # Fixed values of the hash split: buckets per unit of weight.
 SPLIT_BUCKETS = 10000
-# Fixed values of the XOR / checkerboard mixture's integer hash:
-# u(id, d) = ((id * XOR_A + d * XOR_B + XOR_C) mod XOR_M) / XOR_M.
-XOR_A, XOR_B, XOR_C, XOR_M = 7919, 104729, 12345, 1000003
 
 
 # ------------------------------------------------------------- text -------
@@ -84,8 +80,9 @@ def first_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:
 
 # --------------------------------------------------------- documents ------
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """Whole-text numeric features of a document, all built-in expressions."""
+def document_features(docs: DataFrame, keep: Sequence[str | F.Column] = ()) -> DataFrame:
+    """Whole-text numeric features of a document, all built-in expressions;
+    ``keep`` adds columns of the document."""
     toks = tokens("text")
     n_tok = F.size(toks).cast("double")
     return docs.select(
@@ -97,7 +94,7 @@ def document_features(docs: DataFrame) -> DataFrame:
         .alias("digit_share"),
         (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1)))
         .alias("upper_share"),
-        (F.size(F.array_distinct(toks)) / F.greatest(n_tok, F.lit(1.0))).alias("distinct_share"))
+        (F.size(F.array_distinct(toks)) / F.greatest(n_tok, F.lit(1.0))).alias("distinct_share"), *keep)
 
 
 DOCUMENT_FEATURES = ("log_chars", "n_tokens", "n_lines", "digit_share", "upper_share",
@@ -124,20 +121,15 @@ def standard_scale(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
 
 def shared_label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
     """One dictionary over all ``cols``: codes 0.. ordered by (first column a
-    value occurs in, value).  The dictionary is built by a distributed ranking
-    and joined back; its size is the number of distinct values, so it is
-    broadcast only after its row count was checked, else shuffle-joined."""
-    stacked = None
-    for i, c in enumerate(cols):
-        part = df.select(F.lit(i).alias("c"), F.col(c).cast("string").alias("value")) \
-            .where(F.col("value").isNotNull())
-        stacked = part if stacked is None else stacked.unionByName(part)
+    value occurs in, value).  One scan stacks the columns; the dictionary is
+    built by a distributed ranking and joined back, by a join that the planner
+    chooses from the dictionary's bytes."""
+    entries = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("value"))
+                        for i, c in enumerate(cols)])
+    stacked = df.select(F.explode(entries).alias("e")).select("e.c", "e.value").where(
+        F.col("value").isNotNull())
     firsts = stacked.groupBy("value").agg(F.min("c").alias("c"))
     dictionary = index_rows(firsts, [F.col("c"), F.col("value")], name="code")
-    # the dictionary is checkpointed by index_rows, so counting it is cheap;
-    # broadcast it only when that count is under the limit
-    if dictionary.count() <= BROADCAST_ROW_LIMIT:
-        dictionary = F.broadcast(dictionary)
     out = df
     for c in cols:
         d = dictionary.select(F.col("value").alias(f"_{c}_v"), F.col("code").alias(f"{c}{suffix}"))
@@ -172,32 +164,7 @@ def random_permutation(ids: DataFrame, seed: int) -> DataFrame:
 
 
 def one_random_per_class(df: DataFrame, id_col: str, class_col: str, seed: int) -> DataFrame:
-    """One seeded-random row per class: ``min(struct(key, id))`` per class."""
+    """One seeded-random row per class: the smallest numeric key of each."""
     keyed = df.select(F.col(class_col), F.col(id_col).alias("_id"),
-                      order_key(id_col, seed).alias("_key"))
-    best = keyed.groupBy(class_col).agg(F.min(F.struct("_key", "_id")).alias("m"))
-    return best.select(class_col, F.col("m._id").alias(id_col))
-
-
-# ----------------------------------------------------------- mixture ------
-
-def xor_mixture(ids: DataFrame, dims: int) -> DataFrame:
-    """Labelled four-block mixture over ``dims`` features, one row per id.
-
-    Block = id mod 4.  Blocks 0 and 1 (label 0) lie in [0,1)^d and [1,2)^d;
-    blocks 2 and 3 (label 1) are shifted by 1 in feature 1 or feature 0 only.
-    Values come from an integer hash, so the table is the same everywhere.
-    """
-    block = F.pmod(F.col("id"), F.lit(4)).cast("int")
-
-    def value(d):
-        u = F.pmod(F.col("id") * XOR_A + d * XOR_B + XOR_C, F.lit(XOR_M)).cast("double") / XOR_M
-        shift = (F.when(block == 1, 1.0)
-                 .when((block == 2) & (d == 1), 1.0)
-                 .when((block == 3) & (d == 0), 1.0)
-                 .otherwise(0.0))
-        return u + shift
-    feats = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value)
-    return ids.select("id", block.alias("block"),
-                      F.when(block >= 2, F.lit(1.0)).otherwise(F.lit(0.0)).alias("label"),
-                      feats.alias("features"))
+                      numeric_key(id_col, seed).alias("_key"))
+    return keyed.groupBy(class_col).agg(F.min_by("_id", "_key").alias(id_col))

@@ -14,7 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orchard.session import cut_lineage
 
@@ -31,10 +30,10 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
 def _offsets(tagged: DataFrame, count_col: str | None = None,
              sum_cols: Sequence[str] = ()) -> DataFrame:
     """Per partition: rows (and column totals) of all earlier partitions."""
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(c).alias(f"_t_{c}") for c in sum_cols]
+    aggs = [F.count(F.lit(1)).alias("_rows")] + [F.sum(c).alias(f"_t_{c}") for c in sum_cols]
     per_part = tagged.groupBy(_PID).agg(*aggs)
     earlier = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    cols = [F.col(_PID), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off_n")]
+    cols = [F.col(_PID), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_off_rows")]
     cols += [F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}")
              for c in sum_cols]
     return per_part.select(*cols)
@@ -56,24 +55,29 @@ def index_rows(df: DataFrame, order_cols: Sequence, name: str = "row_index",
     offsets = _offsets(tagged)
     local = F.col(_LOCAL) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
     out = tagged.join(F.broadcast(offsets), _PID)
-    return out.select(*df.columns, (F.col("_off_n") + local).alias(name))
+    return out.select(*df.columns, (F.col("_off_rows") + local).alias(name))
 
 
 def scan_order_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Number rows in the order the scan yields them (``zipWithIndex``).
+    """Number rows in file order: by file path, then by position in the file.
 
-    No sort and no write: one pass counts rows per input partition, a second
-    assigns ``offset + position``.  For one text file this is line order.
-    ``df`` must be a file scan (plus filters / projections): its partitions
-    are file splits, so both passes - and any re-run of a lost task - see
-    the same rows in the same order.
+    No sort and no write: one pass counts rows per file split, a second
+    assigns ``offset + position``.  ``df`` must be a file scan (plus filters):
+    its splits are known by file and start, so the numbers depend neither on
+    how splits are packed into tasks nor on their size, and any re-run of a
+    lost task sees the same rows in the same order.
     """
-    tagged = df.select("*", F.spark_partition_id().alias(_PID),
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_orchard_file"),
+                       F.col("_metadata.file_block_start").alias("_orchard_block"),
                        F.monotonically_increasing_id().alias(_LOCAL))
-    offsets = _offsets(tagged)
-    local = F.col(_LOCAL) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
-    out = tagged.join(F.broadcast(offsets), _PID)
-    return out.select((F.col("_off_n") + local).alias(name), *df.columns)
+    split = ["_orchard_file", "_orchard_block"]
+    per_split = tagged.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"), F.min(_LOCAL).alias("_first"))
+    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_split.select(*split, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first"))
+                               .alias("_shift"))
+    # one row per file split
+    out = tagged.join(F.broadcast(offsets), split)
+    return out.select((F.col(_LOCAL) + F.col("_shift")).alias(name), *df.columns)
 
 
 def running_sums(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
@@ -81,34 +85,16 @@ def running_sums(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[
                  carry: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sums of numeric ``value_cols`` in ``order_cols`` order.
 
-    Meant for narrow tables (a few numeric columns): the in-partition pass runs
-    in ``mapInPandas`` over Arrow batches, then partition offsets are added.
+    Meant for narrow tables (a few numeric columns): one window per range of a
+    range partitioning, then the offsets of the ranges are added.
     """
     n = _num_partitions(df, partitions)
     narrow = df.select(*order_cols, *carry, *value_cols)
-    ordered = narrow.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    fields = list(narrow.schema.fields)
-    out_schema = T.StructType(fields + [T.StructField(_PID, T.IntegerType())]
-                              + [T.StructField(f"{c}_local", T.DoubleType()) for c in value_cols])
-
-    def local_cumsum(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        running = {c: 0.0 for c in value_cols}
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf[_PID] = pid
-            for c in value_cols:
-                cs = pdf[c].astype("float64").cumsum() + running[c]
-                if len(cs):
-                    running[c] = float(cs.iloc[-1])
-                pdf[f"{c}_local"] = cs
-            yield pd.DataFrame(pdf)
-
-    tagged = cut_lineage(ordered.mapInPandas(local_cumsum, out_schema))
-    offsets = _offsets(tagged, sum_cols=value_cols)
-    out = tagged.join(F.broadcast(offsets), _PID)
+    tagged = cut_lineage(narrow.repartitionByRange(n, *order_cols).withColumn(_PID, F.spark_partition_id()))
+    so_far = Window.partitionBy(_PID).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.select("*", *[F.sum(F.col(c).cast("double")).over(so_far).alias(f"{c}_local")
+                                 for c in value_cols])
+    out = local.join(F.broadcast(_offsets(tagged, sum_cols=value_cols)), _PID)
     return out.select(*order_cols, *carry, *value_cols,
                       *[(F.col(f"_off_{c}") + F.col(f"{c}_local")).alias(f"{c}{suffix}")
                         for c in value_cols])

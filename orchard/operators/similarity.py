@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orchard.functions.columns import dot, l2_norm, unit_vector
-from orchard.session import BROADCAST_ROW_LIMIT, parallelism
+from orchard.session import BROADCAST_BYTES, parallelism
 
 TRIPLE_SCHEMA = T.StructType([T.StructField("i", T.LongType()),
                               T.StructField("j", T.LongType()),
                               T.StructField("value", T.DoubleType())])
 DEFAULT_TILE_ROWS = 1024
-# Triples are turned into dense rows (one group per matrix row) only up to
-# this width; a row group then holds at most this many entries.
-MAX_DENSE_WIDTH = 100_000
+# Inner indices of one block of a sparse product.
+INNER_BLOCK = 4096
+# Bytes of a row that holds one id.
+ID_BYTES = 16
 
 
 # ------------------------------------------------------ conversions -------
@@ -48,48 +49,31 @@ def transpose(triples: DataFrame) -> DataFrame:
     return triples.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
 
 
-def _checked_width(width) -> int:
-    width = int(width or 0)
-    if width > MAX_DENSE_WIDTH:
-        raise ValueError(f"matrix width {width} exceeds MAX_DENSE_WIDTH={MAX_DENSE_WIDTH}: "
-                         "rows of this matrix are too wide to densify")
-    return width
-
-
-def sparse_rows(triples: DataFrame) -> DataFrame:
-    """``(id, js, vals)``: the entries of each row i, sorted by j.
-
-    A group holds one matrix row, at most the matrix width (checked by the
-    callers that densify) - never a whole table.
-    """
-    grouped = triples.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("e"))
-    return grouped.select(F.col("i").alias("id"), F.transform("e", lambda x: x["j"]).alias("js"),
-                          F.transform("e", lambda x: x["value"]).alias("vals"))
+def summed(triples: DataFrame) -> DataFrame:
+    """One entry per (i, j): repeated entries add up."""
+    return triples.groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 def triples_to_rows(triples: DataFrame, width: int | None = None) -> DataFrame:
-    """Dense rows ``(id, features)``; missing entries are 0.
+    """Dense rows ``(id, features)``; missing entries are 0, repeated ones add up.
 
-    The width (default 1 + the largest j, one scalar read back) is checked
-    against ``MAX_DENSE_WIDTH`` first.  A complete row is just its sorted
-    values; only rows with gaps are filled position by position.
+    The width defaults to 1 + the largest j (one scalar read back).  A row is
+    its sorted entries with the gaps before each and after the last filled.
     """
     if width is None:
         width = triples.select(F.max("j") + 1).first()[0]
-    w = _checked_width(width)
-    rows = sparse_rows(triples)
-    complete = (F.size("js") == w) & (F.try_element_at("js", F.lit(-1)) == w - 1)
-    filled = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(w - 1).cast("bigint")),
-                         lambda p: F.coalesce(F.try_element_at(F.map_from_arrays("js", "vals"), p),
-                                              F.lit(0.0)))
-    return rows.select("id", F.when(complete, F.col("vals")).otherwise(filled).alias("features"))
+    grouped = summed(triples).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("e"))
 
+    def zeros(n):
+        return F.array_repeat(F.lit(0.0), n.cast("int"))
 
-# ------------------------------------------------------ tile product ------
-# Cells (rows x width) of one dense tile: tiles of wide matrices get fewer rows.
-TILE_CELLS = 4_000_000
+    filled = F.flatten(F.transform("e", lambda x, k: F.concat(
+        zeros(x["j"] - F.coalesce(F.get("e", k - 1)["j"], F.lit(-1)) - 1), F.array(x["value"]))))
+    tail = zeros(F.lit(int(width or 0) - 1) - F.element_at("e", -1)["j"])
+    return grouped.select(F.col("i").alias("id"), F.concat(filled, tail).alias("features"))
 
 
+# ------------------------------------------------------ tile product ------
 def _tiles(n: int, tile_rows: int, parallelism: int) -> int:
     by_size = math.ceil(max(n, 1) / tile_rows)
     # enough tile pairs to keep every core busy even for a small matrix
@@ -97,10 +81,6 @@ def _tiles(n: int, tile_rows: int, parallelism: int) -> int:
     return max(1, min(max(by_size, by_cores), max(n, 1)))
 
 
-def _tile_rows(tile_rows: int, width: int | None) -> int:
-    return tile_rows if not width else max(1, min(tile_rows, TILE_CELLS // width))
-
-
 def _tile_id(tiles: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col("id")), F.lit(tiles)).cast("int")
 
@@ -112,74 +92,41 @@ def _empty_triples():
                          "value": np.array([], dtype="float64")})
 
 
-def _tile_matrix(frame, js_col: str, v_col: str, width: int | None):
-    """Dense float64 tile: stacked arrays, or sparse rows scattered into zeros."""
-    import numpy as np
-    if width is None:
-        return np.stack(frame[v_col].to_numpy()).astype("float64", copy=False)
-    m = np.zeros((len(frame), width))
-    for r, (js, vs) in enumerate(zip(frame[js_col], frame[v_col])):
-        m[r, np.asarray(js, dtype="int64")] = vs
-    return m
-
-
-def _tile_dot(left, right, width: int | None = None):
+def _tile_dot(left, right):
     """(row ids, column ids, all products) of two tiles, row-major."""
     import numpy as np
     a_ids = left["id"].to_numpy(dtype="int64")
     b_ids = right["rid"].to_numpy(dtype="int64")
-    a = _tile_matrix(left, "js", "v", width)
-    b = _tile_matrix(right, "rjs", "rv", width)
-    prod = a @ b.T
-    return np.repeat(a_ids, len(b_ids)), np.tile(b_ids, len(a_ids)), prod.ravel()
-
-
-def _plain_product_fn(width: int | None):
-    def fn(left, right):
-        import pandas as pd
-        if len(left) == 0 or len(right) == 0:
-            return _empty_triples()
-        ii, jj, vv = _tile_dot(left, right, width)
-        return pd.DataFrame({"i": ii, "j": jj, "value": vv})
-    return fn
-
-
-def _row_cols(rows: DataFrame, vec: str, width: int | None, prefix: str = ""):
-    """Columns a tile needs: id and values, plus positions for sparse rows."""
-    cols = [F.col("id").alias(f"{prefix}id"), F.col(vec if width is None else "vals").alias(f"{prefix}v")]
-    if width is not None:
-        cols.append(F.col("js").alias(f"{prefix}js"))
-    return cols
+    a = np.stack(left["v"].to_numpy()).astype("float64", copy=False)
+    b = np.stack(right["rv"].to_numpy()).astype("float64", copy=False)
+    return np.repeat(a_ids, len(b_ids)), np.tile(b_ids, len(a_ids)), (a @ b.T).ravel()
 
 
 def self_product(rows: DataFrame, mode: str = "full", vec: str = "features",
-                 tile_rows: int = DEFAULT_TILE_ROWS, n_rows: int | None = None,
-                 width: int | None = None) -> DataFrame:
-    """Entries of ``X . X^T`` for a row table X.
-
-    Rows are dense ``(id, vec)``, or sparse ``(id, js, vals)`` of a matrix of
-    ``width`` columns.  mode ``full``: all (i, j);  ``strict_upper``: only
-    i < j.  Only tile pairs (a, b) with a <= b are multiplied; for ``full``
-    the off-diagonal tiles are mirrored on output.
+                 tile_rows: int = DEFAULT_TILE_ROWS, n_rows: int | None = None) -> DataFrame:
+    """Entries of ``X . X^T`` for a row table X ``(id, vec)``.
+
+    mode ``full``: all (i, j);  ``strict_upper``: only i < j.  Only tile pairs
+    (a, b) with a <= b are multiplied; for ``full`` the off-diagonal tiles are
+    mirrored on output.
     """
     spark = rows.sparkSession
     n = n_rows if n_rows is not None else rows.count()
-    tiles = _tiles(n, _tile_rows(tile_rows, width), parallelism(spark))
-    base = rows.select(*_row_cols(rows, vec, width), _tile_id(tiles).alias("t"))
-    payload = ["id", "v"] + (["js"] if width is not None else [])
+    tiles = _tiles(n, tile_rows, parallelism(spark))
+    base = rows.select("id", F.col(vec).alias("v"), _tile_id(tiles).alias("t"))
     # left copy of tile t goes to (t, b) for b >= t; right copy to (a, t) for a <= t
-    left = base.select(*payload, F.col("t").alias("ta"),
+    left = base.select("id", "v", F.col("t").alias("ta"),
                        F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))).alias("tb"))
     # the right side gets its own column names: a cogroup of two projections
     # of one table must not share attribute names, or pruning may drop them
-    right = base.select(*[F.col(c).alias(f"r{c}") for c in payload],
+    right = base.select(F.col("id").alias("rid"), F.col("v").alias("rv"),
                         F.explode(F.sequence(F.lit(0), F.col("t"))).alias("ta"),
                         F.col("t").alias("tb"))
-    fn = _product_fn_sym(strict=(mode == "strict_upper"), width=width)
+    fn = _product_fn_sym(strict=(mode == "strict_upper"))
     return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")).applyInPandas(fn, TRIPLE_SCHEMA)
 
 
-def _product_fn_sym(strict: bool, width: int | None = None):
+def _product_fn_sym(strict: bool):
     """Tile function for a symmetric product computed on tiles a <= b."""
 
     def fn(left, right):
@@ -187,7 +134,7 @@ def _product_fn_sym(strict: bool, width: int | None = None):
         import pandas as pd
         if len(left) == 0 or len(right) == 0:
             return _empty_triples()
-        ii, jj, vv = _tile_dot(left, right, width)
+        ii, jj, vv = _tile_dot(left, right)
         diagonal = int(left["ta"].iloc[0]) == int(left["tb"].iloc[0])
         if strict:
             if diagonal:
@@ -204,34 +151,76 @@ def _product_fn_sym(strict: bool, width: int | None = None):
 
 
 def product(left_rows: DataFrame, right_rows: DataFrame, vec: str = "features",
-            tile_rows: int = DEFAULT_TILE_ROWS, width: int | None = None) -> DataFrame:
-    """Entries of ``L . R^T``: value(i, j) = dot(L row i, R row j).
+            tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+    """Entries of ``L . R^T`` of two row tables: value(i, j) = dot(L row i, R row j).
 
-    Rows are dense ``(id, vec)`` or sparse ``(id, js, vals)`` with ``width``.
+    With a bounded right side (the labelled rows, say) the output grows with
+    the left side alone.
     """
-    spark = left_rows.sparkSession
-    par = parallelism(spark)
-    rows_per_tile = _tile_rows(tile_rows, width)
-    tl = _tiles(left_rows.count(), rows_per_tile, par)
-    tr = _tiles(right_rows.count(), rows_per_tile, par)
-    left = left_rows.select(*_row_cols(left_rows, vec, width), _tile_id(tl).alias("ta"),
+    par = parallelism(left_rows.sparkSession)
+    tl = _tiles(left_rows.count(), tile_rows, par)
+    tr = _tiles(right_rows.count(), tile_rows, par)
+    left = left_rows.select("id", F.col(vec).alias("v"), _tile_id(tl).alias("ta"),
                             F.explode(F.sequence(F.lit(0), F.lit(tr - 1))).alias("tb"))
-    right = right_rows.select(*_row_cols(right_rows, vec, width, prefix="r"),
+    right = right_rows.select(F.col("id").alias("rid"), F.col(vec).alias("rv"),
                               F.explode(F.sequence(F.lit(0), F.lit(tl - 1))).alias("ta"),
                               _tile_id(tr).alias("tb"))
-    return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")) \
-        .applyInPandas(_plain_product_fn(width), TRIPLE_SCHEMA)
 
+    def fn(a, b):
+        import pandas as pd
+        if len(a) == 0 or len(b) == 0:
+            return _empty_triples()
+        ii, jj, vv = _tile_dot(a, b)
+        return pd.DataFrame({"i": ii, "j": jj, "value": vv})
+
+    return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")).applyInPandas(fn, TRIPLE_SCHEMA)
 
-def multiply_triples(a: DataFrame, b: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
-    """C = A . B for matrices given as triples (A is n x m, B is m x p).
 
-    Rows of A and columns of B go to the tiles as sparse rows and are
-    densified inside the tile (NumPy scatter), never as Spark arrays.
+def _block_product(left, right):
+    """Partial products of a tile of entries (i, j, v) with a tile (ri, rj, rv)
+    that share one block of inner indices; only (i, rj) that meet at an index."""
+    import numpy as np
+    import pandas as pd
+    if len(left) == 0 or len(right) == 0:
+        return _empty_triples()
+    inner = np.intersect1d(left["j"], right["ri"])
+    left, right = left[left["j"].isin(inner)], right[right["ri"].isin(inner)]
+    rows, r = np.unique(left["i"], return_inverse=True)
+    cols, c = np.unique(right["rj"], return_inverse=True)
+    a, b = np.zeros((len(rows), len(inner))), np.zeros((len(inner), len(cols)))
+    at, bt = np.searchsorted(inner, left["j"]), np.searchsorted(inner, right["ri"])
+    a[r, at], b[bt, c] = left["v"], right["rv"]
+    met_a, met_b = np.zeros(a.shape, "float32"), np.zeros(b.shape, "float32")
+    met_a[r, at], met_b[bt, c] = 1, 1
+    i, k = np.nonzero(met_a @ met_b)
+    return pd.DataFrame({"i": rows[i], "j": cols[k], "value": (a @ b)[i, k]})
+
+
+def multiply_triples(a: DataFrame, b: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS,
+                     inner_block: int = INNER_BLOCK) -> DataFrame:
+    """C = A . B for sparse matrices given as triples (A is n x m, B is m x p).
+
+    Entries that share a block of inner indices meet per pair of row and
+    column tiles; the blocks' partial products are summed by (i, j), so no
+    width is too large.  Repeated entries add up first.
     """
-    inner = max(a.select(F.max("j")).first()[0] or 0, b.select(F.max("i")).first()[0] or 0) + 1
-    w = _checked_width(inner)
-    return product(sparse_rows(a), sparse_rows(transpose(b)), tile_rows=tile_rows, width=w)
+    a, b = summed(a), summed(b)
+    par = parallelism(a.sparkSession)
+    tl = _tiles(a.select("i").distinct().count(), tile_rows, par)
+    tr = _tiles(b.select("j").distinct().count(), tile_rows, par)
+
+    def tile(c, n):
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    left = a.select("i", "j", F.col("value").alias("v"), tile("i", tl).alias("ta"),
+                    F.floor(F.col("j") / inner_block).alias("block"),
+                    F.explode(F.sequence(F.lit(0), F.lit(tr - 1))).alias("tb"))
+    right = b.select(F.col("i").alias("ri"), F.col("j").alias("rj"), F.col("value").alias("rv"),
+                     F.explode(F.sequence(F.lit(0), F.lit(tl - 1))).alias("ta"),
+                     F.floor(F.col("i") / inner_block).alias("block"), tile("j", tr).alias("tb"))
+    key = ["ta", "tb", "block"]
+    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block_product, TRIPLE_SCHEMA)
+    return summed(parts)
 
 
 # ---------------------------------------------------------- cosine --------
@@ -255,21 +244,25 @@ def cosine_upper(points: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -> DataF
 def column_similarities(triples: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
     """Cosine between the columns of the transpose of a triple matrix, i < j.
 
-    Columns of the transpose are the rows of the matrix as loaded, so this is
-    the strict-upper cosine of those rows, computed on sparse rows (norms
-    from the stored entries, densified only inside a tile).
+    Columns of the transpose are the rows of the matrix as loaded: their unit
+    rows (norms from the summed entries) times their transpose.  Pairs that
+    share no index are 0 and not listed.
     """
-    width = _checked_width(triples.select(F.max("j") + 1).first()[0])
-    rows = sparse_rows(triples)
-    normed = rows.select("id", "js", "vals", l2_norm("vals").alias("_norm"))
-    unit = normed.select("id", "js", unit_vector("vals", "_norm").alias("vals"))
-    return self_product(unit, "strict_upper", tile_rows=tile_rows, width=width)
+    once = summed(triples)
+    norms = once.groupBy("i").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    unit = once.join(norms, "i").select("i", "j", F.when(F.col("norm") == 0, 0.0).otherwise(
+        F.col("value") / F.col("norm")).alias("value"))
+    return multiply_triples(unit, transpose(unit), tile_rows).where("i < j")
 
 
 def drop_entries_of(triples: DataFrame, ids: DataFrame, bound: int | None = None) -> DataFrame:
-    """Remove entries whose row or column is in ``ids(id)``."""
+    """Remove entries whose row or column is in ``ids(id)``.
+
+    To keep such entries out of a similarity matrix, drop the rows before the
+    product instead.
+    """
     side = ids.select("id")
-    if bound is not None and bound <= BROADCAST_ROW_LIMIT:
+    if bound is not None and bound * ID_BYTES <= BROADCAST_BYTES:
         side = F.broadcast(side)
     out = triples.join(side.withColumnRenamed("id", "i"), "i", "left_anti")
     return out.join(side.withColumnRenamed("id", "j"), "j", "left_anti").select("i", "j", "value")

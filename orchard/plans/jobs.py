@@ -13,15 +13,13 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orchard.functions.columns import tokens
 from orchard.operators import committee, evaluate, lal, pool, prep, similarity
 from orchard.plans import loop
 from orchard.session import cut_lineage
 from orchard.sources import tables
 
 NUM_TREES = 10
-LOOP_ROUNDS = 3
-LOOP_K = 10
+LOOP_ROUNDS = 3       # rounds until the pool is empty: batches are a share of it
 LOOP_START = 10
 SEED = 1
 REGRESSION_TREES = 50
@@ -35,15 +33,15 @@ def one_row(spark: SparkSession, **cols) -> DataFrame:
 def forest_votes_job(points: DataFrame) -> DataFrame:
     train, test = tables.train_test(points)
     model = committee.fit_forest(train, NUM_TREES, SEED)
-    return committee.forest_votes(model, test, name="votes-job")
+    return committee.forest_votes(model, test)
 
 
 def forest_fit_evaluate(points: DataFrame) -> DataFrame:
     """Accuracy of the hard majority vote and of Spark ML's averaged forest."""
     train, test = tables.train_test(points)
     model = committee.fit_forest(train, NUM_TREES, SEED)
-    votes = committee.forest_votes(model, test, name="eval-job")
-    hard = committee.majority_vote(votes).join(test.select("id", "label"), "id")
+    votes = committee.forest_vote_arrays(model, test)
+    hard = committee.predictions(votes, keep=("label",))
     soft = model.transform(committee.with_binary_label(test)).select("label", "prediction")
     acc_vote = evaluate.accuracy(hard).scalar()
     acc_avg = evaluate.accuracy(soft).scalar()
@@ -98,10 +96,8 @@ def quality_job(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def multiclass_job(documents: DataFrame) -> DataFrame:
     """A several-class forest job: the language of a document from its
     whole-text features; accuracy and the most important feature."""
-    feats = prep.document_features(documents).join(
-        documents.select("doc_id", "lang", F.length("text").alias("_len"),
-                         F.size(tokens("text")).alias("_ntok")), "doc_id")
-    feats = feats.withColumn("avg_token_len", F.col("_len") / F.greatest(F.col("_ntok"), F.lit(1)))
+    feats = prep.document_features(documents, keep=("lang", F.length("text").alias("_len")))
+    feats = feats.withColumn("avg_token_len", F.col("_len") / F.greatest(F.col("n_tokens"), F.lit(1.0)))
     cols = list(prep.DOCUMENT_FEATURES) + ["avg_token_len"]
     indexer = StringIndexer(inputCol="lang", outputCol="label",
                             stringOrderType="alphabetAsc")
@@ -139,7 +135,8 @@ def label_encoded_job(part: DataFrame) -> DataFrame:
 
 def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
                 rounds: int = LOOP_ROUNDS, materialize: bool = False) -> DataFrame:
-    """A full active-learning run with a forest committee; history without timings.
+    """A full active-learning run with a forest committee, until every row of
+    the pool is labelled; history without timings.
 
     ``materialize=True`` checkpoints the pool and test points once: worth it
     when the features are expensive to derive (whole-text features), a waste
@@ -150,7 +147,7 @@ def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
     if materialize:
         pool_points, test = cut_lineage(pool_points), cut_lineage(test)
     start = pool.start_one_per_class(pool_points, LOOP_START, SEED)
-    k = LOOP_K
+    k = -(-(pool_points.count() - LOOP_START) // rounds)
     if kind == "random":
         strat = loop.random_strategy(SEED)
     elif kind == "uncertainty":
@@ -162,15 +159,14 @@ def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
     elif kind == "lal":
         labeled = pool.fetch_labeled(pool_points, start, LOOP_START)
         model = committee.fit_forest(labeled, NUM_TREES, SEED)
-        votes = committee.forest_vote_arrays(model, labeled, name="lal-standin")
+        votes = committee.forest_vote_arrays(model, labeled)
         standin = cut_lineage(lal.gain_training_standin(votes, labeled))
         regressor = lal.fit_gain_regressor(standin, num_trees=NUM_TREES, seed=SEED)
         strat = loop.lal_strategy(regressor)
-        k = 1
     else:
         raise ValueError(f"unknown strategy {kind!r}")
     res = loop.run_loop(spark, pool_points, start, LOOP_START, strat, k, test=test,
-                        max_rounds=rounds, fit_committee=True, num_trees=NUM_TREES, seed=SEED)
+                        fit_committee=True, num_trees=NUM_TREES, seed=SEED)
     return res.history.select("iteration", "n_labeled", "n_unlabeled",
                               F.round("accuracy", 6).alias("accuracy"))
 
@@ -181,11 +177,10 @@ def lal_one_selection(spark: SparkSession, points: DataFrame, num_trees: int = 5
     unlabelled row, predict their gain, pick the best.  Returns the pick."""
     pool_points, _ = tables.train_test(points)
     start = pool.start_one_per_class(pool_points, 2, SEED)
-    labeled = pool.fetch_labeled(pool_points, start, 2)
-    unlabeled = pool.fetch_unlabeled(pool_points, start, 2)
+    labeled = cut_lineage(pool.fetch_labeled(pool_points, start, 2))
+    unlabeled = pool.fetch_unlabeled(pool_points, labeled, 2)
     model = committee.fit_forest(labeled, num_trees, SEED)
-    standin = lal.gain_training_standin(committee.forest_vote_arrays(model, labeled, "lal-one-l"),
-                                        labeled)
+    standin = lal.gain_training_standin(committee.forest_vote_arrays(model, labeled), labeled)
     regressor = lal.fit_gain_regressor(standin, num_trees=NUM_TREES, seed=SEED)
-    state = lal.lal_state(committee.forest_vote_arrays(model, unlabeled, "lal-one-u"), labeled)
+    state = lal.lal_state(committee.forest_vote_arrays(model, unlabeled), labeled)
     return lal.select_lal(state, regressor, 1)

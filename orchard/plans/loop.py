@@ -9,16 +9,19 @@ scalar metrics come back (counts, accuracy).  Per round:
 2. fit the committee on the labelled rows (if the strategy needs one) and
    score the test table;
 3. let the strategy pick a batch of k ids (top-k, never a full sort);
-4. append the batch (with its rank, features and labels) to the labelled
-   table and checkpoint that into the shared checkpoint folder, so lineage
-   stays one round long and the state survives executor loss.
+4. write the batch (with its rank, features and labels) as one Parquet folder
+   per round below ``state_path``; the labelled table is those folders read
+   together, so lineage stays one round long, nothing written is rewritten, and
+   a later application can read the state back (``read_state``).
 
-The loop ends when the pool is empty or after ``max_rounds`` rounds.
+The loop ends when the pool is empty, when a strategy hands out no row, or
+after ``max_rounds`` rounds.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 from orchard.operators import committee, pool, similarity
 from orchard.operators.select import (select_by_prediction, select_density, select_random,
                                       select_uncertain)
-from orchard.session import cut_lineage
+from orchard.session import scratch_path
 
 HISTORY_SCHEMA = T.StructType([
     T.StructField("iteration", T.IntegerType()),
@@ -80,7 +83,7 @@ def committee_votes(ctx: RoundContext, members: Callable[[DataFrame], DataFrame]
     """
     if members is not None:
         return members(ctx.unlabeled)
-    return committee.forest_vote_arrays(ctx.model, ctx.unlabeled, name=f"round{ctx.iteration}")
+    return committee.forest_vote_arrays(ctx.model, ctx.unlabeled)
 
 
 def uncertainty_strategy(members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:
@@ -117,10 +120,11 @@ def lal_strategy(regressor, members: Callable[[DataFrame], DataFrame] | None = N
     from orchard.operators.lal import lal_state, linear_gain, predict_gain
 
     def pick(ctx: RoundContext) -> DataFrame:
-        state = lal_state(committee_votes(ctx, members), ctx.labeled_points, carry=CARRY)
-        gains = (linear_gain(state, carry=CARRY) if regressor is None
-                 else predict_gain(state, regressor, CARRY))
-        return select_by_prediction(gains, ctx.k, carry=CARRY)
+        state = lal_state(committee_votes(ctx, members), ctx.labeled_points)
+        gains = linear_gain(state) if regressor is None else predict_gain(state, regressor)
+        picks = select_by_prediction(gains, ctx.k)
+        # features are fetched for the k winners only
+        return ctx.unlabeled.select("id", *CARRY).join(pool.bounded_side(picks, ctx.k), "id")
     return pick
 
 
@@ -129,7 +133,7 @@ def lal_strategy(regressor, members: Callable[[DataFrame], DataFrame] | None = N
 def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bound: int,
              strategy: Strategy, k: int, *, test: DataFrame | None = None,
              max_rounds: int | None = None, fit_committee: bool = False,
-             num_trees: int = 10, seed: int = 1) -> LoopResult:
+             num_trees: int = 10, seed: int = 1, state_path: str | None = None) -> LoopResult:
     """Run rounds until the pool is empty or ``max_rounds`` batches were taken.
 
     ``points`` is the pool ``(id, features, label)``; ``start`` a labelled
@@ -139,17 +143,34 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
     to score it.  History rows describe the state at the start of a round
     (before its batch); accuracy is NULL when no committee is fitted.
 
-    ``start`` may also be the ``labeled`` table of an earlier run (rounds
-    > 0 included): numbering then continues after its last round, so a run
-    whose driver died resumes from its last checkpointed labelled table.
+    ``start`` may also be the ``labeled`` table of an earlier run or what
+    ``read_state`` gives for its ``state_path`` (rounds > 0 included):
+    numbering then continues after its last round.  ``state_path`` is a new
+    folder for each run (default: one in the shared checkpoint folder).
+
+    Ids of the pool must be unique and not null; that is checked once.
     """
     bound = start_bound
-    n_pool = points.count()
+    n_pool, n_ids = points.select(F.count(F.lit(1)), F.count_distinct("id")).first()
+    if n_pool != n_ids:
+        raise ValueError(f"pool ids must be unique and not null: {n_pool} rows, {n_ids} ids")
+    state_path = state_path or scratch_path(spark, f"loop-{uuid.uuid4().hex}")
     done_rounds = start.select(F.max("labeled_at")).first()[0] or 0
     rank = F.col("rank") if "rank" in start.columns else F.lit(None)
     start_ids = start.select("id", "labeled_at", rank.cast("int").alias("rank"))
     start_rows = points.join(pool.bounded_side(start_ids, bound), "id")
-    labeled = cut_lineage(start_rows.select("id", F.col("labeled_at").cast("int"), "rank", *CARRY))
+    folders = []
+
+    def appended(rows: DataFrame, name: str) -> DataFrame:
+        """The labelled table with ``rows`` written as one more folder."""
+        rows = rows.select("id", F.col("labeled_at").cast("int").alias("labeled_at"),
+                           F.col("rank").cast("int").alias("rank"), *CARRY)
+        folders.append(f"{state_path}/{name}")
+        rows.write.parquet(folders[-1])
+        return spark.read.schema(rows.schema).parquet(*folders)
+
+    labeled = appended(start_rows, "start")
+    n_before = -1
     history = []
     iteration = done_rounds
     while True:
@@ -159,22 +180,21 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
         unlabeled = pool.fetch_unlabeled(points, labeled, bound)
         n_labeled = labeled.count()
         n_unlabeled = n_pool - n_labeled
+        stuck = n_labeled == n_before  # the last batch was empty
+        n_before = n_labeled
         model, acc = None, None
         if fit_committee and n_labeled > 0:
-            model = committee.fit_forest(labeled_points, num_trees=num_trees, seed=seed,
-                                         rows_bound=bound)
+            model = committee.fit_forest(labeled_points, num_trees=num_trees, seed=seed)
             if test is not None:
-                acc = forest_accuracy(model, test, f"eval{iteration}")
-        done = n_unlabeled == 0 or (max_rounds is not None
+                acc = forest_accuracy(model, test)
+        done = n_unlabeled == 0 or stuck or (max_rounds is not None
                                     and iteration > done_rounds + max_rounds)
         if done:
             history.append((iteration, n_labeled, n_unlabeled, acc, time.time() - t0))
             break
         ctx = RoundContext(iteration, k, points, labeled, bound, unlabeled, labeled_points, model)
         batch = strategy(ctx).select("id", F.lit(iteration).alias("labeled_at"), "rank", *CARRY)
-        # one checkpoint per round: the grown labelled table (the batch is
-        # computed once, while it is written)
-        labeled = cut_lineage(labeled.unionByName(batch))
+        labeled = appended(batch, f"round-{iteration:06d}")
         bound += k
         history.append((iteration, n_labeled, n_unlabeled, acc, time.time() - t0))
     hist = spark.createDataFrame(history, HISTORY_SCHEMA)
@@ -183,11 +203,16 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
     return LoopResult(hist, batches, labeled.select("id", "labeled_at", "rank"))
 
 
-def forest_accuracy(model, test: DataFrame, name: str) -> float:
+def read_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """The labelled table (id, labeled_at, rank) a run left at ``state_path``,
+    in any application that can read the folder."""
+    return spark.read.parquet(f"{state_path}/*").select("id", "labeled_at", "rank")
+
+
+def forest_accuracy(model, test: DataFrame) -> float | None:
     """Accuracy of the committee's hard majority vote on the test table."""
-    votes = committee.forest_vote_arrays(model, test.select("id", "features", "label"), name=name)
-    pred = committee.stats_of(votes, keep=("label",)).select(
-        "label", F.when(F.col("mean_vote") > 0.5, 1.0).otherwise(0.0).alias("prediction"))
+    votes = committee.forest_vote_arrays(model, test.select("id", "features", "label"))
+    pred = committee.predictions(votes, keep=("label",))
     row = pred.select(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()
     return float(row[0]) if row[0] is not None else None
 

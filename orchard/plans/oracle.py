@@ -30,17 +30,15 @@ def _un(src: str, name: str = "un") -> str:
 def _votes(src: str, name: str = "votes") -> str:
     return f"""{name} AS (
   SELECT id, CAST(t AS INTEGER) AS tree,
-         CASE WHEN features[t + 1] > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS vote
+         CASE WHEN list_sum(features[t + 1:len(features):10]) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS vote
   FROM {src}, range(0, 10) r(t))"""
 
 
 def _stats(votes: str = "votes", name: str = "st") -> str:
     return f"""{name} AS (
-  SELECT id, n_votes, sum_votes, sum_votes / n_votes AS mean_vote,
-         sqrt((sum_votes * pow(1 - sum_votes / n_votes, 2)
-               + (n_votes - sum_votes) * pow(sum_votes / n_votes, 2)) / (n_votes - 1)) AS sd_vote,
-         1 - sum_votes / n_votes AS p0
-  FROM (SELECT id, count(vote) AS n_votes, sum(vote) AS sum_votes FROM {votes} GROUP BY id))"""
+  SELECT id, count(vote) AS n_votes, sum(vote) AS sum_votes, sum(vote) / count(vote) AS mean_vote,
+         stddev_samp(vote) AS sd_vote, 1 - sum(vote) / count(vote) AS p0
+  FROM {votes} GROUP BY id)"""
 
 
 TRI = """tri AS (
@@ -67,6 +65,15 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def _loop_k() -> str:
+    """Batch size that empties the pool in 5 rounds, and the rows to label."""
+    return """kk AS (SELECT CAST(count(*) - 10 AS BIGINT) AS n, CAST(ceil((count(*) - 10) / 5.0) AS BIGINT) AS k
+       FROM pts)"""
+
+
+LOOP_BATCHES = """SELECT CAST((rn - 1) // k + 1 AS INTEGER) AS iteration, CAST((rn - 1) % k + 1 AS INTEGER) AS rank, id
+FROM r, kk"""
+
 DENSITY_ALL_PAIRS = (_with(PTS, LAB, _un("pts"))
                      + """SELECT a.id, round(coalesce(sum(list_dot_product(a.features, b.features)), 0), 6) AS density
 FROM un a, un b WHERE b.id NOT IN (SELECT id FROM lab) GROUP BY a.id""")
@@ -97,9 +104,9 @@ FROM embeddings""",
     "strip_split_cast": r"""
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, t[1] AS first_token, t[-1] AS last_token,
        CAST(len(nm) AS INTEGER) AS n_numeric,
-       list_max(list_transform(nm, lambda x: CAST(x AS DOUBLE))) AS max_numeric
+       list_max(list_transform(nm, lambda x: TRY_CAST(x AS DOUBLE))) AS max_numeric
 FROM (SELECT doc_id, t,
-             list_filter(t, lambda x: regexp_full_match(x, '-?[0-9]{1,15}(\.[0-9]{1,6})?')) AS nm
+             list_filter(t, lambda x: regexp_full_match(x, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')) AS nm
       FROM (SELECT doc_id,
                    list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS t
             FROM documents))""",
@@ -122,7 +129,12 @@ SELECT doc_id, CAST(len(l) AS INTEGER) AS n_lines,
        CAST(len(list_filter(l, lambda x: list_contains(string_split(x, ','), '?'))) AS INTEGER) AS n_missing,
        CAST(len(list_filter(l, lambda x: x <> '' AND NOT starts_with(x, '"')
                                  AND NOT list_contains(string_split(x, ','), '?'))) AS INTEGER) AS n_kept
-FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
+FROM (SELECT o_orderkey AS doc_id, string_split(
+        CASE WHEN o_orderstatus = 'P' THEN '"custkey","priority"' || chr(10) ELSE '' END
+        || CASE WHEN o_custkey % 7 = 0 THEN chr(10) ELSE '' END
+        || o_custkey || ',' || CASE WHEN starts_with(o_orderpriority, '5') THEN '?'
+                                    ELSE substr(o_orderpriority, 1, 1) END
+        || chr(10) || o_orderkey || ',1', chr(10)) AS l FROM orders)""",
 
     "class_distribution": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic",
 
@@ -175,25 +187,23 @@ WHERE rn <= 100""",
     "one_random_per_class": f"""
 SELECT event_type, arg_min(event_id, {_md5('event_id', 42)}) AS event_id FROM events GROUP BY event_type""",
 
-    "xor_mixture": """
-WITH b AS (SELECT event_id AS id, CAST(event_id % 4 AS INTEGER) AS block FROM events),
-u AS (SELECT id, block,
-        CAST((id * 7919 + 0 * 104729 + 12345) % 1000003 AS DOUBLE) / 1000003.0::DOUBLE AS u0,
-        CAST((id * 7919 + 1 * 104729 + 12345) % 1000003 AS DOUBLE) / 1000003.0::DOUBLE AS u1,
-        CAST((id * 7919 + 2 * 104729 + 12345) % 1000003 AS DOUBLE) / 1000003.0::DOUBLE AS u2
-      FROM b)
-SELECT id, block, CASE WHEN block >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
-       round(u0 + CASE WHEN block = 1 OR block = 3 THEN 1.0 ELSE 0.0 END, 6) AS x0,
-       round(u1 + CASE WHEN block = 1 OR block = 2 THEN 1.0 ELSE 0.0 END, 6) AS x1,
-       round(u2 + CASE WHEN block = 1 THEN 1.0 ELSE 0.0 END, 6) AS x2
-FROM u""",
-
     "sorted_ints": """
 SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS position, o_custkey AS value FROM orders""",
 
     # -------------------------------------------------- file round trips
     "text_file_round_trip": _with(PTS) + """
-SELECT CAST(len(features) AS INTEGER) AS n_features, label, round(list_sum(features), 6) AS feature_sum
+SELECT row_number() OVER (ORDER BY id) - 1 AS id, CAST(len(features) AS INTEGER) AS n_features, label,
+       round(list_sum(features), 6) AS feature_sum
+FROM pts""",
+
+    "train_test_files": _with(PTS, f"p AS (SELECT *, CASE WHEN {_bucket('id', 7, 5)} = 0 THEN 'test' ELSE 'train' END AS part FROM pts)") + """
+SELECT part, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS id,
+       CAST(len(features) AS INTEGER) AS n_features, label, round(list_sum(features), 6) AS feature_sum
+FROM p""",
+
+    "vectors_file": _with(PTS) + """
+SELECT row_number() OVER (ORDER BY id) - 1 AS id, CAST(len(features) AS INTEGER) AS n_features,
+       round(list_sum(features), 6) AS feature_sum
 FROM pts""",
 
     "csv_file_round_trip": """
@@ -205,7 +215,7 @@ FROM orders WHERE NOT starts_with(o_orderpriority, '5')""",
     "triples_file": _with(PTS, TRI) + "SELECT i, j, value FROM tri",
 
     "ints_file": """
-SELECT row_number() OVER (ORDER BY o_custkey) - 1 AS position, CAST(o_custkey AS INTEGER) AS value
+SELECT row_number() OVER (ORDER BY o_custkey) - 1 AS position, o_custkey AS value
 FROM orders""",
 
     "gain_table_file": _with(PTS, LAB, UNL, _votes("unl"), _stats(), LAL_STATE) + """
@@ -300,6 +310,23 @@ SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INTEGER) AS
        round(score, 6) AS score
 FROM sc ORDER BY round(score, 9) DESC, id LIMIT 20""",
 
+    "select_density_squared": _with(PTS, LAB, UNL, _un("pts"), _votes("unl"), _stats(),
+                                    """dens AS (SELECT a.id, sum(list_dot_product(a.features, b.features)) AS density
+                                        FROM un a, un b WHERE b.id NOT IN (SELECT id FROM lab) GROUP BY a.id)""",
+                                    f"""sc AS (SELECT st.id, ({HALF_ENTROPY}) * pow(coalesce(dens.density, 0.0), 2) AS score
+                                       FROM st LEFT JOIN dens ON st.id = dens.id)""") + """
+SELECT 1::INTEGER AS rank, id, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, id LIMIT 1""",
+
+    "select_density_table": _with(PTS, LAB, UNL, _un("pts"), _votes("unl"), _stats(),
+                                  """dens AS (SELECT a.id, sum(list_dot_product(a.features, b.features)) AS density
+                                        FROM un a, un b WHERE b.id NOT IN (SELECT id FROM lab) AND a.id % 2 = 0
+                                        GROUP BY a.id)""",
+                                  f"""sc AS (SELECT st.id, ({HALF_ENTROPY}) * coalesce(dens.density, 0.0) AS score
+                                       FROM st LEFT JOIN dens ON st.id = dens.id)""") + """
+SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, id,
+       round(score, 6) AS score
+FROM sc ORDER BY round(score, 9) DESC, id LIMIT 20""",
+
     "vector_sum": _with(PTS, TRI) + "SELECT CAST(j AS INTEGER) AS dim, round(sum(value), 6) AS total FROM tri GROUP BY j",
 
     # --------------------------------------------------------------- LAL
@@ -343,40 +370,35 @@ SELECT round(CAST(sum(pos * (neg_cum - neg * 0.5)) AS DOUBLE)
              / CAST((SELECT sum(pos) FROM ps) * (SELECT sum(neg) FROM ps) AS DOUBLE), 6) AS auc FROM cum""",
 
     # ------------------------------------------------------------- loops
-    "loop_random": _with(PTS, LAB, f"""r AS (SELECT id, row_number() OVER (ORDER BY {_md5('id', 42)}, id) AS rn
-                                           FROM pts WHERE id NOT IN (SELECT id FROM lab))""") + """
-SELECT CAST((rn - 1) // 10 + 1 AS INTEGER) AS iteration, CAST((rn - 1) % 10 + 1 AS INTEGER) AS rank, id
-FROM r WHERE rn <= 50""",
+    "loop_random": _with(PTS, LAB, _loop_k(), f"""r AS (SELECT id, row_number() OVER (ORDER BY {_md5('id', 42)}, id) AS rn
+                                           FROM pts WHERE id NOT IN (SELECT id FROM lab))""") + LOOP_BATCHES,
 
-    "loop_uncertain_fixed_committee": _with(PTS, LAB, UNL, _votes("unl"), _stats(),
+    "round_log_table": _with(PTS, LAB, _loop_k(), f"""r AS (SELECT id, row_number() OVER (ORDER BY {_md5('id', 42)}, id) AS rn
+                                           FROM pts WHERE id NOT IN (SELECT id FROM lab))""") + LOOP_BATCHES,
+
+    "loop_uncertain_fixed_committee": _with(PTS, LAB, UNL, _loop_k(), _votes("unl"), _stats(),
                                             """r AS (SELECT id, row_number() OVER (ORDER BY round(abs(0.5 - p0), 9), id) AS rn
-                                                     FROM st)""") + """
-SELECT CAST((rn - 1) // 10 + 1 AS INTEGER) AS iteration, CAST((rn - 1) % 10 + 1 AS INTEGER) AS rank, id
-FROM r WHERE rn <= 50""",
+                                                     FROM st)""") + LOOP_BATCHES,
 
     "loop_density_fixed_committee": _with(
-        PTS, LAB, UNL, _un("pts"), _votes("unl"), _stats(),
+        PTS, LAB, UNL, _loop_k(), _un("pts"), _votes("unl"), _stats(),
         """dens AS (SELECT a.id, sum(list_dot_product(a.features, b.features)) AS density
                     FROM un a, un b WHERE b.id NOT IN (SELECT id FROM lab) GROUP BY a.id)""",
         f"""sc AS (SELECT st.id, ({HALF_ENTROPY}) * coalesce(dens.density, 0.0) AS score
                    FROM st LEFT JOIN dens ON st.id = dens.id)""",
-        """r AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rn FROM sc)""") + """
-SELECT CAST((rn - 1) // 10 + 1 AS INTEGER) AS iteration, CAST((rn - 1) % 10 + 1 AS INTEGER) AS rank, id
-FROM r WHERE rn <= 50""",
+        """r AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rn FROM sc)""") + LOOP_BATCHES,
 
     # f3, f6 and f8 are the same for every row of a round, so the round order
     # is that of 0.5 f1 + 2 f2 (distinct for distinct vote counts), ties by id
     "loop_lal_linear_fixed_committee": _with(
-        PTS, LAB, UNL, _votes("unl"), _stats(),
+        PTS, LAB, UNL, _loop_k(), _votes("unl"), _stats(),
         """r AS (SELECT id, row_number() OVER (ORDER BY round(0.5 * mean_vote + 2.0 * coalesce(sd_vote, 0.0), 9) DESC,
-                                               id) AS rn FROM st)""") + """
-SELECT CAST((rn - 1) // 5 + 1 AS INTEGER) AS iteration, CAST((rn - 1) % 5 + 1 AS INTEGER) AS rank, id
-FROM r WHERE rn <= 25""",
-
-    "loop_history_fixed_committee": """
-SELECT CAST(i AS INTEGER) AS iteration, CAST(10 + 10 * (i - 1) AS BIGINT) AS n_labeled,
-       CAST((SELECT count(*) FROM embeddings) - 10 - 10 * (i - 1) AS BIGINT) AS n_unlabeled
-FROM range(1, 7) r(i)""",
+                                               id) AS rn FROM st)""") + LOOP_BATCHES,
+
+    "loop_history_fixed_committee": _with(PTS, LAB, _loop_k()) + """
+SELECT CAST(i AS INTEGER) AS iteration, least(10 + k * (i - 1), n + 10) AS n_labeled,
+       greatest(n - k * (i - 1), 0) AS n_unlabeled
+FROM range(1, 100) x(i), kk WHERE k * (i - 2) < n""",
 
     "sequence_to_exhaustion": _with(PTS, LAB, f"""r AS (SELECT id, row_number() OVER (ORDER BY {_md5('id', 42)}, id) - 1 AS pos
                                                       FROM pts WHERE id NOT IN (SELECT id FROM lab))""") + """

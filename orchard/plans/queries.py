@@ -24,7 +24,7 @@ from orchard.sources import tables, text
 # Fixed parameters of the registered queries.
 START_K = 10           # size of the first-k start set
 BATCH_K = 10           # batch size of the exact loops
-ROUNDS = 5             # rounds of the exact loops
+ROUNDS = 5             # rounds of the exact loops until the pool is empty
 SELECT_K = 20          # batch size of the single selections
 LAL_K = 5
 RANDOM_SEED = 42
@@ -33,9 +33,8 @@ APPLY_SEED = 5
 SPLIT_SEED = 11
 EXHAUST_K = 12         # 490 pool rows -> 40 full batches and a short one
 STUMPS = 10
-XOR_DIMS = 3
 # A whole-token decimal number (Java regex; \z = true end of input).
-NUMERIC_TOKEN = r"^-?[0-9]{1,15}(\.[0-9]{1,6})?\z"
+NUMERIC_TOKEN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 Query = Callable[[SparkSession, str], DataFrame]
 R6 = 6
@@ -104,8 +103,16 @@ def q_text_round_trip(spark, sf):
 
 
 def q_missing_filter(spark, sf):
-    docs = tables.read_table(spark, sf, "documents")
-    return prep.clean_lines(docs, "doc_id", "text")
+    # orders as small CSV texts: some with a quoted header, a blank line or a ?
+    o = tables.read_table(spark, sf, "orders")
+    header = F.when(F.col("o_orderstatus") == "P", F.lit('"custkey","priority"\n')).otherwise(F.lit(""))
+    blank = F.when(F.col("o_custkey") % 7 == 0, F.lit("\n")).otherwise(F.lit(""))
+    prio = F.when(F.col("o_orderpriority").startswith("5"), F.lit("?")).otherwise(
+        F.substring("o_orderpriority", 1, 1))
+    text_col = F.concat(header, blank, F.col("o_custkey").cast("string"), F.lit(","), prio, F.lit("\n"),
+                        F.col("o_orderkey").cast("string"), F.lit(",1"))
+    return prep.clean_lines(o.select(F.col("o_orderkey").alias("doc_id"), text_col.alias("text")),
+                            "doc_id", "text")
 
 
 def q_class_distribution(spark, sf):
@@ -175,13 +182,6 @@ def q_one_random_per_class(spark, sf):
     return prep.one_random_per_class(ev, "event_id", "event_type", RANDOM_SEED)
 
 
-def q_xor_mixture(spark, sf):
-    ev = tables.read_table(spark, sf, "events").select(F.col("event_id").alias("id"))
-    mix = prep.xor_mixture(ev, XOR_DIMS)
-    return mix.select("id", "block", "label", *[_r(F.col("features")[d]).alias(f"x{d}")
-                                               for d in range(XOR_DIMS)])
-
-
 def q_sorted_ints(spark, sf):
     orders = tables.read_table(spark, sf, "orders").select(
         F.col("o_custkey").alias("value"), F.col("o_orderkey").alias("id"))
@@ -204,12 +204,40 @@ def _feature_sum(col="features"):
 
 def q_text_file_round_trip(spark, sf):
     path = _scratch(spark, "points-text")
-    text.write_points_text(_points(spark, sf), path, sep=" ")
+    text.write_points_text(_points(spark, sf).orderBy("id"), path, sep=" ")
     back = text.read_labeled_text(spark, path)
-    return back.select(F.size("features").alias("n_features"), "label",
+    return back.select("id", F.size("features").alias("n_features"), "label",
                        _feature_sum().alias("feature_sum"))
 
 
+def q_train_test_files(spark, sf):
+    """A train and a test file, fields separated by exactly one space."""
+    train, test = tables.train_test(_points(spark, sf))
+    paths = [_scratch(spark, name) for name in ("train-text", "test-text")]
+    for part, path in zip((train, test), paths):
+        text.write_points_text(part.orderBy("id"), path, sep=" ")
+    back = text.read_train_test(spark, *paths)
+    cols = ["id", F.size("features").alias("n_features"), "label", _feature_sum().alias("feature_sum")]
+    return back[0].select(F.lit("train").alias("part"), *cols).unionByName(
+        back[1].select(F.lit("test").alias("part"), *cols))
+
+
+def q_vectors_file(spark, sf):
+    """Unlabelled vectors, one per line, from the unlabelled view of the points."""
+    path = _scratch(spark, "vectors-text")
+    view = text.unlabeled_view(_points(spark, sf)).orderBy("id")
+    view.select(F.array_join(F.transform("features", lambda x: x.cast("string")), " ")).write.text(path)
+    back = text.read_vectors(spark, path)
+    return back.select("id", F.size("features").alias("n_features"), _feature_sum().alias("feature_sum"))
+
+
+def q_round_log_table(spark, sf):
+    """The batches of the random loop through the Parquet sink and back."""
+    path = _scratch(spark, "round-log")
+    text.write_table(q_loop_random(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 def q_csv_file_round_trip(spark, sf):
     orders = tables.read_table(spark, sf, "orders")
     prio = F.when(F.col("o_orderpriority").startswith("5"), F.lit("?")).otherwise(
@@ -239,8 +267,11 @@ def q_ints_file(spark, sf):
         .otherwise(F.col("o_custkey").cast("string"))
     path = _scratch(spark, "ints-text")
     orders.select(line).write.text(path)
-    ints = text.read_ints(spark, path)
-    return ranking.index_rows(ints, [F.col("value")], name="position").select("position", "value")
+    # positions per distinct value: repeated values never meet in one sort
+    counts = text.read_ints(spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ends = ranking.running_sums(counts, ["value"], ["n"])
+    first, last = (F.col("n_cum") - F.col("n")).cast("bigint"), F.col("n_cum").cast("bigint") - 1
+    return ends.select(F.explode(F.sequence(first, last)).alias("position"), "value")
 
 
 def _gain_file(spark, sf):
@@ -376,9 +407,8 @@ def q_triple_column_similarity(spark, sf):
 
 
 def q_drop_labeled_entries(spark, sf):
-    pts = _points(spark, sf)
-    full = similarity.cosine_full(pts)
-    return _triples_r(similarity.drop_entries_of(full, _start(pts), START_K))
+    # labelled rows leave before the product
+    return _triples_r(similarity.cosine_full(_unlabeled(_points(spark, sf))))
 
 
 def q_density_linear(spark, sf):
@@ -388,9 +418,9 @@ def q_density_linear(spark, sf):
 
 
 def q_density_row_sums(spark, sf):
-    pts = _points(spark, sf)
-    full = similarity.cosine_full(pts)
-    d = similarity.row_sums(similarity.drop_entries_of(full, _start(pts), START_K))
+    # the row sums of the similarity matrix, without the matrix
+    unl = _unlabeled(_points(spark, sf))
+    d = similarity.density_linear(unl, reference=unl)
     return d.select("id", _r(F.col("density")).alias("density"))
 
 
@@ -402,6 +432,23 @@ def q_select_density(spark, sf):
     return _batch_out(select.select_density(arrays, total, SELECT_K, beta=1.0))
 
 
+def q_select_density_squared(spark, sf):
+    """Density weighted with exponent 2, the single best row."""
+    unl = _unlabeled(_points(spark, sf))
+    total = similarity.reference_total(unl)
+    arrays = committee.stump_vote_arrays(unl, STUMPS)
+    return _batch_out(select.select_density(arrays, total, 1, beta=2.0))
+
+
+def q_select_density_table(spark, sf):
+    """Uncertainty joined with a density table (rows without density score 0):
+    the densities of the even ids only."""
+    unl = _unlabeled(_points(spark, sf))
+    density = similarity.density_linear(unl, reference=unl).where("id % 2 = 0")
+    arrays = committee.stump_vote_arrays(unl, STUMPS)
+    return _batch_out(select.select_density(arrays, density, SELECT_K, beta=1.0))
+
+
 def q_vector_sum(spark, sf):
     tot = similarity.sum_vector(_points(spark, sf))
     return tot.select(F.posexplode("total").alias("dim", "total")).select(
@@ -427,11 +474,7 @@ def q_select_lal_linear(spark, sf):
 # ======================================================== evaluation ======
 
 def _stump_predictions(spark, sf):
-    pts = _points(spark, sf)
-    votes = _stumps(pts)
-    st = committee.vote_stats(votes).select("id", F.col("mean_vote").alias("score"))
-    maj = committee.majority_vote(votes)
-    return pts.select("id", "label").join(maj, "id").join(st, "id")
+    return committee.predictions(committee.stump_vote_arrays(_points(spark, sf), STUMPS), keep=("label",))
 
 
 def q_accuracy(spark, sf):
@@ -462,24 +505,28 @@ def q_auc(spark, sf):
 
 # ============================================================== loops ======
 
+def _loop_k(pts):
+    """A batch size that empties the pool in ROUNDS rounds."""
+    return -(-(pts.count() - START_K) // ROUNDS)
+
+
 def q_loop_random(spark, sf):
     pts = _points(spark, sf)
-    res = loop.run_loop(spark, pts, _start(pts), START_K, loop.random_strategy(RANDOM_SEED),
-                        BATCH_K, max_rounds=ROUNDS)
+    res = loop.run_loop(spark, pts, _start(pts), START_K, loop.random_strategy(RANDOM_SEED), _loop_k(pts))
     return res.batches
 
 
 def q_loop_uncertain_fixed_committee(spark, sf):
     pts = _points(spark, sf)
     strat = loop.uncertainty_strategy(members=lambda u: committee.stump_vote_arrays(u, STUMPS))
-    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, BATCH_K, max_rounds=ROUNDS)
+    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, _loop_k(pts))
     return res.batches
 
 
 def q_loop_history_fixed_committee(spark, sf):
     pts = _points(spark, sf)
     strat = loop.uncertainty_strategy(members=lambda u: committee.stump_vote_arrays(u, STUMPS))
-    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, BATCH_K, max_rounds=ROUNDS)
+    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, _loop_k(pts))
     return res.history.select("iteration", "n_labeled", "n_unlabeled")
 
 
@@ -489,15 +536,15 @@ def q_loop_density_fixed_committee(spark, sf):
     pts = _points(spark, sf)
     total = similarity.reference_total(_unlabeled(pts))
     strat = loop.density_strategy(total, members=lambda u: committee.stump_vote_arrays(u, STUMPS))
-    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, BATCH_K, max_rounds=ROUNDS)
+    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, _loop_k(pts))
     return res.batches
 
 
 def q_loop_lal_linear_fixed_committee(spark, sf):
-    """LAL rounds with the linear stand-in gain, LAL_K picks per round."""
+    """LAL rounds with the linear stand-in gain."""
     pts = _points(spark, sf)
     strat = loop.lal_strategy(None, members=lambda u: committee.stump_vote_arrays(u, STUMPS))
-    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, LAL_K, max_rounds=ROUNDS)
+    res = loop.run_loop(spark, pts, _start(pts), START_K, strat, _loop_k(pts))
     return res.batches
 
 
@@ -587,9 +634,11 @@ QUERIES: dict[str, Query] = {
     "random_permutation": q_random_permutation,
     "random_k": q_random_k,
     "one_random_per_class": q_one_random_per_class,
-    "xor_mixture": q_xor_mixture,
     "sorted_ints": q_sorted_ints,
     "text_file_round_trip": q_text_file_round_trip,
+    "train_test_files": q_train_test_files,
+    "vectors_file": q_vectors_file,
+    "round_log_table": q_round_log_table,
     "csv_file_round_trip": q_csv_file_round_trip,
     "triples_file": q_triples_file,
     "ints_file": q_ints_file,
@@ -617,6 +666,8 @@ QUERIES: dict[str, Query] = {
     "density_linear": q_density_linear,
     "density_row_sums": q_density_row_sums,
     "select_density": q_select_density,
+    "select_density_squared": q_select_density_squared,
+    "select_density_table": q_select_density_table,
     "vector_sum": q_vector_sum,
     "lal_state": q_lal_state,
     "select_lal_linear": q_select_lal_linear,

@@ -14,9 +14,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Sizes a broadcast side may reach when its row count is only known as a
-# bound computed on the driver (k, number of rounds, number of classes ...).
-BROADCAST_ROW_LIMIT = 2_000_000
+# Bytes an explicitly broadcast side may hold, by a bound on its rows known
+# on the driver (k, number of rounds, number of classes ...) times their width.
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(master: str | None = None, app: str = "orchard",

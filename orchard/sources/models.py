@@ -5,19 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import TypeVar
 
+from pyspark.sql import SparkSession
+
 M = TypeVar("M")
 
 
 def save_model(model, path: str) -> str:
-    model.write().overwrite().save(path)
+    """Store a model; an existing one is never replaced (that is an error)."""
+    model.write().save(path)
     return path
 
 
+def stored(path: str) -> bool:
+    """Whether anything lies at ``path``, asked of its own file system."""
+    spark = SparkSession.getActiveSession()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def load_or_train(path: str, loader: Callable[[str], M], train: Callable[[], M]) -> M:
-    """Load the model stored at ``path``; if there is none, train and store it."""
-    try:
+    """Load the model stored at ``path``; train and store it only if nothing is
+    there.  A model that cannot be read is an error and stays as it is."""
+    if stored(path):
         return loader(path)
-    except Exception:  # noqa: BLE001 - nothing (readable) stored there yet
-        model = train()
-        save_model(model, path)
-        return model
+    model = train()
+    save_model(model, path)
+    return model

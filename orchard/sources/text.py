@@ -2,7 +2,7 @@
 
 Loaders return the point schema ``(id BIGINT, features ARRAY<DOUBLE>,
 label DOUBLE)`` or a narrower one.  Rows without a key get a consecutive id
-in scan order (``zipWithIndex`` semantics: line order for a single file),
+in file order (by path, then line),
 computed by ``ranking.scan_order_index`` without a sort.  Schemas are
 declared, never inferred, so no extra pass over the data is spent on
 inference.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orchard.functions.columns import WHITESPACE, recode_code, recode_sign, to_double_array, tokens
+from orchard.operators.lal import STATE_COLS, TRAIN_FILE_COLUMNS
 from orchard.operators.prep import parse_labeled_line, render_labeled_line
 from orchard.operators.ranking import scan_order_index
 
@@ -103,11 +104,13 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", schema=TRIPLE_TEXT_SCHEMA)
 
 
-def read_ints(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    """One integer per line, blank lines skipped (A8)."""
-    ints = spark.read.text(path).where(F.col("value") != "") \
-        .select(F.trim("value").try_cast("int").alias("value"))
-    return ints.repartition(min_partitions) if min_partitions else ints
+def read_ints(spark: SparkSession, path: str) -> DataFrame:
+    """One integer (BIGINT) per line, blank lines skipped; a line that is no
+    integer is an error, not a missing value (A8)."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    number = F.trim("value").try_cast("bigint")
+    bad = F.raise_error(F.concat(F.lit("not an integer: "), F.col("value"))).cast("bigint")
+    return lines.select(F.coalesce(number, bad).alias("value"))
 
 
 def points_from_rows(spark: SparkSession, rows: Sequence[tuple[float, Sequence[float]]]) -> DataFrame:
@@ -117,8 +120,8 @@ def points_from_rows(spark: SparkSession, rows: Sequence[tuple[float, Sequence[f
 
 
 def read_gain_table(spark: SparkSession, path: str,
-                    feature_positions: Sequence[int] = (0, 1, 2, 5, 7),
-                    names: Sequence[str] = ("f1", "f2", "f3", "f6", "f8")) -> DataFrame:
+                    feature_positions: Sequence[int] = TRAIN_FILE_COLUMNS,
+                    names: Sequence[str] = STATE_COLS) -> DataFrame:
     """Regressor training text (A10): chosen columns as state features,
     the last column as ``gain``; single-space separated."""
     lines = spark.read.text(path).where(F.col("value") != "")

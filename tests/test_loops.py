@@ -15,11 +15,11 @@ def pts(spark):
 
 def test_forest_votes_shape(spark, pts):
     model = committee.fit_forest(pts.where("id < 60"), num_trees=5, seed=3)
-    arrays = committee.forest_vote_arrays(model, pts, "shape")
+    arrays = committee.forest_vote_arrays(model, pts)
     rows = arrays.select("id", "votes").collect()
     assert len(rows) == pts.count()
     assert all(len(r.votes) == 5 and set(r.votes) <= {0.0, 1.0} for r in rows)
-    long = committee.forest_votes(model, pts, "shape-long")
+    long = committee.forest_votes(model, pts)
     assert long.count() == 5 * pts.count()
     a = {r.id: r.sum_votes for r in committee.vote_stats(long).collect()}
     b = {r.id: r.sum_votes for r in committee.row_vote_stats(arrays).collect()}
@@ -73,9 +73,12 @@ def test_carry_columns_ride_with_winners(spark, pts):
     assert all(feats[r.id] == r.features for r in batch)
 
 
-def test_lal_loop_picks_one_per_round(spark, pts):
+def test_lal_loop_runs_until_the_pool_is_empty(spark, pts):
     hist = jobs.forest_loop(spark, pts, "lal", rounds=2).orderBy("iteration").collect()
-    assert [h.n_labeled for h in hist] == [10, 11, 12]
+    n = tables.train_test(pts)[0].count()
+    k = -(-(n - 10) // 2)
+    assert [h.n_labeled for h in hist] == [10, 10 + k, n]
+    assert hist[-1].n_unlabeled == 0
 
 
 def test_one_lal_selection(spark, pts):

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from orchard.functions import columns as C
@@ -112,8 +113,8 @@ def test_forest_votes_match_per_tree_transform(spark):
     y = (x[:, 0] + x[:, 1] > 0).astype(float)
     pts = points_from_rows(spark, list(zip(y, x.tolist())))
     model = committee.fit_forest(pts, num_trees=7, seed=2)
-    a = {(r.id, r.tree): r.vote for r in committee.forest_votes_by_leaf(model, pts, "t").collect()}
-    b = {(r.id, r.tree): r.vote for r in committee.forest_votes_by_tree(model, pts).collect()}
+    a = {(r.id, r.tree): r.vote for r in committee.forest_votes(model, pts).collect()}
+    b = {(k, t): float(tree.predict(Vectors.dense(x[k]))) for k in range(80) for t, tree in enumerate(model.trees)}
     assert len(a) == 80 * 7
     assert a == b
     assert set(a.values()) <= {0.0, 1.0}
@@ -238,17 +239,15 @@ def test_sparse_triple_products_match_numpy(spark, tile_rows):
                                "i BIGINT, j BIGINT, value DOUBLE")
     got = {(r.i, r.j): r.value for r in similarity.multiply_triples(ta, tb, tile_rows=tile_rows).collect()}
     want = a @ b
-    rows_a = {i for i in range(9) if a[i].any()}
-    cols_b = {j for j in range(4) if b[:, j].any()}
-    assert set(got) == {(i, j) for i in rows_a for j in cols_b}
+    # entries that meet at an inner index, and no others
+    assert set(got) == {(i, j) for i in range(9) for j in range(4) if ((a[i] != 0) & (b[:, j] != 0)).any()}
     for (i, j), v in got.items():
         assert v == pytest.approx(want[i, j], abs=1e-12)
     dense = {r.id: r.features for r in similarity.triples_to_rows(ta).collect()}
     assert dense[0] == pytest.approx(list(a[0]))
     sims = {(r.i, r.j): r.value for r in similarity.column_similarities(ta, tile_rows=tile_rows).collect()}
-    nz = sorted(rows_a)
     u = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-    assert set(sims) == {(i, j) for i in nz for j in nz if i < j}
+    assert set(sims) == {(i, j) for i in range(9) for j in range(i + 1, 9) if ((a[i] != 0) & (a[j] != 0)).any()}
     for (i, j), v in sims.items():
         assert v == pytest.approx(float(u[i] @ u[j]), abs=1e-12)
 

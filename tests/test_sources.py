@@ -47,7 +47,7 @@ def test_triples_ints_vectors(spark, tmp_path):
     assert text.read_triples(spark, str(t)).count() == 2
     i = tmp_path / "ints.txt"
     i.write_text("5\n\n3\n7\n")
-    assert sorted(r.value for r in text.read_ints(spark, str(i), min_partitions=3).collect()) == [3, 5, 7]
+    assert sorted(r.value for r in text.read_ints(spark, str(i)).collect()) == [3, 5, 7]
     v = tmp_path / "vec.txt"
     v.write_text("1 2 3\n4 5 6\n")
     vec = text.read_vectors(spark, str(v)).orderBy("id").collect()
