@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orchard.llm import decontaminate, language, mixing, neardup, tokens
-from orchard.llm.common import documents
+from orchard.llm.common import broadcast_if_small, documents
 from orchard.llm.queries import END_ID, MIX_DIMS, MIX_POWERS, MIX_SWEEPS, PIECES, TOKENIZER
-from orchard.session import scratch_path
+from orchard.session import cut_lineage, scratch_path
 from orchard.sources.tables import read_table
 
 #: Tokens that mixing asks for, as a share of the tokens it is given.
@@ -39,8 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the smallest id, of each near-duplicate group."""
-    dropped = neardup.components_of(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = cut_lineage(neardup.components_of(docs).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(broadcast_if_small(dropped, 16), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     hits = decontaminate.hits_of(docs, read_table(spark, sf_dir, "benchmark"))
     if hits is None:
         return docs
+    hits = broadcast_if_small(cut_lineage(hits.select("hit_id", "hit_hash")), 32)
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(hits["hit_id"]) & (keyed["_text_hash"] == hits["hit_hash"])
     return keyed.join(hits, same, "left_anti").select(*docs.columns)

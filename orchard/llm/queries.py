@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from orchard.llm import (chat, decontaminate, fingerprint, language, mixing, neardup, secret_scan, tokens,
                          toxicity, urls)
 from orchard.llm.common import documents
-from orchard.session import scratch_path
+from orchard.session import cut_lineage, scratch_path
 from orchard.sources.tables import read_table
 
 #: Fixed values of the registered queries.
@@ -59,9 +59,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked probabilities of all documents and the documents they draw."""
-    docs = documents(spark, sf_dir).select(
+    # texts are read once; the narrow table serves the cells and the draw
+    docs = cut_lineage(documents(spark, sf_dir).select(
         "doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"),
-        mixing.token_count(F.col("text")).alias("n_tokens"))
+        mixing.token_count(F.col("text")).alias("n_tokens")))
     out = mixing.mix(docs, MIX_DIMS, MIX_POWERS, MIX_BUDGET, sweeps=MIX_SWEEPS)
     return out.withColumn("probability", F.round("probability", 6))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.llm.common import held_out, mix64
+from orchard.llm.common import broadcast_if_small, held_out, mix64
 from orchard.session import cut_lineage
 
 ORDERS = (3, 4, 5, 6)
@@ -100,9 +100,9 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
     """Coefficients on ratio-scaled presence features by Adam on the whole
     sample; returns (ratio x coefficient, intercept)."""
     ends = np.cumsum([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     flat = np.concatenate(rows)
-    x = ratio[flat]
+    x = ratio[flat].astype(np.float32)
     beta, b = np.full(SIZE, 0.02), float(np.log((weights * labels).sum() / (weights * (1 - labels)).sum()))
     m, v, mb, vb = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
     weights = weights / weights.sum()
@@ -120,13 +120,13 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
     return ratio * beta, b
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 2000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 1200) -> ToxicityModel:
     """A model of ``labels.toxic``, from rows that are not held out."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("label")).where("label in (0, 1)")
-    rows = docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id").select(
+    marks = cut_lineage(marks)
+    rows = docs.where(~held_out()).select("doc_id", "text").join(broadcast_if_small(marks, 24), "doc_id").select(
         "label", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("lot"))
-    rows = cut_lineage(rows)
     count, texts = _class_counts(rows)
     if texts.min() == 0:
         share = texts[1] / texts.sum() if texts.sum() else 0.5
