@@ -21,6 +21,7 @@ from orchard.sources import tables
 NUM_TREES = 10
 LOOP_ROUNDS = 3       # rounds until the pool is empty: batches are a share of it
 LOOP_START = 10
+SEPARABLE_START = 200  # rows of both classes, so that every bootstrap sample has both
 SEED = 1
 REGRESSION_TREES = 50
 
@@ -171,6 +172,32 @@ def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
                               F.round("accuracy", 6).alias("accuracy"))
 
 
+def separable_points(orders: DataFrame) -> DataFrame:
+    """Orders as an exactly separable task: one 0/1 feature equal to the label
+    (status F), so the votes of every tree are known."""
+    flag = F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)
+    return orders.select(F.col("o_orderkey").alias("id"), F.array(flag).alias("features"), flag.alias("label"))
+
+
+def separable_loop(spark: SparkSession, orders: DataFrame, rounds: int = LOOP_ROUNDS) -> loop.LoopResult:
+    """The uncertainty loop with a forest on the separable task, from the
+    smallest ids until the pool is empty.  All margins are equal, so batches
+    follow the ids, and the accuracy is 1 in every round."""
+    pool_points, test = tables.train_test(separable_points(orders))
+    start = pool.start_first_k(pool_points, SEPARABLE_START)
+    k = -(-(pool_points.count() - SEPARABLE_START) // rounds)
+    return loop.run_loop(spark, pool_points, start, SEPARABLE_START, loop.uncertainty_strategy(), k,
+                         test=test, fit_committee=True, num_trees=NUM_TREES, seed=SEED)
+
+
+def separable_gain(orders: DataFrame, num_trees: int = REGRESSION_TREES) -> DataFrame:
+    """The gain regressor where every state feature equals the gain: (id, prediction)."""
+    train, test = tables.train_test(separable_points(orders))
+    states = [F.col("label").alias(c) for c in lal.STATE_COLS]
+    model = lal.fit_gain_regressor(train.select(*states, F.col("label").alias("gain")), num_trees, SEED)
+    return lal.predict_gain(test.select("id", *states), model)
+
+
 def lal_one_selection(spark: SparkSession, points: DataFrame, num_trees: int = 50) -> DataFrame:
     """A single learned-gain selection: start with one labelled row per class,
     fit a ``num_trees`` committee, build the state features of every

@@ -71,6 +71,11 @@ def _loop_k() -> str:
        FROM pts)"""
 
 
+SEP = """sep AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label
+  FROM orders)"""
+SEP_LOOP = f"""kk AS (SELECT CAST(count(*) - 200 AS BIGINT) AS n, CAST(ceil((count(*) - 200) / 3.0) AS BIGINT) AS k
+       FROM sep WHERE {_bucket('id', 7, 5)} <> 0)"""
+
 LOOP_BATCHES = """SELECT CAST((rn - 1) // k + 1 AS INTEGER) AS iteration, CAST((rn - 1) % k + 1 AS INTEGER) AS rank, id
 FROM r, kk"""
 
@@ -400,6 +405,30 @@ SELECT CAST(i AS INTEGER) AS iteration, least(10 + k * (i - 1), n + 10) AS n_lab
        greatest(n - k * (i - 1), 0) AS n_unlabeled
 FROM range(1, 100) x(i), kk WHERE k * (i - 2) < n""",
 
+    # a forest that sees one 0/1 feature equal to the label votes the label
+    "forest_separable_votes": _with(SEP) + f"""
+SELECT id, CAST(t AS INTEGER) AS tree, label AS vote FROM sep, range(0, 10) r(t) WHERE {_bucket('id', 7, 5)} = 0""",
+
+    "forest_separable_metrics": _with(SEP) + f"""
+SELECT count(*) AS n_train, 1.0::DOUBLE AS accuracy_vote, 1.0::DOUBLE AS accuracy_avg, 0.0::DOUBLE AS test_error
+FROM sep WHERE {_bucket('id', 7, 5)} <> 0""",
+
+    "forest_separable_importance": _with(SEP) + """
+SELECT 0::INTEGER AS feature, 1.0::DOUBLE AS importance FROM sep HAVING count(DISTINCT label) = 2""",
+
+    "gain_regressor_separable": _with(SEP) + f"""
+SELECT id, label AS prediction FROM sep WHERE {_bucket('id', 7, 5)} = 0""",
+
+    "loop_separable_history": _with(SEP, SEP_LOOP) + """
+SELECT CAST(i AS INTEGER) AS iteration, least(200 + k * (i - 1), n + 200) AS n_labeled,
+       greatest(n - k * (i - 1), 0) AS n_unlabeled, 1.0::DOUBLE AS accuracy
+FROM range(1, 100) x(i), kk WHERE k * (i - 2) < n""",
+
+    "loop_separable_batches": _with(SEP, SEP_LOOP, f"""r AS (
+  SELECT id, row_number() OVER (ORDER BY id) - 200 AS rn FROM sep WHERE {_bucket('id', 7, 5)} <> 0)""") + """
+SELECT CAST((rn - 1) // k + 1 AS INTEGER) AS iteration, CAST((rn - 1) % k + 1 AS INTEGER) AS rank, id
+FROM r, kk WHERE rn > 0""",
+
     "sequence_to_exhaustion": _with(PTS, LAB, f"""r AS (SELECT id, row_number() OVER (ORDER BY {_md5('id', 42)}, id) - 1 AS pos
                                                       FROM pts WHERE id NOT IN (SELECT id FROM lab))""") + """
 SELECT CAST(pos // 12 + 1 AS INTEGER) AS iteration, CAST(pos % 12 + 1 AS INTEGER) AS rank, id FROM r""",

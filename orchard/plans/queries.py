@@ -596,6 +596,34 @@ def q_label_encoded_forest(spark, sf):
     return jobs.label_encoded_job(tables.read_table(spark, sf, "part"))
 
 
+def _orders(spark, sf):
+    return tables.read_table(spark, sf, "orders")
+
+
+def q_forest_separable_votes(spark, sf):
+    return jobs.forest_votes_job(jobs.separable_points(_orders(spark, sf)))
+
+
+def q_forest_separable_metrics(spark, sf):
+    return jobs.forest_fit_evaluate(jobs.separable_points(_orders(spark, sf)))
+
+
+def q_forest_separable_importance(spark, sf):
+    return jobs.forest_importance(jobs.separable_points(_orders(spark, sf)))
+
+
+def q_gain_regressor_separable(spark, sf):
+    return jobs.separable_gain(_orders(spark, sf)).select("id", _r(F.col("prediction")).alias("prediction"))
+
+
+def q_loop_separable_history(spark, sf):
+    return jobs.separable_loop(spark, _orders(spark, sf)).history.drop("seconds")
+
+
+def q_loop_separable_batches(spark, sf):
+    return jobs.separable_loop(spark, _orders(spark, sf)).batches
+
+
 def q_loop_uncertain_forest(spark, sf):
     return jobs.forest_loop(spark, tables.document_points(spark, sf), "uncertainty", materialize=True)
 
@@ -690,6 +718,12 @@ QUERIES: dict[str, Query] = {
     "quality_forest": q_quality_forest,
     "label_encoded_forest": q_label_encoded_forest,
     "multiclass_forest": q_multiclass_forest,
+    "forest_separable_votes": q_forest_separable_votes,
+    "forest_separable_metrics": q_forest_separable_metrics,
+    "forest_separable_importance": q_forest_separable_importance,
+    "gain_regressor_separable": q_gain_regressor_separable,
+    "loop_separable_history": q_loop_separable_history,
+    "loop_separable_batches": q_loop_separable_batches,
     "loop_random_forest": q_loop_random_forest,
     "loop_uncertain_forest": q_loop_uncertain_forest,
     "loop_density_forest": q_loop_density_forest,
