@@ -67,10 +67,10 @@ def _window_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     if small is marks:
         # a benchmark beyond the broadcast size: only the hashes travel, not the words
         keys = found.select("doc_id", "text_hash", "at", "h").join(marks, "h", "left_semi")
-        places = keys.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("ats"))
-        same = docs["doc_id"].eqNullSafe(places["doc_id"]) & (docs["text_hash"] == places["text_hash"])
-        hits = docs.join(places, same).select(
-            docs["doc_id"], docs["text_hash"], "words", F.explode("ats").alias("at"))
+        places = keys.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("ats")).select(
+            F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "ats")
+        hits = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+                         ).select("doc_id", "text_hash", "words", F.explode("ats").alias("at"))
     else:
         hits = found.join(small, "h", "left_semi")
     starts = F.sequence(F.greatest(F.col("at") - (width - 1), F.lit(0)),

@@ -344,7 +344,7 @@ def test_secret_spans_match_plain_scans(spark, edge_rows, empty):
                      hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in name)))
     key = lambda x: tuple((v is not None, v if v is not None else 0) for v in x)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    assert sum(r["n_assign"] for r in got) == 5 and sum(r["n_hex"] for r in got) == 2
+    assert sum(r["n_assign"] for r in got) == 5 and sum(r["n_hex"] for r in got) == 3
     assert secret_scan.scan(empty).count() == 0
 
 
