@@ -4,7 +4,9 @@ log-count ratios.
 Features are the presence of hashed character n-grams (``ORDERS``) of the
 lower-cased text with runs of white space as one space.  Over all labelled
 rows outside the held-out part, the number of texts of each class that have a
-feature gives its log-count ratio r; a text's features are r where present.
+feature gives its log-count ratio r, taken as 0 where the classes' shares
+differ by less than ``LEAST_Z`` standard errors: among a hundred thousand
+ratios smaller differences are chance.  A text's features are r where present.
 A logistic regression on these scaled features gives the score.
 
 The ratios cover all labelled training rows; the regression is fitted on a
@@ -35,8 +37,9 @@ ORDERS = (3, 4, 5, 6)
 BITS = 18
 SIZE = 1 << BITS
 SMOOTHING = 1.0
+LEAST_Z = 6.0
 RIDGE = 1e-4
-STEPS = 150
+STEPS = 200
 THRESHOLD = 0.3
 _SPACE = re.compile(r"\s+")
 
@@ -110,7 +113,7 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
         sums = np.concatenate([[0.0], np.cumsum(x * beta[flat])])
         z = sums[ends] - sums[ends - np.diff(np.concatenate([[0], ends]))] + b
         error = weights * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels)
-        g = np.bincount(flat, error[row] * x, SIZE) + RIDGE * beta / SIZE
+        g = np.bincount(flat, error[row] * x, SIZE) + RIDGE * beta
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -120,7 +123,7 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
     return ratio * beta, b
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 1200) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000) -> ToxicityModel:
     """A model of ``labels.toxic``, from rows that are not held out."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("label")).where("label in (0, 1)")
@@ -133,12 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 1200) -> ToxicityM
         return ToxicityModel(np.zeros(SIZE), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     part = (count + SMOOTHING) / (texts[:, None] + 2 * SMOOTHING)
     ratio = np.log(part[1] / part[0])
+    common = count.sum(0) / texts.sum()
+    error = np.sqrt(common * (1 - common) * (1 / texts[0] + 1 / texts[1]))
+    ratio[np.abs(count[1] / texts[1] - count[0] / texts[0]) < LEAST_Z * np.maximum(error, 1e-12)] = 0
     rate = np.minimum(1.0, fit_rows / texts)
     sample = rows.where(F.col("lot") < F.when(F.col("label") == 1, F.lit(float(rate[1]))).otherwise(float(rate[0])))
 
     def extract(batches):
         for batch in batches:
             f = [features(t.as_py()).astype(np.int32) for t in batch.column(1)]
+            f = [x[ratio[x] != 0] for x in f]
             if f:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in f])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
