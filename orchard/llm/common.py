@@ -17,7 +17,9 @@ HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 #: Bytes of rows that a broadcast side may hold; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 #: Bytes of text handled at once inside a task (one longer text is one slice).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch that are turned into results at once.
+SLICE_ROWS = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +47,14 @@ def text_slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES):
     ``slice_bytes`` at a time; nulls are empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.fill_null("")
     n = len(texts)
     if n == 0:
         return
     bufs = texts.buffers()
-    offsets = np.frombuffer(bufs[1], np.int64)[texts.offset:texts.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(bufs[1], kind)[texts.offset:texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
     start = 0
     while start < n:
@@ -60,6 +64,13 @@ def text_slices(texts: pa.Array, slice_bytes: int = SLICE_BYTES):
         start = end
 
 
+def row_slices(batches):
+    """Arrow batches in pieces of at most SLICE_ROWS rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(first, SLICE_ROWS)
+
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 

@@ -41,8 +41,8 @@ START = "▁"           # word-start mark of the vocabulary
 MAX_RUN = 32               # letters scored at once
 MAX_PIECE = 12             # longest piece, in characters with the mark
 RARE = 1e-7                # probability of a letter outside the vocabulary
-CACHE_WORDS = 400_000      # words whose scores a task keeps
-TEXT_BYTES = 4 << 20       # text whose new words are scored together
+CACHE_WORDS = 200_000      # words whose scores a task keeps
+TEXT_BYTES = 2 << 20       # text whose new words are scored together
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PREFIX_BITS = 20

@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.llm.common import (WordHasher, broadcast_if_small, connected_components, run_hashes,
-                                text_slices)
+from orchard.llm.common import (WordHasher, broadcast_if_small, connected_components, row_slices,
+                                run_hashes, text_slices)
 from orchard.session import cut_lineage
 
 WHITE_SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -77,12 +77,12 @@ def sketches(docs: DataFrame, k: int, shingle: int) -> DataFrame:
 
     def part(batches):
         hasher = WordHasher(WHITE_SPACE)
-        for batch in batches:
+        for batch in row_slices(batches):
             n, keys, flat, lens = [], [], [], []
             for s in shingle_sets(batch.column(1), hasher, shingle):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                flat.append(s[:k])
+                flat.append(s[:k].copy())
                 lens.append(min(k, len(s)))
             if not n:
                 continue
@@ -156,7 +156,7 @@ def _full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
     def part(batches):
         hasher = WordHasher(WHITE_SPACE)
-        for batch in batches:
+        for batch in row_slices(batches):
             sets = list(shingle_sets(batch.column(1), hasher, shingle))
             if sets:
                 n = np.array([len(x) for x in sets])

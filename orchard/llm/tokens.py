@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: these are split on the characters that both take for white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Distinct words whose ids a task keeps at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class CachedEncoder:
