@@ -26,7 +26,8 @@ from orchard.llm.queries import END_ID, MIX_DIMS, MIX_POWERS, MIX_SWEEPS, PIECES
 from orchard.session import cut_lineage, scratch_path
 from orchard.sources.tables import read_table
 
-#: Tokens that mixing asks for, as a share of the tokens it is given.
+#: Most tokens that mixing asks for, as a share of the tokens it is given; it
+#: draws at the largest budget up to this one at which its targets hold.
 BUDGET = 1.0
 
 
@@ -58,7 +59,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Draw documents by probabilities raked to source, language and topic."""
     weighed = docs.withColumns({"topic": mixing.topic_of(F.col("text")),
                                 "n_tokens": mixing.token_count(F.col("text"))})
-    return mixing.mix(weighed, MIX_DIMS, MIX_POWERS, BUDGET, sweeps=MIX_SWEEPS).where("sampled").select(
+    return mixing.mix(weighed, MIX_DIMS, MIX_POWERS, BUDGET, sweeps=MIX_SWEEPS, hold=True).where("sampled").select(
         *docs.columns)
 
 

@@ -11,6 +11,12 @@ table of cells, whose size is bounded by the numbers of categories; the cells'
 probabilities return to the documents by a join that broadcasts within a
 checked size.
 
+A probability cannot exceed 1.  ``mix`` with ``hold`` keeps that bound inside
+the raking: what a cell cannot give is asked of the other cells of its
+categories, and the budget is lowered to the largest at which all targets
+hold; marginals that no budget meets are logged.  Without ``hold`` the raked
+weights are cut at 1 afterwards and the mixture may miss its targets.
+
 Targets: shares in proportion to a power of a category's own tokens (``power``
 1 keeps the mixture, 0 makes it uniform), or given shares.
 
@@ -22,6 +28,10 @@ alike; extra columns pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +41,11 @@ from orchard.session import cut_lineage
 SEED = 20
 #: 13 hex digits of an md5 give a uniform number of 52 bits.
 _LOT_DIGITS, _LOT_RANGE = 13, float(1 << 52)
+#: A marginal holds when its share is this close to its target.
+TOLERANCE = 1e-4
+#: Most sweeps of one bounded raking, and halvings in the search for the budget.
+BOUND_SWEEPS, HALVINGS = 200, 20
+_LOG = logging.getLogger(__name__)
 
 
 def token_count(text: Column) -> Column:
@@ -53,13 +68,9 @@ def lot(id_col: str = "doc_id", seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, _LOT_DIGITS), 16, 10).cast("double") / _LOT_RANGE
 
 
-def rake(cells: DataFrame, dims: list[str], powers: dict[str, float],
-         shares: dict[str, DataFrame] | None = None, sweeps: int = 10) -> DataFrame:
-    """Cells with column ``w``: token shares raked to the targets.
-
-    cells: dims and ``n`` (tokens, > 0).  shares: dimension -> (dim, share)
-    for given targets; the other dimensions follow ``powers``.
-    """
+def _with_targets(cells: DataFrame, dims: list[str], powers: dict[str, float],
+                  shares: dict[str, DataFrame] | None) -> DataFrame:
+    """Cells with ``w`` (token shares) and each dimension's target ``_t_<dim>``."""
     total = cells.agg(F.sum("n")).first()[0]
     out = cells.withColumn("w", F.col("n") / F.lit(float(total or 1)))
     for d in dims:
@@ -76,18 +87,155 @@ def rake(cells: DataFrame, dims: list[str], powers: dict[str, float],
     for d in dims:
         sums = out.groupBy(d).agg(F.first(f"_t_{d}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
         out = out.withColumn(f"_t_{d}", F.col(f"_t_{d}") / F.lit(float(sums)))
+    return out
+
+
+def rake(cells: DataFrame, dims: list[str], powers: dict[str, float],
+         shares: dict[str, DataFrame] | None = None, sweeps: int = 10) -> DataFrame:
+    """Cells with column ``w``: token shares raked to the targets.
+
+    cells: dims and ``n`` (tokens, > 0).  shares: dimension -> (dim, share)
+    for given targets; the other dimensions follow ``powers``.
+    """
+    out = _with_targets(cells, dims, powers, shares)
     for _ in range(sweeps):
         for d in dims:
             out = out.withColumn("w", F.col("w") * F.col(f"_t_{d}") / F.sum("w").over(Window.partitionBy(d)))
     return out.drop(*[f"_t_{d}" for d in dims])
 
 
+def _gap(w: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> float:
+    return max(float(np.abs(np.bincount(c, w, len(t)) - t).max()) for c, t in zip(codes, targets))
+
+
+def _rake_below(start: np.ndarray, most: np.ndarray, codes: list[np.ndarray],
+                targets: list[np.ndarray]) -> np.ndarray:
+    """Weights min(most, start x one factor a category) with the target sums.
+
+    Each step solves a category's factor exactly: the cells that reach their
+    bound first are set to it, the others share what is left.
+    """
+    x = start.copy()
+    for _ in range(BOUND_SWEEPS):
+        for c, t in zip(codes, targets):
+            limit = most / x
+            order = np.lexsort((limit, c))
+            first = np.searchsorted(c[order], np.arange(len(t)))
+            last = np.append(first[1:], len(x)) - 1
+            cc, lo, bound, free = c[order], limit[order], most[order], x[order]
+            # sums of the bounds before each cell and of the weights from it on
+            taken = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(bound), bound, 0.0))])
+            taken = taken[:-1] - taken[first][cc]
+            rest = np.cumsum(free[::-1])[::-1]
+            rest = np.maximum(rest - np.append(rest, 0.0)[last + 1][cc], free)
+            factor = (t[cc] - taken) / rest
+            at = np.minimum.reduceat(np.where(factor <= lo, np.arange(len(x)), len(x)), first)
+            f = np.where(at < len(x), factor[np.minimum(at, len(x) - 1)], lo[last])
+            x = np.maximum(x * f[c], 1e-300)
+        w = np.minimum(x, most)
+        if _gap(w, codes, targets) < TOLERANCE / 100:
+            break
+    return w
+
+
+def _largest_draw(n: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
+                  budget: float) -> tuple[np.ndarray, float]:
+    """(weights, budget): the largest budget up to ``budget`` at which no cell
+    is asked for more than it has and the targets hold as well as they do
+    without that bound."""
+    share = n / n.sum()
+    free = _rake_below(share, np.full(len(n), np.inf), codes, targets)
+    least = _gap(free, codes, targets) + TOLERANCE
+
+    def at(b):
+        w = _rake_below(share, share / b, codes, targets)
+        return w if _gap(w, codes, targets) <= least else None
+
+    w = at(budget)
+    if w is not None:
+        return w, budget
+    # without a bound in force all targets hold as in ``free``
+    low, high = min(budget, float((share / free).min())), budget
+    best = np.minimum(free, share / low)
+    for _ in range(HALVINGS):
+        w = at((low + high) / 2)
+        if w is None:
+            high = (low + high) / 2
+        else:
+            low, best = (low + high) / 2, w
+    return best, low
+
+
+def rake_within(cells: DataFrame, dims: list[str], powers: dict[str, float], budget: float,
+                shares: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Cells with ``w``, ``budget`` and ``_t_<dim>``: shares raked to the
+    targets with w x budget x total <= n in every cell, at the largest budget
+    up to ``budget`` at which the targets hold.
+
+    One task solves it: the cells are bounded by the numbers of categories.
+    """
+    marks = [f"_t_{d}" for d in dims]
+    out = _with_targets(cells, dims, powers, shares).select(*dims, "n", *marks)
+
+    def solve(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).combine_chunks()
+        t = [table[m].to_numpy() for m in marks]
+        use = np.flatnonzero(np.min(t, axis=0) > 0)
+        w, b = np.zeros(table.num_rows), budget
+        if len(use):
+            codes, targets = [], []
+            for d, m in zip(dims, t):
+                code = table[d].combine_chunks().dictionary_encode().indices.to_numpy()[use]
+                _, first, code = np.unique(code, return_index=True, return_inverse=True)
+                codes.append(code)
+                targets.append(m[use][first])
+            w[use], b = _largest_draw(table["n"].to_numpy()[use].astype(float), codes, targets, budget)
+        table = table.append_column("w", pa.array(w)).append_column("budget", pa.array(np.full(len(w), float(b))))
+        yield from table.to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    return out.coalesce(1).mapInArrow(solve, schema + ", w double, budget double")
+
+
+def marginals(weights: DataFrame, dims: list[str]) -> DataFrame:
+    """dim, category, before, target, drawn: token shares of every category
+    before the draw, asked for, and expected in the draw.
+
+    weights: dims, ``n``, ``p`` (the cell's probability) and ``_t_<dim>``.
+    """
+    sums = weights.agg(F.sum("n"), F.sum(F.col("n") * F.col("p"))).first()
+    out = None
+    for d in dims:
+        part = weights.groupBy(F.lit(d).alias("dim"), F.col(d).cast("string").alias("category")).agg(
+            (F.sum("n") / F.lit(float(sums[0] or 1))).alias("before"), F.first(f"_t_{d}").alias("target"),
+            (F.sum(F.col("n") * F.col("p")) / F.lit(float(sums[1] or 1))).alias("drawn"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _report(weights: DataFrame, names: list[str], dims: list[str], budget: float) -> None:
+    """Log the budget in use when it was lowered, and the marginals that miss."""
+    used = weights.agg(F.first("budget")).first()[0]
+    if used is not None and used < budget:
+        _LOG.warning("mixing: budget %.4f instead of %.4f, the largest at which the targets hold", used, budget)
+    missed = marginals(weights, names).where(F.abs(F.col("drawn") - F.col("target")) > 2 * TOLERANCE)
+    for r in missed.orderBy(F.abs(F.col("drawn") - F.col("target")).desc()).limit(20).collect():
+        _LOG.warning("mixing: %s %s cannot reach its target share %.4f, drawn %.4f",
+                     dims[names.index(r["dim"])], r["category"], r["target"], r["drawn"])
+
+
 def mix(docs: DataFrame, dims: list[str], powers: dict[str, float], budget: float = 0.5,
-        shares: dict[str, DataFrame] | None = None, sweeps: int = 10, seed: int = SEED) -> DataFrame:
+        shares: dict[str, DataFrame] | None = None, sweeps: int = 10, seed: int = SEED,
+        hold: bool = False) -> DataFrame:
     """``docs`` (with dims and ``n_tokens``) plus probability and sampled.
 
     budget: tokens asked for, as a share of all tokens.  A probability stops
-    at 1: such a cell is taken whole and falls short of its weight.
+    at 1: such a cell is taken whole and falls short of its weight, unless
+    ``hold`` gives the excess to other cells and lowers the budget to the
+    largest at which the targets hold.
     """
     keyed = docs.withColumns({f"_d{i}": F.coalesce(F.col(d).cast("string"), F.lit("(null)"))
                               for i, d in enumerate(dims)})
@@ -96,10 +244,15 @@ def mix(docs: DataFrame, dims: list[str], powers: dict[str, float], budget: floa
     total = float(cells.agg(F.sum("n")).first()[0] or 0)
     given = {f"_d{dims.index(d)}": s.select(F.col(d).alias(f"_d{dims.index(d)}"), "share")
              for d, s in (shares or {}).items()}
-    weights = cut_lineage(rake(cells, names, {f"_d{i}": powers.get(d, 1.0) for i, d in enumerate(dims)},
-                               given, sweeps))
-    chance = weights.select(*names, F.least(F.lit(1.0), F.col("w") * F.lit(budget * total) / F.col("n"))
-                            .alias("probability"))
+    powers = {f"_d{i}": powers.get(d, 1.0) for i, d in enumerate(dims)}
+    if hold:
+        weights = cut_lineage(rake_within(cells, names, powers, budget, given).withColumn(
+            "p", F.least(F.lit(1.0), F.col("w") * F.col("budget") * F.lit(total) / F.col("n"))))
+        _report(weights, names, dims, budget)
+    else:
+        weights = cut_lineage(rake(cells, names, powers, given, sweeps)).withColumn(
+            "p", F.least(F.lit(1.0), F.col("w") * F.lit(budget * total) / F.col("n")))
+    chance = weights.select(*names, F.col("p").alias("probability"))
     out = keyed.join(broadcast_if_small(chance, 256), names, "left").drop(*names)
     out = out.withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     return out.withColumn("sampled", lot("doc_id", seed) < F.col("probability"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orchard.llm import (chat, decontaminate, fingerprint, language, mixing, neardup, secret_scan, tokens,
                          toxicity, urls)
-from orchard.llm.queries import END_ID, PIECES, TOKENIZER, URL_RULES
+from orchard.llm.queries import END_ID, MIX_DIMS, MIX_POWERS, PIECES, TOKENIZER, URL_RULES
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "n long, value string, text_hash string, component string, words string, at string, score string")
@@ -235,6 +235,71 @@ def test_decontamination_empty_tables(spark, docs, empty):
 
 # ---------------------------------------------------------------- mixing
 
+def target_shares(rows, dims, powers):
+    """(dim, category) -> target share of tokens, of dicts with n_tokens."""
+    out = {}
+    for d in dims:
+        mass = {}
+        for r in rows:
+            mass[r[d]] = mass.get(r[d], 0) + r["n_tokens"]
+        mass = {k: v ** powers[d] for k, v in mass.items()}
+        out.update({(d, k): v / sum(mass.values()) for k, v in mass.items()})
+    return out
+
+
+def shares_of(rows, dims, weight):
+    total = sum(weight(r) for r in rows)
+    out = {}
+    for d in dims:
+        for r in rows:
+            out[d, r[d]] = out.get((d, r[d]), 0) + weight(r) / total
+    return out
+
+
+def test_pipeline_draws_the_target_shares(spark):
+    import corpus_pipeline
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):
+        lang = rng.choice(["en"] * 8 + ["de", "es"])
+        text = "w " * rng.randrange(20, 60) + rng.choice([""] * 19 + ["a@b"])
+        rows.append((i, text, lang, rng.choice("abc" if lang == "en" else "ab"), len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    weighed = docs.withColumns({"topic": mixing.topic_of(F.col("text")), "n_tokens": mixing.token_count(F.col("text"))})
+    drawn = corpus_pipeline.mixing_to_targets(spark, docs, "").select("doc_id")
+    rows = weighed.select("doc_id", "source", "lang", "topic", "n_tokens").collect()
+    kept = {r["doc_id"] for r in drawn.collect()}
+    want = target_shares(rows, MIX_DIMS, MIX_POWERS)
+    got = shares_of([r for r in rows if r["doc_id"] in kept], MIX_DIMS, lambda r: r["n_tokens"])
+    assert got == pytest.approx(want, abs=0.025)
+
+
+def test_bounded_raking_holds_at_the_largest_budget(spark, caplog):
+    dims, powers = ["source", "lang"], {"source": 0.5, "lang": 0.0}
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aaab"), rng.choice(["x"] * 5 + ["y", None]), rng.randrange(1, 50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_tokens long")
+    out = mixing.mix(df, dims, powers, 1.0, hold=True).collect()
+    want = target_shares(out, dims, powers)
+    assert shares_of(out, dims, lambda r: r["n_tokens"] * r["probability"]) == pytest.approx(want, abs=3e-4)
+    # the draw is as large as it can be: the rarest language is taken whole
+    before = shares_of(out, dims, lambda r: r["n_tokens"])
+    total = sum(r["n_tokens"] for r in out)
+    drawn = sum(r["n_tokens"] * r["probability"] for r in out) / total
+    assert drawn == pytest.approx(min(before[k] / want[k] for k in want), rel=0.01)
+    assert "instead of 1.0000" in caplog.text and "cannot reach" not in caplog.text
+    # a budget that needs no bound stays, with the weights of plain raking
+    small = {r["doc_id"]: r["probability"] for r in mixing.mix(df, dims, powers, 0.05, hold=True).collect()}
+    plain = {r["doc_id"]: r["probability"] for r in mixing.mix(df, dims, powers, 0.05).collect()}
+    assert small == pytest.approx(plain, rel=1e-3)
+    # targets that exclude each other are reported, and rows still drawn
+    caplog.clear()
+    tied = df.withColumn("lang", F.col("source"))
+    out = mixing.mix(tied, dims, powers, 1.0, hold=True)
+    assert out.where("sampled").count() > 0 and "cannot reach" in caplog.text
+    assert mixing.mix(df.where("doc_id < 0"), dims, powers, hold=True).count() == 0
+
+
 def test_raking_reaches_the_target_shares(spark, empty):
     rng = random.Random(4)
     rows = [(i, rng.choice("aaaab"), rng.choice(["x", "y", None]), rng.randrange(1, 50)) for i in range(3000)]
