@@ -5,8 +5,8 @@ Features are the presence of hashed character n-grams (``ORDERS``) of the
 lower-cased text with runs of white space as one space.  Over all labelled
 rows outside the held-out part, the number of texts of each class that have a
 feature gives its log-count ratio r, taken as 0 where the classes' shares
-differ by less than ``LEAST_Z`` standard errors: among a hundred thousand
-ratios smaller differences are chance.  A text's features are r where present.
+differ by less than ``LEAST_Z`` standard errors: among millions of ratios
+smaller differences are chance.  Only the other features leave the cluster.  A text's features are r where present.
 A logistic regression on these scaled features gives the score.
 
 The ratios cover all labelled training rows; the regression is fitted on a
@@ -34,7 +34,7 @@ from orchard.llm.common import broadcast_if_small, held_out, mix64
 from orchard.session import cut_lineage
 
 ORDERS = (3, 4, 5, 6)
-BITS = 18
+BITS = 22
 SIZE = 1 << BITS
 SMOOTHING = 1.0
 LEAST_Z = 6.0
@@ -44,58 +44,82 @@ THRESHOLD = 0.3
 _SPACE = re.compile(r"\s+")
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted distinct feature numbers of a text."""
+def _hashes(text: str | None) -> np.ndarray:
+    """Feature numbers of a text, repeats included."""
     s = " " + _SPACE.sub(" ", (text or "").lower()).strip() + " "
     c = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    seen = np.zeros(SIZE, bool)
+    found = [np.zeros(0, np.int32)]
     h = np.zeros(len(c), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         if len(c) < n or len(s) <= 2:
             break
         h = h[:len(c) - n + 1] * np.uint64(0x5851F42D4C957F2D) + c[n - 1:] + np.uint64(1)
         if n in ORDERS:
-            seen[(mix64(h) >> np.uint64(64 - BITS)).astype(np.int64)] = True
-    return np.flatnonzero(seen)
+            found.append((mix64(h) >> np.uint64(64 - BITS)).astype(np.int32))
+    return np.concatenate(found)
+
+
+def features(text: str | None) -> np.ndarray:
+    """Sorted distinct feature numbers of a text."""
+    return np.unique(_hashes(text))
+
+
+class Vocabulary:
+    """The features that count, as sorted numbers; only these are shipped, a
+    worker builds its lookup table once."""
+
+    def __init__(self, kept: np.ndarray):
+        self.kept, self._at = kept.astype(np.int32), None
+
+    def __getstate__(self):
+        return {"kept": self.kept, "_at": None}
+
+    def positions(self, text: str | None) -> np.ndarray:
+        """Sorted distinct positions in ``kept`` of the features of a text."""
+        if self._at is None:
+            self._at = np.full(SIZE, -1, np.int32)
+            self._at[self.kept] = np.arange(len(self.kept), dtype=np.int32)
+        at = self._at[_hashes(text)]
+        return np.unique(at[at >= 0])
 
 
 class ToxicityModel:
-    """Weight of each feature (ratio and coefficient multiplied) and intercept."""
+    """Weight of each feature that counts (ratio and coefficient multiplied)
+    and intercept."""
 
-    def __init__(self, weights: np.ndarray, intercept: float):
-        self.weights, self.intercept = weights, intercept
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, intercept: float):
+        self.vocabulary, self.weights, self.intercept = vocabulary, weights, intercept
 
     def score(self, text: str | None) -> float:
-        z = self.intercept + float(self.weights[features(text)].sum())
+        z = self.intercept + float(self.weights[self.vocabulary.positions(text)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of each class with each feature, and texts of each class."""
+def _class_counts(rows: DataFrame, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features whose class shares differ by LEAST_Z standard errors or more,
+    sorted, and their texts of each class.  texts: texts of each class."""
 
     def part(batches):
-        count, texts = np.zeros((2, SIZE), np.int64), np.zeros(2, np.int64)
+        count = np.zeros((2, SIZE), np.int32)
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 count[label, features(text.as_py())] += 1
-                texts[label] += 1
-        for label in (0, 1):
-            at = np.flatnonzero(count[label])
+        at = np.flatnonzero(count.any(0))
+        for first in range(0, len(at), 1 << 16):
+            a = at[first:first + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at) + 1, label, np.int32)),
-                 pa.array(np.concatenate([at, [-1]]).astype(np.int32)),
-                 pa.array(np.concatenate([count[label, at], [texts[label]]]))],
-                names=["label", "feature", "n"])
-
-    sums = rows.select("label", "text").mapInArrow(part, "label int, feature int, n long").groupBy(
-        "label", "feature").agg(F.sum("n").alias("n")).toPandas()
-    # 2 x SIZE numbers at most, whatever the corpus
-    count, texts = np.zeros((2, SIZE)), np.zeros(2)
-    real = sums[sums["feature"] >= 0]
-    count[real["label"], real["feature"]] = real["n"]
-    rest = sums[sums["feature"] < 0]
-    texts[rest["label"]] = rest["n"]
-    return count, texts
+                [pa.array(a.astype(np.int32)), pa.array(count[0, a].astype(np.int64)),
+                 pa.array(count[1, a].astype(np.int64))], names=["feature", "n0", "n1"])
+
+    t0, t1 = (F.lit(float(t)) for t in texts)
+    common = (F.col("n0") + F.col("n1")) / (t0 + t1)
+    error = F.sqrt(common * (1 - common) * (1 / t0 + 1 / t1))
+    sums = rows.select("label", "text").mapInArrow(part, "feature int, n0 long, n1 long").groupBy("feature").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # the features within chance stay in the cluster
+    kept = sums.where(F.abs(F.col("n1") / t1 - F.col("n0") / t0) >= LEAST_Z * F.greatest(error, F.lit(1e-12))
+                      ).toPandas().sort_values("feature")
+    return kept["feature"].to_numpy(), kept[["n0", "n1"]].to_numpy(float).T
 
 
 def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
@@ -106,14 +130,14 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     flat = np.concatenate(rows)
     x = ratio[flat].astype(np.float32)
-    beta, b = np.full(SIZE, 0.02), float(np.log((weights * labels).sum() / (weights * (1 - labels)).sum()))
-    m, v, mb, vb = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
+    beta, b = np.full(len(ratio), 0.02), float(np.log((weights * labels).sum() / (weights * (1 - labels)).sum()))
+    m, v, mb, vb = np.zeros(len(ratio)), np.zeros(len(ratio)), 0.0, 0.0
     weights = weights / weights.sum()
     for step in range(1, STEPS + 1):
         sums = np.concatenate([[0.0], np.cumsum(x * beta[flat])])
         z = sums[ends] - sums[ends - np.diff(np.concatenate([[0], ends]))] + b
         error = weights * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels)
-        g = np.bincount(flat, error[row] * x, SIZE) + RIDGE * beta
+        g = np.bincount(flat, error[row] * x, len(ratio)) + RIDGE * beta
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -130,22 +154,22 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000) -> ToxicityM
     marks = cut_lineage(marks)
     rows = docs.where(~held_out()).select("doc_id", "text").join(broadcast_if_small(marks, 24), "doc_id").select(
         "label", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("lot"))
-    count, texts = _class_counts(rows)
+    texts = np.zeros(2)
+    for r in rows.groupBy("label").count().collect():
+        texts[r["label"]] = r["count"]
     if texts.min() == 0:
         share = texts[1] / texts.sum() if texts.sum() else 0.5
-        return ToxicityModel(np.zeros(SIZE), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return ToxicityModel(Vocabulary(np.zeros(0)), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+    kept, count = _class_counts(rows, texts)
+    vocabulary = Vocabulary(kept)
     part = (count + SMOOTHING) / (texts[:, None] + 2 * SMOOTHING)
     ratio = np.log(part[1] / part[0])
-    common = count.sum(0) / texts.sum()
-    error = np.sqrt(common * (1 - common) * (1 / texts[0] + 1 / texts[1]))
-    ratio[np.abs(count[1] / texts[1] - count[0] / texts[0]) < LEAST_Z * np.maximum(error, 1e-12)] = 0
     rate = np.minimum(1.0, fit_rows / texts)
     sample = rows.where(F.col("lot") < F.when(F.col("label") == 1, F.lit(float(rate[1]))).otherwise(float(rate[0])))
 
     def extract(batches):
         for batch in batches:
-            f = [features(t.as_py()).astype(np.int32) for t in batch.column(1)]
-            f = [x[ratio[x] != 0] for x in f]
+            f = [vocabulary.positions(t.as_py()) for t in batch.column(1)]
             if f:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in f])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -164,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000) -> ToxicityM
     # the sample is bounded by 2 x fit_rows texts: one task fits it
     out = sample.select("label", "text").mapInArrow(extract, "label int, features array<int>").coalesce(
         1).mapInArrow(fit, "w binary, b double").first()
-    return ToxicityModel(np.frombuffer(out["w"], float).astype(np.float32), out["b"])
+    return ToxicityModel(vocabulary, np.frombuffer(out["w"], float).astype(np.float32), out["b"])
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@
 and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -107,6 +108,18 @@ def test_token_files_empty(spark, empty, tmp_path):
 
 # -------------------------------------------------------------- toxicity
 
+def test_toxicity_features_of_long_texts_stay_apart():
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4_000))
+    s = f" {text} "
+    grams = {s[i:i + n] for n in toxicity.ORDERS for i in range(len(s) - n + 1)}
+    assert len(grams) > 60_000
+    assert 0.98 * len(grams) < len(toxicity.features(text)) <= len(grams)
+    model = toxicity.ToxicityModel(toxicity.Vocabulary(np.array([3, 9])), np.array([1.0, 2.0]), 0.0)
+    model.score(text)
+    assert len(pickle.dumps(model)) < 10_000
+
+
 def test_toxicity_held_out_accuracy_and_edges(spark, docs, empty):
     rng = random.Random(5)
     rows, marks = [], []
