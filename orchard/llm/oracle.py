@@ -45,7 +45,105 @@ FROM docs LEFT JOIN chance USING ({keys})
 """
 
 
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+  FROM v q, v x WHERE q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
+
+_AUDIT = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+m AS (SELECT doc_id, part,
+  (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+  + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max(quality = 1)::INT AS good, max(toxic = 1)::INT AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS earlier
+  FROM o, range(1, 6) r(i))
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (mask & bit = 0 AND mask & earlier = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step"""
+
+
+def _manifest_sql(source_levels: int = 7, root_levels: int = 4) -> str:
+    """Trees of up to 16^7 rows a source and 16^4 sources, level by level."""
+
+    def tree(n: str, levels: int) -> str:
+        parts = []
+        for i in range(levels):
+            parts.append(f"r_{n}{i} AS (SELECT src, pos // 16 AS pos, list(h ORDER BY pos) AS hs, any_value(c) AS c "
+                         f"FROM {n}{i} WHERE c > 1 GROUP BY src, pos // 16)")
+            parts.append(f"{n}{i + 1} AS (SELECT src, pos, sha256(array_to_string(hs, '')) AS h, (c + 15) // 16 AS c "
+                         f"FROM r_{n}{i})")
+        return ",\n".join(parts)
+
+    def climb(frm: str, n: str, levels: int, at: str) -> str:
+        """The digests around the path and the folded hash, level by level."""
+        parts, last = [], frm
+        for i in range(levels):
+            slot = f"(x.{at} // {16 ** i} % 16)"
+            before = f"array_to_string(r.hs[1:{slot}], '')"
+            after = f"array_to_string(r.hs[{slot} + 2:], '')"
+            name = f"f_{n}{i}"
+            parts.append(f"{name} AS (SELECT x.* REPLACE (CASE WHEN r.hs IS NULL THEN proof ELSE proof || {before} || {after} "
+                         f"END AS proof, CASE WHEN r.hs IS NULL THEN fold ELSE sha256({before} || fold || {after}) END AS fold) "
+                         f"FROM {last} x LEFT JOIN r_{n}{i} r ON r.src = x.{'src' if n == 'n' else 'top'} "
+                         f"AND r.pos = x.{at} // {16 ** (i + 1)})")
+            last = name
+        return ",\n".join(parts)
+
+    def top(n: str, levels: int) -> str:
+        return " UNION ALL ".join(f"SELECT src, h FROM {n}{i} WHERE c = 1" for i in range(levels + 1))
+
+    fields = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars")]
+    head = " || ".join(fields)
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"""
+    return f"""
+WITH crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+docs AS (SELECT doc_id, coalesce('=' || source, '') AS src,
+    sha256({head} || coalesce(strlen(text) || ':' || text, '-')) AS h,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({head} || coalesce(strlen(text) || ':' ||
+      translate(text, {_LOWER}), '-')) END AS changed FROM documents, crc_table),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, h) - 1 AS pos,
+    count(*) OVER (PARTITION BY src) AS c FROM docs),
+{tree("n", source_levels)},
+subroots AS ({top("n", source_levels)}),
+s0 AS (SELECT 0 AS src, src AS name, h, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS c FROM subroots),
+{tree("s", root_levels)},
+roots AS ({top("s", root_levels)}),
+x AS (SELECT n0.doc_id, n0.src, n0.pos, n0.h AS leaf, coalesce(changed, n0.h) AS fold, '' AS proof, 0 AS top,
+    s0.pos AS place, s0.h AS subroot, roots.h AS root
+  FROM n0 JOIN s0 ON n0.src = s0.name CROSS JOIN roots),
+{climb("x", "n", source_levels, "pos")},
+{climb(f"f_n{source_levels - 1}", "s", root_levels, "place")}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM f_s{root_levels - 1}"""
+
+
 ORACLE = {
+    "op11_exact_topk": _TOPK,
+    "op12_filter_audit": _AUDIT,
+    "op13_merkle_manifest": _manifest_sql(),
     "op4_benchmark_decontamination": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORDS}') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORDS}') AS ws FROM benchmark),

@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orchard.llm import (chat, decontaminate, fingerprint, language, mixing, neardup, secret_scan, tokens,
-                         toxicity, urls)
+from orchard.llm import (audit, chat, decontaminate, fingerprint, language, manifest, mixing, neardup, secret_scan,
+                         tokens, topk, toxicity, urls)
 from orchard.llm.common import documents
 from orchard.session import cut_lineage, scratch_path
 from orchard.sources.tables import read_table
@@ -96,9 +96,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components_of(documents(spark, sf_dir), shingle=4)
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best candidates of every 50th vector by integer inner product."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders over the stream of document files."""
+    return audit.audit(audit.counters(spark, f"{sf_dir.rstrip('/')}/documents.parquet",
+                                      read_table(spark, sf_dir, "labels")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and recomputed root of every document."""
+    return manifest.manifest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files, op2_toxicity, op3_winnowing_fingerprints, op4_benchmark_decontamination,
         op5_source_mixing, op6_chat_rotation, op7_url_filter, op8_secret_scan, op9_language_id,
-        op10_minhash_near_dedup)
+        op10_minhash_near_dedup, op11_exact_topk, op12_filter_audit, op13_merkle_manifest)
 }
