@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orchard.functions.columns import dot, l2_norm, unit_vector
-from orchard.session import BROADCAST_BYTES, parallelism
+from orchard.session import BROADCAST_BYTES, cut_lineage, parallelism
 
 TRIPLE_SCHEMA = T.StructType([T.StructField("i", T.LongType()),
                               T.StructField("j", T.LongType()),
@@ -33,6 +33,8 @@ TRIPLE_SCHEMA = T.StructType([T.StructField("i", T.LongType()),
 DEFAULT_TILE_ROWS = 1024
 # Inner indices of one block of a sparse product.
 INNER_BLOCK = 4096
+# An inner index that makes more products than this is multiplied in blocks.
+HEAVY_PAIRS = 1 << 16
 # Bytes of a row that holds one id.
 ID_BYTES = 16
 
@@ -197,14 +199,38 @@ def _block_product(left, right):
 
 
 def multiply_triples(a: DataFrame, b: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS,
-                     inner_block: int = INNER_BLOCK) -> DataFrame:
+                     inner_block: int = INNER_BLOCK, heavy_pairs: int = HEAVY_PAIRS) -> DataFrame:
     """C = A . B for sparse matrices given as triples (A is n x m, B is m x p).
 
-    Entries that share a block of inner indices meet per pair of row and
-    column tiles; the blocks' partial products are summed by (i, j), so no
-    width is too large.  Repeated entries add up first.
+    An inner index with x entries in A and y in B makes x * y products.  Light
+    indices (at most ``heavy_pairs`` products) are joined on the index and
+    summed by (i, j) with map-side combine: no entry is copied.  Heavy ones are
+    multiplied in blocks, dense tiles being what they make; the partial sums of
+    both meet in one aggregation.  Repeated entries add up first.
     """
-    a, b = summed(a), summed(b)
+    a, b = cut_lineage(summed(a)), cut_lineage(summed(b))
+    of_a = a.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("x"))
+    of_b = b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("y"))
+    heavy = cut_lineage(of_a.join(of_b, "k").where(F.col("x") * F.col("y") > heavy_pairs).select("k"))
+    n_heavy = heavy.count()
+    if not n_heavy:
+        return _join_product(a, b)
+    side = F.broadcast(heavy) if n_heavy * ID_BYTES <= BROADCAST_BYTES else heavy
+    of_j, of_i = side.withColumnRenamed("k", "j"), side.withColumnRenamed("k", "i")
+    light = _join_product(a.join(of_j, "j", "left_anti"), b.join(of_i, "i", "left_anti"))
+    blocks = _block_sums(a.join(of_j, "j", "left_semi"), b.join(of_i, "i", "left_semi"), tile_rows, inner_block)
+    return summed(light.unionByName(blocks))
+
+
+def _join_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Products of the entries that meet at an inner index, summed by (i, j)."""
+    right = b.select(F.col("i").alias("k"), F.col("j").alias("col"), F.col("value").alias("rv"))
+    met = a.select("i", F.col("j").alias("k"), "value").join(right, "k")
+    return summed(met.select("i", F.col("col").alias("j"), (F.col("value") * F.col("rv")).alias("value")))
+
+
+def _block_sums(a: DataFrame, b: DataFrame, tile_rows: int, inner_block: int) -> DataFrame:
+    """Partial products per block of inner indices and pair of row and column tiles."""
     par = parallelism(a.sparkSession)
     tl = _tiles(a.select("i").distinct().count(), tile_rows, par)
     tr = _tiles(b.select("j").distinct().count(), tile_rows, par)
@@ -219,8 +245,7 @@ def multiply_triples(a: DataFrame, b: DataFrame, tile_rows: int = DEFAULT_TILE_R
                      F.explode(F.sequence(F.lit(0), F.lit(tl - 1))).alias("ta"),
                      F.floor(F.col("i") / inner_block).alias("block"), tile("j", tr).alias("tb"))
     key = ["ta", "tb", "block"]
-    parts = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block_product, TRIPLE_SCHEMA)
-    return summed(parts)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block_product, TRIPLE_SCHEMA)
 
 
 # ---------------------------------------------------------- cosine --------
@@ -268,9 +293,31 @@ def drop_entries_of(triples: DataFrame, ids: DataFrame, bound: int | None = None
     return out.join(side.withColumnRenamed("id", "j"), "j", "left_anti").select("i", "j", "value")
 
 
-def row_sums(triples: DataFrame) -> DataFrame:
-    """density(id) = sum of the entries of each row i."""
-    return triples.groupBy(F.col("i").alias("id")).agg(F.sum("value").alias("density"))
+def row_sums(triples: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """density(id) = sum of the entries of each row i; with an index set
+    ``ids(id)``, for exactly its rows: those without entries have 0."""
+    sums = triples.groupBy(F.col("i").alias("id")).agg(F.sum("value").alias("density"))
+    if ids is None:
+        return sums
+    return ids.select("id").join(sums, "id", "left").select("id", F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
+def shrink_row_sums(sums: DataFrame, triples: DataFrame, removed: DataFrame,
+                    bound: int | None = None) -> DataFrame:
+    """``row_sums`` after the rows and columns ``removed(id)`` left ``triples``.
+
+    Only the entries of the removed columns are read again and subtracted; all
+    other sums are kept up as they are.  A row that loses its last entry
+    comes back to 0 but for rounding.
+    """
+    side = removed.select("id")
+    if bound is not None and bound * ID_BYTES <= BROADCAST_BYTES:
+        side = F.broadcast(side)
+    gone = triples.join(side.withColumnRenamed("id", "j"), "j", "left_semi").join(
+        side.withColumnRenamed("id", "i"), "i", "left_anti")
+    loss = gone.groupBy(F.col("i").alias("id")).agg(F.sum("value").alias("loss"))
+    return sums.join(side, "id", "left_anti").join(loss, "id", "left").select(
+        "id", (F.col("density") - F.coalesce("loss", F.lit(0.0))).alias("density"))
 
 
 # --------------------------------------------------------- density --------

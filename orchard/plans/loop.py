@@ -8,7 +8,9 @@ scalar metrics come back (counts, accuracy).  Per round:
    features, are the labelled table itself;
 2. fit the committee on the labelled rows (if the strategy needs one) and
    score the test table;
-3. let the strategy pick a batch of k ids (top-k, never a full sort);
+3. let the strategy pick a batch of k ids: k is a share of the pool, so the
+   pick is a distributed selection (``select.smallest_k``) and the features of
+   the winners come from a join with the pool;
 4. write the batch (with its rank, features and labels) as one Parquet folder
    per round below ``state_path``; the labelled table is those folders read
    together, so lineage stays one round long, nothing written is rewritten, and
@@ -72,7 +74,7 @@ CARRY = ("features", "label")
 
 
 def random_strategy(seed: int) -> Strategy:
-    return lambda ctx: select_random(ctx.unlabeled, ctx.k, seed, carry=CARRY)
+    return lambda ctx: select_random(ctx.unlabeled, ctx.k, seed, share=True)
 
 
 def committee_votes(ctx: RoundContext, members: Callable[[DataFrame], DataFrame] | None):
@@ -88,7 +90,7 @@ def committee_votes(ctx: RoundContext, members: Callable[[DataFrame], DataFrame]
 
 def uncertainty_strategy(members: Callable[[DataFrame], DataFrame] | None = None) -> Strategy:
     """Most uncertain first; ``members`` gives fixed committee votes, else the round's forest."""
-    return lambda ctx: select_uncertain(committee_votes(ctx, members), ctx.k, carry=CARRY)
+    return lambda ctx: select_uncertain(committee_votes(ctx, members), ctx.k, share=True)
 
 
 def density_strategy(density: DataFrame, beta: float = 1.0,
@@ -110,7 +112,7 @@ def density_strategy(density: DataFrame, beta: float = 1.0,
         if reference_set == "current_unlabeled":
             since_start = ctx.labeled.where(F.col("labeled_at") > 0).select("id", "features")
             dens = similarity.shrink_total(density, since_start)
-        return select_density(committee_votes(ctx, members), dens, ctx.k, beta, carry=CARRY)
+        return select_density(committee_votes(ctx, members), dens, ctx.k, beta, share=True)
     return pick
 
 
@@ -122,9 +124,7 @@ def lal_strategy(regressor, members: Callable[[DataFrame], DataFrame] | None = N
     def pick(ctx: RoundContext) -> DataFrame:
         state = lal_state(committee_votes(ctx, members), ctx.labeled_points)
         gains = linear_gain(state) if regressor is None else predict_gain(state, regressor)
-        picks = select_by_prediction(gains, ctx.k)
-        # features are fetched for the k winners only
-        return ctx.unlabeled.select("id", *CARRY).join(pool.bounded_side(picks, ctx.k), "id")
+        return select_by_prediction(gains, ctx.k, share=True)
     return pick
 
 
@@ -138,9 +138,8 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
 
     ``points`` is the pool ``(id, features, label)``; ``start`` a labelled
     table ``(id, labeled_at=0)`` of at most ``start_bound`` rows, all in the
-    pool.  The labelled table keeps the features and labels of its rows (the
-    winners of each top-k bring them along), so a round reads the pool once,
-    to score it.  History rows describe the state at the start of a round
+    pool.  The labelled table keeps the features and labels of its rows; a
+    round reads the pool to score it and once more for its winners.  History rows describe the state at the start of a round
     (before its batch); accuracy is NULL when no committee is fitted.
 
     ``start`` may also be the ``labeled`` table of an earlier run or what
@@ -193,7 +192,8 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
             history.append((iteration, n_labeled, n_unlabeled, acc, time.time() - t0))
             break
         ctx = RoundContext(iteration, k, points, labeled, bound, unlabeled, labeled_points, model)
-        batch = strategy(ctx).select("id", F.lit(iteration).alias("labeled_at"), "rank", *CARRY)
+        picks = pool.bounded_side(strategy(ctx).select("id", "rank"), k)
+        batch = points.select("id", *CARRY).join(picks, "id").withColumn("labeled_at", F.lit(iteration))
         labeled = appended(batch, f"round-{iteration:06d}")
         bound += k
         history.append((iteration, n_labeled, n_unlabeled, acc, time.time() - t0))

@@ -295,6 +295,26 @@ SELECT a.id AS i, b.id AS j, round(list_dot_product(a.features, b.features), 6)
 SELECT a.id AS i, b.id AS j, round(list_dot_product(a.features, b.features), 6) AS value
 FROM un a, un b WHERE a.id < b.id""",
 
+    "cosine_join": _with(PTS, _un("pts")) + """
+SELECT a.id AS i, b.id AS j, round(list_dot_product(a.features, b.features), 6) AS value
+FROM un a, un b WHERE a.id < b.id AND list_dot_product(a.features, b.features) >= 0.4""",
+
+    "sparse_multiply": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS t
+           FROM documents),
+w AS (SELECT doc_id AS i, generate_subscripts(t, 1) - 1 AS p, unnest(t) AS word FROM d)
+SELECT i, p // 64 AS j, sum(length(word) * pow(2.0, -(p % 8))) AS value FROM w GROUP BY i, p // 64""",
+
+    "density_rounds": _with(PTS, _un("pts"), f"""seq AS (
+  SELECT id, (row_number() OVER (ORDER BY {_md5('id', 42)}, id) - 1) // CAST(ceil(count(*) OVER () / 5.0) AS BIGINT) + 1 AS it
+  FROM pts)""", """hit AS (
+  SELECT a.id AS i, b.id AS j, list_dot_product(a.features, b.features) AS value FROM un a, un b
+  WHERE a.id <> b.id AND list_dot_product(a.features, b.features) >= 0.3)""") + """
+SELECT CAST(t AS INTEGER) AS iteration, s.id, round(coalesce(sum(h.value), 0.0), 6) AS density
+FROM range(0, 5) r(t) JOIN seq s ON s.it > t
+LEFT JOIN (SELECT hit.*, seq.it FROM hit JOIN seq ON seq.id = hit.j) h ON h.i = s.id AND h.it > t
+GROUP BY t, s.id""",
+
     "drop_labeled_entries": _with(PTS, LAB, _un("pts")) + """
 SELECT a.id AS i, b.id AS j, round(list_dot_product(a.features, b.features), 6) AS value
 FROM un a, un b WHERE a.id NOT IN (SELECT id FROM lab) AND b.id NOT IN (SELECT id FROM lab)""",
@@ -324,7 +344,7 @@ SELECT 1::INTEGER AS rank, id, round(score, 6) AS score FROM sc ORDER BY round(s
 
     "select_density_table": _with(PTS, LAB, UNL, _un("pts"), _votes("unl"), _stats(),
                                   """dens AS (SELECT a.id, sum(list_dot_product(a.features, b.features)) AS density
-                                        FROM un a, un b WHERE b.id NOT IN (SELECT id FROM lab) AND a.id % 2 = 0
+                                        FROM un a, un b WHERE b.id NOT IN (SELECT id FROM lab)
                                         GROUP BY a.id)""",
                                   f"""sc AS (SELECT st.id, ({HALF_ENTROPY}) * coalesce(dens.density, 0.0) AS score
                                        FROM st LEFT JOIN dens ON st.id = dens.id)""") + """

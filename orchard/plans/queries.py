@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orchard.functions import columns as C
-from orchard.operators import committee, evaluate, lal, pool, prep, ranking, select, similarity
+from orchard.operators import committee, evaluate, joins, lal, pool, prep, ranking, select, similarity
 from orchard.plans import jobs, loop
-from orchard.session import scratch_path
+from orchard.session import cut_lineage, scratch_path
 from orchard.sources import tables, text
 
 # Fixed parameters of the registered queries.
@@ -33,6 +33,7 @@ APPLY_SEED = 5
 SPLIT_SEED = 11
 EXHAUST_K = 12         # 490 pool rows -> 40 full batches and a short one
 STUMPS = 10
+HIT, ROUND_HIT = 0.4, 0.3   # least cosines of the similarity joins
 # A whole-token decimal number (Java regex; \z = true end of input).
 NUMERIC_TOKEN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
@@ -406,6 +407,42 @@ def q_triple_column_similarity(spark, sf):
     return _triples_r(similarity.column_similarities(a))
 
 
+def q_cosine_join(spark, sf):
+    """All pairs of vectors with a cosine of at least HIT."""
+    return _triples_r(joins.cosine_join(_points(spark, sf), HIT))
+
+
+def q_sparse_multiply(spark, sf):
+    """Documents x word positions (word lengths) times positions x blocks of
+    64 positions (a weight by place): two sparse matrices, whole texts."""
+    docs = tables.read_table(spark, sf, "documents")
+    words = docs.select(F.col("doc_id").alias("i"), F.posexplode(C.tokens("text")).alias("j", "word"))
+    a = words.select("i", F.col("j").cast("bigint").alias("j"), F.length("word").cast("double").alias("value"))
+    longest = docs.select(F.max(F.size(C.tokens("text")))).first()[0] or 0
+    b = spark.range(longest).select(F.col("id").alias("i"), F.floor(F.col("id") / 64).alias("j"), F.pow(
+        F.lit(2.0), -(F.col("id") % 8).cast("double")).alias("value"))
+    return similarity.multiply_triples(a, b)
+
+
+def q_density_rounds(spark, sf):
+    """Row sums of the sparse similarity matrix (the hits of the cosine join),
+    kept up while a random fifth of the pool leaves in each round."""
+    pts = _points(spark, sf)
+    upper = cut_lineage(joins.cosine_join(pts, ROUND_HIT))
+    entries = upper.unionByName(similarity.transpose(upper))
+    k = -(-pts.count() // ROUNDS)
+    keys = pts.select("id", C.order_key("id", RANDOM_SEED).alias("score"))
+    order = cut_lineage(loop.static_sequence(keys, k).select("id", "iteration"))
+    sums, out = cut_lineage(similarity.row_sums(entries, order)), None
+    for t in range(ROUNDS):
+        part = sums.select(F.lit(t).alias("iteration"), "id", (_r(F.col("density")) + 0.0).alias("density"))
+        out = part if out is None else out.unionByName(part)
+        batch = order.where(F.col("iteration") == t + 1)
+        sums = cut_lineage(similarity.shrink_row_sums(sums, entries, batch, k))
+        entries = cut_lineage(similarity.drop_entries_of(entries, batch, k))
+    return out
+
+
 def q_drop_labeled_entries(spark, sf):
     # labelled rows leave before the product
     return _triples_r(similarity.cosine_full(_unlabeled(_points(spark, sf))))
@@ -441,10 +478,9 @@ def q_select_density_squared(spark, sf):
 
 
 def q_select_density_table(spark, sf):
-    """Uncertainty joined with a density table (rows without density score 0):
-    the densities of the even ids only."""
+    """Uncertainty joined with a table of densities (J6)."""
     unl = _unlabeled(_points(spark, sf))
-    density = similarity.density_linear(unl, reference=unl).where("id % 2 = 0")
+    density = similarity.density_linear(unl, reference=unl)
     arrays = committee.stump_vote_arrays(unl, STUMPS)
     return _batch_out(select.select_density(arrays, density, SELECT_K, beta=1.0))
 
@@ -690,6 +726,9 @@ QUERIES: dict[str, Query] = {
     "triples_to_rows": q_triples_to_rows,
     "triple_multiply": q_triple_multiply,
     "triple_column_similarity": q_triple_column_similarity,
+    "cosine_join": q_cosine_join,
+    "sparse_multiply": q_sparse_multiply,
+    "density_rounds": q_density_rounds,
     "drop_labeled_entries": q_drop_labeled_entries,
     "density_linear": q_density_linear,
     "density_row_sums": q_density_row_sums,
