@@ -42,7 +42,12 @@ def fit_pivots(units: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE):
         return np.zeros((0, 0))
     x = np.unique(np.stack(rows.to_numpy()).astype(float), axis=0)
     x = np.random.default_rng(7).permutation(x)
-    centres = x[:pivots].copy()
+    # each further start is the vector farthest from those before it
+    chosen, far = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < min(pivots, len(x)):
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    centres = x[chosen].copy()
     for _ in range(FIT_ROUNDS):
         near = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).argmin(1)
         for p in range(len(centres)):
