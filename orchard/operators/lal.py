@@ -10,10 +10,14 @@ State features per unlabelled row, from committee votes and the labelled set:
 
 One pass over the pool writes the narrow table (id, f1, f2) to the checkpoint
 folder; f6 and the predictions come from it, so the committee votes once.  The
-three scalars are scalar subqueries: each is one small aggregate whose single
-value Spark substitutes into the per-row projection, so no row is cross-joined
-and nothing is collected.  A regressor predicts the gain of labelling each
-row; the largest predicted gain is chosen, ties by id.
+three scalars are read back once and enter as literals, so every later pass sees
+the same bits.  A regressor predicts the gain of labelling each row; the largest
+predicted gain is chosen, ties by id.
+
+Prediction is factorised: f1 and f2 follow from the number of votes for class 1
+and the other features are scalars, so a round has at most (trees + 1) distinct
+states, however large the pool.  The regressor, of thousands of trees, predicts
+these once each; the predictions return to the rows by a join on the state.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from orchard.operators.committee import FIT_PARTITIONS, stats_of
 from orchard.operators.select import select_by_prediction
-from orchard.session import cut_lineage
-from orchard.sources.models import load_or_train
+from orchard.session import BROADCAST_BYTES, cut_lineage
+from orchard.sources.models import ModelStore, data_digest, load_or_train
 
 STATE_COLS = ("f1", "f2", "f3", "f6", "f8")
 # Column positions of the five state features in the
@@ -40,10 +44,10 @@ def lal_state(votes: DataFrame, labeled_points: DataFrame) -> DataFrame:
     stats = cut_lineage(stats_of(votes).select(
         "id", F.col("mean_vote").alias("f1"),
         F.coalesce(F.col("sd_vote"), F.lit(0.0)).alias("f2")))
-    f3 = labeled_points.select(F.avg(F.col("label").cast("double"))).scalar()
-    f8 = labeled_points.select(F.count(F.lit(1))).scalar()
-    f6 = stats.select(F.avg("f2")).scalar()
-    return stats.select("id", "f1", "f2", f3.alias("f3"), f6.alias("f6"), f8.alias("f8"))
+    f3, f8 = labeled_points.select(F.avg(F.col("label").cast("double")), F.count(F.lit(1))).first()
+    f6 = stats.select(F.avg("f2")).first()[0]
+    return stats.select("id", "f1", "f2", F.lit(f3).cast("double").alias("f3"),
+                        F.lit(f6).cast("double").alias("f6"), F.lit(f8).cast("bigint").alias("f8"))
 
 
 def linear_gain(state: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -62,15 +66,37 @@ def _assembled(state: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(STATE_COLS), outputCol="sv").transform(cast)
 
 
+def distinct_states(state: DataFrame) -> DataFrame:
+    """The different states of a pool: one hash aggregate, combined map-side."""
+    return state.groupBy(*STATE_COLS).agg(F.min("id").alias("id"))
+
+
 def predict_gain(state: DataFrame, model: RandomForestRegressionModel) -> DataFrame:
+    """id and predicted gain of every row, one prediction per distinct state.
+
+    ``state`` must give the same bits when it is read twice (as ``lal_state``
+    does).  The predictions are broadcast within a checked size.
+    """
     model = model.copy().setFeaturesCol("sv").setPredictionCol("prediction")
-    return model.transform(_assembled(state)).select("id", "prediction")
+    known = cut_lineage(model.transform(_assembled(distinct_states(state))).select(*STATE_COLS, "prediction"))
+    side = known.select(*[F.col(c).alias(f"_{c}") for c in STATE_COLS], "prediction")
+    if known.limit(BROADCAST_BYTES // 64 + 1).count() * 64 <= BROADCAST_BYTES:
+        side = F.broadcast(side)
+    same = [F.col(c).cast("double") == F.col(f"_{c}") for c in STATE_COLS]
+    return state.join(side, same).select("id", "prediction")
 
 
 def select_lal(state: DataFrame, model: RandomForestRegressionModel, k: int = 1) -> DataFrame:
     return select_by_prediction(predict_gain(state, model), k)
 
 
+def _fitted(train: DataFrame, num_trees: int, seed: int, max_depth: int) -> RandomForestRegressionModel:
+    data = _assembled_with_target(train).repartition(
+        FIT_PARTITIONS, *STATE_COLS, "gain").sortWithinPartitions(*STATE_COLS, "gain")
+    return RandomForestRegressor(featuresCol="sv", labelCol="gain", numTrees=num_trees,
+                                 maxDepth=max_depth, seed=seed).fit(data)
+
+
 def fit_gain_regressor(train: DataFrame, num_trees: int = 100, seed: int = 1,
                        model_path: str | None = None,
                        max_depth: int = 5) -> RandomForestRegressionModel:
@@ -80,14 +106,19 @@ def fit_gain_regressor(train: DataFrame, num_trees: int = 100, seed: int = 1,
     order, as the bootstrap samples depend on it.
     """
     def fit() -> RandomForestRegressionModel:
-        data = _assembled_with_target(train).repartition(
-            FIT_PARTITIONS, *STATE_COLS, "gain").sortWithinPartitions(*STATE_COLS, "gain")
-        return RandomForestRegressor(featuresCol="sv", labelCol="gain", numTrees=num_trees,
-                                     maxDepth=max_depth, seed=seed).fit(data)
+        return _fitted(train, num_trees, seed, max_depth)
 
     return load_or_train(model_path, RandomForestRegressionModel.load, fit) if model_path else fit()
 
 
+def stored_gain_regressor(train: DataFrame, store: ModelStore, num_trees: int = 2000, seed: int = 1,
+                          max_depth: int = 5) -> tuple[RandomForestRegressionModel, bool]:
+    """(regressor, whether it was in the store), keyed by the rows and parameters."""
+    key = data_digest(train, num_trees=num_trees, seed=seed, max_depth=max_depth, kind="gain regressor")
+    return store.load_or_train(key, RandomForestRegressionModel.load,
+                               lambda: _fitted(train, num_trees, seed, max_depth))
+
+
 def _assembled_with_target(train: DataFrame) -> DataFrame:
     cast = train.select(*[F.col(c).cast("double").alias(c) for c in STATE_COLS],
                         F.col("gain").cast("double").alias("gain"))

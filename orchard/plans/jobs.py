@@ -7,6 +7,8 @@ the same split on every run and any partitioning.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 
 from orchard.operators import committee, evaluate, lal, pool, prep, similarity
 from orchard.plans import loop
-from orchard.session import cut_lineage
-from orchard.sources import tables
+from orchard.session import cut_lineage, scratch_path
+from orchard.sources import tables, text
+from orchard.sources.models import ModelStore
 
 NUM_TREES = 10
 LOOP_ROUNDS = 3       # rounds until the pool is empty: batches are a share of it
@@ -198,6 +201,44 @@ def separable_gain(orders: DataFrame, num_trees: int = REGRESSION_TREES) -> Data
     return lal.predict_gain(test.select("id", *states), model)
 
 
+# Fixed values of the stepped gain task: every state feature is a level of the
+# row times its weight, and the gain is the level's share.
+GAIN_LEVELS = 8
+GAIN_WEIGHTS = {"f1": 0.125, "f2": 0.0625, "f3": 0.25, "f6": 0.03125, "f8": 4.0}
+
+
+def gain_file(spark: SparkSession, orders: DataFrame) -> str:
+    """A gain table as text, a row per order: all state features vary, and each
+    alone determines the gain, so what a fitted regressor predicts is known."""
+    level = (F.col("o_orderkey") % GAIN_LEVELS).cast("double")
+    cells = {p: level * F.lit(GAIN_WEIGHTS[c]) for p, c in zip(lal.TRAIN_FILE_COLUMNS, lal.STATE_COLS)}
+    line = F.concat_ws(" ", *[cells.get(p, F.lit(0.0)).cast("string") for p in range(max(cells) + 1)],
+                       (level / GAIN_LEVELS).cast("string"))
+    path = scratch_path(spark, f"gain-levels-{uuid.uuid4().hex}")
+    orders.select(line).write.text(path)
+    return path
+
+
+def stored_regressor_job(spark: SparkSession, orders: DataFrame, customers: DataFrame, k: int,
+                         num_trees: int = REGRESSION_TREES) -> DataFrame:
+    """File -> gain table -> load or train -> pick, twice: the first call fits
+    and stores the regressor, the second finds it.  The pool is ``customers``,
+    whose level grows with their balance; only the richest have the last one."""
+    store = ModelStore(spark, scratch_path(spark, f"models-{uuid.uuid4().hex}"))
+    path = gain_file(spark, orders)
+    low, high = customers.select(F.min("c_acctbal"), F.max("c_acctbal")).first()
+    share = (F.col("c_acctbal") - F.lit(low)) / F.lit(float(high - low) or 1.0)
+    level = F.floor(share * F.lit(GAIN_LEVELS - 1)).cast("double")
+    state = customers.select(F.col("c_custkey").alias("id"), *[(level * F.lit(w)).alias(c) for c, w in GAIN_WEIGHTS.items()])
+    out = None
+    for call in ("first", "second"):
+        model, found = lal.stored_gain_regressor(text.read_gain_table(spark, path), store, num_trees, SEED)
+        picks = lal.select_lal(state, model, k).select(
+            F.lit(call).alias("call"), F.lit(found).alias("from_store"), "rank", "id", F.round("score", 6).alias("score"))
+        out = picks if out is None else out.unionByName(picks)
+    return out
+
+
 def lal_one_selection(spark: SparkSession, points: DataFrame, num_trees: int = 50) -> DataFrame:
     """A single learned-gain selection: start with one labelled row per class,
     fit a ``num_trees`` committee, build the state features of every

@@ -439,6 +439,13 @@ SELECT 0::INTEGER AS feature, 1.0::DOUBLE AS importance FROM sep HAVING count(DI
     "gain_regressor_separable": _with(SEP) + f"""
 SELECT id, label AS prediction FROM sep WHERE {_bucket('id', 7, 5)} = 0""",
 
+    "gain_regressor_stored": """
+WITH c AS (SELECT c_custkey AS id, floor((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) * 7) AS level
+  FROM customer),
+best AS (SELECT *, row_number() OVER (ORDER BY level DESC, id) AS n FROM c)
+SELECT call, call = 'second' AS from_store, CAST(n AS INTEGER) AS rank, id, round(level / 8, 6) AS score
+FROM best, (VALUES ('first'), ('second')) v(call) WHERE n <= 5""",
+
     "loop_separable_history": _with(SEP, SEP_LOOP) + """
 SELECT CAST(i AS INTEGER) AS iteration, least(200 + k * (i - 1), n + 200) AS n_labeled,
        greatest(n - k * (i - 1), 0) AS n_unlabeled, 1.0::DOUBLE AS accuracy

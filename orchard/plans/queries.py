@@ -652,6 +652,11 @@ def q_gain_regressor_separable(spark, sf):
     return jobs.separable_gain(_orders(spark, sf)).select("id", _r(F.col("prediction")).alias("prediction"))
 
 
+def q_gain_regressor_stored(spark, sf):
+    """The regressor fitted from a file of thousands of rows, stored, found again."""
+    return jobs.stored_regressor_job(spark, _orders(spark, sf), tables.read_table(spark, sf, "customer"), LAL_K)
+
+
 def q_loop_separable_history(spark, sf):
     return jobs.separable_loop(spark, _orders(spark, sf)).history.drop("seconds")
 
@@ -761,6 +766,7 @@ QUERIES: dict[str, Query] = {
     "forest_separable_metrics": q_forest_separable_metrics,
     "forest_separable_importance": q_forest_separable_importance,
     "gain_regressor_separable": q_gain_regressor_separable,
+    "gain_regressor_stored": q_gain_regressor_stored,
     "loop_separable_history": q_loop_separable_history,
     "loop_separable_batches": q_loop_separable_batches,
     "loop_random_forest": q_loop_random_forest,

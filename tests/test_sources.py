@@ -107,3 +107,42 @@ def test_dirty_lines_do_not_fail_the_load(spark, tmp_path):
     g.write_text("0.1 0.2\n")
     short = text.read_gain_table(spark, str(g)).collect()[0]
     assert short.f1 == 0.1 and short.f6 is None and short.gain == 0.2
+
+
+def test_model_store_publishes_once_and_ignores_unpublished_attempts(spark, tmp_path):
+    from pyspark.ml.regression import RandomForestRegressionModel
+    from orchard.operators import lal
+    from orchard.sources.models import ModelStore, data_digest
+    rows = [tuple(float(i % 4) for _ in lal.STATE_COLS) + (float(i % 4),) for i in range(40)]
+    train = spark.createDataFrame(rows, [*lal.STATE_COLS, "gain"])
+    store = ModelStore(spark, str(tmp_path / "store"))
+    model, found = lal.stored_gain_regressor(train, store, num_trees=3)
+    assert not found
+    # the same rows in another order and partitioning are the same model; other parameters are not
+    again, found = lal.stored_gain_regressor(train.orderBy("gain").repartition(7), store, num_trees=3)
+    assert found and again.toDebugString == model.toDebugString
+    assert not lal.stored_gain_regressor(train, store, num_trees=4)[1]
+    assert data_digest(train) != data_digest(train.union(train.limit(1)))
+    # a writer that died before its marker is ignored; of two writers the first stands
+    model.save(str(tmp_path / "store" / "dead" / "attempt-x"))
+    assert store.published("dead") is None
+    first = store.publish("both", model)
+    assert store.publish("both", again) == first == store.published("both")
+    with pytest.raises(Exception):
+        store.load_or_train("broken", RandomForestRegressionModel.load, lambda: 1 / 0)
+    assert store.published("broken") is None
+
+
+def test_factorised_prediction_equals_row_by_row(spark):
+    from pyspark.sql import functions as F
+    from orchard.operators import lal
+    gen = spark.range(400).select(*[(F.rand(i) * 3).alias(c) for i, c in enumerate(lal.STATE_COLS)])
+    model = lal.fit_gain_regressor(gen.withColumn("gain", F.col("f1") * F.col("f2")), num_trees=20)
+    # 11 votes: few states for many rows
+    state = spark.range(3000).select("id", (F.col("id") % 11 / 10.0).alias("f1"), (F.col("id") % 11 * 0.2).alias("f2"),
+                                     F.lit(0.3).alias("f3"), F.lit(0.4).alias("f6"), F.lit(2).alias("f8"))
+    assert lal.distinct_states(state).count() == 11
+    whole = model.copy().setFeaturesCol("sv").transform(lal._assembled(state)).select("id", "prediction")
+    assert sorted(lal.predict_gain(state, model).collect()) == sorted(whole.collect())
+    plan = lal.predict_gain(state, model)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "UDF" not in plan
