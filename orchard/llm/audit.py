@@ -16,8 +16,9 @@ one small table a batch; their sum does not depend on the order of the files.
 
 A frequent text costs little: before the shuffle each task keeps only the
 smallest id per text of an Arrow batch and sends the other rows on as finished
-counts.  State lives in RocksDB and checkpoints in the shared folder, so a lost
-executor or a stopped query resumes.  Batches are written to folders named by
+counts.  State lives in the session's state store (about 60 bytes a distinct
+text; choose RocksDB where that does not fit the executors' heaps) and its
+checkpoints in the shared folder, so a lost executor resumes.  Batches are written to folders named by
 their number, so a repeated one replaces itself.
 
 The counters (at most parts x 32 masks x 4 label pairs) then answer all 120
@@ -169,14 +170,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).coalesce(1).write.mode(
             "overwrite").parquet(f"{base}/changes/batch={number}")
 
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store, None)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        changes.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(
-            availableNow=True).foreachBatch(append).start().awaitTermination()
-    finally:
-        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    changes.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(
+        availableNow=True).foreachBatch(append).start().awaitTermination()
     schema = f"{_DELTA}, batch int"
     written = spark.read.schema(schema).parquet(f"{base}/changes") if files and table.inputFiles() else \
         spark.createDataFrame([], schema)
