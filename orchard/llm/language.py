@@ -38,11 +38,10 @@ from orchard.session import cut_lineage
 
 UNDETERMINED = "und"
 START = "▁"           # word-start mark of the vocabulary
-MAX_RUN = 32               # letters scored at once
-MAX_PIECE = 12             # longest piece, in characters with the mark
+MAX_RUN = 32               # longest words that are handled together
 RARE = 1e-7                # probability of a letter outside the vocabulary
-CACHE_WORDS = 200_000      # words whose scores a task keeps
-TEXT_BYTES = 2 << 20       # text whose new words are scored together
+CACHE_WORDS = 100_000      # words whose scores a task keeps
+TEXT_BYTES = 1 << 20       # text whose new words are scored together
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PREFIX_BITS = 20
@@ -53,8 +52,7 @@ def vocabulary(path: str) -> list[str]:
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= MAX_PIECE and p != START
-                  and _LETTERS.fullmatch(p.removeprefix(START)))
+    return sorted(p for p in pieces if p != START and _LETTERS.fullmatch(p.removeprefix(START)))
 
 
 class PieceTable:
@@ -63,7 +61,7 @@ class PieceTable:
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
         self.max_len = max(map(len, pieces), default=1)
-        self.powers = np.array([pow(_BASE, i, 1 << 64) for i in range(MAX_PIECE + 1)], np.uint64)
+        self.powers = np.array([pow(_BASE, i, 1 << 64) for i in range(self.max_len + 1)], np.uint64)
         keys = np.zeros(self.size, np.uint64)
         for length in {len(p) for p in pieces}:
             at = [i for i, p in enumerate(pieces) if len(p) == length]
@@ -104,7 +102,8 @@ class PieceTable:
 
 
 def runs(words) -> list[str]:
-    """Words with the start mark, in parts of at most MAX_RUN characters."""
+    """Words with the start mark, in parts of at most MAX_RUN characters: for
+    the expected counts of training, where a longer word counts as its parts."""
     out = []
     for w in words:
         w = START + w
@@ -113,7 +112,7 @@ def runs(words) -> list[str]:
 
 
 #: Words are handled together up to these lengths, and this many at once.
-_LENGTHS, _TOGETHER = (6, 10, 16, MAX_RUN), 20_000
+_LENGTHS, _TOGETHER = (6, 10, 16, MAX_RUN), 10_000
 
 
 def _groups(words: list[str]):
@@ -156,9 +155,37 @@ def forward(table: PieceTable, probs: np.ndarray, words: list[str]) -> np.ndarra
                 if len(hit):
                     alpha[start + m, hit] += alpha[start, hit] * probs[piece[hit]]
         out[at] = np.log(alpha[lens, np.arange(len(at))])
+    for i, word in enumerate(words):
+        if len(word) > MAX_RUN:
+            out[i] = _forward_long(table, probs, word)
     return out
 
 
+def _forward_long(table: PieceTable, probs: np.ndarray, word: str) -> np.ndarray:
+    """The same sum for one word of any length: only the forward sums of the
+    last ``max_len`` places are kept, scaled to stay within range."""
+    codes, n, longest = PieceTable.codes([word], len(word))[0], len(word), table.max_len
+    piece, h = np.full((longest, n), table.size), codes
+    for m in range(1, min(longest, n) + 1):
+        if m > 1:
+            h = h[:-1] * table.powers[1] + codes[m - 1:]
+        piece[m - 1, :n - m + 1] = table.find(table.finish(h, m))
+    recent, scale = np.zeros((longest, probs.shape[1])), np.zeros(probs.shape[1])
+    recent[0] = 1
+    for end in range(1, n + 1):
+        m = np.arange(1, min(longest, end) + 1)
+        found = piece[m - 1, end - m]
+        weight = probs[found]
+        if found[0] == table.size:
+            weight[0] = RARE
+        total = (recent[:len(m)] * weight).sum(0)
+        recent = np.vstack([total, recent[:-1]])
+        if end % 8 == 0:
+            top = recent.max(0)
+            recent, scale = recent / top, scale + np.log(top)
+    return np.log(recent[0]) + scale
+
+
 def expected_counts(table: PieceTable, probs: np.ndarray, words: list[str], language: np.ndarray,
                     counts: np.ndarray) -> np.ndarray:
     """Expected piece counts (pieces x languages) of words seen ``counts``
@@ -260,8 +287,8 @@ def _re_estimate(words: DataFrame, pieces: list[str], probs: np.ndarray) -> np.n
     return np.vstack([counts[:-1] / counts[:-1].sum(0), np.zeros(n_lang)])
 
 
-def _predictor(model: LanguageModel, text_column: int):
-    """Arrow batches to the same batches with lang_pred and score."""
+def _predictor(model: LanguageModel, text_column: int, names: tuple[str, str]):
+    """Arrow batches to the same batches with the prediction and its score."""
     languages, pieces, probs = model.languages, model.pieces, model.probs
 
     def part(batches):
@@ -271,10 +298,7 @@ def _predictor(model: LanguageModel, text_column: int):
 
         def learn(new: list[str]) -> None:
             nonlocal scores
-            split = [runs([w]) for w in new]
-            owner = np.repeat(np.arange(len(new)), [len(x) for x in split])
-            sums = np.zeros((len(new), len(languages)))
-            np.add.at(sums, owner, forward(table, probs, [r for x in split for r in x]))
+            sums = forward(table, probs, [START + w for w in new])
             first = len(known)
             while len(scores) < first + len(new):
                 scores = np.concatenate([scores, np.zeros_like(scores)])
@@ -312,18 +336,19 @@ def _predictor(model: LanguageModel, text_column: int):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in out], pa.string()),
                  pa.array([x for _, x in out], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                names=[*batch.schema.names, *names])
 
     return part
 
 
-def with_prediction(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` plus lang_pred and score: the posterior of the prediction,
-    tempered so that long texts do not all score 1."""
-    kept = docs.drop("lang_pred", "score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(_predictor(model, kept.columns.index("text")), schema)
+def with_prediction(docs: DataFrame, model: LanguageModel, lang_pred: str = "lang_pred",
+                    score: str = "score") -> DataFrame:
+    """``docs`` plus the columns ``lang_pred`` and ``score`` (names that it must
+    not have yet): the prediction and its posterior, tempered so that long
+    texts do not all score 1."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()),
+                           T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(_predictor(model, docs.columns.index("text"), (lang_pred, score)), schema)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -11,11 +11,12 @@ table of cells, whose size is bounded by the numbers of categories; the cells'
 probabilities return to the documents by a join that broadcasts within a
 checked size.
 
-A probability cannot exceed 1.  ``mix`` with ``hold`` keeps that bound inside
+A probability cannot exceed 1.  ``mix`` with ``bounded`` keeps that bound inside
 the raking: what a cell cannot give is asked of the other cells of its
-categories, and the budget is lowered to the largest at which all targets
-hold; marginals that no budget meets are logged.  Without ``hold`` the raked
-weights are cut at 1 afterwards and the mixture may miss its targets.
+categories, by windows of running sums.  ``hold`` also lowers the budget to the
+largest at which all targets hold.  Marginals that are not met are logged, and
+all of them can be written as a table.  Without both the raked weights are cut
+at 1 afterwards and the mixture may miss its targets.
 
 Targets: shares in proportion to a power of a category's own tokens (``power``
 1 keeps the mixture, 0 makes it uniform), or given shares.
@@ -23,15 +24,14 @@ Targets: shares in proportion to a power of a category's own tokens (``power``
 Defined cases: a null category is one of its own; a text without words has 0
 tokens; cells without tokens have probability 0; given shares of categories
 without tokens are spread over the others; rows that repeat an id are drawn
-alike; extra columns pass through; an empty table gives an empty result.
+alike; extra columns pass through (the names of the added ones are parameters);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import logging
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +43,8 @@ SEED = 20
 _LOT_DIGITS, _LOT_RANGE = 13, float(1 << 52)
 #: A marginal holds when its share is this close to its target.
 TOLERANCE = 1e-4
-#: Most sweeps of one bounded raking, and halvings in the search for the budget.
-BOUND_SWEEPS, HALVINGS = 200, 20
+#: Budgets tried at once in the search, and sweeps before the lineage is cut.
+STEPS, SWEEPS_A_PLAN = 16, 3
 _LOG = logging.getLogger(__name__)
 
 
@@ -76,7 +76,7 @@ def _with_targets(cells: DataFrame, dims: list[str], powers: dict[str, float],
     for d in dims:
         if shares and d in shares:
             target = shares[d].select(F.col(d).alias("_key"), F.col("share").alias("_t"))
-            out = out.join(F.broadcast(target), F.col(d).eqNullSafe(F.col("_key")), "left").drop("_key")
+            out = out.join(broadcast_if_small(target, 128), F.col(d).eqNullSafe(F.col("_key")), "left").drop("_key")
         else:
             mass = cells.groupBy(d).agg(F.sum("n").alias("m")).select(
                 F.col(d).alias("_key"), F.pow(F.col("m").cast("double"), F.lit(powers.get(d, 1.0))).alias("_t"))
@@ -104,100 +104,89 @@ def rake(cells: DataFrame, dims: list[str], powers: dict[str, float],
     return out.drop(*[f"_t_{d}" for d in dims])
 
 
-def _gap(w: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> float:
-    return max(float(np.abs(np.bincount(c, w, len(t)) - t).max()) for c, t in zip(codes, targets))
+def _fitted(cells: DataFrame, d: str, names: list[str]) -> DataFrame:
+    """``x`` times one factor a category of ``d``, so that min(x, most) sums to
+    the category's target, where its cells can give that much.
 
+    Cells reach their bound in the order of most / x.  If the first i do, the
+    factor is (target - their bounds) / (the other weights); the first i whose
+    own next cell is still below its bound is the solution.  Two running sums.
+    """
+    part = Window.partitionBy("budget", d)
+    up, down = part.orderBy("limit", *names), part.orderBy(F.desc("limit"), *[F.desc(n) for n in names])
+    so_far = (Window.unboundedPreceding, -1)
+    out = cells.withColumn("limit", F.col("most") / F.col("x")).withColumns({
+        "place": F.row_number().over(up),
+        "taken": F.coalesce(F.sum("most").over(up.rowsBetween(*so_far)), F.lit(0.0)),
+        "rest": F.sum("x").over(down.rowsBetween(Window.unboundedPreceding, 0))})
+    out = out.withColumn("f", (F.col(f"_t_{d}") - F.col("taken")) / F.col("rest"))
+    out = out.withColumns({
+        "first": F.min(F.when(F.col("f") <= F.col("limit"), F.struct("place", "f"))).over(part),
+        "last": F.max("limit").over(part)})
+    return out.withColumn("x", F.greatest(F.col("x") * F.coalesce("first.f", "last"), F.lit(1e-300))).select(*cells.columns)
+
+
+def rake_below(cells: DataFrame, dims: list[str], budgets: list[float], sweeps: int) -> DataFrame:
+    """Cells once for every budget, with ``w``: shares raked to the targets
+    ``_t_<dim>`` under the bound w <= ``most`` = share / budget, at which the
+    probability is 1; a cell that cannot give its part leaves it to the others
+    of its categories.
+
+    cells: dims, ``n``, ``w`` (token share) and the targets.
+    """
+    usable = F.least(*[F.col(f"_t_{d}") for d in dims], F.lit(1.0)) > 0
+    out = cells.withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets]))).withColumns(
+        {"x": F.col("w"), "most": F.col("w") / F.col("budget")})
+    bounded = out.where(usable)
+    for sweep in range(sweeps):
+        for d in dims:
+            bounded = _fitted(bounded, d, dims)
+        if sweep % SWEEPS_A_PLAN == SWEEPS_A_PLAN - 1:
+            bounded = cut_lineage(bounded)
+    bounded = bounded.withColumn("w", F.least("x", "most"))
+    return cut_lineage(bounded.union(out.where(~usable).withColumn("w", F.lit(0.0))).drop("x", "most"))
 
-def _rake_below(start: np.ndarray, most: np.ndarray, codes: list[np.ndarray],
-                targets: list[np.ndarray]) -> np.ndarray:
-    """Weights min(most, start x one factor a category) with the target sums.
 
-    Each step solves a category's factor exactly: the cells that reach their
-    bound first are set to it, the others share what is left.
-    """
-    x = start.copy()
-    for _ in range(BOUND_SWEEPS):
-        for c, t in zip(codes, targets):
-            limit = most / x
-            order = np.lexsort((limit, c))
-            first = np.searchsorted(c[order], np.arange(len(t)))
-            last = np.append(first[1:], len(x)) - 1
-            cc, lo, bound, free = c[order], limit[order], most[order], x[order]
-            # sums of the bounds before each cell and of the weights from it on
-            taken = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(bound), bound, 0.0))])
-            taken = taken[:-1] - taken[first][cc]
-            rest = np.cumsum(free[::-1])[::-1]
-            rest = np.maximum(rest - np.append(rest, 0.0)[last + 1][cc], free)
-            factor = (t[cc] - taken) / rest
-            at = np.minimum.reduceat(np.where(factor <= lo, np.arange(len(x)), len(x)), first)
-            f = np.where(at < len(x), factor[np.minimum(at, len(x) - 1)], lo[last])
-            x = np.maximum(x * f[c], 1e-300)
-        w = np.minimum(x, most)
-        if _gap(w, codes, targets) < TOLERANCE / 100:
-            break
-    return w
-
-
-def _largest_draw(n: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
-                  budget: float) -> tuple[np.ndarray, float]:
-    """(weights, budget): the largest budget up to ``budget`` at which no cell
-    is asked for more than it has and the targets hold as well as they do
-    without that bound."""
-    share = n / n.sum()
-    free = _rake_below(share, np.full(len(n), np.inf), codes, targets)
-    least = _gap(free, codes, targets) + TOLERANCE
-
-    def at(b):
-        w = _rake_below(share, share / b, codes, targets)
-        return w if _gap(w, codes, targets) <= least else None
-
-    w = at(budget)
-    if w is not None:
-        return w, budget
-    # without a bound in force all targets hold as in ``free``
-    low, high = min(budget, float((share / free).min())), budget
-    best = np.minimum(free, share / low)
-    for _ in range(HALVINGS):
-        w = at((low + high) / 2)
-        if w is None:
-            high = (low + high) / 2
-        else:
-            low, best = (low + high) / 2, w
-    return best, low
+def _gaps(weights: DataFrame, dims: list[str]) -> dict[float, float]:
+    """Budget -> largest distance of a category's share from its target."""
+    out: dict[float, float] = {}
+    for d in dims:
+        sums = weights.groupBy("budget", d).agg(F.abs(F.sum("w") - F.first(f"_t_{d}")).alias("gap"))
+        for b, gap in sums.groupBy("budget").agg(F.max("gap")).collect():
+            out[b] = max(out.get(b, 0.0), gap)
+    return out
 
 
 def rake_within(cells: DataFrame, dims: list[str], powers: dict[str, float], budget: float,
-                shares: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Cells with ``w``, ``budget`` and ``_t_<dim>``: shares raked to the
-    targets with w x budget x total <= n in every cell, at the largest budget
-    up to ``budget`` at which the targets hold.
-
-    One task solves it: the cells are bounded by the numbers of categories.
+                shares: dict[str, DataFrame] | None = None, sweeps: int = 10) -> DataFrame:
+    """Cells with ``w``, ``budget`` and ``_t_<dim>``: bounded raking at the
+    largest budget up to ``budget`` at which the targets hold as well as they
+    do without the bound.
+
+    The search tries ``STEPS`` budgets at once, twice: between the largest one
+    at which plain raking meets no bound and ``budget``, then between the last
+    that held and the first that did not.
     """
-    marks = [f"_t_{d}" for d in dims]
-    out = _with_targets(cells, dims, powers, shares).select(*dims, "n", *marks)
-
-    def solve(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches).combine_chunks()
-        t = [table[m].to_numpy() for m in marks]
-        use = np.flatnonzero(np.min(t, axis=0) > 0)
-        w, b = np.zeros(table.num_rows), budget
-        if len(use):
-            codes, targets = [], []
-            for d, m in zip(dims, t):
-                code = table[d].combine_chunks().dictionary_encode().indices.to_numpy()[use]
-                _, first, code = np.unique(code, return_index=True, return_inverse=True)
-                codes.append(code)
-                targets.append(m[use][first])
-            w[use], b = _largest_draw(table["n"].to_numpy()[use].astype(float), codes, targets, budget)
-        table = table.append_column("w", pa.array(w)).append_column("budget", pa.array(np.full(len(w), float(b))))
-        yield from table.to_batches()
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    return out.coalesce(1).mapInArrow(solve, schema + ", w double, budget double")
+    start = _with_targets(cells, dims, powers, shares)
+    # a bound far above every share: plain raking
+    free = rake_below(start, dims, [1e-9], sweeps)
+    least = max(_gaps(free, dims).values(), default=0.0) + TOLERANCE
+    total = float(start.agg(F.sum("n")).first()[0] or 1)
+    room = free.where("w > 0").agg(F.min(F.col("n") / F.lit(total) / F.col("w"))).first()[0]
+    low, high = min(budget, room or budget), budget
+    weights, best = rake_below(start, dims, [low], sweeps), low
+    for _ in range(2):
+        if low >= high:
+            break
+        grid = [low * (high / low) ** (i / STEPS) for i in range(1, STEPS)] + [high]
+        tried = rake_below(start, dims, grid, sweeps)
+        gaps = _gaps(tried, dims)
+        held = [b for b in grid if gaps.get(b, 0.0) <= least]
+        if held:
+            best = max(held)
+            weights = tried.where(F.col("budget") == F.lit(best))
+        low, high = best, min((b for b in grid if b > best), default=best)
+    return weights
 
 
 def marginals(weights: DataFrame, dims: list[str]) -> DataFrame:
@@ -227,32 +216,48 @@ def _report(weights: DataFrame, names: list[str], dims: list[str], budget: float
                      dims[names.index(r["dim"])], r["category"], r["target"], r["drawn"])
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mix(docs: DataFrame, dims: list[str], powers: dict[str, float], budget: float = 0.5,
         shares: dict[str, DataFrame] | None = None, sweeps: int = 10, seed: int = SEED,
-        hold: bool = False) -> DataFrame:
-    """``docs`` (with dims and ``n_tokens``) plus probability and sampled.
-
-    budget: tokens asked for, as a share of all tokens.  A probability stops
-    at 1: such a cell is taken whole and falls short of its weight, unless
-    ``hold`` gives the excess to other cells and lowers the budget to the
-    largest at which the targets hold.
+        hold: bool = False, bounded: bool = False, tokens: str = "n_tokens", probability: str = "probability",
+        sampled: str = "sampled", report: str | None = None) -> DataFrame:
+    """``docs`` (with dims and ``tokens``) plus ``probability`` and ``sampled``.
+
+    budget: tokens asked for, as a share of all tokens.  ``bounded`` keeps
+    probabilities up to 1 inside the raking; ``hold`` also lowers the budget to
+    the largest at which the targets hold.  Without both, the raked weights are
+    cut at 1: such a cell is taken whole and falls short of its weight.
+    ``report``: a path for the table of ``marginals`` (Parquet): what every
+    category had, was to have and is drawn with, and the budget in use.
     """
-    keyed = docs.withColumns({f"_d{i}": F.coalesce(F.col(d).cast("string"), F.lit("(null)"))
-                              for i, d in enumerate(dims)})
-    names = [f"_d{i}" for i in range(len(dims))]
-    cells = cut_lineage(keyed.groupBy(*names).agg(F.sum("n_tokens").alias("n")).where("n > 0"))
+    names = [fresh(docs, f"_d{i}") for i in range(len(dims))]
+    keyed = docs.withColumns({n: F.coalesce(F.col(d).cast("string"), F.lit("(null)")) for n, d in zip(names, dims)})
+    cells = cut_lineage(keyed.groupBy(*names).agg(F.sum(tokens).alias("n")).where("n > 0"))
     total = float(cells.agg(F.sum("n")).first()[0] or 0)
-    given = {f"_d{dims.index(d)}": s.select(F.col(d).alias(f"_d{dims.index(d)}"), "share")
+    given = {names[dims.index(d)]: s.select(F.col(d).alias(names[dims.index(d)]), "share")
              for d, s in (shares or {}).items()}
-    powers = {f"_d{i}": powers.get(d, 1.0) for i, d in enumerate(dims)}
-    if hold:
-        weights = cut_lineage(rake_within(cells, names, powers, budget, given).withColumn(
+    powers = {n: powers.get(d, 1.0) for n, d in zip(names, dims)}
+    if hold or bounded:
+        weights = rake_within(cells, names, powers, budget, given, sweeps) if hold else rake_below(
+            _with_targets(cells, names, powers, given), names, [budget], sweeps)
+        weights = cut_lineage(weights.withColumn(
             "p", F.least(F.lit(1.0), F.col("w") * F.col("budget") * F.lit(total) / F.col("n"))))
         _report(weights, names, dims, budget)
+        if report:
+            marginals(weights, names).withColumn("budget", weights.select(F.first("budget")).scalar()).withColumn(
+                "dim", F.element_at(F.create_map(*[F.lit(x) for n, d in zip(names, dims) for x in (n, d)]), F.col(
+                    "dim"))).write.parquet(report)
     else:
         weights = cut_lineage(rake(cells, names, powers, given, sweeps)).withColumn(
             "p", F.least(F.lit(1.0), F.col("w") * F.lit(budget * total) / F.col("n")))
-    chance = weights.select(*names, F.col("p").alias("probability"))
+    chance = weights.select(*names, F.col("p").alias(probability))
     out = keyed.join(broadcast_if_small(chance, 256), names, "left").drop(*names)
-    out = out.withColumn("probability", F.coalesce("probability", F.lit(0.0)))
-    return out.withColumn("sampled", lot("doc_id", seed) < F.col("probability"))
+    out = out.withColumn(probability, F.coalesce(probability, F.lit(0.0)))
+    return out.withColumn(sampled, lot("doc_id", seed) < F.col(probability))

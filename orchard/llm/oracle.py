@@ -13,15 +13,22 @@ _WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 def _mixing_sql() -> str:
     sweeps, step = [], 0
+    keys, keys_down = ", ".join(MIX_DIMS), ", ".join(f"{d} DESC" for d in MIX_DIMS)
+    targets = ", ".join(f"t_{d}" for d in MIX_DIMS)
     for _ in range(MIX_SWEEPS):
         for d in MIX_DIMS:
             step += 1
-            sweeps.append(f"w{step} AS (SELECT * REPLACE (w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w) "
-                          f"FROM w{step - 1})")
+            by, below = f"PARTITION BY {d}", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+            sweeps.append(f"""g{step} AS (SELECT *, row_number() OVER ({by} ORDER BY x_limit, {keys}) AS place,
+    (t_{d} - coalesce(sum(most) OVER ({by} ORDER BY x_limit, {keys} {below}), 0.0))
+      / sum(w) OVER ({by} ORDER BY x_limit DESC, {keys_down} ROWS UNBOUNDED PRECEDING) AS f
+  FROM (SELECT *, most / w AS x_limit FROM w{step - 1}))""")
+            sweeps.append(f"""w{step} AS (SELECT {keys}, n, most, {targets},
+    greatest(w * coalesce((min({{'place': place, 'f': f}}) FILTER (f <= x_limit) OVER ({by})).f,
+                          max(x_limit) OVER ({by})), 1e-300) AS w FROM g{step})""")
     mass = ",\n".join(
         f"m_{d} AS (SELECT {d}, pow(sum(n)::DOUBLE, {MIX_POWERS[d]}) AS m FROM cells GROUP BY {d}),\n"
         f"t_{d} AS (SELECT {d}, m / sum(m) OVER () AS t_{d} FROM m_{d})" for d in MIX_DIMS)
-    keys = ", ".join(MIX_DIMS)
     return f"""
 WITH docs AS (
   SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
@@ -34,10 +41,10 @@ WITH docs AS (
 cells AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS n FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0),
 total AS (SELECT sum(n) AS total FROM cells),
 {mass},
-w0 AS (SELECT {keys}, n, n / total AS w, {", ".join(f"t_{d}" for d in MIX_DIMS)}
+w0 AS (SELECT {keys}, n, n / total / {MIX_BUDGET} AS most, n / total AS w, {", ".join(f"t_{d}" for d in MIX_DIMS)}
        FROM cells CROSS JOIN total {" ".join(f"JOIN t_{d} USING ({d})" for d in MIX_DIMS)}),
 {", ".join(sweeps)},
-chance AS (SELECT {keys}, least(1.0, w * {MIX_BUDGET} * total / n) AS p FROM w{step}, total)
+chance AS (SELECT {keys}, least(1.0, least(w, most) * {MIX_BUDGET} * total / n) AS p FROM w{step}, total)
 SELECT doc_id, source_out AS source, lang_out AS lang, topic, n_tokens,
   round(coalesce(p, 0.0), 6) AS probability,
   ('0x' || substr(md5(doc_id || ':20'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < coalesce(p, 0.0) AS sampled

@@ -31,7 +31,8 @@ URL_RULES = [
 MIX_DIMS = ["source", "lang", "topic"]
 #: Target shares follow these powers of a category's own tokens.
 MIX_POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.7}
-MIX_BUDGET, MIX_SWEEPS = 0.5, 10
+#: A quarter of the tokens: within what every category can give.
+MIX_BUDGET, MIX_SWEEPS = 0.25, 10
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut_lineage(documents(spark, sf_dir).select(
         "doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"),
         mixing.token_count(F.col("text")).alias("n_tokens")))
-    out = mixing.mix(docs, MIX_DIMS, MIX_POWERS, MIX_BUDGET, sweeps=MIX_SWEEPS)
+    out = mixing.mix(docs, MIX_DIMS, MIX_POWERS, MIX_BUDGET, sweeps=MIX_SWEEPS, bounded=True)
     return out.withColumn("probability", F.round("probability", 6))
 
 

@@ -20,6 +20,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from dataclasses import dataclass
 from re import _constants as C
@@ -77,7 +78,9 @@ def _alternatives(items) -> set[str] | None:
             some = None if None in parts else set().union(*parts)
         elif op is C.MAX_REPEAT and arg[1] != C.MAXREPEAT and arg[1] <= 2:
             one = _alternatives(arg[2])
-            some = None if one is None else {x * n for x in one for n in range(arg[0], arg[1] + 1)}
+            # every repeat is a choice of its own
+            some = None if one is None or len(one) ** arg[1] > MAX_ALTERNATIVES else {
+                "".join(x) for n in range(arg[0], arg[1] + 1) for x in itertools.product(one, repeat=n)}
         else:
             return None
         if some is None:
@@ -88,6 +91,12 @@ def _alternatives(items) -> set[str] | None:
     return out
 
 
+#: Rules that ignore case beyond ASCII, and the letters that have a partner
+#: there (dotless i, Kelvin sign, long s): strings with these are not mandatory.
+_FOLDS = re.compile(r"\(\?(?![a-zA-Z]*a)[a-zA-Z]*i")
+_FOLDED = set("iks")
+
+
 def trigram_query(pattern: str) -> list[list[list[str]]]:
     """AND of clauses; a clause: alternatives, each the trigrams it needs.  An
     empty query matches every text."""
@@ -102,6 +111,8 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     query = []
     for items in [*runs, run]:
         strings = _alternatives(items) or {""}
+        if _FOLDS.search(pattern) and _FOLDED & set("".join(strings).lower()):
+            continue
         if all(len(s) >= 3 and s.isascii() for s in strings):
             query.append([sorted({s[i:i + 3] for i in range(len(s) - 2)}) for s in sorted(strings)])
     return query

@@ -18,6 +18,7 @@ hash of the text; extra columns are ignored; an empty table writes no rows and r
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -25,89 +26,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: White space on which Python and the tokenizer disagree; texts with one of
-#: these are split on the characters that both take for white space.
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Distinct words whose ids a task keeps at once.
-CACHE_WORDS = 250_000
+#: Distinct pieces whose ids a task keeps at once, and pieces encoded in a call.
+CACHE_PIECES, TOGETHER = 400_000, 512
+#: Characters whose words can be encoded one by one: printable ASCII, plain white
+#: space, Latin-1 and Latin Extended-A letters (but for the one whose lower case
+#: is two characters) and common punctuation.  None of them composes with a
+#: neighbour, and their lower case does not depend on one.
+_OTHER = re.compile("[^\t\n\x0b\x0c\r -~\u00c0-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u203a]")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u017f"
+#: The tokenizer's pieces of such a text (fixed by the vocabulary file).
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t\n\x0b\x0c\r{_LETTER}0-9]+")
+_LETTERS = re.compile(f"[{_LETTER}]+")
 
 
 class CachedEncoder:
-    """Token ids of whole texts through a bounded cache of words.
+    """The tokenizer's ids of whole texts, through a bounded cache of pieces.
 
-    The tokenizer splits at white space before anything else, and a full stop
-    or comma after a letter is a piece of its own; so the ids of a text are
-    those of its words one after another, and each distinct word is encoded
-    once per cache fill.
+    The tokenizer splits a text into pieces (a run of letters, a digit, a run of
+    other marks, never white space), and pieces do not see each other; so the
+    ids of a text are those of its pieces one after another.  That holds for
+    texts of the characters above; any other text, and one that holds the string
+    of a special token, is encoded as a whole.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # the strings of special tokens are ordinary text inside a document
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.end = np.array([end_id], "<i4").tobytes()
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        if any(c in text for c in _SEPARATORS):
-            return text.replace("\n", " ").replace("\t", " ").split(" ")
-        return text.split()
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """(body, tail): a final full stop or comma after a letter apart."""
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            return word[:-1], word[-1]
-        return word, ""
-
-    def _learn(self, words: set[str]) -> None:
-        bodies: dict[str, bytes] = {}
-        letters = []
-        for word in words:
-            body = self._parts(word)[0]
-            body = body.lower() if body.isascii() else body
-            if body in bodies:
-                continue
-            bodies[body] = b""
-            if body.isascii() and body.isalpha():
-                letters.append(body)
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<i4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        # a run of letters is one piece, closed by a word-end token: many in a text
+        letters = [p for p in new if _LETTERS.fullmatch(p)]
+        some = [letters[i:i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        rest = [p for p in new if not _LETTERS.fullmatch(p)]
+        for pieces, ids in zip(some, self._encode([" ".join(x) for x in some])):
+            cuts = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(pieces):
+                raw = ids.tobytes()
+                self.pieces.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
             else:
-                bodies[body] = self._encode(body).tobytes()
-        # words of ASCII letters are one piece each, closed by a word-end token
-        for i in range(0, len(letters), 256):
-            some = letters[i:i + 256]
-            ids = self._encode(" ".join(some))
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) == len(some):
-                for body, a, b in zip(some, np.concatenate([[0], cuts[:-1]]), cuts):
-                    bodies[body] = ids[a:b].tobytes()
+                rest += pieces
+        self.pieces.update(zip(rest, (x.tobytes() for x in self._encode(rest))))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, the end id last."""
+        out, split = [b""] * len(texts), {}
+        whole = []
+        for i, t in enumerate(texts):
+            t = t or ""
+            if _OTHER.search(t) or any(s in t for s in self.special):
+                whole.append(i)
             else:
-                for body in some:
-                    bodies[body] = self._encode(body).tobytes()
-        tails = {t: self._encode(t).tobytes() for t in ".,"}
-        for word in words:
-            body, tail = self._parts(word)
-            body = body.lower() if body.isascii() else body
-            self.cache[word] = bodies[body] + tails.get(tail, b"")
+                split[i] = _PIECES.findall(t.lower())
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+            out[i] = ids.tobytes() + self.end
+        new = set().union(*split.values()).difference(self.pieces)
+        if new:
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces.clear()
+                new = set().union(*split.values())
+            self._learn(sorted(new))
+        for i, found in split.items():
+            out[i] = b"".join(map(self.pieces.__getitem__, found)) + self.end
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids of the text, the end id last."""
-        words = self._split(text or "")
-        try:
-            return b"".join(map(self.cache.__getitem__, words)) + self.end
-        except KeyError:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            self._learn({w for w in words if w not in self.cache})
-            return b"".join(map(self.cache.__getitem__, words)) + self.end
+        return self.encode_all([text])[0]
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -124,7 +116,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             # whole texts, about a megabyte of them at a time
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
-                flat = [encoder.encode(t) for t in some.column(1).to_pylist()]
+                flat = encoder.encode_all(some.column(1).to_pylist())
                 n = np.array([len(x) // 4 for x in flat], np.int64)
                 ends = np.cumsum(n)
                 offsets = np.concatenate([[0], ends]).astype(np.int32)

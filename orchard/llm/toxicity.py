@@ -185,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000) -> ToxicityM
         beta, b = fit_logistic(found, y, np.where(y == 1, 1 / rate[1], 1 / rate[0]), ratio)
         yield pa.RecordBatch.from_arrays([pa.array([beta.tobytes()]), pa.array([b])], names=["w", "b"])
 
-    # the sample is bounded by 2 x fit_rows texts: one task fits it
-    out = sample.select("label", "text").mapInArrow(extract, "label int, features array<int>").coalesce(
-        1).mapInArrow(fit, "w binary, b double").first()
+    # extracted by many tasks and written; the one task that fits reads about 2 x fit_rows feature lists
+    extracted = cut_lineage(sample.select("label", "text").mapInArrow(extract, "label int, features array<int>"))
+    out = extracted.coalesce(1).mapInArrow(fit, "w binary, b double").first()
     return ToxicityModel(vocabulary, np.frombuffer(out["w"], float).astype(np.float32), out["b"])
 
 
