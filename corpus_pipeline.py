@@ -7,9 +7,11 @@ stage's documents.  All but the last stage return the columns of documents.
 A stage keeps or drops whole rows: language ID drops documents without a
 language, near-dedup keeps the smallest id of each group, decontamination
 drops documents that hold a benchmark window, mixing drops by the calibrated
-probabilities.  The last stage writes the token files and returns their rows.
+probabilities (and writes what each category had, was to have and is drawn with
+to ``mixing-report-*`` in the checkpoint folder).  The last stage writes the token files and returns their rows.
 Null ids and rows that repeat an id are kept or dropped by their own text,
-except in near-dedup, where rows of one id are one document.
+except in near-dedup, where rows of one id are one document.  Extra columns of
+documents pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +31,20 @@ from orchard.sources.tables import read_table
 #: Most tokens that mixing asks for, as a share of the tokens it is given; it
 #: draws at the largest budget up to this one at which its targets hold.
 BUDGET = 1.0
+#: Documents of an Arrow batch, where the session has Spark's default: a batch of
+#: whole texts is held by the executor and its Python worker at once.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determined language."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     model = language.train(docs, public_tokenizers.path(PIECES))
-    return language.with_prediction(docs, model).where(
-        F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    pred, score = mixing.fresh(docs, "lang_pred"), mixing.fresh(docs, "score")
+    return language.with_prediction(docs, model, pred, score).where(
+        F.col(pred) != language.UNDETERMINED).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,17 +59,20 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if hits is None:
         return docs
     hits = broadcast_if_small(cut_lineage(hits.select("hit_id", "hit_hash")), 32)
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(hits["hit_id"]) & (keyed["_text_hash"] == hits["hit_hash"])
+    text_hash = mixing.fresh(docs, "_text_hash")
+    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(hits["hit_id"]) & (keyed[text_hash] == hits["hit_hash"])
     return keyed.join(hits, same, "left_anti").select(*docs.columns)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw documents by probabilities raked to source, language and topic."""
-    weighed = docs.withColumns({"topic": mixing.topic_of(F.col("text")),
-                                "n_tokens": mixing.token_count(F.col("text"))})
-    return mixing.mix(weighed, MIX_DIMS, MIX_POWERS, BUDGET, sweeps=MIX_SWEEPS, hold=True).where("sampled").select(
-        *docs.columns)
+    topic, n, p, drawn = (mixing.fresh(docs, c) for c in ("topic", "n_tokens", "probability", "sampled"))
+    weighed = docs.withColumns({topic: mixing.topic_of(F.col("text")), n: mixing.token_count(F.col("text"))})
+    dims = [topic if d == "topic" else d for d in MIX_DIMS]
+    powers = {topic if d == "topic" else d: v for d, v in MIX_POWERS.items()}
+    return mixing.mix(weighed, dims, powers, BUDGET, sweeps=MIX_SWEEPS, hold=True, tokens=n, probability=p, sampled=drawn,
+                      report=scratch_path(spark, f"mixing-report-{uuid.uuid4().hex}")).where(F.col(drawn)).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
