@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose ids a task keeps at once, and pieces encoded in a call.
-CACHE_PIECES, TOGETHER = 400_000, 512
+#: Distinct pieces whose ids a Python worker keeps at once, pieces encoded in a
+#: call, and characters of text split at once.
+CACHE_PIECES, TOGETHER, AT_ONCE = 200_000, 512, 1 << 18
 #: Characters whose words can be encoded one by one: printable ASCII, plain white
 #: space, Latin-1 and Latin Extended-A letters (but for the one whose lower case
 #: is two characters) and common punctuation.  None of them composes with a
@@ -37,6 +38,7 @@ _LETTER = "a-z\u00df-\u00f6\u00f8-\u017f"
 #: The tokenizer's pieces of such a text (fixed by the vocabulary file).
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t\n\x0b\x0c\r{_LETTER}0-9]+")
 _LETTERS = re.compile(f"[{_LETTER}]+")
+_SPACE = re.compile("[\t\n\x0b\x0c\r ]")
 
 
 class CachedEncoder:
@@ -78,30 +80,64 @@ class CachedEncoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, the end id last."""
-        out, split = [b""] * len(texts), {}
-        whole = []
+        out: list[list[bytes]] = [[] for _ in texts]
+        group, size = [], 0
         for i, t in enumerate(texts):
-            t = t or ""
+            if not t:
+                continue
             if _OTHER.search(t) or any(s in t for s in self.special):
-                whole.append(i)
-            else:
-                split[i] = _PIECES.findall(t.lower())
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids.tobytes() + self.end
-        new = set().union(*split.values()).difference(self.pieces)
+                out[i].append(self._encode([t])[0].tobytes())
+                continue
+            for part in _cut(t, AT_ONCE):
+                group.append((i, part))
+                size += len(part)
+                if size >= AT_ONCE:
+                    self._join(group, out)
+                    group, size = [], 0
+        self._join(group, out)
+        return [b"".join(x) + self.end for x in out]
+
+    def _join(self, group: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        """Append the ids of the group's (position, text) entries to ``out``."""
+        found = [(i, _PIECES.findall(t.lower())) for i, t in group]
+        distinct = set().union(*(pieces for _, pieces in found))
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        new = distinct.difference(self.pieces)
         if new:
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces.clear()
-                new = set().union(*split.values())
-            self._learn(sorted(new))
-        for i, found in split.items():
-            out[i] = b"".join(map(self.pieces.__getitem__, found)) + self.end
-        return out
+            self._learn(list(new))
+        for i, pieces in found:
+            out[i].append(b"".join(map(self.pieces.__getitem__, pieces)))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
 
+def _cut(text: str, size: int):
+    """The text in parts of about ``size`` characters, cut at white space (which
+    is in no piece); a longer run without it stays whole."""
+    start = 0
+    while len(text) - start > size:
+        space = _SPACE.search(text, start + size)
+        if not space:
+            break
+        yield text[start:space.start()]
+        start = space.end()
+    yield text[start:] if start else text
+
+
+def _worker_encoder(path: str, end_id: int) -> CachedEncoder:
+    """The encoder of this Python worker, which serves several tasks: the
+    vocabulary is read once.  Functions travel by value, so their globals do not
+    outlive a task; the imported package does."""
+    import tokenizers
+    known = tokenizers.__dict__.setdefault("_worker_encoders", {})
+    if (path, end_id) not in known:
+        known.clear()
+        known[path, end_id] = CachedEncoder(path, end_id)
+    return known[path, end_id]
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Documents in ascending id order with their token ids and file offsets."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").sort(
@@ -110,10 +146,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def part(batches):
         from pyspark import TaskContext
         number = TaskContext.get().partitionId()
-        encoder = CachedEncoder(tokenizer_path, end_id)
+        encoder = _worker_encoder(tokenizer_path, end_id)
         start = 0
         for batch in batches:
-            # whole texts, about a megabyte of them at a time
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
                 flat = encoder.encode_all(some.column(1).to_pylist())
