@@ -98,3 +98,31 @@ def running_sums(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[
     return out.select(*order_cols, *carry, *value_cols,
                       *[(F.col(f"_off_{c}") + F.col(f"{c}_local")).alias(f"{c}{suffix}")
                         for c in value_cols])
+
+
+#: Longest array that value positions are expanded through.
+POSITION_CHUNK = 1 << 16
+
+
+def value_positions(df: DataFrame, column: str, chunk: int = POSITION_CHUNK) -> DataFrame:
+    """``(position, column)``: the 0-based positions of all rows in ascending
+    order of one column, equal values beside each other.
+
+    Equal rows are interchangeable, so a value is counted (with map-side
+    combine) instead of sorted and owns the run of positions after all smaller
+    values.  Runs are split by powers of ``chunk`` and dealt out again before
+    the last split, so a value that holds most of the rows fills many tasks and
+    no array is longer than ``chunk`` (up to ``chunk`` ** 3 rows of a value).
+    NULL comes first; an empty table gives no rows.
+    """
+    counts = df.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = running_sums(counts, ["_value"], ["_n"])
+    stop = F.col("_n_cum").cast("bigint") - 1
+    runs = ends.select("_value", (stop + 1 - F.col("_n")).alias("_first"), stop.alias("_last"))
+    for step in (chunk * chunk, chunk):
+        runs = runs.select("_value", "_last", F.explode(
+            F.sequence("_first", "_last", F.lit(step).cast("bigint"))).alias("_first")).select(
+            "_value", "_first", F.least("_last", F.col("_first") + (step - 1)).alias("_last"))
+    spread = runs.repartition(_num_partitions(df, None), "_first")
+    return spread.select(F.explode(F.sequence("_first", "_last")).alias("position"),
+                         F.col("_value").alias(column))

@@ -11,10 +11,12 @@ scalar metrics come back (counts, accuracy).  Per round:
 3. let the strategy pick a batch of k ids: k is a share of the pool, so the
    pick is a distributed selection (``select.smallest_k``) and the features of
    the winners come from a join with the pool;
-4. write the batch (with its rank, features and labels) as one Parquet folder
-   per round below ``state_path``; the labelled table is those folders read
-   together, so lineage stays one round long, nothing written is rewritten, and
-   a later application can read the state back (``read_state``).
+4. write the batch (with its rank, features and labels) and the round's log
+   line as one committed step below ``state_path`` (``sources.rounds``); the
+   labelled table is the committed steps read together, so lineage stays one
+   round long, nothing written is rewritten, a later application can read the
+   state back (``read_state``), and a run that was killed goes on in the same
+   folder after its last committed round.
 
 The loop ends when the pool is empty, when a strategy hands out no row, or
 after ``max_rounds`` rounds.
@@ -35,6 +37,7 @@ from orchard.operators import committee, pool, similarity
 from orchard.operators.select import (select_by_prediction, select_density, select_random,
                                       select_uncertain)
 from orchard.session import scratch_path
+from orchard.sources.rounds import RoundLog
 
 HISTORY_SCHEMA = T.StructType([
     T.StructField("iteration", T.IntegerType()),
@@ -144,8 +147,11 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
 
     ``start`` may also be the ``labeled`` table of an earlier run or what
     ``read_state`` gives for its ``state_path`` (rounds > 0 included):
-    numbering then continues after its last round.  ``state_path`` is a new
-    folder for each run (default: one in the shared checkpoint folder).
+    numbering then continues after its last round.  ``state_path`` names the
+    folder of the run (default: a new one in the shared checkpoint folder).  If
+    an earlier run was killed there, this one, called with the same arguments,
+    goes on after the last committed round and gives the history and batches of
+    both together.
 
     Ids of the pool must be unique and not null; that is checked once.
     """
@@ -153,25 +159,18 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
     n_pool, n_ids = points.select(F.count(F.lit(1)), F.count_distinct("id")).first()
     if n_pool != n_ids:
         raise ValueError(f"pool ids must be unique and not null: {n_pool} rows, {n_ids} ids")
-    state_path = state_path or scratch_path(spark, f"loop-{uuid.uuid4().hex}")
+    log = RoundLog(spark, state_path or scratch_path(spark, f"loop-{uuid.uuid4().hex}"))
     done_rounds = start.select(F.max("labeled_at")).first()[0] or 0
     rank = F.col("rank") if "rank" in start.columns else F.lit(None)
     start_ids = start.select("id", "labeled_at", rank.cast("int").alias("rank"))
-    start_rows = points.join(pool.bounded_side(start_ids, bound), "id")
-    folders = []
-
-    def appended(rows: DataFrame, name: str) -> DataFrame:
-        """The labelled table with ``rows`` written as one more folder."""
-        rows = rows.select("id", F.col("labeled_at").cast("int").alias("labeled_at"),
-                           F.col("rank").cast("int").alias("rank"), *CARRY)
-        folders.append(f"{state_path}/{name}")
-        rows.write.parquet(folders[-1])
-        return spark.read.schema(rows.schema).parquet(*folders)
-
-    labeled = appended(start_rows, "start")
-    n_before = -1
-    history = []
-    iteration = done_rounds
+    start_rows = _labelled_columns(points.join(pool.bounded_side(start_ids, bound), "id"))
+    if "start" not in log.committed():
+        log.commit(log.stage("start", start_rows))
+    history = [tuple(r) for r in log.lines(HISTORY_SCHEMA).orderBy("iteration").collect()]  # a row a round
+    bound += k * len(history)
+    labeled = log.rows(start_rows.schema)
+    n_before = history[-1][1] if history else -1
+    iteration = history[-1][0] if history else done_rounds
     while True:
         t0 = time.time()
         iteration += 1
@@ -194,19 +193,35 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
         ctx = RoundContext(iteration, k, points, labeled, bound, unlabeled, labeled_points, model)
         picks = pool.bounded_side(strategy(ctx).select("id", "rank"), k)
         batch = points.select("id", *CARRY).join(picks, "id").withColumn("labeled_at", F.lit(iteration))
-        labeled = appended(batch, f"round-{iteration:06d}")
-        bound += k
+        attempt = log.stage(_round_name(iteration), _labelled_columns(batch))
         history.append((iteration, n_labeled, n_unlabeled, acc, time.time() - t0))
+        log.commit(attempt, dict(zip(HISTORY_SCHEMA.names, history[-1])))
+        labeled = log.rows(start_rows.schema)
+        bound += k
     hist = spark.createDataFrame(history, HISTORY_SCHEMA)
     batches = labeled.where(F.col("labeled_at") > 0).select(
         F.col("labeled_at").alias("iteration"), "rank", "id")
     return LoopResult(hist, batches, labeled.select("id", "labeled_at", "rank"))
 
 
+def _labelled_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.col("labeled_at").cast("int").alias("labeled_at"),
+                       F.col("rank").cast("int").alias("rank"), *CARRY)
+
+
+def _round_name(iteration: int) -> str:
+    return f"step-{iteration:09d}"  # sorts after "start"
+
+
 def read_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """The labelled table (id, labeled_at, rank) a run left at ``state_path``,
-    in any application that can read the folder."""
-    return spark.read.parquet(f"{state_path}/*").select("id", "labeled_at", "rank")
+    """The labelled table (id, labeled_at, rank) of the committed rounds at
+    ``state_path``, in any application that can read the folder."""
+    return RoundLog(spark, state_path).rows().select("id", "labeled_at", "rank")
+
+
+def read_log(spark: SparkSession, state_path: str) -> DataFrame:
+    """One row a committed round at ``state_path``: the history with its seconds."""
+    return RoundLog(spark, state_path).lines(HISTORY_SCHEMA)
 
 
 def forest_accuracy(model, test: DataFrame) -> float | None:

@@ -401,6 +401,21 @@ SELECT round(CAST(sum(pos * (neg_cum - neg * 0.5)) AS DOUBLE)
     "round_log_table": _with(PTS, LAB, _loop_k(), f"""r AS (SELECT id, row_number() OVER (ORDER BY {_md5('id', 42)}, id) AS rn
                                            FROM pts WHERE id NOT IN (SELECT id FROM lab))""") + LOOP_BATCHES,
 
+    "round_log": _with(PTS, LAB, _loop_k()) + """
+SELECT CAST(i AS INTEGER) AS iteration, 10 + k * (i - 1) AS n_labeled, n - k * (i - 1) AS n_unlabeled,
+       least(k, n - k * (i - 1)) AS batch_rows, true AS timed
+FROM range(1, 100) x(i), kk WHERE k * (i - 1) < n""",
+
+    # features that tell the classes apart: every tree votes the label
+    "csv_supervised_job": f"""
+WITH o AS (SELECT o_orderstatus = 'F' AS positive, {_bucket('o_orderkey', 1, 10000)} < 7000 AS train
+           FROM orders WHERE NOT starts_with(o_orderpriority, '5'))
+SELECT from_store, count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_test,
+       100::INTEGER AS num_trees, 1.0::DOUBLE AS accuracy,
+       count(*) FILTER (NOT train AND NOT positive) AS tn, 0::BIGINT AS fp, 0::BIGINT AS fn,
+       count(*) FILTER (NOT train AND positive) AS tp, 1.0::DOUBLE AS auc
+FROM o, (VALUES (false), (true)) s(from_store) GROUP BY from_store""",
+
     "loop_uncertain_fixed_committee": _with(PTS, LAB, UNL, _loop_k(), _votes("unl"), _stats(),
                                             """r AS (SELECT id, row_number() OVER (ORDER BY round(abs(0.5 - p0), 9), id) AS rn
                                                      FROM st)""") + LOOP_BATCHES,

@@ -20,6 +20,7 @@ from orchard.operators import committee, evaluate, joins, lal, pool, prep, ranki
 from orchard.plans import jobs, loop
 from orchard.session import cut_lineage, scratch_path
 from orchard.sources import tables, text
+from orchard.sources.models import ModelStore
 
 # Fixed parameters of the registered queries.
 START_K = 10           # size of the first-k start set
@@ -239,6 +240,25 @@ def q_round_log_table(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_round_log(spark, sf):
+    """The committed log of the random loop, read back from its folder."""
+    pts, path = _points(spark, sf), _scratch(spark, "round-log-state")
+    loop.run_loop(spark, pts, _start(pts), START_K, loop.random_strategy(RANDOM_SEED), _loop_k(pts), state_path=path)
+    batches = loop.read_state(spark, path).where("labeled_at > 0").groupBy("labeled_at").agg(
+        F.count(F.lit(1)).alias("batch_rows"))
+    log = loop.read_log(spark, path)
+    return log.join(batches, log["iteration"] == batches["labeled_at"]).select(
+        "iteration", "n_labeled", "n_unlabeled", "batch_rows", (F.col("seconds") >= 0).alias("timed"))
+
+
+def q_csv_supervised_job(spark, sf):
+    """The supervised CSV job twice: fitted and stored, then found and reloaded."""
+    store = ModelStore(spark, _scratch(spark, "csv-models"))
+    path = jobs.orders_csv(spark, tables.read_table(spark, sf, "orders"))
+    first, second = [jobs.csv_supervised_job(spark, path, "key", "status", "F", store) for _ in range(2)]
+    return first.unionByName(second)
+
+
 def q_csv_file_round_trip(spark, sf):
     orders = tables.read_table(spark, sf, "orders")
     prio = F.when(F.col("o_orderpriority").startswith("5"), F.lit("?")).otherwise(
@@ -268,11 +288,7 @@ def q_ints_file(spark, sf):
         .otherwise(F.col("o_custkey").cast("string"))
     path = _scratch(spark, "ints-text")
     orders.select(line).write.text(path)
-    # positions per distinct value: repeated values never meet in one sort
-    counts = text.read_ints(spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    ends = ranking.running_sums(counts, ["value"], ["n"])
-    first, last = (F.col("n_cum") - F.col("n")).cast("bigint"), F.col("n_cum").cast("bigint") - 1
-    return ends.select(F.explode(F.sequence(first, last)).alias("position"), "value")
+    return ranking.value_positions(text.read_ints(spark, path), "value")
 
 
 def _gain_file(spark, sf):
@@ -708,6 +724,8 @@ QUERIES: dict[str, Query] = {
     "train_test_files": q_train_test_files,
     "vectors_file": q_vectors_file,
     "round_log_table": q_round_log_table,
+    "round_log": q_round_log,
+    "csv_supervised_job": q_csv_supervised_job,
     "csv_file_round_trip": q_csv_file_round_trip,
     "triples_file": q_triples_file,
     "ints_file": q_ints_file,

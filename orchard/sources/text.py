@@ -104,10 +104,13 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", schema=TRIPLE_TEXT_SCHEMA)
 
 
-def read_ints(spark: SparkSession, path: str) -> DataFrame:
+def read_ints(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
     """One integer (BIGINT) per line, blank lines skipped; a line that is no
-    integer is an error, not a missing value (A8)."""
+    integer is an error, not a missing value (A8).  A file that splits into
+    fewer than ``min_partitions`` tasks is dealt out over that many."""
     lines = spark.read.text(path).where(F.trim("value") != "")
+    if min_partitions and lines.select(F.spark_partition_id().alias("p")).distinct().count() < min_partitions:
+        lines = lines.repartition(min_partitions)
     number = F.trim("value").try_cast("bigint")
     bad = F.raise_error(F.concat(F.lit("not an integer: "), F.col("value"))).cast("bigint")
     return lines.select(F.coalesce(number, bad).alias("value"))
