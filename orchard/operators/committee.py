@@ -25,9 +25,11 @@ FOREST_MAX_DEPTH = 4
 FOREST_MAX_BINS = 32
 FOREST_IMPURITY = "gini"
 FOREST_SUBSET = "auto"
-# Training rows are hashed into this many partitions, whatever the session's
-# settings: bootstrap samples depend on the partitions and their order.
+# Training rows are dealt into a partition per FIT_ROWS of them, FIT_PARTITIONS
+# at least, whatever the session's settings: bootstrap samples depend on the
+# partitions and their order.
 FIT_PARTITIONS = 16
+FIT_ROWS = 250_000
 # Label metadata: two nominal classes, so a one-class labelled set still
 # trains a two-class forest.
 BINARY_LABEL_META = {"ml_attr": {"type": "nominal", "vals": ["0", "1"],
@@ -122,16 +124,23 @@ def with_binary_label(points: DataFrame) -> DataFrame:
                          F.col("label").alias("label", metadata=BINARY_LABEL_META))
 
 
-def fit_forest(train: DataFrame, num_trees: int = 10, seed: int = 1,
-               max_depth: int = FOREST_MAX_DEPTH,
-               partitions: int = FIT_PARTITIONS) -> RandomForestClassificationModel:
-    """Fit a forest classifier on a labelled point table.
+def fit_order(train: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """Training rows in the partitions and order that a forest is fitted on.
 
-    Bootstrap samples depend on the partitions and their order, so rows are
-    hashed by id into a fixed number of partitions and sorted inside them:
-    the same forest whatever the session's shuffle settings.
+    Bootstrap samples depend on both, so rows are hashed by ``keys`` (which tell
+    them apart) into a number of partitions that follows from their count alone
+    and are sorted inside them: the same forest for any layout of the input and
+    any shuffle setting, and more tasks for more rows.  ``rows``: the count,
+    where the caller has it.
     """
-    data = with_binary_label(train.repartition(partitions, "id").sortWithinPartitions("id"))
+    n = train.count() if rows is None else rows
+    return train.repartition(max(FIT_PARTITIONS, -(-n // FIT_ROWS)), *keys).sortWithinPartitions(*keys)
+
+
+def fit_forest(train: DataFrame, num_trees: int = 10, seed: int = 1,
+               max_depth: int = FOREST_MAX_DEPTH, rows: int | None = None) -> RandomForestClassificationModel:
+    """Fit a forest classifier on a labelled point table in ``fit_order``."""
+    data = with_binary_label(fit_order(train, "id", rows=rows))
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=num_trees,
                                 maxDepth=max_depth, maxBins=FOREST_MAX_BINS,
                                 impurity=FOREST_IMPURITY, featureSubsetStrategy=FOREST_SUBSET,

@@ -27,7 +27,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orchard.operators.committee import FIT_PARTITIONS, stats_of
+from orchard.operators.committee import fit_order, stats_of
 from orchard.operators.select import select_by_prediction
 from orchard.session import BROADCAST_BYTES, cut_lineage
 from orchard.sources.models import ModelStore, data_digest, load_or_train
@@ -36,6 +36,8 @@ STATE_COLS = ("f1", "f2", "f3", "f6", "f8")
 # Column positions of the five state features in the
 # regressor's text training file (0-based), the target being the last column.
 TRAIN_FILE_COLUMNS = (0, 1, 2, 5, 7)
+#: Equal training rows written out by one task.
+COPY_RUN = 10_000
 # Fixed values of the linear stand-in gain used where SQL must check the pick.
 LINEAR_GAIN = {"f1": 0.5, "f2": 2.0, "f3": -0.25, "f6": 1.0, "f8": 0.001}
 
@@ -90,9 +92,23 @@ def select_lal(state: DataFrame, model: RandomForestRegressionModel, k: int = 1)
     return select_by_prediction(predict_gain(state, model), k)
 
 
+def numbered_copies(rows: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` and ``copy``, the number of a row among equal ones (from 0).
+
+    Equal rows are counted with map-side combine and written out again in runs
+    of COPY_RUN, each from its own task: no group of equal rows is collected.
+    """
+    runs = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).select("*", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPY_RUN))).alias("_run"))
+    first = F.col("_run") * COPY_RUN
+    last = F.least(F.col("_n"), first + COPY_RUN) - 1
+    return runs.repartition(*cols, "_run").select(*cols, F.explode(F.sequence(first, last)).alias("copy"))
+
+
 def _fitted(train: DataFrame, num_trees: int, seed: int, max_depth: int) -> RandomForestRegressionModel:
-    data = _assembled_with_target(train).repartition(
-        FIT_PARTITIONS, *STATE_COLS, "gain").sortWithinPartitions(*STATE_COLS, "gain")
+    keys = (*STATE_COLS, "gain")
+    rows = numbered_copies(train.select(*[F.col(c).cast("double").alias(c) for c in keys]), *keys)
+    data = VectorAssembler(inputCols=list(STATE_COLS), outputCol="sv").transform(fit_order(rows, *keys, "copy"))
     return RandomForestRegressor(featuresCol="sv", labelCol="gain", numTrees=num_trees,
                                  maxDepth=max_depth, seed=seed).fit(data)
 
@@ -119,12 +135,6 @@ def stored_gain_regressor(train: DataFrame, store: ModelStore, num_trees: int =
                                lambda: _fitted(train, num_trees, seed, max_depth))
 
 
-def _assembled_with_target(train: DataFrame) -> DataFrame:
-    cast = train.select(*[F.col(c).cast("double").alias(c) for c in STATE_COLS],
-                        F.col("gain").cast("double").alias("gain"))
-    return VectorAssembler(inputCols=list(STATE_COLS), outputCol="sv").transform(cast)
-
-
 def gain_training_standin(votes_on_labeled: DataFrame, labeled_points: DataFrame) -> DataFrame:
     """STAND-IN regressor training table of the real schema.
 

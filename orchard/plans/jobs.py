@@ -78,7 +78,7 @@ def regression_job(orders: DataFrame) -> DataFrame:
         prep.hash_split(feats.na.fill(0.0, cols), "o_orderkey", [0.8, 0.2], SEED))
     train, test = data.where("split = 0"), data.where("split = 1")
     model = RandomForestRegressor(featuresCol="fv", labelCol="label", numTrees=REGRESSION_TREES,
-                                  maxDepth=5, seed=SEED).fit(train)
+                                  maxDepth=5, seed=SEED).fit(committee.fit_order(train, "o_orderkey"))
     pred = model.transform(test)
     return evaluate.mse(pred).select("mse", F.lit(REGRESSION_TREES).alias("num_trees"))
 
@@ -121,8 +121,7 @@ def csv_supervised_job(spark: SparkSession, path: str, id_col: str, label_col: s
     features = [c for c in rows.columns if c not in by_role.values()]
     data = prep.hash_split(rows, "_id", CSV_SPLIT, SEED)
     train, test = data.where("split = 0").drop("split"), data.where("split = 1").drop("split")
-    # fixed partitions in a fixed order: the same bootstrap samples on any session
-    fit_on = train.repartition(committee.FIT_PARTITIONS, "_id").sortWithinPartitions("_id")
+    fit_on = committee.fit_order(train, "_id")
     key = data_digest(train, header=raw.columns, positive=positive, trees=num_trees)
     model, found = store.load_or_train(
         key, PipelineModel.load, lambda: csv_pipeline(features, "_label", positive, num_trees).fit(fit_on))
@@ -157,7 +156,8 @@ def quality_job(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("label", F.col("quality").cast("double"))
     train, test = data.where("split = 0"), data.where("split = 1")
     model = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=NUM_TREES,
-                                   maxDepth=committee.FOREST_MAX_DEPTH, seed=SEED).fit(train)
+                                   maxDepth=committee.FOREST_MAX_DEPTH, seed=SEED).fit(
+        committee.fit_order(train, "doc_id"))
     pred = model.transform(test)
     conf = evaluate.confusion(pred)
     return one_row(documents.sparkSession, accuracy=evaluate.accuracy(pred).scalar(),
@@ -177,7 +177,8 @@ def multiclass_job(documents: DataFrame) -> DataFrame:
     data = indexer.fit(data).transform(data)
     train, test = data.where("split = 0"), data.where("split = 1")
     model = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=NUM_TREES,
-                                   maxDepth=committee.FOREST_MAX_DEPTH, seed=SEED).fit(train)
+                                   maxDepth=committee.FOREST_MAX_DEPTH, seed=SEED).fit(
+        committee.fit_order(train, "doc_id"))
     acc = evaluate.accuracy(model.transform(test)).scalar()
     imp = evaluate.feature_importance(documents.sparkSession, model.featureImportances)
     top = imp.orderBy(F.desc("importance"), "feature").limit(1).select("feature").scalar()
@@ -197,7 +198,7 @@ def label_encoded_job(part: DataFrame) -> DataFrame:
     train, test = data.where("split = 0"), data.where("split = 1")
     model = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=NUM_TREES,
                                    maxDepth=committee.FOREST_MAX_DEPTH, maxBins=64,
-                                   seed=SEED).fit(train)
+                                   seed=SEED).fit(committee.fit_order(train, "p_partkey"))
     acc = evaluate.accuracy(model.transform(test)).scalar()
     imp = evaluate.feature_importance(part.sparkSession, model.featureImportances)
     top = imp.orderBy(F.desc("importance"), "feature").limit(1).select("feature").scalar()
@@ -242,6 +243,47 @@ def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
                               F.round("accuracy", 6).alias("accuracy"))
 
 
+#: Which rows give the means and deviations that the test file is scaled by.
+SCALE_TEST_BY = ("train", "test")
+
+
+def dataset_points(spark: SparkSession, train_path: str, test_path: str, sep: str = " ",
+                   recode: str | None = "sign", scale_test_by: str = "train") -> tuple[DataFrame, DataFrame]:
+    """A train and a test text file as scaled points: (pool, test).
+
+    Lines are parsed in file order (ids from 0 in each file), labels recoded,
+    features scaled to mean 0 and sample deviation 1.  The training file is
+    scaled by itself, the test file by the training statistics, or by its own
+    with ``scale_test_by="test"``.  Both tables are written once to the shared
+    checkpoint folder, as every round reads them.
+    """
+    if scale_test_by not in SCALE_TEST_BY:
+        raise ValueError(f"unknown scale_test_by {scale_test_by!r}")
+    train, test = text.read_train_test(spark, train_path, test_path, sep, recode)
+    scaled = prep.standard_scale(train, train), prep.standard_scale(train if scale_test_by == "train" else test, test)
+    return cut_lineage(scaled[0]), cut_lineage(scaled[1])
+
+
+def dataset_job(spark: SparkSession, train_path: str, test_path: str, strategy: loop.Strategy, n_start: int,
+                rounds: int, *, seed: int = SEED, num_trees: int = NUM_TREES, fit_committee: bool = True,
+                sep: str = " ", recode: str | None = "sign", scale_test_by: str = "train",
+                state_path: str | None = None) -> tuple[loop.LoopResult, DataFrame]:
+    """A whole run from two text files: text -> recode -> scale -> one labelled
+    row per class -> rounds until the pool is empty.
+
+    Returns the run and the scaled test table.  With ``fit_committee`` a forest
+    is fitted in every round and the history holds its test accuracy;
+    ``strategy`` may bring a fixed committee instead.  The batch size empties
+    the pool in ``rounds`` rounds.  A killed run goes on in ``state_path``.
+    """
+    points, test = dataset_points(spark, train_path, test_path, sep, recode, scale_test_by)
+    start = pool.start_one_per_class(points, n_start, seed)
+    k = max(1, -(-(points.count() - n_start) // rounds))
+    res = loop.run_loop(spark, points, start, n_start, strategy, k, test=test if fit_committee else None,
+                        fit_committee=fit_committee, num_trees=num_trees, seed=seed, state_path=state_path)
+    return res, test
+
+
 def separable_points(orders: DataFrame) -> DataFrame:
     """Orders as an exactly separable task: one 0/1 feature equal to the label
     (status F), so the votes of every tree are known."""

@@ -182,7 +182,7 @@ def run_loop(spark: SparkSession, points: DataFrame, start: DataFrame, start_bou
         n_before = n_labeled
         model, acc = None, None
         if fit_committee and n_labeled > 0:
-            model = committee.fit_forest(labeled_points, num_trees=num_trees, seed=seed)
+            model = committee.fit_forest(labeled_points, num_trees=num_trees, seed=seed, rows=n_labeled)
             if test is not None:
                 acc = forest_accuracy(model, test)
         done = n_unlabeled == 0 or stuck or (max_rounds is not None

@@ -416,6 +416,37 @@ SELECT from_store, count(*) FILTER (train) AS n_train, count(*) FILTER (NOT trai
        count(*) FILTER (NOT train AND positive) AS tp, 1.0::DOUBLE AS auc
 FROM o, (VALUES (false), (true)) s(from_store) GROUP BY from_store""",
 
+    # means and deviations of the training file alone; ids count the lines of a file
+    "dataset_job": _with(
+        PTS, f"""parts AS (SELECT *, {_bucket('id', 7, 5)} = 0 AS test FROM pts)""",
+        "files AS (SELECT row_number() OVER (PARTITION BY test ORDER BY id) - 1 AS id, test, features, label FROM parts)",
+        """cells AS (SELECT id, test, label, generate_subscripts(features, 1) - 1 AS j, unnest(features) AS value
+                     FROM files)""",
+        "s AS (SELECT j, avg(value) AS mu, stddev_samp(value) AS sd FROM cells WHERE NOT test GROUP BY j)",
+        """votes AS (SELECT id, test, label, j % 10 AS tree,
+                            sum(CASE WHEN sd = 0 THEN 0.0 ELSE (value - mu) / sd END) > 0 AS vote
+                     FROM cells JOIN s USING (j) GROUP BY id, test, label, j % 10)""",
+        "st AS (SELECT id, test, label, count(*) FILTER (vote) / 10.0::DOUBLE AS mean_vote FROM votes GROUP BY ALL)",
+        f"k AS (SELECT id, label, {_md5('id', 3)} AS key FROM files WHERE NOT test)",
+        "pc AS (SELECT arg_min(id, key) AS id, min(key) AS key FROM k GROUP BY label)",
+        """lab AS (SELECT id FROM (SELECT id, 0 AS grp, key FROM pc
+                                   UNION ALL SELECT id, 1, key FROM k WHERE id NOT IN (SELECT id FROM pc))
+                   ORDER BY grp, key, id LIMIT 10)""",
+        """r AS (SELECT id, row_number() OVER (ORDER BY round(abs(mean_vote - 0.5), 9), id) AS rn
+                 FROM st WHERE NOT test AND id NOT IN (SELECT id FROM lab))""",
+        "kk AS (SELECT CAST(ceil(count(*) / 5.0) AS BIGINT) AS k FROM r)") + """
+SELECT CAST((rn - 1) // k + 1 AS INTEGER) AS iteration, CAST((rn - 1) % k + 1 AS INTEGER) AS rank, id,
+       (SELECT round(avg(CASE WHEN (mean_vote > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) FROM st WHERE test)
+       AS test_accuracy
+FROM r, kk""",
+
+    "dataset_history": _with(PTS, f"""kk AS (
+  SELECT CAST(count(*) - 10 AS BIGINT) AS n, CAST(ceil((count(*) - 10) / 3.0) AS BIGINT) AS k
+  FROM pts WHERE {_bucket('id', 7, 5)} <> 0)""") + """
+SELECT CAST(i AS INTEGER) AS iteration, least(10 + k * (i - 1), n + 10) AS n_labeled,
+       greatest(n - k * (i - 1), 0) AS n_unlabeled, true AS measured, true AS timed
+FROM range(1, 100) x(i), kk WHERE k * (i - 2) < n""",
+
     "loop_uncertain_fixed_committee": _with(PTS, LAB, UNL, _loop_k(), _votes("unl"), _stats(),
                                             """r AS (SELECT id, row_number() OVER (ORDER BY round(abs(0.5 - p0), 9), id) AS rn
                                                      FROM st)""") + LOOP_BATCHES,

@@ -259,6 +259,34 @@ def q_csv_supervised_job(spark, sf):
     return first.unionByName(second)
 
 
+def _sign_files(spark, sf):
+    """A train and a test file of the points, labels as -1 and 1."""
+    sign = F.when(F.col("label") == 1, F.lit(1)).otherwise(F.lit(-1)).alias("label")
+    paths = [_scratch(spark, name) for name in ("dataset-train", "dataset-test")]
+    for part, path in zip(tables.train_test(_points(spark, sf)), paths):
+        text.write_points_text(part.orderBy("id").select("id", "features", sign), path, sep=" ")
+    return paths
+
+
+def q_dataset_job(spark, sf):
+    """Two text files to the last batch: recode, scaling, a start of every class,
+    uncertainty rounds of a fixed committee; its accuracy on the scaled test file."""
+    strat = loop.uncertainty_strategy(members=lambda u: committee.stump_vote_arrays(u, STUMPS))
+    res, test = jobs.dataset_job(spark, *_sign_files(spark, sf), strat, START_K, ROUNDS, seed=START_SEED,
+                                 fit_committee=False)
+    pred = committee.predictions(committee.stump_vote_arrays(test, STUMPS), keep=("label",))
+    return res.batches.select("iteration", "rank", "id", _r(evaluate.accuracy(pred).scalar()).alias("test_accuracy"))
+
+
+def q_dataset_history(spark, sf):
+    """The same run with a forest of its own in every round: sizes, and whether
+    the round has an accuracy between 0 and 1 and a duration."""
+    res, _ = jobs.dataset_job(spark, *_sign_files(spark, sf), loop.random_strategy(RANDOM_SEED), START_K,
+                              jobs.LOOP_ROUNDS, seed=START_SEED, scale_test_by="test")
+    return res.history.select("iteration", "n_labeled", "n_unlabeled", F.col("accuracy").between(0, 1).alias("measured"),
+                              (F.col("seconds") >= 0).alias("timed"))
+
+
 def q_csv_file_round_trip(spark, sf):
     orders = tables.read_table(spark, sf, "orders")
     prio = F.when(F.col("o_orderpriority").startswith("5"), F.lit("?")).otherwise(
@@ -726,6 +754,8 @@ QUERIES: dict[str, Query] = {
     "round_log_table": q_round_log_table,
     "round_log": q_round_log,
     "csv_supervised_job": q_csv_supervised_job,
+    "dataset_job": q_dataset_job,
+    "dataset_history": q_dataset_history,
     "csv_file_round_trip": q_csv_file_round_trip,
     "triples_file": q_triples_file,
     "ints_file": q_ints_file,
