@@ -14,6 +14,13 @@ any length is thus spread over many groups of bounded size: turns get their
 number in the conversation from a range-partitioned order with an offset per
 range and conversation, never from one group per conversation.
 
+Only the rendering writes marks: in texts and speaker names ``<|im_`` becomes
+``<| im_``, and line breaks of speaker names become spaces, so no text can open
+a turn of another speaker.  Speakers are told apart by their names as given.
+
+Chunks meet the participants by conversation and block of chunks, so a
+conversation that holds a third of all turns is spread over many keys.
+
 Defined cases: null texts are empty; null speakers are named ``unknown``;
 turns are ordered by turn, speaker and text (nulls first), repeated rows are
 repeated turns; rows with a null conversation id form one conversation;
@@ -32,6 +39,10 @@ CONTEXT_ROLES = ("system",)
 UNKNOWN = "unknown"
 #: Fixed marks of the rendered format.
 OPEN, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
+#: What the marks begin with, and what stands for it in texts and names.
+MARK, BROKEN = "<|im_", "<| im_"
+#: Chunks of one conversation that meet its participants under one key.
+BLOCK_CHUNKS = 256
 
 
 def numbered_turns(conversations: DataFrame) -> DataFrame:
@@ -58,20 +69,30 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
 def rotations(conversations: DataFrame, chunk_turns: int = 32) -> DataFrame:
     """conv_id, perspective, chunk, n_turns, char_start, text, mask."""
     turns = cut_lineage(numbered_turns(conversations))
+    block = F.floor(F.col("chunk") / BLOCK_CHUNKS)
     people = turns.where(~F.col("speaker").isin(*CONTEXT_ROLES)).select(
         F.col("conv_id").alias("_c"), F.col("speaker").alias("perspective")).distinct()
+    blocks = turns.groupBy("conv_id").agg(F.floor(F.max("number") / chunk_turns).alias("chunk")).select(
+        "conv_id", F.explode(F.sequence(F.lit(0).cast("bigint"), block)).alias("_b"))
+    people = blocks.join(people, blocks["conv_id"].eqNullSafe(people["_c"])).select("_c", "_b", "perspective")
     chunked = turns.groupBy("conv_id", F.floor(F.col("number") / chunk_turns).alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("number", "speaker", "text"))).alias("turns"))
-    views = chunked.join(people, chunked["conv_id"].eqNullSafe(people["_c"])).drop("_c")
+    views = chunked.join(people, chunked["conv_id"].eqNullSafe(people["_c"]) & (block == people["_b"])).drop("_c", "_b")
     me = F.col("perspective")
 
+    def plain(c):
+        return F.replace(c, F.lit(MARK), F.lit(BROKEN))
+
+    def name(t):
+        return plain(F.translate(t["speaker"], "\r\n", "  "))
+
     def head(t):
         return (F.when(t["speaker"] == me, F.lit(OPEN + "assistant"))
-                .when(t["speaker"].isin(*CONTEXT_ROLES), F.concat(F.lit(OPEN), t["speaker"]))
-                .otherwise(F.concat(F.lit(OPEN + "user name="), t["speaker"])))
+                .when(t["speaker"].isin(*CONTEXT_ROLES), F.concat(F.lit(OPEN), name(t)))
+                .otherwise(F.concat(F.lit(OPEN + "user name="), name(t))))
 
     parts = views.withColumn("parts", F.transform("turns", lambda t: F.struct(
-        F.concat(head(t), F.lit(MIDDLE)).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"),
+        F.concat(head(t), F.lit(MIDDLE)).alias("head"), F.concat(plain(t["text"]), F.lit(END)).alias("body"),
         (t["speaker"] == me).alias("own"))))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("m"))
 

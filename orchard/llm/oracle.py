@@ -179,8 +179,9 @@ p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 's
 r AS (
   SELECT conv_id, perspective, number, number // 32 AS chunk, speaker = perspective AS own,
     '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker
-                           ELSE 'user name=' || speaker END || chr(10) AS head,
-    text || '<|im_end|>' || chr(10) AS body
+                           ELSE 'user name=' || replace(translate(speaker, chr(13) || chr(10), '  '), '<|im_', '<| im_') END
+      || chr(10) AS head,
+    replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS body
   FROM t JOIN p USING (conv_id)),
 o AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER (

@@ -6,7 +6,8 @@ lower-cased text with runs of white space as one space.  Over all labelled
 rows outside the held-out part, the number of texts of each class that have a
 feature gives its log-count ratio r, taken as 0 where the classes' shares
 differ by less than ``LEAST_Z`` standard errors: among millions of ratios
-smaller differences are chance.  Only the other features leave the cluster.  A text's features are r where present.
+smaller differences are chance.  That bound is no tuned value: it follows from
+the number of ratios and the error allowed over all of them (``FAMILY_ERROR``).  Only the other features leave the cluster.  A text's features are r where present.
 A logistic regression on these scaled features gives the score.
 
 The ratios cover all labelled training rows; the regression is fitted on a
@@ -24,6 +25,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,10 @@ ORDERS = (3, 4, 5, 6)
 BITS = 22
 SIZE = 1 << BITS
 SMOOTHING = 1.0
-LEAST_Z = 6.0
+#: Chance that any of the SIZE ratios counts although the classes do not differ;
+#: the least difference in standard errors follows from it (5.97).
+FAMILY_ERROR = 0.01
+LEAST_Z = NormalDist().inv_cdf(1 - FAMILY_ERROR / (2 * SIZE))
 RIDGE = 1e-4
 STEPS = 200
 THRESHOLD = 0.3
