@@ -35,8 +35,8 @@ DEFAULT_TILE_ROWS = 1024
 INNER_BLOCK = 4096
 # An inner index that makes more products than this is multiplied in blocks.
 HEAVY_PAIRS = 1 << 16
-# Bytes of a row that holds one id.
-ID_BYTES = 16
+# Bytes of a row that holds one id, of a matrix entry.
+ID_BYTES, ENTRY_BYTES = 16, 24
 
 
 # ------------------------------------------------------ conversions -------
@@ -207,8 +207,19 @@ def multiply_triples(a: DataFrame, b: DataFrame, tile_rows: int = DEFAULT_TILE_R
     summed by (i, j) with map-side combine: no entry is copied.  Heavy ones are
     multiplied in blocks, dense tiles being what they make; the partial sums of
     both meet in one aggregation.  Repeated entries add up first.
+
+    Where no index has more entries in B than blocks would make copies of an
+    entry of A, and B is small enough to broadcast, A is not moved: its entries
+    are multiplied where they are read and leave combined by (i, j), repeated
+    ones adding up there.
     """
-    a, b = cut_lineage(summed(a)), cut_lineage(summed(b))
+    b = cut_lineage(summed(b))
+    n_b, widest = b.groupBy("i").agg(F.count(F.lit(1)).alias("y")).agg(F.sum("y"), F.max("y")).first()
+    if (n_b or 0) * ENTRY_BYTES <= BROADCAST_BYTES:
+        columns = b.select("j").distinct().count()
+        if (widest or 0) <= _tiles(columns, tile_rows, parallelism(b.sparkSession)):
+            return _join_product(a, F.broadcast(b))
+    a = cut_lineage(summed(a))
     of_a = a.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("x"))
     of_b = b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("y"))
     heavy = cut_lineage(of_a.join(of_b, "k").where(F.col("x") * F.col("y") > heavy_pairs).select("k"))
