@@ -8,6 +8,10 @@ plus both radii hold no such pair: they are skipped, first by pivot (at most
 pivots^2 pairs), then tile by tile.  The tile pairs that remain are multiplied,
 and only their hits leave the task, so the output grows with the hits.
 
+Tiles travel in groups of neighbours, a row once for each group it meets: the
+number of groups follows from the cores, not from the rows, until a group would
+hold more than GROUP_BYTES.  Inside a task the tiles are still skipped one by one.
+
 How much can be skipped is a matter of the data: groups of like vectors skip
 most tiles, vectors without any structure none.  ``CosineJoin.report`` tells.
 """
@@ -15,16 +19,20 @@ most tiles, vectors without any structure none.  ``CosineJoin.report`` tells.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orchard.operators.pool import bounded_side
-from orchard.operators.similarity import DEFAULT_TILE_ROWS, TRIPLE_SCHEMA, _empty_triples, _tile_dot, unit_rows
-from orchard.session import cut_lineage
+from orchard.operators.similarity import DEFAULT_TILE_ROWS, TRIPLE_SCHEMA, unit_rows
+from orchard.session import cut_lineage, parallelism
 
 # Vectors the pivots are fitted on, pivots, rounds of the fit.
 SAMPLE, PIVOTS, FIT_ROUNDS = 4096, 64, 5
+# Bytes of the vectors of a group of tiles, tasks a core, hits handed on at once.
+GROUP_BYTES, TASKS, HITS = 64 << 20, 4, 1 << 20
 # What rounding may take from a distance or a cosine.
 SLACK = 1e-9
 
@@ -85,6 +93,9 @@ class CosineJoin:
             deal.append((p, first, chunks))
             first += chunks
         self.n_tiles = first
+        # enough pairs of groups for every core; of one size limit however many rows
+        by_bytes = -(-8 * sum(counts.values()) * centres.shape[-1] // GROUP_BYTES)
+        self.n_groups = max(by_bytes, math.ceil(math.sqrt(2 * TASKS * parallelism(spark))))
         dealt = F.broadcast(spark.createDataFrame(deal, "pivot int, first long, chunks long"))
         self.members = cut_lineage(keyed.join(dealt, "pivot").select("id", "features", "pivot", (
             F.col("first") + F.pmod(F.xxhash64("id"), F.col("chunks"))).alias("tile")))
@@ -129,27 +140,72 @@ class CosineJoin:
             F.lit(self.n_tiles).cast("long").alias("tiles"), F.lit(total).cast("long").alias("tile_pairs"),
             "compared", (F.lit(total) - F.col("compared")).alias("skipped"))
 
+    def dealt(self) -> DataFrame:
+        """The members as they travel: a copy of a row for each pair of groups
+        of tiles (ga, gb), ga <= gb, that its own is in and that may hold a hit."""
+        per = max(1, -(-self.n_tiles // self.n_groups))
+        met = self.pairs.select(F.expr(f"ta div {per}").alias("ga"), F.expr(f"tb div {per}").alias("gb")).distinct()
+        both = met.select(F.col("ga").alias("own"), "ga", "gb").unionByName(
+            met.where("ga < gb").select(F.col("gb").alias("own"), "ga", "gb"))
+        return self.members.select("id", "features", "tile", F.expr(f"tile div {per}").alias("own")).join(
+            bounded_side(both, self.n_groups * self.n_groups), "own")
+
     def hits(self) -> DataFrame:
         """triples(i, j, value), i < j, value = cosine of at least the threshold."""
-        least = self.threshold - SLACK
-        pairs = bounded_side(self.pairs, self.n_tiles * (self.n_tiles + 1) // 2)
-        left = self.members.select("id", F.col("features").alias("v"), F.col("tile").alias("ta")).join(pairs, "ta")
-        right = self.members.select(F.col("id").alias("rid"), F.col("features").alias("rv"),
-                                    F.col("tile").alias("tb")).join(pairs, "tb")
-
-        def fn(a, b):
-            import numpy as np
-            import pandas as pd
-            if len(a) == 0 or len(b) == 0:
-                return _empty_triples()
-            ii, jj, vv = _tile_dot(a, b)
-            keep = vv >= least
-            if int(a["ta"].iloc[0]) == int(a["tb"].iloc[0]):
-                keep &= ii < jj
-            ii, jj, vv = ii[keep], jj[keep], vv[keep]
-            return pd.DataFrame({"i": np.minimum(ii, jj), "j": np.maximum(ii, jj), "value": vv})
-
-        return left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")).applyInPandas(fn, TRIPLE_SCHEMA)
+        return self.dealt().groupBy("ga", "gb").applyInPandas(_group_hits(self.threshold), TRIPLE_SCHEMA)
+
+
+def _group_hits(threshold: float):
+    """Function of a pair of groups of tiles: the hits of the tile pairs, a tile
+    of the one with a tile of the other, that are near enough to hold any."""
+
+    def fn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        ids, tile, own, x, first, last = [], [], [], [], None, None
+        for f in frames:
+            if len(f):
+                first, last = int(f["ga"].iloc[0]), int(f["gb"].iloc[0])
+                ids.append(f["id"].to_numpy(dtype="int64"))
+                tile.append(f["tile"].to_numpy(dtype="int64"))
+                own.append(f["own"].to_numpy(dtype="int64"))
+                x.append(np.stack(f["features"].to_numpy()).astype("float64", copy=False))
+        if not ids:
+            return
+        ids, tile, own, x = (np.concatenate(c) for c in (ids, tile, own, x))
+
+        def balls(group):
+            """tile, ids, vectors, centre and radius of every tile of a group."""
+            at = np.flatnonzero(own == group)
+            at = at[np.argsort(tile[at], kind="stable")]
+            out = []
+            for rows in np.split(at, np.flatnonzero(np.diff(tile[at])) + 1):
+                if len(rows):
+                    centre = x[rows].mean(0)
+                    out.append((tile[rows[0]], ids[rows], x[rows], centre,
+                                np.sqrt(((x[rows] - centre) ** 2).sum(1).max())))
+            return out
+
+        left = balls(first)
+        right = left if first == last else balls(last)
+        reach, found, n = (2 - 2 * threshold) ** 0.5 + SLACK, [], 0
+        for ta, i, a, ca, ra in left:
+            for tb, j, b, cb, rb in right:
+                if ta > tb or np.sqrt(((ca - cb) ** 2).sum()) > ra + rb + reach:
+                    continue
+                v = a @ b.T
+                keep = v >= threshold - SLACK
+                if ta == tb:
+                    keep &= i[:, None] < j[None, :]
+                r, c = np.nonzero(keep)
+                found.append(pd.DataFrame({"i": np.minimum(i[r], j[c]), "j": np.maximum(i[r], j[c]), "value": v[r, c]}))
+                n += len(r)
+                if n >= HITS:
+                    yield pd.concat(found)
+                    found, n = [], 0
+        if n:
+            yield pd.concat(found)
+
+    return fn
 
 
 def cosine_join(points: DataFrame, threshold: float, **parameters) -> DataFrame:

@@ -1,6 +1,9 @@
 """What is read once, and what does not grow faster than the input."""
 
-from orchard.operators import similarity
+import numpy as np
+import pytest
+
+from orchard.operators import joins, similarity
 
 TRIPLES = "i long, j long, value double"
 
@@ -15,3 +18,26 @@ def test_entries_are_not_moved_to_a_thin_matrix(spark):
     assert "BroadcastHashJoin" in plan and "CoGroup" not in plan and "Generate" not in plan
     values = {r["i"]: r["value"] for r in got.collect()}
     assert len(values) == 70_000 and (values[0], values[1], values[2]) == (6.0, 12.0, 2.0)
+
+
+@pytest.mark.parametrize("n", [120, 480])
+def test_copies_of_a_joined_row_do_not_grow_with_the_tiles(spark, n):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(n)]
+    join = joins.CosineJoin(spark.createDataFrame(rows, "id long, features array<double>"), 0.2, tile_rows=8, pivots=2)
+    assert join.n_tiles >= n // 8
+    assert join.dealt().count() <= n * 7
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.2 - 1e-9, 1)))}
+    got = [(r["i"], r["j"]) for r in join.hits().collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_hits_leave_a_task_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HITS", 5)
+    import pandas as pd
+    frame = pd.DataFrame({"own": [0] * 6, "ga": [0] * 6, "gb": [0] * 6, "id": range(6), "tile": [0, 0, 0, 1, 1, 1],
+                          "features": [np.array([1.0, 0.0])] * 6})
+    parts = list(joins._group_hits(0.9)(iter([frame[:2], frame[2:]])))
+    assert len(parts) == 2 and sum(map(len, parts)) == 15
