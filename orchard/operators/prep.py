@@ -83,16 +83,17 @@ def first_n(df: DataFrame, n: int, key: str = "id") -> DataFrame:
 def document_features(docs: DataFrame, keep: Sequence[str | F.Column] = ()) -> DataFrame:
     """Whole-text numeric features of a document, all built-in expressions;
     ``keep`` adds columns of the document."""
-    toks = tokens("text")
+    # the words are a column of their own, so that they are split once
+    toks = F.col("_words")
     n_tok = F.size(toks).cast("double")
-    return docs.select(
+    return docs.select("*", tokens("text").alias("_words")).select(
         "doc_id",
         F.log1p(F.col("n_chars").cast("double")).alias("log_chars"),
         n_tok.alias("n_tokens"),
         F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
-        (F.length(F.regexp_replace("text", "[^0-9]", "")) / F.greatest(F.length("text"), F.lit(1)))
+        (F.length(F.regexp_replace("text", "[^0-9]+", "")) / F.greatest(F.length("text"), F.lit(1)))
         .alias("digit_share"),
-        (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1)))
+        (F.length(F.regexp_replace("text", "[^A-Z]+", "")) / F.greatest(F.length("text"), F.lit(1)))
         .alias("upper_share"),
         (F.size(F.array_distinct(toks)) / F.greatest(n_tok, F.lit(1.0))).alias("distinct_share"), *keep)
 

@@ -148,10 +148,12 @@ def orders_csv(spark: SparkSession, orders: DataFrame) -> str:
 
 
 def quality_job(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels join documents: forest classifier of ``quality`` from text features."""
+    """labels join documents: forest classifier of ``quality`` from text features.
+
+    The texts are read once: the fit and every metric read the written features."""
     feats = prep.document_features(documents).join(labels.select("doc_id", "quality"), "doc_id")
     cols = list(prep.DOCUMENT_FEATURES)
-    data = prep.hash_split(feats, "doc_id", [0.8, 0.2], SEED)
+    data = cut_lineage(prep.hash_split(feats, "doc_id", [0.8, 0.2], SEED))
     data = VectorAssembler(inputCols=cols, outputCol="fv").transform(data) \
         .withColumn("label", F.col("quality").cast("double"))
     train, test = data.where("split = 0"), data.where("split = 1")

@@ -2,12 +2,36 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orchard.operators import joins, similarity
+from orchard.plans import jobs
 
 TRIPLES = "i long, j long, value double"
 
 
+def _documents(spark, n=160):
+    """Documents and labels whose texts count how often they are made."""
+    read = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        read.add(1)
+        return f"{'Ab1 ' * (i % 7)}{'und ' * (i % 2)}word{i} 12\n"
+
+    rows = spark.range(n).withColumn("text", F.udf(text, "string").asNondeterministic()("id"))
+    docs = rows.select(F.col("id").alias("doc_id"), "text", F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias(
+        "lang"), F.lit("s").alias("source"), F.lit(20).cast("long").alias("n_chars"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    return docs, labels, read
+
+
+def test_quality_job_reads_the_texts_once(spark):
+    docs, labels, read = _documents(spark)
+    row = jobs.quality_job(docs, labels).first()
+    assert row["tn"] + row["fp"] + row["fn"] + row["tp"] > 0
+    assert read.value == 160
+
+
 def test_entries_are_not_moved_to_a_thin_matrix(spark):
     # an index hit by 70,000 rows, and repeated entries
     a = spark.range(70_000).selectExpr("id AS i", "0L AS j", "1.0D AS value").unionByName(
