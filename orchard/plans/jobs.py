@@ -168,14 +168,15 @@ def quality_job(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def multiclass_job(documents: DataFrame) -> DataFrame:
     """A several-class forest job: the language of a document from its
-    whole-text features; accuracy and the most important feature."""
+    whole-text features, read from the texts once; accuracy and the most
+    important feature."""
     feats = prep.document_features(documents, keep=("lang", F.length("text").alias("_len")))
     feats = feats.withColumn("avg_token_len", F.col("_len") / F.greatest(F.col("n_tokens"), F.lit(1.0)))
     cols = list(prep.DOCUMENT_FEATURES) + ["avg_token_len"]
     indexer = StringIndexer(inputCol="lang", outputCol="label",
                             stringOrderType="alphabetAsc")
-    data = VectorAssembler(inputCols=cols, outputCol="fv").transform(
-        prep.hash_split(feats.where(F.col("lang").isNotNull()), "doc_id", [0.8, 0.2], SEED))
+    data = VectorAssembler(inputCols=cols, outputCol="fv").transform(cut_lineage(
+        prep.hash_split(feats.where(F.col("lang").isNotNull()), "doc_id", [0.8, 0.2], SEED)))
     data = indexer.fit(data).transform(data)
     train, test = data.where("split = 0"), data.where("split = 1")
     model = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=NUM_TREES,

@@ -32,6 +32,12 @@ def test_quality_job_reads_the_texts_once(spark):
     assert read.value == 160
 
 
+def test_multiclass_job_reads_the_texts_once(spark):
+    docs, _, read = _documents(spark)
+    assert jobs.multiclass_job(docs).first()["num_classes"] == 2
+    assert read.value == 160
+
+
 def test_entries_are_not_moved_to_a_thin_matrix(spark):
     # an index hit by 70,000 rows, and repeated entries
     a = spark.range(70_000).selectExpr("id AS i", "0L AS j", "1.0D AS value").unionByName(
