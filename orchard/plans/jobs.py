@@ -213,14 +213,15 @@ def forest_loop(spark: SparkSession, points: DataFrame, kind: str,
     """A full active-learning run with a forest committee, until every row of
     the pool is labelled; history without timings.
 
-    ``materialize=True`` checkpoints the pool and test points once: worth it
-    when the features are expensive to derive (whole-text features), a waste
-    when they are a projection of Parquet columns, which a round re-reads
-    more cheaply than a written copy.
+    Pool and test points are derived once, as every round reads them several
+    times: ``materialize=True`` checkpoints them, for features that are expensive
+    to derive (whole-text features); a large pool of plain columns is written as
+    Parquet, which is read in columns.
     """
-    pool_points, test = tables.train_test(points)
     if materialize:
-        pool_points, test = cut_lineage(pool_points), cut_lineage(test)
+        pool_points, test = (cut_lineage(part) for part in tables.train_test(points))
+    else:
+        pool_points, test = tables.written_train_test(points)
     start = pool.start_one_per_class(pool_points, LOOP_START, SEED)
     k = -(-(pool_points.count() - LOOP_START) // rounds)
     if kind == "random":
@@ -298,7 +299,7 @@ def separable_loop(spark: SparkSession, orders: DataFrame, rounds: int = LOOP_RO
     """The uncertainty loop with a forest on the separable task, from the
     smallest ids until the pool is empty.  All margins are equal, so batches
     follow the ids, and the accuracy is 1 in every round."""
-    pool_points, test = tables.train_test(separable_points(orders))
+    pool_points, test = tables.written_train_test(separable_points(orders))
     start = pool.start_first_k(pool_points, SEPARABLE_START)
     k = -(-(pool_points.count() - SEPARABLE_START) // rounds)
     return loop.run_loop(spark, pool_points, start, SEPARABLE_START, loop.uncertainty_strategy(), k,

@@ -71,3 +71,17 @@ def test_hits_leave_a_task_in_bounded_parts(spark, monkeypatch):
                           "features": [np.array([1.0, 0.0])] * 6})
     parts = list(joins._group_hits(0.9)(iter([frame[:2], frame[2:]])))
     assert len(parts) == 2 and sum(map(len, parts)) == 15
+
+
+def test_plain_pool_is_derived_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def x(i):
+        read.add(1)
+        return float(i % 5)
+
+    made = spark.range(120).withColumn("x", F.udf(x, "double").asNondeterministic()("id"))
+    points = made.select("id", F.array("x").alias("features"), (F.col("x") > 2).cast("double").alias("label"))
+    out = jobs.forest_loop(spark, points, "uncertainty", rounds=1).collect()
+    assert out[-1]["n_unlabeled"] == 0
+    assert read.value == 120
