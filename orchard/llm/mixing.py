@@ -7,9 +7,10 @@ with the probability its cell's weight asks for at a token budget.
 
 Everything is a DataFrame operation.  Rows meet in one aggregation with
 map-side combine (a hot source costs nothing there); the sweeps run over the
-table of cells, whose size is bounded by the numbers of categories; the cells'
-probabilities return to the documents by a join that broadcasts within a
-checked size.
+table of cells, whose size is bounded by the numbers of categories: up to
+``GATHERED`` counted rows stay in one partition, so that no sweep shuffles them,
+larger tables are dealt out by category; the cells' probabilities return to the
+documents by a join that broadcasts within a checked size.
 
 A probability cannot exceed 1.  ``mix`` with ``bounded`` keeps that bound inside
 the raking: what a cell cannot give is asked of the other cells of its
@@ -45,6 +46,8 @@ _LOT_DIGITS, _LOT_RANGE = 13, float(1 << 52)
 TOLERANCE = 1e-4
 #: Budgets tried at once in the search, and sweeps before the lineage is cut.
 STEPS, SWEEPS_A_PLAN = 16, 3
+#: Rows of cells (times budgets) that are kept in one partition: about 16 MB.
+GATHERED = 1 << 17
 _LOG = logging.getLogger(__name__)
 
 
@@ -68,6 +71,13 @@ def lot(id_col: str = "doc_id", seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, _LOT_DIGITS), 16, 10).cast("double") / _LOT_RANGE
 
 
+def _settled(cells: DataFrame) -> DataFrame:
+    """``cells`` with its lineage cut; up to ``GATHERED`` rows come back in one
+    partition, where windows and sums need no shuffle."""
+    out = cut_lineage(cells)
+    return out.coalesce(1) if out.limit(GATHERED + 1).count() <= GATHERED else out
+
+
 def _with_targets(cells: DataFrame, dims: list[str], powers: dict[str, float],
                   shares: dict[str, DataFrame] | None) -> DataFrame:
     """Cells with ``w`` (token shares) and each dimension's target ``_t_<dim>``."""
@@ -82,7 +92,7 @@ def _with_targets(cells: DataFrame, dims: list[str], powers: dict[str, float],
                 F.col(d).alias("_key"), F.pow(F.col("m").cast("double"), F.lit(powers.get(d, 1.0))).alias("_t"))
             out = out.join(broadcast_if_small(mass, 128), F.col(d) == F.col("_key")).drop("_key")
         out = out.withColumnRenamed("_t", f"_t_{d}").fillna(0.0, [f"_t_{d}"])
-    out = cut_lineage(out)
+    out = _settled(out)
     # shares of the categories that have tokens add up to 1
     for d in dims:
         sums = out.groupBy(d).agg(F.first(f"_t_{d}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
@@ -135,16 +145,16 @@ def rake_below(cells: DataFrame, dims: list[str], budgets: list[float], sweeps:
     cells: dims, ``n``, ``w`` (token share) and the targets.
     """
     usable = F.least(*[F.col(f"_t_{d}") for d in dims], F.lit(1.0)) > 0
-    out = cells.withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets]))).withColumns(
-        {"x": F.col("w"), "most": F.col("w") / F.col("budget")})
+    out = _settled(cells.withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets]))).withColumns(
+        {"x": F.col("w"), "most": F.col("w") / F.col("budget")}))
     bounded = out.where(usable)
     for sweep in range(sweeps):
         for d in dims:
             bounded = _fitted(bounded, d, dims)
         if sweep % SWEEPS_A_PLAN == SWEEPS_A_PLAN - 1:
-            bounded = cut_lineage(bounded)
+            bounded = _settled(bounded)
     bounded = bounded.withColumn("w", F.least("x", "most"))
-    return cut_lineage(bounded.union(out.where(~usable).withColumn("w", F.lit(0.0))).drop("x", "most"))
+    return _settled(bounded.union(out.where(~usable).withColumn("w", F.lit(0.0))).drop("x", "most"))
 
 
 def _gaps(weights: DataFrame, dims: list[str]) -> dict[float, float]:
@@ -239,7 +249,7 @@ def mix(docs: DataFrame, dims: list[str], powers: dict[str, float], budget: floa
     """
     names = [fresh(docs, f"_d{i}") for i in range(len(dims))]
     keyed = docs.withColumns({n: F.coalesce(F.col(d).cast("string"), F.lit("(null)")) for n, d in zip(names, dims)})
-    cells = cut_lineage(keyed.groupBy(*names).agg(F.sum(tokens).alias("n")).where("n > 0"))
+    cells = _settled(keyed.groupBy(*names).agg(F.sum(tokens).alias("n")).where("n > 0"))
     total = float(cells.agg(F.sum("n")).first()[0] or 0)
     given = {names[dims.index(d)]: s.select(F.col(d).alias(names[dims.index(d)]), "share")
              for d, s in (shares or {}).items()}
@@ -247,7 +257,7 @@ def mix(docs: DataFrame, dims: list[str], powers: dict[str, float], budget: floa
     if hold or bounded:
         weights = rake_within(cells, names, powers, budget, given, sweeps) if hold else rake_below(
             _with_targets(cells, names, powers, given), names, [budget], sweeps)
-        weights = cut_lineage(weights.withColumn(
+        weights = _settled(weights.withColumn(
             "p", F.least(F.lit(1.0), F.col("w") * F.col("budget") * F.lit(total) / F.col("n"))))
         _report(weights, names, dims, budget)
         if report:
@@ -255,7 +265,7 @@ def mix(docs: DataFrame, dims: list[str], powers: dict[str, float], budget: floa
                 "dim", F.element_at(F.create_map(*[F.lit(x) for n, d in zip(names, dims) for x in (n, d)]), F.col(
                     "dim"))).write.parquet(report)
     else:
-        weights = cut_lineage(rake(cells, names, powers, given, sweeps)).withColumn(
+        weights = _settled(rake(cells, names, powers, given, sweeps)).withColumn(
             "p", F.least(F.lit(1.0), F.col("w") * F.lit(budget * total) / F.col("n")))
     chance = weights.select(*names, F.col("p").alias(probability))
     out = keyed.join(broadcast_if_small(chance, 256), names, "left").drop(*names)
