@@ -20,15 +20,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Distinct pieces whose ids a Python worker keeps at once, pieces encoded in a
-#: call, and characters of text split at once.
-CACHE_PIECES, TOGETHER, AT_ONCE = 200_000, 512, 1 << 18
+#: Distinct pieces whose ids a Python worker keeps in each of two generations,
+#: pieces encoded in a call, and characters of text split at once.
+CACHE_PIECES, TOGETHER, AT_ONCE = 250_000, 512, 1 << 18
 #: Characters whose words can be encoded one by one: printable ASCII, plain white
 #: space, Latin-1 and Latin Extended-A letters (but for the one whose lower case
 #: is two characters) and common punctuation.  None of them composes with a
@@ -36,8 +37,7 @@ CACHE_PIECES, TOGETHER, AT_ONCE = 200_000, 512, 1 << 18
 _OTHER = re.compile("[^\t\n\x0b\x0c\r -~\u00c0-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u203a]")
 _LETTER = "a-z\u00df-\u00f6\u00f8-\u017f"
 #: The tokenizer's pieces of such a text (fixed by the vocabulary file).
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t\n\x0b\x0c\r{_LETTER}0-9]+")
-_LETTERS = re.compile(f"[{_LETTER}]+")
+_PIECES = re.compile(f"[{_LETTER}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\x0b\x0c\r{_LETTER}0-9]+")
 _SPACE = re.compile("[\t\n\x0b\x0c\r ]")
 
 
@@ -49,27 +49,44 @@ class CachedEncoder:
     ids of a text are those of its pieces one after another.  That holds for
     texts of the characters above; any other text, and one that holds the string
     of a special token, is encoded as a whole.
+
+    Pieces are kept in two generations: when the current one is full, it becomes
+    the older one, from which pieces that are met again return.
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for runs of lower-case letters, which the normalizer leaves
+        # as they are; the byte encoding of those beyond ASCII is a table
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.by_bytes = {c: by_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xdf, 0x180)}
         vocab = self.tokenizer.get_vocab()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.end = np.array([end_id], "<i4").tobytes()
         self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<i4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        if plain:
+            texts = [t if t.isascii() else t.translate(self.by_bytes) for t in texts]
+        tokenizer = self.plain if plain else self.tokenizer
+        return [np.array(x.ids, "<i4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of the pieces ``new`` into the current generation."""
+        known = list(filter(self.older.__contains__, new))
+        self.pieces.update(zip(known, map(self.older.__getitem__, known)))
+        new = new.difference(known)
         # a run of letters is one piece, closed by a word-end token: many in a text
-        letters = [p for p in new if _LETTERS.fullmatch(p)]
+        letters = list(filter(str.isalpha, new))
+        rest = list(filterfalse(str.isalpha, new))
         some = [letters[i:i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
-        rest = [p for p in new if not _LETTERS.fullmatch(p)]
-        for pieces, ids in zip(some, self._encode([" ".join(x) for x in some])):
+        for pieces, ids in zip(some, self._encode([" ".join(x) for x in some], plain=True)):
             cuts = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             if len(cuts) == len(pieces):
                 raw = ids.tobytes()
@@ -99,13 +116,12 @@ class CachedEncoder:
 
     def _join(self, group: list[tuple[int, str]], out: list[list[bytes]]) -> None:
         """Append the ids of the group's (position, text) entries to ``out``."""
-        found = [(i, _PIECES.findall(t.lower())) for i, t in group]
-        distinct = set().union(*(pieces for _, pieces in found))
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        new = distinct.difference(self.pieces)
+            self.pieces, self.older = {}, self.pieces
+        found = [(i, _PIECES.findall(t.lower())) for i, t in group]
+        new = set().union(*(filterfalse(self.pieces.__contains__, pieces) for _, pieces in found))
         if new:
-            self._learn(list(new))
+            self._learn(new)
         for i, pieces in found:
             out[i].append(b"".join(map(self.pieces.__getitem__, pieces)))
 
