@@ -53,12 +53,12 @@ def test_known_pieces_are_not_encoded_anew_when_the_cache_is_full(monkeypatch):
     path = public_tokenizers.path(TOKENIZER)
     encoder, plain = tokens.CachedEncoder(path, END_ID), Tokenizer.from_file(path)
     asked, encode = [], encoder._encode
-    monkeypatch.setattr(encoder, "_encode", lambda texts, *a: asked.extend(" ".join(texts).split()) or encode(texts, *a))
+    monkeypatch.setattr(encoder, "_encode", lambda texts, **how: asked.extend(" ".join(texts).split()) or encode(texts, **how))
     rng = random.Random(5)
     for _ in range(30):
         words = ["".join(rng.choice("abcdeé") for _ in range(9)) for _ in range(30)]
         text = " ".join(["Often,", "véry", *words, "it's", "7..", "met"])
         want = np.array([*plain.encode(text, add_special_tokens=False).ids, END_ID], "<i4").tobytes()
         assert encoder.encode(text) == want
-        assert len(encoder.pieces) + len(encoder.older) < 2 * (40 + 40)
+        assert len(encoder.pieces) + len(getattr(encoder, "older", ())) < 2 * (40 + 40)
     assert [asked.count(p) for p in ("often", "véry", "met")] == [1, 1, 1]
