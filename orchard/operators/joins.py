@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orchard.operators.pool import bounded_side
-from orchard.operators.similarity import DEFAULT_TILE_ROWS, TRIPLE_SCHEMA, unit_rows
+from orchard.operators.similarity import DEFAULT_TILE_ROWS, GROUP_BYTES, TASKS, TRIPLE_SCHEMA, unit_rows
 from orchard.session import cut_lineage, parallelism
 
 # Vectors the pivots are fitted on, pivots, rounds of the fit.
 SAMPLE, PIVOTS, FIT_ROUNDS = 4096, 64, 5
-# Bytes of the vectors of a group of tiles, tasks a core, hits handed on at once.
-GROUP_BYTES, TASKS, HITS = 64 << 20, 4, 1 << 20
+# Hits handed on at once.
+HITS = 1 << 20
 # What rounding may take from a distance or a cosine.
 SLACK = 1e-9
 
