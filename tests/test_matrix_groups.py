@@ -6,12 +6,38 @@ import pytest
 
 from orchard.operators import similarity
 
+TRIPLES = "i long, j long, value double"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
 def _matrix(n, width, seed=3):
     x = np.random.default_rng(seed).normal(size=(n, width))
     return x, [(i, k, float(x[i, k])) for i in range(n) for k in range(width)]
 
 
+def test_products_of_one_block_are_not_summed_again(spark):
+    x, entries = _matrix(50, 6)
+    a = spark.createDataFrame(entries, TRIPLES)
+    got = similarity.multiply_triples(a, similarity.transpose(a), tile_rows=7, heavy_pairs=100)
+    # the n^2 products leave the tasks that make them: nothing deals them out again
+    assert "Exchange" not in _plan(got).split("FlatMapGroupsInPandas")[0]
+    rows = got.collect()
+    assert len(rows) == 2500 and all(abs(r["value"] - x[r["i"]] @ x[r["j"]]) < 1e-9 for r in rows)
+
+
+def test_products_of_several_blocks_and_light_indices_are_summed(spark):
+    x, entries = _matrix(30, 9)
+    entries += [(i, 100 + i % 10, 2.0) for i in range(30)]
+    a = spark.createDataFrame(entries, TRIPLES)
+    full = np.hstack([x, 2.0 * (np.arange(30)[:, None] % 10 == np.arange(10))])
+    rows = similarity.multiply_triples(a, similarity.transpose(a), tile_rows=4, inner_block=4, heavy_pairs=100).collect()
+    assert len(rows) == 900
+    assert all(abs(r["value"] - full[r["i"]] @ full[r["j"]]) < 1e-9 for r in rows)
+
+
 @pytest.mark.parametrize("mode", ["full", "strict_upper"])
 def test_copies_of_a_row_follow_the_cores(spark, monkeypatch, mode):
     taken = spark.sparkContext.accumulator(0)
