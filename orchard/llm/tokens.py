@@ -32,7 +32,7 @@ from orchard.llm.common import text_slices
 
 #: Distinct pieces whose ids a Python worker keeps in each of two generations,
 #: pieces encoded in a call, and bytes of text split at once.
-CACHE_PIECES, TOGETHER, AT_ONCE = 150_000, 512, 1 << 21
+CACHE_PIECES, TOGETHER, AT_ONCE = 150_000, 512, 1 << 20
 #: Characters whose words can be encoded one by one: printable ASCII, plain white
 #: space, Latin-1 and Latin Extended-A letters (but for the one whose lower case
 #: is two characters) and common punctuation.  None of them composes with a
