@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from orchard.operators import similarity
 
@@ -71,3 +72,40 @@ def test_products_leave_a_task_in_bounded_parts():
                           "v": [np.array([1.0, 0.0])] * 6})
     parts = list(similarity._group_products(False, 2)(iter([frame[:4], frame[4:]])))
     assert sum(map(len, parts)) == 18 and max(map(len, parts)) <= 8
+
+
+def _written_bytes(df, path):
+    df.write.parquet(str(path))
+    return sum(p.stat().st_size for p in path.glob("*.parquet"))
+
+
+@pytest.mark.parametrize("query", ["cosine_full", "cosine_upper", "triple_multiply", "triple_column_similarity"])
+def test_rounded_entries_of_a_matrix_are_written_in_few_bytes(spark, tmp_path, monkeypatch, query):
+    n, x = 1000, _matrix(1000, 8)[0]
+    monkeypatch.setattr(similarity, "_groups", lambda *_: 1)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    a = similarity.rows_to_triples(points)
+    made = {"cosine_full": lambda: similarity.cosine_full(points), "cosine_upper": lambda: similarity.cosine_upper(points),
+            "triple_multiply": lambda: similarity.multiply_triples(a, similarity.transpose(a)),
+            "triple_column_similarity": lambda: similarity.column_similarities(a)}[query]()
+    # cosines are spread like the products: several times as many entries as values
+    spread = 1.0 if query == "triple_multiply" else 8.0
+    rounded = made.select("i", "j", F.round(F.col("value") * spread, 4).alias("value"))
+    rows = n * n if query in ("cosine_full", "triple_multiply") else n * (n - 1) // 2
+    # 6.2 to 6.5 bytes a row where they leave in the order of the rows
+    assert _written_bytes(rounded, tmp_path / "entries") < 6 * rows
+    back = spark.read.parquet(str(tmp_path / "entries"))
+    assert back.count() == back.select("i", "j").distinct().count() == rows
+
+
+def test_entries_leave_a_square_of_tiles_by_value():
+    x = np.random.default_rng(5).normal(size=(12, 3))
+    frame = pd.DataFrame({"ga": [0] * 12, "gb": [1] * 12, "own": [0] * 6 + [1] * 6, "id": range(12), "v": list(x)})
+    got = pd.concat(similarity._group_products(True, 2)(iter([frame])))
+    assert got["value"].is_monotonic_increasing and len(got) == 36
+    assert np.allclose(got["value"], [x[i] @ x[j] for i, j in zip(got["i"], got["j"])])
+    packed = pd.DataFrame({"of_a": [True] * 6 + [False] * 6, "key": [*range(6)] * 2, "inner": [np.arange(3)] * 12,
+                           "v": list(x)})
+    got = pd.concat(similarity._block_products(2)(iter([packed])))
+    assert got["value"].is_monotonic_increasing and len(got) == 36
+    assert np.allclose(got["value"], [x[i] @ x[6 + j] for i, j in zip(got["i"], got["j"])])
